@@ -5,22 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, packing
+from . import ann, fingerprint, licenses, linededup, minhash, mixing, packing, pii, quality, toxicity
 from .common import table
 
 
-def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+def on_documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"))
 
 
-def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(table(spark, sf_dir, "documents"))
+def with_labels(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_minhash_near_dedup": op1,
-    "op9_best_fit_packing": op9,
+    "op1_minhash_near_dedup": on_documents(lambda docs: minhash.near_duplicates(docs, width=4)),
+    "op2_toxicity": with_labels(toxicity.scored),
+    "op3_quality": with_labels(quality.scored),
+    "op4_fingerprints": on_documents(fingerprint.fingerprints),
+    "op5_licenses": on_documents(licenses.scanned),
+    "op6_ann": nearest,
+    "op7_pii": on_documents(pii.redactions),
+    "op8_line_dedup": on_documents(linededup.query),
+    "op9_best_fit_packing": on_documents(packing.best_fit),
+    "op10_mixing": with_labels(lambda docs, labels: mixing.mixed(docs, mixing.label_domains(labels))),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": linededup.ORACLE}
