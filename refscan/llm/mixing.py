@@ -97,7 +97,7 @@ def fitted_rates(found: DataFrame, targets: dict[str, float], anchor: str | None
             break
         rate = stepped(rate, overlap @ (at - goal) / total)
         if step % 6 == 0:  # keeps the expression short
-            base = written(base.drop("rate").withColumn("rate", rate), "mixing-rates")
+            base = written(base.select("doc_id", "tokens", "p", rate.alias("rate")), "mixing-rates")
             rate = F.col("rate")
         sums = base.agg(*(F.sum(rate * weight * F.col("p")[k]).alias(f"a{k}") for k in of)).first()
         at = np.array([sums[f"a{k}"] for k in of])
