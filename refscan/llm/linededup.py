@@ -33,24 +33,38 @@ def line_ends(lines: Column, long_words: int) -> Column:
 
 
 def chunked(docs: DataFrame, long_words: int) -> DataFrame:
-    """key, first, last (line numbers from 1) and text of each chunk; key is doc_id and a digest of the text."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.split("text", "\n").alias("lines"))
-    ends = lines.select("doc_id", "digest", "lines", F.transform(F.filter(F.transform(line_ends(F.col("lines"), long_words), lambda e, i: F.struct(e.alias("e"), (i + 1).alias("i"))), lambda x: x["e"]), lambda x: x["i"]).alias("ends"))
+    """KEY, first, last (line numbers from 1) and text of each chunk of keyed ``docs``."""
+    lines = docs.select(*KEY, F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    ends = lines.select(*KEY, "lines", F.transform(F.filter(F.transform(line_ends(F.col("lines"), long_words), lambda e, i: F.struct(e.alias("e"), (i + 1).alias("i"))), lambda x: x["e"]), lambda x: x["i"]).alias("ends"))
     spans = F.transform(F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice("ends", F.lit(1), F.size("ends") - 1)).alias("s"), F.col("ends").alias("e")), lambda x: F.struct((x["s"] + 1).alias("first"), x["e"].alias("last")))
-    each = ends.select("doc_id", "digest", "lines", F.explode(spans).alias("x"))
-    return each.select("doc_id", "digest", F.col("x.first").alias("first"), F.col("x.last").alias("last"), F.array_join(F.slice("lines", F.col("x.first"), F.col("x.last") - F.col("x.first") + 1), "\n").alias("chunk"))
+    each = ends.select(*KEY, "lines", F.explode(spans).alias("x"))
+    return each.select(*KEY, F.col("x.first").alias("first"), F.col("x.last").alias("last"), F.array_join(F.slice("lines", F.col("x.first"), F.col("x.last") - F.col("x.first") + 1), "\n").alias("chunk"))
 
 
-def repeats(docs: DataFrame, long_words: int = 50, min_chars: int = 80) -> DataFrame:
-    """doc_id, digest, ranges: for each text with repeated chunks, the line ranges to remove."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with what identifies a text: its id (and whether it has one) and a digest."""
+    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull(), "_digest": F.xxhash64(F.coalesce("text", F.lit("")))})
+
+
+KEY = ["_id", "_none", "_digest"]
+
+
+def repeats(docs: DataFrame, long_words: int, min_chars: int) -> DataFrame:
+    """KEY, ranges: for each text with repeated chunks, the line ranges to remove. ``docs``: keyed.
+
+    Chunks are compared by hash without their text first. Only texts with a hash that occurs again are then
+    joined with those chunks' places, to compare the chunks themselves."""
     eligible = ((F.col("last") > F.col("first")) | (F.size(F.split("chunk", " ")) >= long_words)) & (F.length("chunk") >= min_chars)
-    chunks = written(chunked(docs, long_words).where(eligible).withColumn("hash", F.xxhash64("chunk")), "chunks")
+    chunks = written(chunked(docs, long_words).where(eligible).select(*KEY, "first", "last", F.xxhash64("chunk").alias("hash")), "chunks")
     again = chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    found = written(chunks.join(again, "hash"), "repeated")
-    place = F.struct("doc_id", "digest", "first")
+    places = written(chunks.join(again, "hash").groupBy(*KEY).agg(F.collect_set(F.struct("first", "last", "hash")).alias("places")), "places")  # of one text: no more than it has chunks
+    lines = docs.join(places, KEY).select(*KEY, F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), "places").select(*KEY, "lines", F.explode("places").alias("x"))
+    found = lines.select(*KEY, "x.first", "x.last", "x.hash", F.array_join(F.slice("lines", F.col("x.first"), F.col("x.last") - F.col("x.first") + 1), "\n").alias("chunk")).dropDuplicates([*KEY, "first"])
+    found = written(found, "repeated")
+    place = F.struct((~F.col("_none")).alias("some"), "_id", "_digest", "first")  # null ids first
     stays = found.groupBy("hash", "chunk").agg(F.min(place).alias("stays"))
-    gone = found.join(stays, ["hash", "chunk"]).where(~place.eqNullSafe(F.col("stays")))
-    return gone.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))  # of one text: no more than it has chunks
+    gone = found.join(stays, ["hash", "chunk"]).where(place != F.col("stays"))
+    return gone.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("_gone"))
 
 
 def line_dedup(docs: DataFrame, long_words: int = 50, min_chars: int = 80, copy_share: float | None = None) -> DataFrame:
@@ -61,10 +75,9 @@ def line_dedup(docs: DataFrame, long_words: int = 50, min_chars: int = 80, copy_
     one empty line; chunks under ``min_chars`` stay; nulls in doc_id come first in the order of occurrences;
     rows with the same doc_id and text are one document and all stay or lose the same lines. An empty table
     gives an empty result. Columns of ``docs`` named n_lines, removed_lines or emptied are replaced."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    gone = repeats(narrow, long_words, min_chars).select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest"), F.col("ranges").alias("_gone"))
-    key = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_gone_digest"))
-    joined = docs.join(gone, key, "left").withColumn("_lines", F.split("text", "\n"))
+    own = keyed(docs)
+    gone = repeats(own.select("text", *KEY), long_words, min_chars)
+    joined = own.join(gone, KEY, "left").withColumn("_lines", F.split("text", "\n"))
     rest = F.when(F.col("_gone").isNotNull(), F.filter("_lines", lambda _, i: ~F.exists("_gone", lambda x: (i + 1 >= x["first"]) & (i + 1 <= x["last"]))))
     cut = joined.withColumn("_rest", rest).withColumn("_text", F.array_join("_rest", "\n"))
     if copy_share is not None:
@@ -72,12 +85,12 @@ def line_dedup(docs: DataFrame, long_words: int = 50, min_chars: int = 80, copy_
     changed = F.col("_rest").isNotNull()
     lines, kept = F.coalesce(F.size("_lines").cast("long"), F.lit(0)), F.size("_rest").cast("long")
     out = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long"), "removed_lines": F.when(changed, lines - kept).otherwise(0).cast("long"), "emptied": changed & (kept == 0)}
-    return cut.withColumns(out).withColumn("text", F.when(changed, F.col("_text")).otherwise(F.col("text"))).drop("_gone_id", "_gone_digest", "_gone", "_lines", "_rest", "_text")
+    return cut.withColumns(out).withColumn("text", F.when(changed, F.col("_text")).otherwise(F.col("text"))).drop(*KEY, "_gone", "_lines", "_rest", "_text")
 
 
 def query(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, removed_lines, emptied, text_md5 of what is left."""
-    return line_dedup(docs).select("doc_id", "n_lines", "removed_lines", "emptied", F.md5("text").alias("text_md5"))
+    return line_dedup(docs.select("doc_id", "text")).select("doc_id", "n_lines", "removed_lines", "emptied", F.md5("text").alias("text_md5"))
 
 
 #: The same in DuckDB, with rows and windows in place of arrays.
