@@ -7,6 +7,7 @@ Keys are skipped, so are properties that aren't public; anything malformed makes
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TYPE = "struct<ok:boolean,container:boolean,leaves:array<struct<kind:string,value:string>>>"
@@ -40,7 +41,7 @@ class Reader:
         return int(raw)
 
     def counted(self) -> bytes:
-        """A string after its length: :"...\"."""
+        """A quoted string after its length."""
         n = self.number(b":")
         self.expect(b'"')
         out = self.data[self.at : self.at + n]
@@ -141,7 +142,11 @@ def leaves_of(text: str) -> dict:
     return {"ok": True, "container": container, "leaves": leaves}
 
 
-@F.arrow_udf(TYPE)
-def php_leaves(batch: pa.Array) -> pa.Array:
+def parsed(batch: pa.Array) -> pa.Array:
     kind = pa.struct([("ok", pa.bool_()), ("container", pa.bool_()), ("leaves", pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())])))])
     return pa.array([leaves_of(x or "") for x in batch.to_pylist()], kind)
+
+
+def php_leaves(text: Column) -> Column:
+    """``leaves_of`` a text column, in Arrow batches, as TYPE."""
+    return F.arrow_udf(parsed, TYPE)(text)

@@ -32,6 +32,8 @@ from .common import id_and_text, written
 
 #: Lists of up to this length give all their pairs.
 SHORT = 24
+#: Bits of the bitmap that preselects candidates' texts (4 MB).
+BITS = 1 << 25
 #: Hashes of full sets in a block of the last comparison, at most, unless one set is larger.
 BLOCK = 400_000
 
@@ -81,17 +83,31 @@ def sketched(docs: DataFrame, width: int, k: int) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, n long, sig binary, sketch array<long>")
 
 
+def marked_bits(nodes: DataFrame) -> np.ndarray:
+    """A bitmap of BITS bits with the hashes of ``nodes``: its size is fixed, so a large corpus only makes it less selective."""
+    at = nodes.select((F.pmod(F.xxhash64("node"), F.lit(BITS)) + 1).alias("bit"))
+    rows = at.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    out = np.zeros((BITS // 32768, 4096), np.uint8)
+    for r in rows:
+        out[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, set: the full sets of the documents that candidates name."""
+    """node, set: the full sets of the documents that candidates name. A bitmap of them spares most other texts the
+    shuffle; the join then is exact."""
+    bits = docs.sparkSession.sparkContext.broadcast(marked_bits(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
+            bit = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits.value[bit >> 3] >> (bit & 7)) & 1 == 1))
             sets = [shingles(t, width, hashes).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
-    picked = id_and_text(docs).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return picked.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
+    rows = id_and_text(docs).where("doc_id IS NOT NULL").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)))
+    return rows.mapInArrow(run, "node long, set array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def needed(n: Column, k: int, percent: int) -> Column:
@@ -223,3 +239,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     alone = F.col("doc_id").isNull()
     own = lambda c: F.when(~alone, F.coalesce(c, "doc_id")).alias(c)
     return out.select("doc_id", F.col("n").alias("n_shingles"), own("class_id"), own("component_id"), (alone | (F.coalesce("component_id", "doc_id") == F.col("doc_id"))).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows and columns of ``docs`` but for near-duplicates of a document with a smaller id; null ids stay."""
+    gone = written(near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("_gone_id")).distinct(), "near-duplicates")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti")

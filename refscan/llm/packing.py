@@ -13,6 +13,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,20 +29,38 @@ def tokenizer_path() -> str:
 
 class WordIds(dict):
     """Token ids of each space-free part, as little-endian unsigned 32-bit bytes. The tokenizer drops white
-    space before it merges anything, so ids of a text are those of its parts in order."""
+    space before it merges anything, so ids of a text are those of its parts in order. Unknown parts are
+    encoded together, with the end-of-text token between them."""
+
+    SEPARATOR, SEPARATOR_ID = "<|endoftext|>", 49407
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.encode_batch = Tokenizer.from_file(path).encode_batch_fast
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.encode_batch([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def __missing__(self, part: str) -> bytes:
-        value = b"".join(i.to_bytes(4, "little") for i in self.encode(part, add_special_tokens=False).ids)
-        if len(part) < 64:
-            if len(self) > 400_000:
-                self.clear()
-            self[part] = value
-        return value
+        return self.ids(part)
+
+    def learn(self, parts: set[str]) -> None:
+        if len(self) > 400_000:
+            self.clear()
+        new = [p for p in parts if p not in self and len(p) < 64 and "<|" not in p]
+        for at in range(0, len(new), 5_000):
+            some = new[at : at + 5_000]
+            ids = np.frombuffer(self.ids(self.SEPARATOR.join(some)), "<u4")
+            ends = [*np.flatnonzero(ids == self.SEPARATOR_ID).tolist(), len(ids)]
+            whole, first = ids.tobytes(), 0
+            for part, end in zip(some, ends, strict=True):
+                self[part] = whole[4 * first : 4 * end]
+                first = end + 1
+
+
+def parted(text: str) -> list[str]:
+    return text.replace("\n", " ").split(" ")
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048) -> DataFrame:
@@ -52,11 +71,14 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048) -> Da
         ids = WordIds(path)
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                whole = b"".join(map(ids.__getitem__, text.replace("\n", " ").split(" "))) + b"\0\0\0\0"
-                for i, at in enumerate(range(0, len(whole), 4 * capacity)):
-                    cut = whole[at : at + 4 * capacity]
-                    for column, value in zip(rows, (doc_id, i, at // 4, len(cut) // 4, zlib.crc32(cut)), strict=True):
+            texts = batch.column(1).to_pylist()
+            for at, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
+                if at % 500 == 0:
+                    ids.learn({p for t in texts[at : at + 500] for p in parted(t)})
+                whole = b"".join(map(ids.__getitem__, parted(text))) + b"\0\0\0\0"
+                for i, start in enumerate(range(0, len(whole), 4 * capacity)):
+                    cut = whole[start : start + 4 * capacity]
+                    for column, value in zip(rows, (doc_id, i, start // 4, len(cut) // 4, zlib.crc32(cut)), strict=True):
                         column.append(value)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
