@@ -9,9 +9,12 @@ is a table of intervals, and each piece finds its place by its length and its ra
 from __future__ import annotations
 
 import bisect
+import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +33,20 @@ def tokenizer_path() -> str:
 class WordIds(dict):
     """Token ids of each space-free part, as little-endian unsigned 32-bit bytes. The tokenizer drops white
     space before it merges anything, so ids of a text are those of its parts in order. Unknown parts are
-    encoded together, with the end-of-text token between them."""
+    encoded together: words of letters with spaces between them, each of which ends with its only
+    word-ending token, others with the end-of-text token between them."""
 
-    SEPARATOR, SEPARATOR_ID = "<|endoftext|>", 49407
+    SEPARATOR, SEPARATOR_ID, WORD_END = "<|endoftext|>", 49407, "</w>"
+    MOST = 800_000  # parts kept
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode_batch = Tokenizer.from_file(path).encode_batch_fast
+        tokenizer = Tokenizer.from_file(path)
+        self.encode_batch = tokenizer.encode_batch_fast
+        vocabulary = tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(self.WORD_END)]] = True
 
     def ids(self, text: str) -> bytes:
         return np.array(self.encode_batch([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -45,12 +54,24 @@ class WordIds(dict):
     def __missing__(self, part: str) -> bytes:
         return self.ids(part)
 
-    def learn(self, parts: set[str]) -> None:
-        if len(self) > 400_000:
+    def learn(self, parts: set[str], latin: bool) -> None:
+        """Keeps the ids of unknown parts."""
+        if len(self) > self.MOST:
             self.clear()
-        new = [p for p in parts if p not in self and len(p) < 64 and "<|" not in p]
-        for at in range(0, len(new), 5_000):
-            some = new[at : at + 5_000]
+        words, others = [], []
+        for p in parts:
+            if len(p) < 64 and "<|" not in p:
+                (words if latin and p.isalpha() else others).append(p)
+        for at in range(0, len(words), 1_000):
+            some = words[at : at + 1_000]
+            whole = self.ids(" ".join(some))
+            ends = (4 * (np.flatnonzero(self.ends_word[np.frombuffer(whole, "<u4")]) + 1)).tolist()
+            first = 0
+            for part, end in zip(some, ends, strict=True):
+                self[part] = whole[first:end]
+                first = end
+        for at in range(0, len(others), 5_000):
+            some = others[at : at + 5_000]
             ids = np.frombuffer(self.ids(self.SEPARATOR.join(some)), "<u4")
             ends = [*np.flatnonzero(ids == self.SEPARATOR_ID).tolist(), len(ids)]
             whole, first = ids.tobytes(), 0
@@ -59,8 +80,26 @@ class WordIds(dict):
                 first = end + 1
 
 
-def parted(text: str) -> list[str]:
-    return text.replace("\n", " ").split(" ")
+def word_ids(path: str) -> WordIds:
+    """The tokenizer and the parts known so far, kept for all tasks of a Python worker."""
+    kept = sys.modules.setdefault("_refscan_word_ids", ModuleType("_refscan_word_ids")).__dict__
+    if path not in kept:
+        kept[path] = WordIds(path)
+    return kept[path]
+
+
+#: A single mark between a Latin-1 letter and white space; it is a token of its own.
+TRAILING = re.compile("[.,;:!?](?<=[a-z\xdf-\xf6\xf8-\xff].)(?=[ \n]|$)")
+
+
+def parted(text: str) -> tuple[list[str], bool]:
+    """Parts of a text, and whether it is Latin-1. If so (its letters have one composed form and one lower case
+    each, as the tokenizer takes them), words that differ in case or in what follows them are one part."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.replace("\n", " ").split(" "), False
+    return TRAILING.sub(r" \g<0>", text.lower()).replace("\n", " ").split(" "), True
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048) -> DataFrame:
@@ -68,18 +107,21 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048) -> Da
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(path)
+        ids = word_ids(path)
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
-            texts = batch.column(1).to_pylist()
-            for at, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
-                if at % 500 == 0:
-                    ids.learn({p for t in texts[at : at + 500] for p in parted(t)})
-                whole = b"".join(map(ids.__getitem__, parted(text))) + b"\0\0\0\0"
-                for i, start in enumerate(range(0, len(whole), 4 * capacity)):
-                    cut = whole[start : start + 4 * capacity]
-                    for column, value in zip(rows, (doc_id, i, start // 4, len(cut) // 4, zlib.crc32(cut)), strict=True):
-                        column.append(value)
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at in range(0, len(texts), 200):
+                some = [(*parted(t), doc_id) for t, doc_id in zip(texts[at : at + 200], doc_ids[at : at + 200], strict=True)]
+                known = [list(map(ids.get, parts)) for parts, _, _ in some]
+                for latin in (True, False):
+                    ids.learn({p for (parts, own, _), got in zip(some, known, strict=True) if own == latin for p, x in zip(parts, got, strict=True) if x is None}, latin)
+                for (parts, _, doc_id), got in zip(some, known, strict=True):
+                    whole = b"".join([ids[p] if x is None else x for p, x in zip(parts, got, strict=True)]) + b"\0\0\0\0"
+                    for i, start in enumerate(range(0, len(whole), 4 * capacity)):
+                        cut = whole[start : start + 4 * capacity]
+                        for column, value in zip(rows, (doc_id, i, start // 4, len(cut) // 4, zlib.crc32(cut)), strict=True):
+                            column.append(value)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
