@@ -3,13 +3,15 @@
 The tree is fitted on a bounded sample. Every vector goes to a leaf. A query walks the tree with a priority
 queue: the node with the largest inner product of query and centroid is opened next, until enough
 leaves are visited; how many that is, is widened on sampled queries until they find ``RECALL`` of their
-brute-force neighbours in the sample. Visits then meet leaves in blocks of bounded size, and only a block's
-best go on. Nearness is the inner product in double precision on the original vectors.
+brute-force neighbours in the sample. The branches two levels down are buckets: a query goes once to each bucket
+in which it visits leaves, and meets its vectors in blocks of bounded size; only a block's best go on.
+Nearness is the inner product in double precision on the original vectors.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +24,8 @@ from .common import written
 
 #: Vectors that the tree is fitted on, at the most (in expectation); queries that calibrate the visits.
 SAMPLE, CALIBRATION = 16_000, 200
-BRANCH, LEAF = 8, 40  # children of a node; sampled vectors of a leaf, at the most (where they differ)
+BUCKET_DEPTH = 2
+BRANCH, LEAF = 8, 100  # children of a node; sampled vectors of a leaf, at the most (where they differ)
 RECALL = 0.98
 BLOCK = 1024
 
@@ -46,17 +49,21 @@ def split(x: np.ndarray, rng: np.random.Generator, rounds: int = 8) -> np.ndarra
 
 class Tree:
     def __init__(self, x: np.ndarray):
-        self.rng, self.leaves = np.random.default_rng(11), 0
-        self.root = self.grown(x)
+        self.rng, self.leaves, self.buckets, bucket_of = np.random.default_rng(11), 0, 0, []
+        self.root = self.grown(x, 0, bucket_of)
+        self.bucket_of = np.array(bucket_of)  # by leaf
 
-    def grown(self, x: np.ndarray) -> Node:
+    def grown(self, x: np.ndarray, depth: int, bucket_of: list[int]) -> Node:
         node = Node(x.mean(0))
         if len(x) > LEAF and len(label := split(x, self.rng)) and len(kinds := np.unique(label)) > 1:
-            node.children = [self.grown(x[label == k]) for k in kinds]
+            node.children = [self.grown(x[label == k], depth + 1, bucket_of) for k in kinds]
             node.centroids = np.array([c.centroid for c in node.children])
         else:
             node.leaf = self.leaves
             self.leaves += 1
+            bucket_of.append(self.buckets)
+        if depth == BUCKET_DEPTH or depth < BUCKET_DEPTH and not node.children:
+            self.buckets += 1
         return node
 
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
@@ -100,10 +107,18 @@ def calibrated(tree: Tree, x: np.ndarray, k: int, recall: float) -> int:
         found = np.mean([np.isin(leaf[n], o[:most]).mean() for n, o in zip(near, order, strict=True)])
         if found >= recall:
             break
-        most = min(tree.leaves, most + max(1, most // 4))
+        most = min(tree.leaves, most + max(1, most // 10))
     return most
 
 
+def by_bucket(tree: Tree, leaves: list[int]) -> list[dict]:
+    """The visited leaves, by bucket."""
+    found = defaultdict(list)
+    for leaf in leaves:
+        found[int(tree.bucket_of[leaf])].append(leaf)
+    return [{"bucket": b, "leaves": own} for b, own in found.items()]
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, vector (doubles): one row for each id, without null, zero or non-finite vectors and ids; of several lengths the most frequent takes part."""
     component = F.transform("embedding", lambda x: x.cast("double"))
@@ -119,8 +134,37 @@ def stacked(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def rows_of(batch: pa.Array) -> np.ndarray:
-    return np.array(batch.flatten(), np.float64).reshape(len(batch), -1)
+def rows_of(batch: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = batch.combine_chunks() if isinstance(batch, pa.ChunkedArray) else batch
+    return np.array(flat.flatten(), np.float64).reshape(len(flat), -1)
+
+
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def best_of(q: pa.Table, c: pa.Table, k: int, leaves: int) -> pa.Table:
+    """The k nearest of a block's vectors for each of a block's queries, among the leaves that the query visits.
+
+    A matrix product preselects with room for rounding; products of what is left are summed row by row in
+    one order, so equal vectors get equal scores."""
+    if not q.num_rows or not c.num_rows:
+        return FOUND.empty_table()
+    ids, query_ids = c["vec_id"].to_numpy(), q["query_id"].to_numpy()
+    x, y = rows_of(q["vector"]), rows_of(c["vector"])
+    visited = q["leaves"].combine_chunks()
+    may = np.zeros((len(x), leaves), bool)
+    may[np.repeat(np.arange(len(x)), np.diff(visited.offsets.to_numpy())), visited.flatten().to_numpy()] = True
+    out = may[:, c["leaf"].to_numpy()] & (query_ids[:, None] != ids)
+    room = 1e-12 * np.sqrt((x**2).sum(1).max() * (y**2).sum(1).max())
+    rough = np.where(out, x @ y.T, -np.inf)
+    if len(y) > k:
+        out &= rough >= (np.partition(rough, len(y) - k, axis=1)[:, len(y) - k] - room)[:, None]
+    row, at = np.nonzero(out)
+    score = (x[row] * y[at]).sum(1)
+    order = np.lexsort((ids[at], -score, row))
+    row, at, score = row[order], at[order], score[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return pa.Table.from_arrays([pa.array(query_ids[row[first]]), pa.array(ids[at[first]]), pa.array(score[first])], schema=FOUND)
 
 
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL) -> DataFrame:
@@ -145,33 +189,27 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, recall: float
     def leaf_of(batch: pa.Array) -> pa.Array:
         return pa.array(tree.leaf_of(rows_of(batch)), pa.int32())
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("array<struct<bucket:int,leaves:array<int>>>")
     def visits(batch: pa.Array) -> pa.Array:
-        return pa.array([tree.visits(q, most) for q in rows_of(batch)], pa.list_(pa.int32()))
+        kind = pa.list_(pa.struct([("bucket", pa.int32()), ("leaves", pa.list_(pa.int32()))]))
+        return pa.array([by_bucket(tree, tree.visits(q, most)) for q in rows_of(batch)], kind)
 
+    bucket_of = F.array(*map(F.lit, tree.bucket_of.tolist()))
     copies = Window.partitionBy("vector").orderBy("vec_id")
-    candidates = written(every.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("vec_id", "vector", leaf_of("vector").alias("leaf")), "leaves")
-    queries = written(every.where(is_query).select(F.col("vec_id").alias("query_id"), "vector", F.explode(visits("vector")).alias("leaf")), "visits")
+    placed = every.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("vec_id", "vector", leaf_of("vector").alias("leaf"))
+    candidates = written(placed.withColumn("bucket", bucket_of[F.col("leaf")]), "leaves")
+    visited = every.where(is_query).select(F.col("vec_id").alias("query_id"), "vector", F.explode(visits("vector")).alias("v"))
+    queries = written(visited.select("query_id", "vector", "v.bucket", "v.leaves"), "visits")
     salt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
-    size = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias(name))
-    sizes = size(candidates, "blocks").join(size(queries, "query_blocks"), "leaf")
-    left = queries.join(sizes, "leaf").withColumn("i", salt("query_id", "query_blocks")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = candidates.join(sizes, "leaf").withColumn("j", salt("vec_id", "blocks")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
-
-    def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        ids, y = c["vec_id"].to_numpy(), stacked(c["vector"])
-        out = []
-        for query_id, v in zip(q["query_id"], stacked(q["vector"]), strict=True):
-            score = (y * v).sum(1)  # row by row in one order: equal vectors get equal scores
-            score[ids == query_id] = -np.inf
-            at = np.lexsort((ids, -score))[:k]
-            at = at[score[at] > -np.inf]
-            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at], "score": score[at]}))
-        return pd.concat(out)
-
-    keys = ["leaf", "i", "j"]
-    found = left.select(*keys, "query_id", "vector").groupBy(*keys).cogroup(right.select(*keys, "vec_id", "vector").groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
+    size = lambda df, name: df.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias(name))
+    sizes = size(candidates, "blocks").join(size(queries, "query_blocks"), "bucket")
+    left = queries.join(sizes, "bucket").withColumn("i", salt("query_id", "query_blocks")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = candidates.join(sizes, "bucket").withColumn("j", salt("vec_id", "blocks")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
+
+    def best(q: pa.Table, c: pa.Table) -> pa.Table:
+        return best_of(q, c, k, leaves)
+
+    keys, leaves = ["bucket", "i", "j"], tree.leaves
+    found = left.select(*keys, "query_id", "vector", "leaves").groupBy(*keys).cogroup(right.select(*keys, "vec_id", "vector", "leaf").groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
