@@ -79,23 +79,28 @@ def stepped(rate: Column, gradient: np.ndarray) -> Column:
 
 
 def fitted_rates(found: DataFrame, targets: dict[str, float], anchor: str | None = None, steps: int = 25, close: float = 1e-4) -> DataFrame:
-    """Adds ``rate`` to doc_id, tokens, p. Targets are shares of all tokens, or, with an anchor, of the total at which the anchor domain keeps its tokens."""
+    """Adds ``rate`` to doc_id, tokens, p. Targets are shares of all tokens. With an anchor they are shares of the
+    total at which the anchor domain keeps its tokens, and limits: a domain that has less isn't raised to it."""
     of = range(len(DOMAINS))
     weight = F.col("tokens").cast("double")
     first = found.agg(F.sum(weight).alias("all"), *(F.sum(weight * F.col("p")[k]).alias(f"a{k}") for k in of), *(F.sum(weight * F.col("p")[k] * F.col("p")[j]).alias(f"m{k}_{j}") for k in of for j in of)).first()
     total = first["all"] or 0.0
     if not total:
         return found.withColumn("rate", F.lit(1.0))
-    overlap = np.linalg.pinv(np.array([[first[f"m{k}_{j}"] for j in of] for k in of]) / total, rcond=1e-9)
+    overlap = np.array([[first[f"m{k}_{j}"] for j in of] for k in of]) / total
     shares = np.array([targets[d] for d in DOMAINS])
     at = np.array([first[f"a{k}"] for k in of])
     goal = shares / shares.sum() * (total if anchor is None else at[DOMAINS.index(anchor)] * shares.sum() / targets[anchor])
     goal = np.where(at > 0, goal, 0.0)  # a domain without any document can't be filled
     rate, base = F.lit(1.0), found
     for step in range(1, steps + 1):
-        if np.abs(at - goal).max() <= close * total:
+        # Within its limit a domain has no pull, or its few short documents would be repeated over and over.
+        bound = [k for k in of if anchor in (None, DOMAINS[k]) or at[k] > goal[k]]
+        if np.abs((at - goal)[bound]).max() <= close * total:
             break
-        rate = stepped(rate, overlap @ (at - goal) / total)
+        gradient = np.zeros(len(DOMAINS))
+        gradient[bound] = np.linalg.pinv(overlap[np.ix_(bound, bound)], rcond=1e-9) @ (at - goal)[bound] / total
+        rate = stepped(rate, gradient)
         if step % 6 == 0:  # keeps the expression short
             base = written(base.select("doc_id", "tokens", "p", rate.alias("rate")), "mixing-rates")
             rate = F.col("rate")

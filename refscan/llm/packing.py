@@ -37,7 +37,7 @@ class WordIds(dict):
     word-ending token, others with the end-of-text token between them."""
 
     SEPARATOR, SEPARATOR_ID, WORD_END = "<|endoftext|>", 49407, "</w>"
-    MOST = 800_000  # parts kept
+    MOST = 400_000  # parts kept
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

@@ -43,3 +43,15 @@ def test_odd_rows(spark):
     assert mixing.mixed(docs.limit(0), mixing.label_domains(labels)).count() == 0
     same = mixing.resampled(docs, mixing.label_domains(none), {"clean": 1, "low": 1, "toxic": 1})
     assert same.columns == docs.columns and same.count() == 6
+
+
+def test_anchored_targets_are_limits(spark):
+    """A domain with less than its target is not repeated up to it; one with more comes down; the anchor's total stays."""
+    rows = [(i, 100, [0.98, 0.01, 0.01]) for i in range(50)] + [(100 + i, 100, [0.02, 0.01, 0.97]) for i in range(10)] + [(200, 1, [0.05, 0.9, 0.05])]
+    found = spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")
+    rated = mixing.fitted_rates(found, {"clean": 0.9, "low": 0.08, "toxic": 0.02}, anchor="clean").collect()
+    t, p, rates = np.array([r.tokens for r in rated], float), np.array([r.p for r in rated]), np.array([r.rate for r in rated])
+    before, after = t @ p, (rates * t) @ p
+    goal = np.array([0.9, 0.08, 0.02]) * before[0] / 0.9
+    assert goal[1] > before[1] >= after[1] and goal[2] < before[2]
+    assert np.abs((after - goal)[[0, 2]]).max() < 0.01 * t.sum() and rates.max() < 1.2
