@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import id_and_text, slices, written
 
 #: Lists of up to this length give all their pairs.
 SHORT = 24
@@ -73,7 +73,7 @@ def sketched(docs: DataFrame, width: int, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, width, hashes) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s[:k].view(np.int64) for s in sets], pa.list_(pa.int64()))],
@@ -100,7 +100,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             bit = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((bits.value[bit >> 3] >> (bit & 7)) & 1 == 1))
             sets = [shingles(t, width, hashes).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import id_and_text, slices, written
 
 
 def tokenizer_path() -> str:
@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(texts), 200):

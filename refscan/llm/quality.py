@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_and_text
+from .common import crc_mod, id_and_text, slices
 
 #: Words of a passage.
 WORDS = 64
@@ -136,7 +136,7 @@ def training_bags(docs: DataFrame, labels: DataFrame, train_rows: int) -> list[t
     picked = F.broadcast(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))  # train_rows narrow rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 x, counts = encoded(batch.column(1).cast(pa.binary()).to_pylist())
                 bags = np.split(x, np.cumsum(counts)[:-1])
@@ -153,15 +153,17 @@ def scorer(docs: DataFrame, labels: DataFrame, train_rows: int) -> Callable[[Col
 
     @F.arrow_udf("double")
     def score(batch: pa.Array) -> pa.Array:
-        texts = batch.cast(pa.binary()).to_pylist()
-        at, scores = 0, []
-        while at < len(texts):  # a million bytes at a time
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) < 1_000_000):
-                size += len(texts[end])
-                end += 1
-            scores.append(model.score(texts[at:end]) if model else np.ones(end - at))
-            at = end
+        scores = []
+        for some in range(0, len(batch), 500):
+            texts = batch.slice(some, 500).cast(pa.binary()).to_pylist()
+            at = 0
+            while at < len(texts):  # a million bytes at a time
+                end, size = at, 0
+                while end < len(texts) and (end == at or size + len(texts[end]) < 1_000_000):
+                    size += len(texts[end])
+                    end += 1
+                scores.append(model.score(texts[at:end]) if model else np.ones(end - at))
+                at = end
         return pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64())
 
     return lambda text: score(F.coalesce(text, F.lit("")))
