@@ -68,15 +68,20 @@ def shingles(text: bytes, width: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
+def signed(x: np.ndarray) -> np.ndarray:
+    """Unsigned values as Spark's longs in the same order: with the top bit flipped."""
+    return (x ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def sketched(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """doc_id, n (set size), sig (digest of the set), sketch (its k smallest hashes)."""
+    """doc_id, n (set size), sig (digest of the set), sketch (its k smallest hashes, signed() for Spark to order them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
             sets = [shingles(t, width, hashes) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s[:k].view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([signed(s[:k]) for s in sets], pa.list_(pa.int64()))],
                 names=["doc_id", "n", "sig", "sketch"],
             )
 

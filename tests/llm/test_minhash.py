@@ -84,3 +84,15 @@ def test_blocks_agree_with_all_pairs():
     got = set(map(tuple, minhash.linked_blocks(frame[10:], frame, 60).to_numpy()))
     want = {(i, j) for i in range(10, 30) for j in range(30) if frame.component[i] != frame.component[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 60 * len(np.union1d(sets[i], sets[j]))}
     assert got == want
+
+
+@pytest.mark.parametrize("longer", [70, 80, 100, 150])
+def test_truncated_copies(spark, longer):
+    """Copies that lack the end, at similarities from just below 0.80 to 0.85: sketches of such sizes reach beyond 2^63."""
+    rng = np.random.default_rng(longer)
+    rows = []
+    for i in range(60):
+        words = [f"g{i}w{x}" for x in rng.integers(0, 10**9, longer + 4)]
+        cut = int(np.ceil((0.79 + 0.06 * rng.random()) * longer)) + 4
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:cut]))]
+    compared(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=5), rows, 5)
