@@ -1,0 +1,29 @@
+import corpus_pipeline
+
+
+def lines(name, n):
+    return [f"{name} line {i} with several words of its own {name}{i}" for i in range(n)]
+
+
+def test_repeated_passages_go_from_texts_that_they_dominate(spark):
+    p, q = lines("p", 30), lines("q", 30)
+    a, b, c = lines("a", 40), lines("b", 40), lines("c", 8)
+    texts = {1: a + p, 2: b + q, 3: p + c, 4: p[:20] + q[:20], 5: [*b, *q[:-1], "another end"], 6: [], 7: a + p}
+    rows = [(i, "\n".join(x), len("\n".join(x)), "x") for i, x in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, lang string")
+    out = corpus_pipeline.line_dedup_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    found = {r.doc_id: r for r in out.collect()}
+    assert found[1].text == rows[0][1] and found[2].text == rows[1][1]  # first occurrences stay
+    assert 5 not in found and 7 not in found and found[6].text == ""  # near and exact copies go whole; an empty text was not emptied
+    left = found[3].text.split("\n")
+    assert left[-8:] == c and len(left) < 8 + 10 and found[3].n_chars == len(found[3].text)
+    mixed = found[4].text.split("\n") if 4 in found else []
+    assert len(mixed) < 20
+
+
+def test_nothing_is_left(spark):
+    passage = [" ".join(f"{x}{i}" for i in range(60)) for x in "pq"]
+    texts = {1: ["a b c", passage[0], "d e " * 40], 2: ["f g", passage[1], "h i " * 40], 3: passage}
+    docs = spark.createDataFrame([(i, "\n".join(x), 1) for i, x in texts.items()], "doc_id long, text string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.line_dedup_stage(spark, docs, "").collect()) == [1, 2]
