@@ -2,8 +2,8 @@
 
 The tree is fitted on a bounded sample. Every vector goes to a leaf. A query walks the tree with a priority
 queue: the node with the largest inner product of query and centroid is opened next, until enough
-leaves are visited; how many that is, is widened on sampled queries until they find ``RECALL`` of their
-brute-force neighbours in the sample. The branches two levels down are buckets: a query goes once to each bucket
+leaves are visited; how many that is, is widened on sampled queries, on which the tree was not fitted, until they find
+``RECALL`` of their brute-force neighbours among the sampled vectors that it was not fitted on either. The branches two levels down are buckets: a query goes once to each bucket
 in which it visits leaves, and meets its vectors in blocks of bounded size; only a block's best go on.
 Nearness is the inner product in double precision on the original vectors.
 """
@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sampled, written
 
-#: Vectors that the tree is fitted on, at the most (in expectation); queries that calibrate the visits.
-SAMPLE, CALIBRATION = 16_000, 200
+#: Vectors that are sampled, at the most (in expectation), for the tree (every other one) and the calibration (the rest); its queries.
+SAMPLE, CALIBRATION = 32_000, 400
 BUCKET_DEPTH = 2
 BRANCH, LEAF = 8, 100  # children of a node; sampled vectors of a leaf, at the most (where they differ)
-RECALL = 0.98
+RECALL = 0.96
 BLOCK = 1024
 
 
@@ -97,14 +97,16 @@ class Tree:
 
 
 def calibrated(tree: Tree, x: np.ndarray, k: int, recall: float) -> int:
-    """Leaves to visit so that sampled queries find their share of neighbours."""
+    """Leaves to visit so that every so many of ``x``, as queries, find their share of the k nearest others in ``x``."""
     leaf = tree.leaf_of(x)
-    queries = x[:: max(1, len(x) // CALIBRATION)][:CALIBRATION]
-    near = np.argsort(-(queries @ x.T), axis=1, kind="stable")[:, : k + 1]
-    order = [tree.visits(q, tree.leaves) for q in queries]
+    at = np.arange(0, len(x), max(1, len(x) // CALIBRATION))[:CALIBRATION]
+    nearness = x[at] @ x.T
+    nearness[np.arange(len(at)), at] = -np.inf  # a query is not its own neighbour
+    near = np.argsort(-nearness, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    order = [tree.visits(q, tree.leaves) for q in x[at]]
     most = 1
     while most < tree.leaves:
-        found = np.mean([np.isin(leaf[n], o[:most]).mean() for n, o in zip(near, order, strict=True)])
+        found = np.mean([np.isin(leaf[n], o[:most]).mean() if len(n) else 1.0 for n, o in zip(near, order, strict=True)])
         if found >= recall:
             break
         most = min(tree.leaves, most + max(1, most // 10))
@@ -173,17 +175,19 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, recall: float
     Ties go to the smaller vec_id. Vectors that are null, zero, of an unusual length or that hold null or
     non-finite components take no part, neither do null ids; of rows with one id the smallest vector counts.
     Of equal vectors the k + 1 smallest ids are candidates: no other can be among k. An empty table gives an
-    empty result; other columns are ignored."""
+    empty result; other columns are ignored.
+
+    Leaves are as many as the sample allows, so they grow with the table: they are met in blocks of bounded size."""
     spark = vectors.sparkSession
     every = usable(vectors)
     n = every.count()
     share = min(1.0, SAMPLE / max(1, n))
-    sample = every.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < max(1, int(share * 1_000_000))).orderBy("vec_id").toPandas()
+    sample = every.where(sampled(share, "vec_id")).orderBy("vec_id").toPandas()
     if sample.empty:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = stacked(sample["vector"])
-    tree = Tree(x)
-    most = calibrated(tree, x, k, recall)
+    tree = Tree(x[::2]) if len(x) > 40 * k else Tree(x)
+    most = calibrated(tree, x[1::2] if len(x) > 40 * k else x, k, recall)
 
     @F.arrow_udf("int")
     def leaf_of(batch: pa.Array) -> pa.Array:

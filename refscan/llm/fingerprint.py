@@ -1,13 +1,14 @@
 """Document fingerprints: improbable-feature digests.
 
 Every byte window of a text has an entropy; its rarity rank is how few of the corpus's windows have an
-entropy like it (a histogram over aligned windows of all texts). Of each run of windows the rarest, the
-leftmost of equals, gains a point; windows with enough points are the text's selected features. Their
-hashes go, in order, into a chain of Bloom filters. Two digests are compared filter by filter: the
+entropy like it (a histogram over all windows of all texts). Of each run of windows the rarest, the
+leftmost of equals, gains a point; windows with enough points are the text's selected features. Runs reach over
+both ends of a text, so the rarest window of any text, however short, has all the points there are. The
+features' hashes go, in order, into a chain of Bloom filters. Two digests are compared filter by filter: the
 overlap in bits, normalised between what chance gives and the most that is possible, best match each,
 averaged by the number of features.
 
-A text under ``SHORT`` bytes has too few windows for that: all its 8-byte windows are features.
+A text that is shorter than a window is filled up to one with bytes that no text has.
 """
 
 from __future__ import annotations
@@ -15,16 +16,16 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, slices, texts_of
 
-WINDOW, POINTS = 32, 8  # bytes of a window and windows of a run; points that select
-SHORT, SHORT_WINDOW = 128, 8
+WINDOW, RUN, POINTS = 16, 16, 4  # bytes of a window; windows of a run; points that select
 BITS, HASHES, MOST = 2048, 5, 192  # of one filter: bits, bits set by a feature, features
 LEVELS = 64  # of entropy
 
@@ -39,15 +40,9 @@ def level(total: np.ndarray) -> np.ndarray:
     return (TOP - total) * LEVELS // (TOP + 1)
 
 
-def aligned_levels(data: np.ndarray) -> np.ndarray:
-    """Histogram of the levels of the aligned windows of ``data``."""
-    n = len(data) // WINDOW
-    out = np.zeros(LEVELS, np.int64)
-    for at in range(0, n, 4096):
-        rows = data[at * WINDOW : min(n, at + 4096) * WINDOW].reshape(-1, WINDOW)
-        counts = np.bincount((np.arange(len(rows))[:, None] * 256 + rows).ravel(), minlength=len(rows) * 256).reshape(-1, 256)
-        out += np.bincount(level(NLOGN[counts].sum(1)), minlength=LEVELS)
-    return out
+def filled(data: np.ndarray) -> np.ndarray:
+    """The bytes of a text that isn't empty, at least a window of them."""
+    return np.concatenate([data, np.full(WINDOW - len(data), 255, np.uint8)]) if 0 < len(data) < WINDOW else data
 
 
 def window_levels(data: np.ndarray) -> np.ndarray:
@@ -69,19 +64,17 @@ def window_levels(data: np.ndarray) -> np.ndarray:
 
 
 def selected(ranks: np.ndarray) -> np.ndarray:
-    """Starts of the windows with POINTS points: each run of WINDOW windows gives one to its rarest."""
-    n = len(ranks)
-    if not n:
+    """Starts of the windows with POINTS points: each run of RUN windows, and each part of one at an end, gives one to its rarest."""
+    if not len(ranks):
         return np.empty(0, np.int64)
-    run = min(WINDOW, n)
-    least = ranks * (1 << 40) + np.arange(n)
+    beyond = np.full(RUN - 1, 1 << 62)
+    least = np.concatenate([beyond, ranks * (1 << 40) + np.arange(len(ranks)), beyond])
     width = 1
-    while width < run:  # minimum of each run, by doubling
-        step = min(width, run - width)
+    while width < RUN:  # minimum of each run, by doubling
+        step = min(width, RUN - width)
         least = np.minimum(least[: len(least) - step], least[step:])
         width += step
-    points = np.bincount(least & ((1 << 40) - 1), minlength=n)
-    return np.flatnonzero(points >= min(POINTS, n - run + 1))
+    return np.flatnonzero(np.bincount(least & ((1 << 40) - 1), minlength=len(ranks)) >= POINTS)
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -95,16 +88,10 @@ def hashes(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
 
 
 def digest(data: np.ndarray, rank: np.ndarray, levels: np.ndarray | None = None) -> list[tuple[int, np.ndarray]]:
-    """The chain of (features, filter as bytes) of a text's bytes."""
-    if len(data) < SHORT:
-        if not len(data):
-            return []
-        width = SHORT_WINDOW
-        data = np.concatenate([data, np.zeros(max(0, width - len(data)), np.uint8)])
-        starts = np.arange(len(data) - width + 1)
-    else:
-        width, starts = WINDOW, selected(rank[window_levels(data) if levels is None else levels])
-    found = hashes(data, starts, width)
+    """The chain of (features, filter as bytes) of a text's bytes; empty for an empty text alone."""
+    data = filled(data)
+    starts = selected(rank[window_levels(data) if levels is None else levels])
+    found = hashes(data, starts, WINDOW)
     _, first = np.unique(found, return_index=True)
     found = found[np.sort(first)]
     chain = []
@@ -140,13 +127,14 @@ def spelled(chain: list[tuple[int, np.ndarray]]) -> str:
 
 
 def rarity(docs: DataFrame) -> list[int]:
-    """Rank of each entropy level, 0 the rarest, from all aligned windows of all texts."""
+    """Rank of each entropy level, 0 the rarest, from all windows of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(LEVELS, np.int64)
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                counts += aligned_levels(np.frombuffer(text, np.uint8))
+            for texts in texts_of(batch.column(0)):
+                for text in texts:
+                    counts += np.bincount(window_levels(filled(np.frombuffer(text, np.uint8))), minlength=LEVELS)
         yield pa.RecordBatch.from_arrays([pa.array(range(LEVELS), pa.int32()), pa.array(counts)], names=["level", "n"])
 
     found = {r["level"]: r["n"] for r in id_and_text(docs).select("text").mapInArrow(run, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()}
@@ -168,60 +156,90 @@ class Digests:
         self.rank = np.array(rank)
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray, list]:
-        data = np.frombuffer(text.encode(), np.uint8)
+        data = filled(np.frombuffer(text.encode(), np.uint8))
         levels = window_levels(data)
         return data, levels, digest(data, self.rank, levels)
 
-    def of_edited(self, text: str, kept: int, mine: np.ndarray, own: np.ndarray, other: np.ndarray) -> list:
+    def of_edited(self, text: str, kept: int, mine: np.ndarray, other: np.ndarray) -> list:
         data = np.frombuffer(text.encode(), np.uint8)
         cut = len(text[:kept].encode())
-        if len(data) < SHORT:
+        if cut < WINDOW or len(data) - cut < WINDOW:  # too short for windows of its own on either side
             return digest(data, self.rank)
-        mid_from, mid_to = max(0, cut - WINDOW + 1), min(len(data) - WINDOW + 1, cut)
-        seam = window_levels(data[mid_from : mid_to + WINDOW - 1]) if mid_to > mid_from else np.empty(0, np.int64)
-        levels = np.concatenate([mine[:mid_from], seam, other[: max(0, len(data) - cut - WINDOW + 1)]])
-        return digest(data, self.rank, levels)
+        mid_from, mid_to = cut - WINDOW + 1, cut
+        seam = window_levels(data[mid_from : mid_to + WINDOW - 1])
+        return digest(data, self.rank, np.concatenate([mine[:mid_from], seam, other[: len(data) - cut - WINDOW + 1]]))
+
+
+@dataclass
+class Ranges:
+    """Ranges of (order, hash): cuts of ``order``; the hash splits what is equal, where cuts are equal too."""
+
+    cuts: np.ndarray
+    heads: dict[int, tuple[int, int]] | None = None  # the first (order, hash) of each range that has rows
+
+    def of(self, order: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.cuts, order, "left"), np.searchsorted(self.cuts, order, "right")
+        share = (hashed ^ np.int64(-1 << 63)).view(np.uint64) / 2.0**64  # grows with the hash
+        return np.minimum(hi, lo + (share * (hi - lo + 1)).astype(np.int64))
+
+    def also(self, order: np.ndarray, hashed: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+        """The range before, for the first rows of each range; -1 for others."""
+        used = np.array(sorted(self.heads))
+        first = np.array([self.heads[r] for r in used.tolist()])
+        at = np.searchsorted(used, ranges)
+        is_first = (first[at, 0] == order) & (first[at, 1] == hashed)
+        return np.where(is_first, used[at - 1], -1)  # before the first comes the last
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; one row for each row of ``docs``.
 
-    The following document is the next one in descending doc_id (nulls last, ties by text), after the
+    The following document is the next one in descending doc_id (nulls last, ties by a hash of the text), after the
     last the first; a single document follows itself. Null texts are empty; an empty text has an empty
-    fingerprint, which is like an empty one alone. An empty table gives an empty result; other columns are
-    ignored.
+    fingerprint, which is like an empty one alone, and any other has one feature at least. Very long texts are taken
+    whole, one at a time. An empty table gives an empty result; other columns are ignored.
 
-    The rows are dealt by ranges of doc_id. The first row of each range is also dealt to the range before
-    it, so each range has all neighbours it needs and no task sees more than its range."""
+    The rows are dealt by ranges of doc_id, and of hashes where many rows have one id. The first row of each range is
+    also dealt to the range before it, so each range has all neighbours it needs and no task sees more than its range."""
     spark = docs.sparkSession
-    narrow = id_and_text(docs).withColumn("order", F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1)))
+    narrow = id_and_text(docs).withColumn("order", F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1))).withColumn("hash", F.xxhash64("text"))
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted({int(x) for x in narrow.where("doc_id IS NOT NULL").stat.approxQuantile("order", [i / parts for i in range(1, parts)], 0.2 / parts)})
-    bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<long>")
-    ranged = narrow.withColumn("range", F.size(F.filter(bounds, lambda c: c < F.col("order"))))
-    heads = sorted((r["range"], r["head"]) for r in ranged.groupBy("range").agg(F.min("order").alias("head")).collect())  # one for each range
+    cuts = narrow.stat.approxQuantile("order", [i / parts for i in range(1, parts)], 0.2 / parts)
+    ranges = Ranges(np.array(sorted(min(int(x), (1 << 63) - 1) for x in cuts), np.int64))
+
+    @F.arrow_udf("int")
+    def range_of(order: pa.Array, hashed: pa.Array) -> pa.Array:
+        return pa.array(ranges.of(order.to_numpy(zero_copy_only=False), hashed.to_numpy(zero_copy_only=False)), pa.int32())
+
+    @F.arrow_udf("array<struct<range:int,tail:int>>")
+    def dealt_to(order: pa.Array, hashed: pa.Array) -> pa.Array:
+        a, b = order.to_numpy(zero_copy_only=False), hashed.to_numpy(zero_copy_only=False)
+        own = ranges.of(a, b)
+        also = ranges.also(a, b, own)
+        rows = [[{"range": x, "tail": 0}] if y < 0 else [{"range": x, "tail": 0}, {"range": y, "tail": 1}] for x, y in zip(own.tolist(), also.tolist(), strict=True)]
+        return pa.array(rows, pa.list_(pa.struct([("range", pa.int32()), ("tail", pa.int32())])))
+
+    placed = narrow.select("order", "hash", range_of("order", "hash").alias("range"))
+    heads = placed.groupBy("range").agg(F.min(F.struct("order", "hash")).alias("head")).collect()  # one for each range
     if not heads:
         return spark.createDataFrame([], SCHEMA)
-    before = F.create_map(*(F.lit(x).cast("long") for i, (_, head) in enumerate(heads) for x in (head, heads[i - 1][0])))
-    own = F.struct(F.col("range").cast("long").alias("range"), F.lit(0).alias("tail"))
-    also = F.struct(before[F.col("order")].alias("range"), F.lit(1).alias("tail"))
-    dealt = ranged.withColumn("to", F.explode(F.when(before[F.col("order")].isNull(), F.array(own)).otherwise(F.array(own, also))))
-    rows = dealt.select("doc_id", "text", "order", F.col("to.range").alias("range"), F.col("to.tail").alias("tail"))
-    placed = rows.repartitionByRange(parts, "range").sortWithinPartitions("range", "tail", "order", "text")
+    ranges.heads = {r["range"]: (r["head"]["order"], r["head"]["hash"]) for r in heads}
+    rows = narrow.withColumn("to", F.explode(dealt_to("order", "hash"))).select("doc_id", "text", "order", "hash", "to.range", "to.tail")
+    placed = rows.repartitionByRange(parts, "range").sortWithinPartitions("range", "tail", "order", "hash", "text")
     rank = rarity(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = Digests(rank)
-        last = None  # (doc_id, text, data, levels, chain, range) that waits for its follower
+        last = None  # (doc_id, text, data, levels, chain) that waits for its follower
         out: list[tuple] = []
-        for batch in batches:
-            for doc_id, text, part, tail in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for batch in slices(batches):
+            for doc_id, text, tail in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if last is None and tail:
                     continue  # further ties of the range's tail
                 data, levels, chain = digests.of(text)
                 if last is not None:
                     new, kept, _ = edited(last[1], text)
-                    own = digests.of_edited(new, kept, last[3], last[2], levels)
+                    own = digests.of_edited(new, kept, last[3], levels)
                     out.append((last[0], len(last[1]), hashlib.sha256(new.encode()).hexdigest(), spelled(last[4]), spelled(own), likeness(last[4], own), likeness(last[4], chain)))
                 last = None if tail else (doc_id, text, data, levels, chain)
                 if len(out) >= 500:
@@ -230,7 +248,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         if out:
             yield made(out)
 
-    return placed.select("doc_id", "text", "range", "tail").mapInArrow(run, SCHEMA)
+    return placed.select("doc_id", "text", "tail").mapInArrow(run, SCHEMA)
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -1,9 +1,11 @@
 """License scans with a positional index of rare words.
 
-The templates' words are indexed by template and position. Each template's rarest words, by their
-document frequency in the corpus, are looked up in a file; each hit is a vote for a template at a relative
-position. Where enough votes agree (within a tolerance for edits), the template is a candidate, its words
-around that place are compared, and its mandatory key phrase must stand in the file. Three plain
+The templates' words are indexed by template and position. A file's licence words are ranked by inverse document
+frequency in the corpus and looked up, rarest first. A template is found where SHARE of its words stand, so
+one word at least of its rarest words that together are more than the rest is in the file: only
+those have postings, and the lookup rejects nothing that the comparison would accept. Each hit puts a template at a relative
+position. Places (within a tolerance for edits) are compared in the order of the words that agree on
+them: SHARE of all the template's words must be there and its mandatory key phrase among them. Three plain
 phrases (the base) are labels of their own.
 """
 
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, slices, texts_of
 
 # The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -41,8 +43,8 @@ TEMPLATES = {
     "reserved": ("Copyright. All rights reserved. No part may be reproduced without permission.", "all rights reserved"),
 }
 
-#: Of each template: words looked up, at most; share of its words that must match; drift of relative positions for an edit.
-RARE, SHARE, DRIFT = 8, 0.7, 2
+#: Of each template: share of its words that must match; drift of relative positions for an edit.
+SHARE, DRIFT = 0.7, 2
 
 KEEP = bytes(c if chr(c).isdigit() and c < 128 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)).lower()
 
@@ -77,27 +79,33 @@ def frequencies(docs: DataFrame) -> dict[str, int]:
         counts: Counter[bytes] = Counter()
         vocab = set(known)
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                counts.update(vocab.intersection(words_of(text)))
+            for texts in texts_of(batch.column(0)):
+                for text in texts:
+                    counts.update(vocab.intersection(words_of(text)))
         yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     return {r["word"]: r["n"] for r in id_and_text(docs).select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
 class Index:
-    """Postings of the templates' rarest words, and the scan of one file."""
+    """Postings of the templates' words, by inverse document frequency, and the scan of one file."""
 
     def __init__(self, frequency: dict[str, int]):
         self.words = {k: words_of(text.encode()) for k, (text, _) in TEMPLATES.items()}
         self.keys = {k: tuple(words_of(key.encode())) for k, (_, key) in TEMPLATES.items()}
+        self.counts = {k: Counter(words) for k, words in self.words.items()}
         self.postings: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
-        self.looked_up = {}
         for name, words in self.words.items():
-            rare = sorted(set(words), key=lambda w: (frequency.get(w.decode(), 0), w))[:RARE]
-            self.looked_up[name] = len(rare)
+            rare, covered = set(), 0
+            for word in sorted(self.counts[name], key=lambda w: (frequency.get(w.decode(), 0), w)):
+                if covered > len(words) - SHARE * len(words):
+                    break
+                rare.add(word)
+                covered += self.counts[name][word]
             for at, word in enumerate(words):
                 if word in rare:
                     self.postings[word].append((name, at))
+        self.rank = {w: i for i, w in enumerate(sorted(self.postings, key=lambda w: (frequency.get(w.decode(), 0), w)))}
         self.base = {tuple(p.encode().split()): label for p, label in BASE.items()}
 
     def scan(self, words: list[bytes]) -> tuple[int, int | None, int | None, set[str], set[str], float]:
@@ -114,47 +122,52 @@ class Index:
         return len(starts), min(starts, default=None), max(starts, default=None), base, base | labels, score
 
     def templates(self, words: list[bytes], there: set[bytes]) -> tuple[set[str], float]:
-        rare = there.intersection(self.postings)
-        votes: Counter[str] = Counter(name for w in rare for name in {n for n, _ in self.postings[w]})
-        wanted = {n for n, v in votes.items() if v >= max(2, SHARE * self.looked_up[n]) and there.issuperset(self.keys[n])}
+        rare = sorted(there.intersection(self.postings), key=self.rank.__getitem__)
+        wanted = {n for w in rare for n, _ in self.postings[w] if there.issuperset(self.keys[n])}
         labels, best = set(), 0.0
         if not wanted:
             return labels, best
-        places: dict[str, set[tuple[int, bytes]]] = defaultdict(set)
+        at_word: dict[bytes, list[int]] = {w: [] for w in rare}
         for i, word in enumerate(words):
-            if word in rare:
-                for name, at in self.postings[word]:
-                    if name in wanted:
-                        places[name].add((i - at, word))
-        for name, found in places.items():
-            template = self.words[name]
-            near: dict[int, set[bytes]] = defaultdict(set)
-            for at, word in found:
-                for drift in range(-DRIFT, DRIFT + 1):
-                    near[at + drift].add(word)
-            for at, agreeing in near.items():
-                if len(agreeing) < max(2, SHARE * self.looked_up[name]):
-                    continue
-                lo = max(0, at - DRIFT)
-                window = words[lo : at + len(template) + DRIFT]
-                share = sum((Counter(window) & Counter(template)).values()) / len(template)
-                if share >= SHARE and phrase_starts(window, self.keys[name]):
-                    labels.add(name)
-                    best = max(best, min(1.0, share))
+            if word in at_word:
+                at_word[word].append(i)
+        places: dict[str, dict[int, set[bytes]]] = {n: defaultdict(set) for n in wanted}
+        for word in rare:
+            for name, at in self.postings[word]:
+                if name in wanted:
+                    for i in at_word[word]:
+                        for drift in range(-DRIFT, DRIFT + 1):
+                            places[name][i - at + drift].add(word)
+        for name, agreed in places.items():
+            top = 0.0
+            for at in sorted(agreed, key=lambda at: (-len(agreed[at]), at)):
+                top = max(top, self.compared(name, words, at))
+                if top == 1:
+                    break
+            if top >= SHARE:
+                labels.add(name)
+                best = max(best, top)
         return labels, best
 
+    def compared(self, name: str, words: list[bytes], at: int) -> float:
+        """The share of a template's words in the window where it would start at ``at``; 0 without its key phrase."""
+        template = self.words[name]
+        window = words[max(0, at - DRIFT) : max(0, at + len(template) + DRIFT)]
+        share = min(1.0, sum((Counter(window) & self.counts[name]).values()) / len(template))
+        return share if share >= SHARE and phrase_starts(window, self.keys[name]) else 0.0
+
 
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; one row for each row of ``docs``.
 
     score is the largest share of a found template's words (1 for a base phrase), 0 if nothing is found. Null
-    and empty texts have no words, no labels ('') and null places; null or repeated ids are scanned like
-    others; an empty table gives an empty result; other columns are ignored."""
+    and empty texts have no words, no labels ('') and null places; very long ones are scanned whole; null or repeated ids
+    are scanned like others; an empty table gives an empty result; other columns are ignored."""
     frequency = frequencies(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(frequency)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[list] = [[] for _ in range(7)]
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words = words_of(text)

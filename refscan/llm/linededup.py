@@ -1,11 +1,16 @@
 """Line dedup with content-defined chunks of lines.
 
-Each line has a hash; a rolling hash over each line and the one before gives every line a value that
-depends on those two lines alone. A chunk ends where that value is a local minimum, so an inserted or
-dropped line moves only the boundaries next to it, and every such chunk has two lines at the least. A line
-of ``long_words`` words or more is a chunk by itself: it carries as much text as several lines do. Chunks
-that occur again anywhere in the corpus are found by a 64-bit hash, compared byte by byte (the text itself
-is the grouping and join key), and removed but for the first occurrence, by doc_id and then position.
+Each line that isn't blank has a hash, and a rolling hash over each such line and the next gives every window of
+two lines a value that depends on those lines alone. Chunk boundaries are where that value stops to recur in
+the corpus: a chunk is a longest run of lines whose windows all occur again. So an inserted or
+dropped line moves only the boundaries next to it, a shifted passage is found whole wherever it stands, and every
+chunk has two lines at the least. A line of ``long_words`` words or more is a passage by itself, however it was
+wrapped: it is a window of its own. Windows are compared byte by byte with the first occurrence, by doc_id and
+then position, and all but that one are removed. What is removed thus stays somewhere: each removed line also stands
+in an earlier window.
+
+A window may occur in a third of all documents. Occurrences are therefore dealt to parts by a hash of their
+document: minima and comparisons are made within parts and then between the parts' results.
 
 Only DataFrame functions are used.
 """
@@ -15,106 +20,104 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
-MULTIPLIER, MODULUS = 1_000_003, 2_147_483_647
-
-
-def line_ends(lines: Column, long_words: int) -> Column:
-    """Array of booleans: whether a chunk ends with that line."""
-    hashes = F.transform(lines, lambda line: F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long"))
-    before = F.concat(F.array(F.lit(0).cast("long")), hashes)
-    rolled = F.transform(F.arrays_zip(hashes.alias("h"), before.alias("b")), lambda x: F.when(x["h"].isNotNull(), (x["b"] * MULTIPLIER + x["h"]) % MODULUS))  # one null at the end
-    long = F.transform(lines, lambda line: F.size(F.split(line, " ")) >= long_words)
-    none, no = F.array(F.lit(None).cast("long")), F.array(F.lit(False))
-    size = F.size(lines)
-    around = F.arrays_zip(F.slice(rolled, F.lit(1), size).alias("r"), F.concat(none, F.slice(rolled, F.lit(1), size - 1)).alias("p"), F.concat(F.slice(rolled, F.lit(2), size - 1), none).alias("f"), long.alias("l"), F.concat(F.slice(long, F.lit(2), size - 1), no).alias("g"))
-    return F.transform(around, lambda x: x["l"] | x["g"] | x["f"].isNull() | F.coalesce((x["r"] < x["p"]) & (x["r"] < x["f"]), F.lit(False)))
-
-
-def chunked(docs: DataFrame, long_words: int) -> DataFrame:
-    """KEY, first, last (line numbers from 1) and text of each chunk of keyed ``docs``."""
-    lines = docs.select(*KEY, F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
-    ends = lines.select(*KEY, "lines", F.transform(F.filter(F.transform(line_ends(F.col("lines"), long_words), lambda e, i: F.struct(e.alias("e"), (i + 1).alias("i"))), lambda x: x["e"]), lambda x: x["i"]).alias("ends"))
-    spans = F.transform(F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice("ends", F.lit(1), F.size("ends") - 1)).alias("s"), F.col("ends").alias("e")), lambda x: F.struct((x["s"] + 1).alias("first"), x["e"].alias("last")))
-    each = ends.select(*KEY, "lines", F.explode(spans).alias("x"))
-    return each.select(*KEY, F.col("x.first").alias("first"), F.col("x.last").alias("last"), F.array_join(F.slice("lines", F.col("x.first"), F.col("x.last") - F.col("x.first") + 1), "\n").alias("chunk"))
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with what identifies a text: its id (and whether it has one) and a digest."""
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull(), "_digest": F.xxhash64(F.coalesce("text", F.lit("")))})
-
-
-KEY = ["_id", "_none", "_digest"]
-
-
-def repeats(docs: DataFrame, long_words: int, min_chars: int) -> DataFrame:
-    """KEY, ranges: for each text with repeated chunks, the line ranges to remove. ``docs``: keyed.
-
-    Chunks are compared by hash without their text first. Only texts with a hash that occurs again are then
-    joined with those chunks' places, to compare the chunks themselves."""
-    eligible = ((F.col("last") > F.col("first")) | (F.size(F.split("chunk", " ")) >= long_words)) & (F.length("chunk") >= min_chars)
-    chunks = written(chunked(docs, long_words).where(eligible).select(*KEY, "first", "last", F.xxhash64("chunk").alias("hash")), "chunks")
-    again = chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    places = written(chunks.join(again, "hash").groupBy(*KEY).agg(F.collect_set(F.struct("first", "last", "hash")).alias("places")), "places")  # of one text: no more than it has chunks
-    lines = docs.join(places, KEY).select(*KEY, F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), "places").select(*KEY, "lines", F.explode("places").alias("x"))
-    found = lines.select(*KEY, "x.first", "x.last", "x.hash", F.array_join(F.slice("lines", F.col("x.first"), F.col("x.last") - F.col("x.first") + 1), "\n").alias("chunk")).dropDuplicates([*KEY, "first"])
-    found = written(found, "repeated")
-    place = F.struct((~F.col("_none")).alias("some"), "_id", "_digest", "first")  # null ids first
-    stays = found.groupBy("hash", "chunk").agg(F.min(place).alias("stays"))
-    gone = found.join(stays, ["hash", "chunk"]).where(place != F.col("stays"))
-    return gone.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("_gone"))
-
-
-def line_dedup(docs: DataFrame, long_words: int = 50, min_chars: int = 80, copy_share: float | None = None) -> DataFrame:
-    """All columns and rows of ``docs``, with text without repeated chunks, and n_lines, removed_lines, emptied.
-
-    A text of which removal would take more than ``copy_share`` (None: no such limit) is a copy as a whole:
-    it stays as it is, for near-duplicate removal to judge. Null texts stay null (no line); empty ones have
-    one empty line; chunks under ``min_chars`` stay; nulls in doc_id come first in the order of occurrences;
-    rows with the same doc_id and text are one document and all stay or lose the same lines. An empty table
-    gives an empty result. Columns of ``docs`` named n_lines, removed_lines or emptied are replaced."""
-    own = keyed(docs)
-    gone = repeats(own.select("text", *KEY), long_words, min_chars)
-    joined = own.join(gone, KEY, "left").withColumn("_lines", F.split("text", "\n"))
-    rest = F.when(F.col("_gone").isNotNull(), F.filter("_lines", lambda _, i: ~F.exists("_gone", lambda x: (i + 1 >= x["first"]) & (i + 1 <= x["last"]))))
-    cut = joined.withColumn("_rest", rest).withColumn("_text", F.array_join("_rest", "\n"))
-    if copy_share is not None:
-        cut = cut.withColumn("_rest", F.when(F.length("_text") >= (1 - copy_share) * F.length("text"), F.col("_rest")))
-    changed = F.col("_rest").isNotNull()
-    lines, kept = F.coalesce(F.size("_lines").cast("long"), F.lit(0)), F.size("_rest").cast("long")
-    out = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long"), "removed_lines": F.when(changed, lines - kept).otherwise(0).cast("long"), "emptied": changed & (kept == 0)}
-    return cut.withColumns(out).withColumn("text", F.when(changed, F.col("_text")).otherwise(F.col("text"))).drop(*KEY, "_gone", "_lines", "_rest", "_text")
+from .common import fresh, salts, temporary, written
+
+KEY = ["id", "none", "digest"]
+#: Words that make a single line a passage.
+LONG_WORDS = 50
+
+
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
+
+
+def windows(lines: Column, long_words: int) -> Column:
+    """Array of (first, last, hash): each two lines that follow each other but for blank ones, and each long line."""
+    each = F.transform(lines, lambda x, i: F.struct((i + 1).alias("i"), F.xxhash64(x).alias("h"), x.rlike(r"\S").alias("some"), (F.size(F.split(x, " ")) >= long_words).alias("long")))
+    some = F.filter(each, lambda x: x["some"])
+    window = lambda a, b, h: F.struct(a["i"].alias("first"), b["i"].alias("last"), h.alias("hash"))
+
+    def of(found: Column) -> Column:
+        pairs = F.zip_with(F.slice(found, F.lit(1), F.size(found) - 1), F.slice(found, F.lit(2), F.size(found) - 1), lambda a, b: window(a, b, F.xxhash64(a["h"], b["h"])))
+        single = F.transform(F.filter(found, lambda x: x["long"]), lambda x: window(x, x, F.xxhash64(x["h"])))
+        return F.when(F.size(found) > 1, F.concat(pairs, single)).otherwise(single)
+
+    return F.transform(F.array(some), of)[0]
+
+
+def window_text(lines: Column, first: Column, last: Column) -> Column:
+    return F.array_join(F.filter(F.slice(lines, first, last - first + 1), lambda x: x.rlike(r"\S")), "\n")
+
+
+def repeats(docs: DataFrame, long_words: int) -> DataFrame:
+    """KEY, gone: for each text with repeated windows, the numbers (from 1) of the lines to remove. ``docs``: KEY, text.
+
+    Windows are found by hash, without their text; then those of one hash and its first occurrence are compared."""
+    spark = docs.sparkSession
+    place = F.struct((~F.col("none")).alias("some"), "id", "digest", "first")  # null ids first
+    part = F.pmod(F.xxhash64("id", "digest"), F.lit(salts(spark))).alias("part")
+    with temporary(spark):
+        every = written(docs.select(*KEY, F.explode(windows(lines_of(F.col("text")), long_words)).alias("x")).select(*KEY, "x.*", part), "windows")
+        parts = every.groupBy("hash", "part").agg(F.count("*").alias("n"), F.min(place).alias("stays"))
+        firsts = parts.groupBy("hash").agg(F.sum("n").alias("n"), F.min("stays").alias("stays")).where("n > 1")
+        known = written(parts.select("hash", "part").join(firsts.drop("n"), "hash"), "first-windows")  # as many rows for a hash as it has parts
+        marked = every.join(known, ["hash", "part"]).select(*KEY, "first", "last", "hash", "part", (place == F.col("stays")).alias("stays"))
+        # of one text: no more than it has windows
+        places = written(marked.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last", "hash", "part", "stays")).alias("places")), "places")
+        lines = docs.join(places, KEY).select(*KEY, lines_of(F.col("text")).alias("lines"), "places").select(*KEY, "lines", F.explode("places").alias("x"))
+        found = written(lines.select(*KEY, "x.*", window_text(F.col("lines"), F.col("x.first"), F.col("x.last")).alias("window")), "repeated")
+        first_text = found.where("stays").select("hash", F.col("window").alias("first_window")).dropDuplicates(["hash"]).join(known.select("hash", "part"), "hash")
+        same = found.where("NOT stays").join(first_text, ["hash", "part"]).where(F.col("window") == F.col("first_window"))
+        gone = same.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+        numbers = F.array_distinct(F.flatten(F.transform("ranges", lambda x: F.sequence(x["first"], x["last"]))))
+        return written(gone.select(*KEY, numbers.alias("gone")), "gone-lines", outside=True)
+
+
+def line_dedup(docs: DataFrame, long_words: int = LONG_WORDS, report: str = "line_dedup") -> DataFrame:
+    """All columns and rows of ``docs``, with text without repeated chunks, and a struct column ``report``: n_lines, removed_lines, emptied.
+
+    A chunk is a run of lines that aren't blank, with two or more lines, or one of ``long_words`` words, whose windows
+    all occur earlier; blank lines between its lines go with it. Shorter repeats (single short lines) stay. Null
+    texts stay null (no line); empty ones have one empty line; ``emptied`` texts have nothing but blank lines
+    left; nulls in doc_id come first in the order of occurrences; rows with the same doc_id and text are one document and
+    all stay or lose the same lines. Very long texts are taken whole. An empty table gives an empty result. Other
+    columns stay, whatever their names; if one is named like ``report``, it is an error: choose another name."""
+    if report.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {report} already: give report another name")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text")
+    key = [F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), F.xxhash64(F.coalesce(text, F.lit("")))]
+    gone = repeats(docs.select(*(c.alias(n) for c, n in zip(key, KEY, strict=True)), "text"), long_words)
+    *own, numbers, lines, rest = fresh(docs, *KEY, "gone", "lines", "rest")
+    named = gone.select(*(F.col(a).alias(b) for a, b in zip([*KEY, "gone"], [*own, numbers], strict=True)))
+    joined = docs.withColumns(dict(zip(own, key, strict=True))).join(named, own, "left").withColumn(lines, F.split("text", "\n"))
+    left = F.array_except(F.sequence(F.lit(1), F.size(lines)), numbers)  # line numbers differ, so none is lost
+    cut = joined.withColumn(rest, F.when(F.col(numbers).isNotNull(), F.transform(left, lambda i: F.element_at(lines, i))))
+    changed, n, kept = F.col(rest).isNotNull(), F.size(lines).cast("long"), F.size(rest).cast("long")
+    said = F.struct(F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(changed, n - kept).otherwise(0).cast("long").alias("removed_lines"), (changed & ~F.coalesce(F.exists(rest, lambda x: x.rlike(r"\S")), F.lit(False))).alias("emptied"))
+    return cut.withColumn(report, said).withColumn("text", F.when(changed, F.array_join(rest, "\n")).otherwise(F.col("text"))).drop(*own, numbers, lines, rest)
 
 
 def query(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, removed_lines, emptied, text_md5 of what is left."""
-    return line_dedup(docs.select("doc_id", "text")).select("doc_id", "n_lines", "removed_lines", "emptied", F.md5("text").alias("text_md5"))
+    return line_dedup(docs.select("doc_id", "text")).select("doc_id", "line_dedup.n_lines", "line_dedup.removed_lines", "line_dedup.emptied", F.md5("text").alias("text_md5"))
 
 
-#: The same in DuckDB, with rows and windows in place of arrays.
-ORACLE = f"""
+#: The same in DuckDB, by the lines themselves instead of their hashes.
+ORACLE = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
-), hashed AS (
-  SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h, len(string_split(line, ' ')) >= 50 AS long FROM lines
-), rolled AS (
-  SELECT *, (coalesce(lag(h) OVER w, 0) * {MULTIPLIER} + h) % {MODULUS} AS r FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
-), ends AS (
-  SELECT *, long OR coalesce(lead(long) OVER w, true) OR coalesce(r < lag(r) OVER w AND r < lead(r) OVER w, false) AS e FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY i)
-), numbered AS (
-  SELECT *, coalesce(sum(CAST(e AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ends
+), following AS (
+  SELECT doc_id, i AS first, line, lead(i) OVER w AS last, lead(line) OVER w AS next FROM lines WHERE regexp_matches(line, '\\S') WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), chunks AS (
-  SELECT doc_id, c, min(i) AS first, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, c
-), eligible AS (
-  SELECT * FROM chunks WHERE (n > 1 OR len(string_split(chunk, ' ')) >= 50) AND length(chunk) >= 80
+  SELECT doc_id, first, last, line || chr(10) || next AS chunk FROM following WHERE last IS NOT NULL
+  UNION ALL SELECT doc_id, first, first, line FROM following WHERE len(string_split(line, ' ')) >= 50
 ), gone AS (
-  SELECT doc_id, c FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first) AS nth FROM eligible) WHERE nth > 1
+  SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first) AS nth FROM chunks) WHERE nth > 1
 ), kept AS (
-  SELECT n.doc_id, count(*) AS n_lines, count(g.doc_id) AS removed, coalesce(string_agg(n.line, chr(10) ORDER BY n.i) FILTER (g.doc_id IS NULL), '') AS rest
-  FROM numbered n LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.c = g.c GROUP BY n.doc_id
+  SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS rest,
+    count(g.i) > 0 AND coalesce(bool_and(NOT regexp_matches(l.line, '\\S')) FILTER (g.i IS NULL), true) AS emptied
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
 )
-SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE n_lines END AS BIGINT) AS n_lines, CAST(removed AS BIGINT) AS removed_lines, removed = n_lines AS emptied, CASE WHEN d.text IS NULL THEN NULL ELSE md5(rest) END AS text_md5
+SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE n_lines END AS BIGINT) AS n_lines, CAST(removed AS BIGINT) AS removed_lines, emptied, CASE WHEN d.text IS NULL THEN NULL ELSE md5(rest) END AS text_md5
 FROM documents d JOIN kept k ON d.doc_id = k.doc_id
 """

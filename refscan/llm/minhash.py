@@ -11,15 +11,18 @@
 5. Members of long lists that are still outside their hub's component are compared with the whole
    list, in blocks of bounded size and on full sets, so no link is lost and no list is expanded to pairs.
 
-For sets of up to 0.8 k shingles all of it is exact. For larger ones ``needed`` is 4.5 standard
-deviations below the mean of the shared part of the union's sketch at the threshold itself, so
-about one in 100,000 pairs that lie exactly on the threshold may be missed, and none much above it.
+For sets of up to 0.8 k shingles all of it is exact (so a ``k`` of 1.25 times the largest set makes it exact for
+all). For larger ones ``needed`` is six standard deviations below the mean of the shared part of the
+union's sketch at the threshold itself, so about one in a billion pairs that lie exactly on the threshold may be
+missed, and none much above it.
+
+A group of copies is one class. Its rows are dealt to parts by a hash of their ids, before classes are formed and
+when they are looked up again, so no task sees a whole group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices, written
+from .common import fresh, id_and_text, salts, slices, temporary, written
 
 #: Lists of up to this length give all their pairs.
 SHORT = 24
@@ -99,8 +102,8 @@ def marked_bits(nodes: DataFrame) -> np.ndarray:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, set: the full sets of the documents that candidates name. A bitmap of them spares most other texts the
-    shuffle; the join then is exact."""
+    """node, set: the full sets of the documents that candidates name (of each text, where an id has several). A bitmap of
+    them spares most other texts the shuffle; the join then is exact."""
     bits = docs.sparkSession.sparkContext.broadcast(marked_bits(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,18 +111,19 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
         for batch in slices(batches):
             bit = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((bits.value[bit >> 3] >> (bit & 7)) & 1 == 1))
-            sets = [shingles(t, width, hashes).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+            sets = [shingles(t, width, hashes) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            sigs = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "sig", "set"])
 
     rows = id_and_text(docs).where("doc_id IS NOT NULL").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)))
-    return rows.mapInArrow(run, "node long, set array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node long, sig binary, set array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node", "sig"]).drop("sig")
 
 
 def needed(n: Column, k: int, percent: int) -> Column:
     """How many retained values a set of n shares, at the least, with one over the threshold."""
     t = percent / 100
     union = n / t
-    spread = 4.5 * F.sqrt(t * (1 - t) * k * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (union - k) / F.greatest(union - 1, F.lit(1.0)))))
+    spread = 6 * F.sqrt(t * (1 - t) * k * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (union - k) / F.greatest(union - 1, F.lit(1.0)))))
     exact = F.ceil(n * t - F.lit(1e-9))
     return F.greatest(F.lit(1), F.when(n <= int(k * t), exact).otherwise(F.least(exact, F.floor(t * k - spread)))).cast("int")
 
@@ -159,9 +163,9 @@ def estimated(pairs: DataFrame, sketches: DataFrame, k: int, percent: int) -> Da
 
 def links(docs: DataFrame, sketches: DataFrame, width: int, k: int, percent: int) -> DataFrame:
     """Links (a, b) between class representatives that join all that belongs together; see the module's text."""
-    values = sketches.select("node", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
+    values = sketches.select("node", "sig", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    ordered = values.join(shared, "v").groupBy("node", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))  # k values at most
+    ordered = values.join(shared, "v").groupBy("node", "sig", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))  # k values at most
     lists = written(ordered.withColumn("first", F.size("vs") - needed(F.col("n"), k, percent) + 1).where("first > 0").select("node", "n", (F.size("vs") / F.col("k")).alias("common"), F.explode(F.slice("vs", F.lit(1), F.col("first"))).alias("x")).select("node", "n", "common", F.col("x.v").alias("v")), "lists")
 
     sizes = lists.groupBy("v").agg(F.count("*").alias("m"), F.max_by("node", F.struct("common", -F.col("node"))).alias("hub")).where("m > 1")
@@ -230,23 +234,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
     ``class_id`` is the smallest doc_id with the same shingle set, ``component_id`` the smallest one
     reachable over links. Texts that are null, empty or white space have an empty set: they are linked
-    with nothing and kept. Rows that repeat a doc_id are one node. A null doc_id takes no part: null
-    ids, kept. An empty table gives an empty result; other columns are ignored."""
+    with nothing and kept. Rows that repeat a doc_id are one document, which has the links of all its texts. A null
+    doc_id takes no part: null ids, kept. Very long texts are taken whole, one at a time. An empty table gives
+    an empty result; other columns are ignored."""
+    spark = docs.sparkSession
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(salts(spark))).alias("part")
     sk = written(sketched(docs, width, k), "sketches")
-    full = sk.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(full.groupBy("sig", "n").agg(F.min("doc_id").alias("class_id")), "classes")
-    reps = full.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "n", "sketch")
-    same = full.select("doc_id", "sig", "n").join(classes, ["sig", "n"]).where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
-    repeated = same.join(classes.select(F.col("class_id").alias("a")), "a", "left_semi")  # an id with several texts joins their classes
-    labels = components(reduce(DataFrame.union, [links(docs, written(reps, "reps"), width, k, percent), repeated]))
-    known = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("sig", "n", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = sk.select("doc_id", "n", "sig").join(known.hint("merge"), ["sig", "n"], "left")
+    full = sk.where("n > 0 AND doc_id IS NOT NULL").select("*", part)
+    with temporary(spark):
+        parts = written(full.groupBy("sig", "n", "part").agg(F.min("doc_id").alias("low")), "class-parts")
+        classes = written(parts.groupBy("sig", "n").agg(F.min("low").alias("class_id")), "classes")
+        known = written(parts.drop("low").join(classes, ["sig", "n"]), "known-classes")  # as many rows for a class as it has parts
+        reps = full.join(classes.withColumnRenamed("class_id", "doc_id"), ["sig", "n", "doc_id"], "left_semi").dropDuplicates(["doc_id", "sig"]).select(F.col("doc_id").alias("node"), "sig", "n", "sketch")
+        several = full.groupBy("doc_id").agg(F.min(F.xxhash64("sig")).alias("one"), F.max(F.xxhash64("sig")).alias("other")).where("one <> other").select("doc_id")
+        own = full.join(several, "doc_id", "left_semi").join(known, ["sig", "n", "part"]).where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
+        labels = components(links(docs, written(reps, "reps"), width, k, percent).union(own))
+        joined = known.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
+        known = written(joined.select("sig", "n", "part", "class_id", F.coalesce("component", "class_id").alias("component_id")), "components", outside=True)
+    out = sk.select("doc_id", "n", "sig", part).join(known, ["sig", "n", "part"], "left")
     alone = F.col("doc_id").isNull()
     own = lambda c: F.when(~alone, F.coalesce(c, "doc_id")).alias(c)
     return out.select("doc_id", F.col("n").alias("n_shingles"), own("class_id"), own("component_id"), (alone | (F.coalesce("component_id", "doc_id") == F.col("doc_id"))).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows and columns of ``docs`` but for near-duplicates of a document with a smaller id; null ids stay."""
-    gone = written(near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("_gone_id")).distinct(), "near-duplicates")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti")
+    """The rows and columns of ``docs`` but for near-duplicates of a document with a smaller id; null ids stay.
+
+    Nulls, empty and long texts and empty tables as in ``near_duplicates``; other columns stay, whatever their names.
+    The result is read from two written tables, ``docs`` and the ids that go."""
+    (gone_id,) = fresh(docs, "gone_id")
+    with temporary(docs.sparkSession):
+        gone = written(near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias(gone_id)).distinct(), "near-duplicates", outside=True)
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[gone_id], "left_anti")

@@ -13,6 +13,8 @@ Only DataFrame functions and the JVM's own ML stages are used.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
@@ -20,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, sampled, written
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.8, "low": 0.1, "toxic": 0.1}
@@ -59,7 +61,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_ROW
     n = labelled.count()
     share = min(1.0, train_rows / max(1, n))
     # Broadcast: train_rows narrow rows in expectation, whatever the size of the table.
-    picked = F.broadcast(labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
+    picked = F.broadcast(labelled.where(sampled(share, "doc_id")))
     train = written(featured(words.join(picked, "doc_id")).select("features", "domain"), "mixing-train")
     seen = sorted(int(r["domain"]) for r in train.select("domain").distinct().collect())
     tokens = F.size("words").cast("long").alias("tokens")
@@ -80,7 +82,10 @@ def stepped(rate: Column, gradient: np.ndarray) -> Column:
 
 def fitted_rates(found: DataFrame, targets: dict[str, float], anchor: str | None = None, steps: int = 25, close: float = 1e-4) -> DataFrame:
     """Adds ``rate`` to doc_id, tokens, p. Targets are shares of all tokens. With an anchor they are shares of the
-    total at which the anchor domain keeps its tokens, and limits: a domain that has less isn't raised to it."""
+    total at which the anchor domain keeps its tokens, and limits: a domain that has less isn't raised to it.
+
+    The descent ends when all totals are within ``close`` of all tokens from their targets; if they aren't after
+    ``steps`` steps (targets out of reach, as rates can't be negative) a warning states how far they are."""
     of = range(len(DOMAINS))
     weight = F.col("tokens").cast("double")
     first = found.agg(F.sum(weight).alias("all"), *(F.sum(weight * F.col("p")[k]).alias(f"a{k}") for k in of), *(F.sum(weight * F.col("p")[k] * F.col("p")[j]).alias(f"m{k}_{j}") for k in of for j in of)).first()
@@ -106,6 +111,11 @@ def fitted_rates(found: DataFrame, targets: dict[str, float], anchor: str | None
             rate = F.col("rate")
         sums = base.agg(*(F.sum(rate * weight * F.col("p")[k]).alias(f"a{k}") for k in of)).first()
         at = np.array([sums[f"a{k}"] for k in of])
+    else:
+        bound = [k for k in of if anchor in (None, DOMAINS[k]) or at[k] > goal[k]]
+        far = {DOMAINS[k]: round(float((at - goal)[k] / total), 6) for k in bound}
+        if max(map(abs, far.values())) > close:
+            warnings.warn(f"targets are not met after {steps} steps; distance as shares of all tokens: {far}", stacklevel=2)
     return base.withColumn("rate", rate)
 
 
@@ -117,7 +127,7 @@ def copies(rate: Column, doc_id: Column) -> Column:
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, anchor: str | None = None) -> DataFrame:
     """doc_id, tokens, p_clean, p_low, p_toxic, rate, copies: one row for each row of ``docs``.
 
-    Null and empty texts have no tokens: they get a posterior and a rate, and weigh nothing. Rows with a
+    Null and empty texts have no tokens: they get a posterior and a rate, and weigh nothing; very long ones count whole. Rows with a
     null or repeated id are rated like others (rows of one id round alike). Without labels posteriors are
     equal; a table without tokens has rates of 1; an empty table gives an empty result."""
     found = fitted_rates(posteriors(docs, labelled), targets or TARGETS, anchor)
@@ -126,8 +136,9 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
 
 def resampled(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], anchor: str | None = None) -> DataFrame:
     """The rows and columns of ``docs``, each as often as its rate says; rows of one id share the mean rate, null ids stay once."""
-    rates = mixed(docs, labelled, targets, anchor).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_rated_id")).agg(F.avg("rate").alias("_rate"))
-    changed = rates.withColumn("_copies", copies(F.col("_rate"), F.col("_rated_id"))).where("_copies <> 1").select("_rated_id", "_copies")
-    joined = docs.join(changed, F.col("doc_id").cast("long") == F.col("_rated_id"), "left")
-    n = F.coalesce(F.col("_copies"), F.lit(1)).cast("int")
-    return joined.where(n > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), n))).drop("_rated_id", "_copies", "_copy")
+    rated_id, rate, n_copies, copy = fresh(docs, "rated_id", "rate", "copies", "copy")
+    rates = mixed(docs, labelled, targets, anchor).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(rated_id)).agg(F.avg("rate").alias(rate))
+    changed = rates.withColumn(n_copies, copies(F.col(rate), F.col(rated_id))).where(F.col(n_copies) != 1).select(rated_id, n_copies)
+    joined = docs.join(changed, docs["doc_id"].cast("long") == changed[rated_id], "left")
+    n = F.coalesce(F.col(n_copies), F.lit(1)).cast("int")
+    return joined.where(n > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), n))).drop(rated_id, n_copies, copy)

@@ -10,11 +10,9 @@ from __future__ import annotations
 
 import bisect
 import re
-import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -80,24 +78,19 @@ class WordIds(dict):
                 first = end + 1
 
 
-def word_ids(path: str) -> WordIds:
-    """The tokenizer and the parts known so far, kept for all tasks of a Python worker."""
-    kept = sys.modules.setdefault("_refscan_word_ids", ModuleType("_refscan_word_ids")).__dict__
-    if path not in kept:
-        kept[path] = WordIds(path)
-    return kept[path]
-
-
 #: A single mark between a Latin-1 letter and white space; it is a token of its own.
 TRAILING = re.compile("[.,;:!?](?<=[a-z\xdf-\xf6\xf8-\xff].)(?=[ \n]|$)")
 
 
 def parted(text: str) -> tuple[list[str], bool]:
     """Parts of a text, and whether it is Latin-1. If so (its letters have one composed form and one lower case
-    each, as the tokenizer takes them), words that differ in case or in what follows them are one part."""
+    each, as the tokenizer takes them), words that differ in case or in what follows them are one part. A text with
+    ``<|`` keeps its case: the tokenizer knows its special tokens in lower case alone."""
     try:
+        if "<|" in text:
+            raise ValueError
         text.encode("latin-1")
-    except UnicodeEncodeError:
+    except ValueError:  # an encoding error is one
         return text.replace("\n", " ").split(" "), False
     return TRAILING.sub(r" \g<0>", text.lower()).replace("\n", " ").split(" "), True
 
@@ -107,7 +100,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048) -> Da
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = word_ids(path)
+        ids = WordIds(path)  # parts are remembered for one task
         for batch in slices(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -228,7 +221,7 @@ def best_fit(docs: DataFrame, path: str | None = None, capacity: int = 2048) ->
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece of each row of ``docs``.
 
     A null or empty text is id 0 alone; repeated rows and null ids are packed like any other row; an empty
-    table gives an empty result; other columns are ignored."""
+    table gives an empty result; other columns are ignored. A very long text is tokenized word by word and cut, whole."""
     spark = docs.sparkSession
     found = written(pieces(docs, path, capacity), "pieces")
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most

@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_and_text, slices
+from .common import crc_mod, id_and_text, sampled, slices, texts_of
 
 #: Words of a passage.
 WORDS = 64
-#: Labelled documents to learn from, at the most (in expectation).
-TRAIN_ROWS = 6_000
+#: Labelled documents and their bytes to learn from, at the most (in expectation): longer texts, fewer documents.
+TRAIN_ROWS, TRAIN_BYTES = 6_000, 60_000_000
 HIDDEN, GATES = 16, 8
 THRESHOLD = 0.3
 
@@ -129,11 +129,15 @@ def fitted(bags: list[tuple[np.ndarray, float]], epochs: int = 30, batch: int =
     return model
 
 
-def training_bags(docs: DataFrame, labels: DataFrame, train_rows: int) -> list[tuple[np.ndarray, float]]:
-    """Bags of a sample of labelled documents that aren't held out; about 80 bytes for each passage of train_rows documents come to the driver."""
+def training_bags(docs: DataFrame, labels: DataFrame, train_rows: int, train_bytes: int) -> list[tuple[np.ndarray, float]]:
+    """Bags of a sample of labelled documents that aren't held out; about a fifth of train_bytes come to the driver."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("label")).where(crc_mod("doc_id", 5) != 0)
-    share = min(1.0, train_rows / max(1, known.count()))
-    picked = F.broadcast(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))  # train_rows narrow rows
+    n = known.count()
+    wide = known.where(sampled(16 * train_rows / max(1, n), "doc_id"))
+    # Of 16 x train_rows narrow rows, broadcast, the mean size of a labelled text.
+    size = id_and_text(docs).join(F.broadcast(wide), "doc_id").agg(F.avg(F.octet_length("text"))).first()[0]
+    rows_wanted = min(train_rows, train_bytes / max(1.0, size or 1.0))
+    picked = F.broadcast(known.where(sampled(rows_wanted / max(1, n), "doc_id")))  # train_rows narrow rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -146,41 +150,32 @@ def training_bags(docs: DataFrame, labels: DataFrame, train_rows: int) -> list[t
     return [(np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES), r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], bytes(r["bag"])))]
 
 
-def scorer(docs: DataFrame, labels: DataFrame, train_rows: int) -> Callable[[Column], Column]:
+def scorer(docs: DataFrame, labels: DataFrame, train_rows: int, train_bytes: int) -> Callable[[Column], Column]:
     """Learns a model; gives the function from a text column to its scores (texts go to Python in Arrow batches, other columns don't)."""
-    bags = training_bags(docs, labels, train_rows)
+    bags = training_bags(docs, labels, train_rows, train_bytes)
     model = fitted(bags) if bags else None
 
     @F.arrow_udf("double")
     def score(batch: pa.Array) -> pa.Array:
-        scores = []
-        for some in range(0, len(batch), 500):
-            texts = batch.slice(some, 500).cast(pa.binary()).to_pylist()
-            at = 0
-            while at < len(texts):  # a million bytes at a time
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) < 1_000_000):
-                    size += len(texts[end])
-                    end += 1
-                scores.append(model.score(texts[at:end]) if model else np.ones(end - at))
-                at = end
+        scores = [model.score(texts) if model else np.ones(len(texts)) for texts in texts_of(batch)]
         return pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64())
 
     return lambda text: score(F.coalesce(text, F.lit("")))
 
 
-def scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each row of ``docs``; score is that of label 1.
 
-    Null and empty texts are one empty passage and get that passage's score. Of labels with a repeated id the
+    Null and empty texts are one empty passage and get that passage's score; very long ones have as many passages as they
+    need, all scored. Of labels with a repeated id the
     larger counts, null labels and ids don't; null doc_ids are scored (and count as the empty text for
     held_out); without labels every score is 1. An empty table gives an empty result. Other columns,
     whatever their names, are never inputs."""
-    score = scorer(docs, labels, train_rows)
+    score = scorer(docs, labels, train_rows, train_bytes)
     found = id_and_text(docs).select("doc_id", score(F.col("text")).alias("score"))
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows and columns of ``docs`` that are predicted good."""
-    return docs.where(scorer(docs, labels, train_rows)(F.col("text")) >= THRESHOLD)
+def accepted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """The rows and columns of ``docs`` that are predicted good; nulls, long texts and missing labels as in ``scored``."""
+    return docs.where(scorer(docs, labels, train_rows, train_bytes)(F.col("text")) >= THRESHOLD)

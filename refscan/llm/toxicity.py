@@ -8,6 +8,7 @@ isotonic map from tree score to probability on the third. Held-out rows take no
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable
 
@@ -19,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_and_text, written
+from .common import crc_mod, id_and_text, sampled, temporary, texts_of, written
 
 #: Labelled documents to learn from, at the most (in expectation).
 TRAIN_ROWS = 15_000
@@ -65,7 +66,7 @@ class Features:
                 run += i - last <= 30
                 last = i
                 if you:
-                    at = np.searchsorted(you, i)
+                    at = bisect.bisect_left(you, i)
                     near += min(abs(you[k] - i) for k in (at - 1, at) if 0 <= k < len(you)) <= NEAR
         masked = MASKED.findall(text)
         unmasked = sum(m.lower().replace(b"*", b"").translate(UNMASK) in self.known or m.lower().translate(UNMASK) in self.known for m in masked)
@@ -76,7 +77,7 @@ class Features:
     def column(self) -> Callable[[Column], Column]:
         @F.arrow_udf("array<double>")
         def features(batch: pa.Array) -> pa.Array:
-            return pa.array([self.of(t) for t in batch.cast(pa.binary()).to_pylist()], pa.list_(pa.float64()))
+            return pa.array([self.of(t) for some in texts_of(batch) for t in some], pa.list_(pa.float64()))
 
         return features
 
@@ -96,41 +97,42 @@ def lexicon(rows: DataFrame, words: int) -> dict[str, float]:
 
 
 def learned(docs: DataFrame, labels: DataFrame, train_rows: int):
-    """The features' function and the function that adds ``score`` to rows with ``features``; None without two classes."""
+    """The features' function, the function that adds ``score`` to rows with ``features``, and the share of label 1; functions are None without two classes."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label")).where(crc_mod("doc_id", 4) != 2)
-    share = min(1.0, train_rows / max(1, known.count()))
-    picked = F.broadcast(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))  # train_rows narrow rows
-    rows = written(id_and_text(docs).join(picked, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(6))), "toxicity-train")
-    features = Features(lexicon(rows.where("part < 2"), LEXICON_WORDS)).column()
-    dense = written(rows.where("part >= 2").select("part", F.col("label").cast("double").alias("label"), array_to_vector(features(F.col("text"))).alias("features")), "toxicity-features").repartition(6)
-    trees_on, rest = dense.where("part < 5").cache(), dense.where("part = 5")
-    try:
-        if trees_on.select("label").distinct().count() < 2:
-            return None
-        trees = GBTClassifier(maxIter=25, maxDepth=4, stepSize=0.2, subsamplingRate=0.8, seed=7, minInstancesPerNode=5).fit(trees_on)
-    finally:
-        trees_on.unpersist()
-    raw = lambda df: trees.transform(df).withColumn("raw", vector_to_array("probability")[1])
-    held = raw(rest).select("label", "raw")
-    if held.select("label").distinct().count() < 2:
-        return features, lambda df: raw(df).withColumn("score", F.col("raw"))
-    iso = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(held)
+    n, bad = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    prior = bad / max(1, n)
+    picked = F.broadcast(known.where(sampled(train_rows / max(1, n), "doc_id")))  # train_rows narrow rows
+    with temporary(docs.sparkSession):
+        rows = written(id_and_text(docs).join(picked, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(6))), "toxicity-train")
+        features = Features(lexicon(rows.where("part < 2"), LEXICON_WORDS)).column()
+        dense = written(rows.where("part >= 2").select("part", F.col("label").cast("double").alias("label"), array_to_vector(features(F.col("text"))).alias("features")), "toxicity-features").repartition(6)
+        trees_on, rest = dense.where("part < 5").cache(), dense.where("part = 5")
+        try:
+            if trees_on.select("label").distinct().count() < 2:
+                return None, None, prior
+            trees = GBTClassifier(maxIter=25, maxDepth=4, stepSize=0.2, subsamplingRate=0.8, seed=7, minInstancesPerNode=5).fit(trees_on)
+        finally:
+            trees_on.unpersist()
+        raw = lambda df: trees.transform(df).withColumn("raw", vector_to_array("probability")[1])
+        held = raw(rest).select("label", "raw")
+        if held.select("label").distinct().count() < 2:
+            return features, lambda df: raw(df).withColumn("score", F.col("raw")), prior
+        iso = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(held)
     # ties of the step function are told apart by a hundredth of the trees' own probability
-    return features, lambda df: iso.transform(raw(df).drop("prediction")).withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.99 * F.col("calibrated") + 0.01 * F.col("raw"))))
+    return features, lambda df: iso.transform(raw(df).drop("prediction")).withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.99 * F.col("calibrated") + 0.01 * F.col("raw")))), prior
 
 
 def scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each row of ``docs``; score is that of label 1.
 
-    Null and empty texts have no words and get the score of that. Of labels with a repeated id the larger
-    counts, null labels and ids don't; null doc_ids are scored (and count as the empty text for held_out);
-    if labels lack one of the classes every score is 0. An empty table gives an empty result. Other columns,
-    whatever their names, are never inputs."""
-    model = learned(docs, labels, train_rows)
+    Null and empty texts have no words and get the score of that; very long ones are scored whole. Of labels with a
+    repeated id the larger counts, null labels and ids don't; null doc_ids are scored (and count as the empty text for
+    held_out); if the labelled documents lack one of the classes every score is the share of label 1 among the labels
+    (0 without any). An empty table gives an empty result. Other columns, whatever their names, are never inputs."""
+    features, score, prior = learned(docs, labels, train_rows)
     narrow = id_and_text(docs)
-    if model is None:
-        found = narrow.withColumn("score", F.lit(0.0))
+    if score is None:
+        found = narrow.withColumn("score", F.lit(float(prior)))
     else:
-        features, score = model
         found = score(narrow.select("doc_id", array_to_vector(features(F.col("text"))).alias("features")))
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -96,3 +96,34 @@ def test_truncated_copies(spark, longer):
         cut = int(np.ceil((0.79 + 0.06 * rng.random()) * longer)) + 4
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:cut]))]
     compared(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=5), rows, 5)
+
+
+def test_ids_with_several_texts(spark):
+    """A repeated id has the links of all its texts: compared with all pairs of (id, text)."""
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    a, b = word(30), word(30)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "x"])), (3, " ".join([*b, "y"]))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1}
+    texts = [word(40) for _ in range(20)]
+    rows = [(int(rng.integers(0, 40)), " ".join([*texts[rng.integers(0, 20)], *word(rng.integers(0, 3))])) for _ in range(70)]
+    label = {i: i for i, _ in rows}
+    sets = sets_of([t for _, t in rows], 5)
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(i):
+                if rows[i][0] == rows[j][0] or 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    label[rows[i][0]] = label[rows[j][0]] = min(label[rows[i][0]], label[rows[j][0]])
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r.component_id == label[r.doc_id] for r in got)
+
+
+def test_without_near_duplicates(spark):
+    long = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
+    rows = [(1, "a b c d e f", 1), (2, "a b c d e f", 1), (None, "a b c d e f", 2), (3, None, 3), (4, long, 4), (5, long + " tail", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone_id int").selectExpr("*", "7 as component_id", "8 as node")
+    out = minhash.without_near_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r._gone_id, r.component_id) for r in out.collect()) == [(0, 2, 7), (1, 1, 7), (3, 3, 7), (4, 4, 7)]
+    assert minhash.without_near_duplicates(docs.limit(0)).count() == 0

@@ -1,6 +1,7 @@
 import math
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -61,6 +62,32 @@ def test_odd_texts(spark):
     assert packing.best_fit(docs.limit(0)).count() == 0
 
 
+MARKS = ["<|startoftext|>", "<|endoftext|>", "<|STARTOFTEXT|>", "<|EndOfText|>", "<|endoftext|", "<|", "|>", "<||>"]
+PIECES = [*MARKS, "a", "B", " ", "  ", "\n", "É", "ß", "ÿ", "İ", "'s", "'LL", "12", "x.", "!", "...", "\t", "\xa0", "word", "Word,", "é", "e\u0301", "日本", "😀", "µ", "ª"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES) | st.text(max_size=4), max_size=12).map("".join), min_size=1, max_size=30))
+def test_parts_give_the_tokenizers_ids(texts):
+    """Marks in any case, next to anything: the ids of the parts are those of the text."""
+    ids, tok = known(), plain_tokenizer()
+    for text in texts:
+        parts, latin = packing.parted(text)
+        ids.learn({p for p in parts if p not in ids}, latin)
+        got = b"".join(ids[p] for p in parts)
+        assert got == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+@cache
+def known():
+    return packing.WordIds(packing.tokenizer_path())
+
+
+@cache
+def plain_tokenizer():
+    return tokenizer()
+
+
 def spread(plan, counts, capacity):
     bins, seen = defaultdict(list), defaultdict(set)
     for size, lo, hi, first, offset in plan:
