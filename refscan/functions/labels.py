@@ -60,10 +60,35 @@ def title_of(title: Column, file: Column, number: Column) -> Column:
     return F.coalesce(F.nullif(title, F.lit("")), F.nullif(file, F.lit("")), F.concat(F.lit("#"), number.cast("string")))
 
 
+def whole(x: Column) -> Column:
+    """Rounded, halves up."""
+    return F.floor(x + 0.5)
+
+
 def size_text(size: Column) -> Column:
-    """Bytes in the largest unit of which there is one at least."""
-    units = [(1 << 40, "TB"), (1 << 30, "GB"), (1 << 20, "MB"), (1 << 10, "KB"), (1, "B")]
+    """Bytes in the largest unit of which there is one at least, in whole units with a thousands mark."""
     out = F.lit("0 B")
-    for scale, unit in reversed(units):
-        out = F.when(size >= scale, F.concat(F.format_number(size / scale, 0), F.lit(f" {unit}"))).otherwise(out)
+    for n, unit in enumerate(("B", "KB", "MB", "GB", "TB", "PB", "EB")):
+        scale = 1 << 10 * n
+        out = F.when(size >= scale, F.concat(F.format_number(whole(size / scale), 0), F.lit(f" {unit}"))).otherwise(out)
     return out
+
+
+# Units of a time difference and their seconds.
+TIMES = {"second": 1, "minute": 60, "hour": 3_600, "day": 86_400, "week": 604_800, "month": 2_592_000, "year": 31_536_000}
+
+
+def time_difference(a: Column, b: Column) -> Column:
+    """The time between two epoch seconds in the largest unit of which there is one at least, rounded; never 0 of it."""
+    seconds = F.abs(a - b)
+    out = None
+    for unit, size in TIMES.items():
+        n = F.greatest(F.lit(1), whole(seconds / size))
+        text = F.concat(n.cast("string"), F.when(n == 1, f" {unit}").otherwise(f" {unit}s"))
+        out = text if out is None else F.when(seconds >= size, text).otherwise(out)
+    return out
+
+
+def ago(then: Column, now: Column) -> Column:
+    """A dash for no time."""
+    return F.when(then > 0, F.concat(time_difference(then, now), F.lit(" ago"))).otherwise("—")

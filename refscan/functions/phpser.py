@@ -71,14 +71,18 @@ class Reader:
     def read(self) -> tuple[bool, list[Leaf]]:
         """Whether the value is an array or object, and its leaves."""
         leaves: list[Leaf] = []
-        open_: list[list] = []  # for each open container: entries left, whether a key comes next, whether entries count
+        # For each open container: entries left, whether a key comes next, whether entries count, whether it is an object,
+        # and the leaves of each key: of equal keys the last one's count, at the first one's place.
+        open_: list[list] = []
         container = None
         while True:
             if open_ and not open_[-1][0]:
                 self.expect(b"}")
-                open_.pop()
+                inner = [x for found in open_.pop()[4].values() for x in found]
                 if not open_:
+                    leaves = inner
                     break
+                open_[-1][4][open_[-1][5]] = inner
                 continue
             kind = self.data[self.at : self.at + 1]
             visible = all(o[2] for o in open_)
@@ -88,7 +92,8 @@ class Reader:
                 self.at += 1
                 self.expect(b":")
                 key = self.leaf(kind)
-                open_[-1][1], open_[-1][2] = False, not (open_[-1][3] and key["value"].startswith("\0"))
+                open_[-1][1], open_[-1][2], open_[-1][5] = False, not (open_[-1][3] and key["value"].startswith("\0")), key["value"]
+                open_[-1][4].setdefault(key["value"], []).clear()
                 continue
             if kind == b"N":
                 self.expect(b"N;")
@@ -105,13 +110,15 @@ class Reader:
                 container = True if container is None else container
                 if open_:
                     self.passed(open_)
-                open_.append([n, True, visible, kind == b"O"])
+                open_.append([n, True, visible, kind == b"O", {}, None])
                 continue
             elif kind in (b"s", b"i", b"b", b"d"):
                 self.at += 1
                 self.expect(b":")
                 leaf = self.leaf(kind)
-                if leaf and visible:
+                if leaf and visible and open_:
+                    open_[-1][4][open_[-1][5]] = [leaf]
+                elif leaf and visible:
                     leaves.append(leaf)
             else:
                 raise Unreadable

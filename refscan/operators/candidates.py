@@ -1,8 +1,13 @@
 """Which attachments can a text mention: equi-joins in place of a pass over all texts for each attachment.
 
 By id: every accepted form has the id as a maximal run of digits, so a text's distinct digit runs are joined
-with the ids. By name: a name's last characters are joined with the text's windows that end in the same
-extension; what joins is confirmed with the whole name.
+with the ids. By name: a name that ends in an extension ends at a dot of the text. The few characters before that dot, the
+anchor, are joined with the distinct anchors of all names, which know the lengths that their names have; the
+text's endings of those lengths are joined with the whole names. So no join meets more than a text's dots times
+lengths, however many names share an anchor, and what joins is a match. Names without an extension are joined with
+the text's windows of their length.
+
+Ids and anchors of a row are emitted together: one scan, one shuffle.
 """
 
 from __future__ import annotations
@@ -12,8 +17,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a name's end that are joined on.
+#: Characters before the extension that are joined on; shorter names have shorter anchors.
 ANCHOR = 8
+EXTENSION = r"\.[A-Za-z0-9]{1,5}$"
 
 
 def digit_runs(text: Column) -> Column:
@@ -35,38 +41,72 @@ def id_prefix_pairs(rows: DataFrame, key: str, text: str, contexts: DataFrame, b
 
 
 def names(contexts: DataFrame) -> DataFrame:
-    """attachment_id, name, ext (of names long enough to be joined by it, else null), anchor."""
+    """attachment_id, name, ext ('' for none), size (characters before ext), anchor (the last of them, with ext)."""
     each = contexts.select("attachment_id", F.explode("basenames").alias("name")).where("name <> ''")
-    ext = F.regexp_extract("name", r"(\.[A-Za-z0-9]{1,5})$", 1)
-    anchored = (F.length("name") >= ANCHOR) & (ext != "")
-    return each.withColumn("ext", F.when(anchored, ext)).withColumn("anchor", F.right("name", F.lit(ANCHOR)))
+    found = each.withColumn("ext", F.regexp_extract("name", EXTENSION, 0)).withColumn("size", F.length("name") - F.length("ext"))
+    found = found.withColumn("ext", F.when(F.col("size") > 0, F.col("ext")).otherwise("")).withColumn("size", F.length("name") - F.length("ext"))
+    return found.withColumn("anchor", F.right("name", F.least(F.lit(ANCHOR), F.col("size")) + F.length("ext")))
 
 
-def windows(text: Column, length: int, ending: str = "") -> Column:
-    """All windows of the length (with the ending) of a text, overlapping ones too."""
-    escaped = ending.replace(".", r"\.")
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length - len(ending)}}}{escaped}))"), F.lit(1)))
+def windows(text: Column, length: int) -> Column:
+    """All windows of the length of a text, overlapping ones too."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1)))
 
 
-def name_pairs(rows: DataFrame, key: str, text: str, contexts: DataFrame) -> DataFrame:
-    """key, attachment_id: the text holds a name of the attachment."""
+def endings(text: Column, exts: list[str], sizes: list[int], longest: int) -> Column:
+    """Array of (anchor, ending): for each dot of the text, each extension after it and each size of an anchor, the anchor and the text before the extension's end, as far as names reach."""
+    # What is before a dot is read forwards in the reversed text, as a look-behind would count half characters.
+    after = F.regexp_extract_all(text, F.lit(r"\.(?=([A-Za-z0-9]{1,5}))"), F.lit(1))
+    before = F.transform(F.reverse(F.regexp_extract_all(F.reverse(text), F.lit(r"(?s)(?<=[A-Za-z0-9])\.(?=(.{0,%d}))" % longest), F.lit(1))), F.reverse)
+    known = F.array(*map(F.lit, exts))
+    keys = lambda b, e: F.transform(F.array(*map(F.lit, sizes)), lambda n: F.struct(F.concat(F.right(b, n), e).alias("anchor"), F.concat(b, e).alias("ending")))
+
+    def at_dot(b: Column, a: Column) -> Column:
+        found = F.filter(known, lambda e: F.startswith(F.concat(F.lit("."), a), e))
+        return F.flatten(F.transform(found, lambda e: keys(b, e)))
+
+    found = F.array_distinct(F.flatten(F.zip_with(before, after, at_dot)))
+    none = F.array().cast("array<struct<anchor:string,ending:string>>")
+    return F.when(reduce(lambda x, y: x | y, (F.contains(text, F.lit(e)) for e in exts)), found).otherwise(none)
+
+
+def pairs(rows: DataFrame, key: str, text: str, contexts: DataFrame, ids: bool = True) -> DataFrame:
+    """Distinct (key, attachment_id): the text holds the id as a digit run (unless not ``ids``) or a name of the attachment."""
     named = names(contexts)
-    groups = named.select("ext", F.when(F.col("ext").isNull(), F.length("anchor")).alias("n")).distinct().collect()  # a few: by extension, or by length under ANCHOR
-    found = []
-    for g in groups:
-        anchors = windows(F.col(text), ANCHOR, g["ext"]) if g["ext"] else windows(F.col(text), g["n"])
-        some = rows.where(F.contains(F.col(text), F.lit(g["ext"]))) if g["ext"] else rows
-        found.append(some.select(key, F.explode(anchors).alias("anchor")).withColumn("ext", F.lit(g["ext"]).cast("string")))
-    if not found:
+    # What is collected: extensions, anchors' lengths and names' lengths, a few numbers however many names there are.
+    groups = named.groupBy("ext").agg(F.collect_set(F.least(F.lit(ANCHOR), F.col("size"))).alias("sizes"), F.collect_set("size").alias("lengths")).collect()
+    ended = {g["ext"]: g for g in groups if g["ext"]}
+    plain = sorted(n for g in groups if not g["ext"] for n in g["lengths"])
+    sizes, longest = sorted({n for g in ended.values() for n in g["sizes"]}), max((n for g in ended.values() for n in g["lengths"]), default=0)
+
+    tagged = lambda kind, k, e: F.struct(F.lit(kind).alias("kind"), k.alias("k"), e.alias("ending"))
+    nothing = F.lit(None).cast("string")
+    emitted, met = [], []
+    if ids:
+        emitted.append(F.transform(digit_runs(F.col(text)), lambda r: tagged("id", r, nothing)))
+        met.append(contexts.select(F.lit("id").alias("kind"), F.col("id_text").alias("k"), "attachment_id", F.lit(None).cast("array<int>").alias("lengths")))
+    if ended:
+        emitted.append(F.transform(endings(F.col(text), sorted(ended), sizes, longest), lambda x: tagged("name", x["anchor"], x["ending"])))
+        lengths = F.collect_set(F.length("name")).alias("lengths")  # of an anchor: no more than a name is long
+        met.append(named.where("ext <> ''").groupBy("anchor").agg(lengths).select(F.lit("name").alias("kind"), F.col("anchor").alias("k"), F.lit(None).cast("long").alias("attachment_id"), "lengths"))
+    for n in plain:
+        emitted.append(F.transform(windows(F.col(text), n), lambda w: tagged("whole", w, nothing)))
+    if plain:
+        met.append(named.where("ext = ''").select(F.lit("whole").alias("kind"), F.col("name").alias("k"), "attachment_id", F.lit(None).cast("array<int>").alias("lengths")))
+    if not emitted:
         return rows.select(key, F.lit(None).cast("long").alias("attachment_id")).limit(0)
-    anchored = reduce(DataFrame.union, found)
-    met = anchored.join(named, (anchored["anchor"] == named["anchor"]) & anchored["ext"].eqNullSafe(named["ext"])).select(key, "attachment_id", "name")
-    return met.join(rows.select(key, F.col(text).alias("_text")), key).where(F.contains("_text", F.col("name"))).select(key, "attachment_id").distinct()
+    keys = rows.select(F.col(key).alias("row"), F.explode(F.concat(*emitted) if len(emitted) > 1 else emitted[0]).alias("x")).select("row", "x.*")
+    hits = keys.join(reduce(DataFrame.unionByName, met), ["kind", "k"]).select("row", "ending", F.coalesce("lengths", F.array(F.lit(0))).alias("lengths"), "attachment_id")
+    # One row for each ending that a name may be. What is found already gets a name that there is not, another one in each row.
+    each = hits.select("row", F.col("attachment_id").alias("found"), "ending", F.explode("lengths").alias("n"))
+    each = each.select("row", "found", F.when(F.col("found").isNull(), F.right("ending", F.col("n"))).otherwise(F.concat(F.lit("\0"), F.col("row").cast("string"))).alias("name"))
+    found = each.join(named.where("ext <> ''").select("name", "attachment_id"), "name", "left").select("row", F.coalesce("found", "attachment_id").alias("attachment_id")) if ended else each.select("row", F.col("found").alias("attachment_id"))
+    return found.where("attachment_id IS NOT NULL").distinct().withColumnRenamed("row", key)
 
 
-def pairs(rows: DataFrame, key: str, text: str, contexts: DataFrame) -> DataFrame:
-    """Distinct (key, attachment_id) that can match by id or name."""
-    return id_pairs(rows, key, text, contexts).union(name_pairs(rows, key, text, contexts)).distinct()
+def name_pairs(rows: DataFrame, key: str, text: str, contexts: DataFrame) -> DataFrame:
+    """Distinct (key, attachment_id): the text holds a name of the attachment."""
+    return pairs(rows, key, text, contexts, ids=False)
 
 
 def paired(rows: DataFrame, key: str, text: str, contexts: DataFrame) -> DataFrame:

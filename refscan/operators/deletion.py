@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.site import Site
@@ -26,6 +26,16 @@ def requested(ids: Iterable[int | str | None]) -> list[int]:
     return [x for x in out if x]
 
 
+def key(text: str | None) -> str:
+    """A key as given by a form: lower case, without anything but a to z, digits, dashes and underscores."""
+    return "".join(c for c in (text or "").lower() if c.isascii() and (c.isalnum() or c in "-_"))
+
+
+def requested_keys(texts: Column) -> Column:
+    """``key`` of a column."""
+    return F.regexp_replace(F.lower(F.coalesce(texts, F.lit(""))), "[^a-z0-9_-]", "")
+
+
 def plan(site: Site, ids: DataFrame, fresh: DataFrame, deletable: DataFrame) -> DataFrame:
     """attachment_id, outcome for each row of ``ids``: failed (no attachment, or not in ``deletable``), skipped (used after all), deleted.
 

@@ -56,10 +56,10 @@ def plain_match(v: Column, i: Column) -> Column:
 
 def with_sibling(rows: DataFrame, meta: DataFrame, owner: str) -> DataFrame:
     """Adds ``field``: whether the first value of the same owner's _key names a custom field."""
-    first = meta.where(F.col("meta_key").startswith("_")).groupBy(F.col(owner).alias("_owner"), F.col("meta_key").alias("_key")).agg(F.min_by("meta_value", "meta_id").alias("_value"))
+    first = meta.where(F.col("meta_key").startswith("_")).groupBy(F.col(owner).alias("_owner"), F.col("meta_key").alias("_key")).agg(F.min_by(F.coalesce(F.col("meta_value").startswith("field_"), F.lit(False)), "meta_id").alias("_field"))
     joined = rows.join(first, (F.col(owner) == F.col("_owner")) & (F.concat(F.lit("_"), F.col("meta_key")) == F.col("_key")), "left")
-    field = ~F.col("meta_key").startswith("_") & F.coalesce(F.col("_value"), F.lit("")).startswith("field_")
-    return joined.withColumn("field", F.coalesce(field, F.lit(False))).drop("_owner", "_key", "_value")
+    field = ~F.col("meta_key").startswith("_") & F.col("_field")
+    return joined.withColumn("field", F.coalesce(field, F.lit(False))).drop("_owner", "_key", "_field")
 
 
 def meta_refs(rows: DataFrame, meta: DataFrame, owner: str, detector: str, kind: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..sources.site import Site
 from .context import basename
-from .results import known_status, status_counts
+from .results import decoded, known_status, status_counts
 
 PAGE = 50
 
@@ -43,11 +43,13 @@ def file_sizes(site: Site) -> DataFrame:
     return sizes.select("attachment_id", F.coalesce("size", "filesize", F.lit(0)).alias("bytes"))
 
 
-def unused_table(site: Site, page: int, size: int = PAGE) -> DataFrame:
-    """One page of unused attachments with what is shown of each."""
-    shown = site.attachments.select(F.col("id").alias("attachment_id"), "title", "mime", F.coalesce(basename(F.col("attached_file")), F.lit("")).alias("file"))
+def unused_table(site: Site, page: int, now: int, size: int = PAGE) -> DataFrame:
+    """One page of unused attachments with what is shown of each: dashes for no date, no bytes and no scan."""
+    shown = site.attachments.select(F.col("id").alias("attachment_id"), "title", "mime", "created", F.coalesce(basename(F.col("attached_file")), F.lit("")).alias("file"))
     rows = unused_page(site, page, size).join(shown, "attachment_id").join(file_sizes(site), "attachment_id")
-    return rows.select("attachment_id", labels.title_of(F.col("title"), F.col("file"), F.col("attachment_id")).alias("title"), "file", "mime", "bytes", "scanned_at")
+    date = F.coalesce(F.date_format("created", "MMMM d, yyyy"), F.lit("—"))
+    size_shown = F.when(F.col("bytes") > 0, labels.size_text(F.col("bytes"))).otherwise("—")
+    return rows.select("attachment_id", labels.title_of(F.col("title"), F.col("file"), F.col("attachment_id")).alias("title"), "file", "mime", date.alias("date"), size_shown.alias("size"), labels.ago(F.col("scanned_at"), F.lit(now)).alias("scanned"))
 
 
 def filtered(site: Site, wanted: str) -> DataFrame:
@@ -68,19 +70,38 @@ def usage_column(site: Site) -> DataFrame:
     return rows.select("attachment_id", status.alias("status"), shown.alias("shown"), labels.badge(status, shown).alias("badge"))
 
 
-def evidence(site: Site, refs: DataFrame) -> DataFrame:
-    """attachment_id, evidence: the line shown for each reference; names are looked up when it is shown, never stored."""
+def evidence(site: Site, refs: DataFrame, *more: str) -> DataFrame:
+    """attachment_id, evidence (and ``more`` columns): the line shown for each reference; names are looked up when it is shown, never stored."""
     posts = site.posts.select(F.lit("post").alias("object_type"), F.col("id").alias("object_id"), F.col("title").alias("_title"))
     own = site.attachments.select(F.lit("post").alias("object_type"), F.col("id").alias("object_id"), F.col("title").alias("_title"))
     terms = site.terms.select(F.lit("term").alias("object_type"), F.col("term_id").alias("object_id"), F.col("name").alias("_term"))
     users = site.users.select(F.lit("user").alias("object_type"), F.col("user_id").alias("object_id"), F.col("display_name").alias("_user"))
     rows = refs.join(posts.unionByName(own), ["object_type", "object_id"], "left").join(terms, ["object_type", "object_id"], "left").join(users, ["object_type", "object_id"], "left")
     where = labels.where_text(*map(F.col, ("object_type", "object_id", "detail", "_title", "_term", "_user")))
-    return rows.select("attachment_id", labels.evidence(F.col("match"), where, F.col("object_type"), F.col("detail"), F.col("confidence")).alias("evidence"))
+    return rows.select("attachment_id", *more, labels.evidence(F.col("match"), where, F.col("object_type"), F.col("detail"), F.col("confidence")).alias("evidence"))
 
 
-def scan_card(site: Site, finished_at: int, changed_at: DataFrame) -> DataFrame:
-    """The counts, the last scan and whether content has changed since; ``changed_at``: one row (changed_at, epoch seconds)."""
-    stale = F.coalesce(F.col("changed_at") > finished_at, F.lit(False))
-    # Two tables of one row each.
-    return status_counts(site.attachments, site.results).withColumn("one", F.lit(1)).join(changed_at.withColumn("one", F.lit(1)), "one").select("used", "unused", "unscanned", "total", F.lit(finished_at).cast("long").alias("finished_at"), stale.alias("stale"))
+def checked(site: Site, ids: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """attachment_id, outcome, status, badge, evidence for each row of ``ids``; 0 and what is no attachment is refused.
+
+    ``verdicts``: of a new scan of the ids. Evidence: a line for each reference kept, in order."""
+    lines = evidence(site, decoded(verdicts), "place").groupBy("attachment_id").agg(F.array_sort(F.collect_list(F.struct("place", "evidence"))).alias("lines"))  # KEPT at most
+    rows = ids.join(verdicts, "attachment_id", "left").join(lines, "attachment_id", "left")
+    shown = F.when(F.col("status") == "used", F.col("ref_count")).otherwise(0)
+    known = F.col("status").isNotNull()
+    text = F.coalesce(F.array_join(F.transform("lines", lambda x: x["evidence"]), "\n"), F.lit("No references found anywhere."))
+    return rows.select("attachment_id", F.when(known, "checked").otherwise("refused").alias("outcome"), "status", F.when(known, labels.badge(F.col("status"), shown)).alias("badge"), F.when(known, text).alias("evidence"))
+
+
+def scan_card(site: Site, state: DataFrame, last: DataFrame, changed_at: DataFrame, now: int) -> DataFrame:
+    """The counts, the last scan, whether content has changed since, and what the button says.
+
+    ``state`` (cursor, done, total, started_at) and ``last`` (finished_at, scanned, unused): one row or none;
+    ``changed_at``: one row (changed_at, epoch seconds)."""
+    number = lambda c: F.format_number(c, 0)
+    note = F.concat(F.lit("Last full scan finished "), labels.time_difference(F.col("finished_at"), F.lit(now)), F.lit(" ago ("), number("scanned"), F.lit(" files)."), F.when(F.col("changed_at") > F.col("finished_at"), " Content has changed since — results may be stale.").otherwise(""))
+    button = F.when(F.col("done").isNull(), "Start full scan").otherwise(F.concat(F.lit("Resume scan ("), number("done"), F.lit(" / "), number("goal"), F.lit(")")))
+    one = status_counts(site.attachments, site.results).withColumn("one", F.lit(1))
+    for more in (state.select("done", F.col("total").alias("goal")), last.select("finished_at", "scanned"), changed_at):  # tables of one row at most
+        one = one.join(F.broadcast(more.withColumn("one", F.lit(1))), "one", "left")
+    return one.select("used", "unused", "unscanned", "total", note.alias("note"), button.alias("button"))

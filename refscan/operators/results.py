@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: References kept for each attachment.
 KEPT = 20
+#: Parts that an attachment's references are dealt to.
+PARTS = 16
 SCHEMA = "array<struct<d:string,t:string,i:long,k:string,m:string,c:string>>"
 STATUSES = ("used", "unused")
 
@@ -18,16 +20,17 @@ def verdicts(contexts: DataFrame, refs: DataFrame, scanned_at: int, is_used: Cal
 
     All references count; only those that aren't mere information make an attachment used. Of many the
     first KEPT stay, by detector, object, detail and match. ``is_used`` may replace the computed boolean."""
-    # An attachment's references are cut to KEPT before they are collected, so a hot one stays small.
-    order = Window.partitionBy("attachment_id").orderBy("ord", "object_id", "detail", "match")
-    first = refs.withColumn("n", F.row_number().over(order)).where(F.col("n") <= KEPT)
-    short = F.struct("n", F.struct(F.col("detector").alias("d"), F.col("object_type").alias("t"), F.col("object_id").alias("i"), F.col("detail").alias("k"), F.col("match").alias("m"), F.col("confidence").alias("c")).alias("r"))
-    kept = first.groupBy("attachment_id").agg(F.array_sort(F.collect_list(short)).alias("kept"))
-    counts = refs.groupBy("attachment_id").agg(F.count("*").alias("ref_count"), F.bool_or(F.col("confidence") != "info").alias("counts"))
-    joined = contexts.join(counts, "attachment_id", "left").join(kept, "attachment_id", "left")
+    # In one pass: references are dealt to parts, each part counts and keeps its first KEPT, and an attachment's parts are
+    # then put together. So a hot attachment has many tasks, and no more than KEPT x PARTS references in one row.
+    part = ["attachment_id", "part"]
+    ranked = refs.withColumn("part", F.pmod(F.xxhash64("object_id", "detail"), F.lit(PARTS))).withColumn("n", F.row_number().over(Window.partitionBy(*part).orderBy("ord", "object_id", "detail", "match")))
+    short = F.struct("ord", "object_id", "detail", "match", F.struct(F.col("detector").alias("d"), F.col("object_type").alias("t"), F.col("object_id").alias("i"), F.col("detail").alias("k"), F.col("match").alias("m"), F.col("confidence").alias("c")).alias("r"))
+    parts = ranked.groupBy(*part).agg(F.count("*").alias("ref_count"), F.bool_or(F.col("confidence") != "info").alias("counts"), F.collect_list(F.when(F.col("n") <= KEPT, short)).alias("kept"))
+    found = parts.groupBy("attachment_id").agg(F.sum("ref_count").alias("ref_count"), F.bool_or("counts").alias("counts"), F.slice(F.array_sort(F.flatten(F.collect_list("kept"))), 1, KEPT).alias("kept"))
+    joined = contexts.join(found, "attachment_id", "left")
     used = F.coalesce("counts", F.lit(False))
     used = is_used(used, joined) if is_used else used
-    json = F.to_json(F.transform(F.coalesce("kept", F.array().cast(f"array<struct<n:int,r:{SCHEMA[6:-1]}>>")), lambda x: x["r"]))
+    json = F.coalesce(F.to_json(F.transform("kept", lambda x: x["r"])), F.lit("[]"))
     return joined.select("attachment_id", F.when(used, "used").otherwise("unused").alias("status"), F.coalesce("ref_count", F.lit(0)).alias("ref_count"), json.alias("refs_json"), F.lit(scanned_at).cast("long").alias("scanned_at"))
 
 
@@ -55,6 +58,13 @@ def saved(results: DataFrame, fresh: DataFrame) -> DataFrame:
     return cleared(results, fresh).unionByName(fresh)
 
 
+def latest(stored: DataFrame) -> DataFrame:
+    """One verdict for each attachment, the last one, of results stored in several ``batch``es."""
+    columns = [c for c in stored.columns if c not in ("attachment_id", "batch")]
+    newest = stored.groupBy("attachment_id").agg(F.max_by(F.struct(*columns), F.struct("scanned_at", "batch")).alias("r"))
+    return newest.select("attachment_id", "r.*")
+
+
 def cleared(results: DataFrame, ids: DataFrame) -> DataFrame:
     """Stored results without those of the given attachments."""
     return results.join(ids.select("attachment_id"), "attachment_id", "left_anti").select(*results.columns)

@@ -1,15 +1,18 @@
-"""A scan that can be stopped and resumed: its cursor is a small table, read and written between batches."""
+"""A scan that can be stopped and resumed: its state is a row of a log, read and written between batches.
+
+The log only grows: the last row counts, so a write that is cut off leaves the state before it."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import astuple, dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.site import Site
 from .listing import ids_after
 
+LOG = "seq long, kind string, cursor long, done long, total long, started_at long, finished_at long, scanned long, unused long"
 BATCH = 10
 
 
@@ -53,6 +56,77 @@ def progress(done: int, total: int) -> int:
     return min(100, int(100 * done / total + 0.5)) if total else 0
 
 
+def percent(done: Column, total: Column) -> Column:
+    """``progress`` of columns."""
+    return F.when(total > 0, F.least(F.lit(100), F.floor(100 * done / total + 0.5))).otherwise(0).cast("long")
+
+
+def goal_shown(done: Column, total: Column) -> Column:
+    """``total_shown`` of columns."""
+    return F.greatest(total, done).cast("long")
+
+
+def current_of(log: DataFrame) -> DataFrame:
+    """cursor, done, total, started_at of a running scan: one row, or none after a reset, an end, or nothing at all."""
+    last = log.agg(F.max_by(F.struct("kind", "cursor", "done", "total", "started_at"), "seq").alias("r")).select("r.*")
+    return last.where("kind = 'running'").drop("kind")
+
+
+def last_of(log: DataFrame) -> DataFrame:
+    """finished_at, scanned, unused of the last finished scan, which a reset leaves: one row or none."""
+    last = log.where("kind = 'finished'").agg(F.max_by(F.struct("finished_at", "scanned", "unused"), "seq").alias("r")).select("r.*")
+    return last.where("finished_at IS NOT NULL")
+
+
+def with_row(log: DataFrame, kind: str, state: State | None = None, last: LastScan | None = None) -> DataFrame:
+    """The log with one more row at its end: kind running, finished or reset."""
+    values = (*(astuple(state) if state else (None,) * 4), *(astuple(last) if last else (None,) * 3))
+    row = log.sparkSession.createDataFrame([(kind, *values)], LOG.split(", ", 1)[1])
+    end = log.agg((F.coalesce(F.max("seq"), F.lit(0)) + 1).alias("seq"))
+    return log.unionByName(row.withColumn("one", F.lit(1)).join(F.broadcast(end.withColumn("one", F.lit(1))), "one").drop("one"))  # one row each
+
+
+class Store:
+    """The log in a folder that all can reach."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        spark.createDataFrame([], LOG).write.mode("append").parquet(folder)
+
+    def log(self) -> DataFrame:
+        return self.spark.read.schema(LOG).parquet(self.folder)
+
+    def append(self, kind: str, state: State | None = None, last: LastScan | None = None) -> None:
+        log = self.log()
+        seq = log.agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).first()[0]
+        with_row(log, kind, state, last).where(F.col("seq") == seq).coalesce(1).write.mode("append").parquet(self.folder)
+
+    def current(self) -> State | None:
+        row = current_of(self.log()).first()
+        return State(*row) if row else None
+
+    def last_scan(self) -> LastScan | None:
+        row = last_of(self.log()).first()
+        return LastScan(*row) if row else None
+
+    def start(self, total: int, now: int) -> State:
+        self.append("running", state := started(total, now))
+        return state
+
+    def advance(self, cursor: int, n: int, now: int) -> State:
+        self.append("running", state := advanced(self.current(), cursor, n, now))
+        return state
+
+    def finish(self, unused: int, now: int) -> LastScan:
+        _, last = finished(self.current(), unused, now)
+        self.append("finished", last=last)
+        return last
+
+    def reset(self) -> None:
+        """Forgets the running scan; the last finished one stays."""
+        self.append("reset")
+
+
 def batches(site: Site, size: int = BATCH) -> DataFrame:
     """batch, cursor, done: what a scan in batches goes through; each row is a written state.
 

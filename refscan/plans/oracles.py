@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.labels import MATCH_LABELS, OTHER_LABEL
 from ..sources.fixtures import NOW, prelude
-from ..sources.site import SKIPPED_KEYS, SKIPPED_OPTIONS
 
 BLANKS = "' ' || chr(10) || chr(13) || chr(9) || chr(11)"
 CAND = {
@@ -37,12 +35,11 @@ CTX = """ctx AS (
       SELECT *, [base, coalesce(original_image, ''), size_thumb, regexp_replace(base, '-(scaled|rotated|[0-9]+x[0-9]+)(\\.[a-z0-9]+)$', '\\2', 'i')] AS names FROM (
         SELECT *, regexp_extract(attached_file, '[^/]*$') AS base FROM attachments))))"""
 OWNERS = "owners AS (SELECT id, post_type, post_status FROM posts UNION ALL SELECT id, 'attachment', post_status FROM attachments)"
-quoted = lambda names: ", ".join(f"'{n}'" for n in names)
 
 SOURCES = {
     "content": "content AS (SELECT id, post_status, post_content FROM posts WHERE post_type NOT IN ('attachment', 'revision', 'nav_menu_item') AND post_status <> 'auto-draft')",
-    "pm": f"pm AS (SELECT meta_id, post_id, meta_key, meta_value, o.post_status FROM postmeta m JOIN owners o ON m.post_id = o.id WHERE o.post_type <> 'revision' AND NOT starts_with(meta_key, '_refscan_') AND meta_key NOT IN ({quoted(SKIPPED_KEYS)}))",
-    "op": f"op AS (SELECT option_id, option_name, option_value FROM options WHERE NOT starts_with(option_name, '_transient_') AND NOT starts_with(option_name, '_site_transient_') AND option_name NOT IN ({quoted(SKIPPED_OPTIONS)}))",
+    "pm": f"pm AS (SELECT meta_id, post_id, meta_key, meta_value, o.post_status FROM postmeta m JOIN owners o ON m.post_id = o.id WHERE o.post_type <> 'revision' AND NOT starts_with(meta_key, '_refscan_') AND meta_key NOT IN ('_wp_attached_file', '_wp_attachment_metadata', '_wp_attachment_image_alt', '_wp_old_slug', '_wp_old_date', '_edit_lock', '_edit_last'))",
+    "op": f"op AS (SELECT option_id, option_name, option_value FROM options WHERE NOT starts_with(option_name, '_transient_') AND NOT starts_with(option_name, '_site_transient_') AND option_name NOT IN ('cron', 'refscan_scan_state', 'refscan_last_scan', 'refscan_changed_at', 'rewrite_rules', 'wp_user_roles', 'active_plugins', 'recently_edited', 'uninstall_plugins'))",
     "um": "um AS (SELECT meta_id, user_id, meta_key, meta_value FROM usermeta WHERE meta_key <> 'session_tokens' AND NOT ends_with(meta_key, 'capabilities') AND NOT ends_with(meta_key, 'user_level') AND NOT contains(meta_key, 'user-settings'))",
 }
 NEEDS = {"content": ("posts",), "pm": ("posts", "postmeta"), "op": ("options",), "um": ("usermeta",)}
@@ -100,8 +97,26 @@ def over_refs(select: str, *views: str) -> str:
     return base.rstrip() + ",\n" + refs_view() + "\n" + select
 
 
-LABEL = "CASE match " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MATCH_LABELS.items()) + f" ELSE '{OTHER_LABEL}' END"
+LABEL = """CASE match WHEN 'acf' THEN 'ACF field' WHEN 'thumbnail' THEN 'Featured image' WHEN 'woo-gallery' THEN 'Product gallery' WHEN 'elementor' THEN 'Elementor content' WHEN 'block-id' THEN 'Block attribute'
+  WHEN 'wp-image-class' THEN 'Image in content' WHEN 'gallery' THEN 'Gallery' WHEN 'url' THEN 'File URL' WHEN 'widget' THEN 'Widget' WHEN 'theme-mod' THEN 'Customizer setting' WHEN 'site-option' THEN 'Site setting'
+  WHEN 'serialized' THEN 'Stored data' WHEN 'comma-list' THEN 'ID list' WHEN 'attached' THEN 'Uploaded to' ELSE 'ID value' END"""
 UNUSED = "SELECT a.id AS attachment_id, a.post_status, r.scanned_at FROM attachments a JOIN results r ON a.id = r.attachment_id WHERE r.status = 'unused'"
-JSON = f"to_json(list(struct_pack(d := detector, t := object_type, i := object_id, k := detail, m := match, c := confidence) ORDER BY ord, object_id, detail, match))"
 VERDICTS = f"""SELECT c.attachment_id, CASE WHEN coalesce(bool_or(confidence <> 'info'), false) THEN 'used' ELSE 'unused' END AS status, count(r.attachment_id) AS ref_count, CAST({NOW} AS BIGINT) AS scanned_at
 FROM ctx c LEFT JOIN refs r ON c.attachment_id = r.attachment_id GROUP BY c.attachment_id"""
+
+
+def thousands(x: str) -> str:
+    return f"format('{{:,}}', CAST({x} AS BIGINT))"
+
+
+def in_units(b: str) -> str:
+    """A size in whole units, halves up."""
+    unit = lambda n, name: f"{thousands(f'floor({b} / {1 << 10 * n}.0 + 0.5)')} || ' {name}'"
+    return f"CASE WHEN {b} = 0 THEN '0 B' WHEN {b} < 1024 THEN {thousands(b)} || ' B' WHEN {b} < 1048576 THEN {unit(1, 'KB')} WHEN {b} < 1073741824 THEN {unit(2, 'MB')} ELSE {unit(3, 'GB')} END"
+
+
+def difference(a: str, b: str) -> str:
+    """The time between two epoch seconds, in words."""
+    d = f"abs({a} - ({b}))"
+    said = lambda size, name: f"(SELECT n || ' {name}' || CASE WHEN n = 1 THEN '' ELSE 's' END FROM (SELECT greatest(1, CAST(floor({d} / {size}.0 + 0.5) AS BIGINT)) AS n))"
+    return f"CASE WHEN {d} < 60 THEN {said(1, 'second')} WHEN {d} < 3600 THEN {said(60, 'minute')} WHEN {d} < 86400 THEN {said(3600, 'hour')} WHEN {d} < 604800 THEN {said(86400, 'day')} WHEN {d} < 2592000 THEN {said(604800, 'week')} WHEN {d} < 31536000 THEN {said(2592000, 'month')} ELSE {said(31536000, 'year')} END"

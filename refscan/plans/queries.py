@@ -161,8 +161,8 @@ for name in ("used", "unused", "unscanned", "total"):
 register("agg_scan_total", lambda s: s.attachments.agg(F.count("*").alias("n")), o.with_views("SELECT count(*) AS n FROM attachments"))
 register("agg_found", lambda s: listing.listed(s).agg(F.count("*").alias("n")), o.with_views(f"SELECT count(*) AS n FROM ({o.UNUSED}) WHERE post_status IN ('inherit', 'private')", "results"))
 register("page_count", lambda s: listing.listed(s).agg(F.ceil(F.count("*") / listing.PAGE).alias("pages")), o.with_views(f"SELECT CAST(ceil(count(*) / 50) AS BIGINT) AS pages FROM ({o.UNUSED}) WHERE post_status IN ('inherit', 'private')", "results"))
-register("agg_progress", lambda s: state.batches(s, 10).join(s.attachments.agg(F.count("*").alias("total")).withColumn("one", F.lit(0)), F.col("batch") >= F.col("one")).select("batch", F.least(F.lit(100), F.floor(100 * F.col("done") / F.col("total") + 0.5)).cast("long").alias("percent")), o.with_views("SELECT CAST(floor((n - 1) / 10) AS BIGINT) AS batch, CAST(least(100, floor(100 * max(n) / any_value(total) + 0.5)) AS BIGINT) AS percent FROM (SELECT row_number() OVER (ORDER BY id) AS n, count(*) OVER () AS total FROM attachments) GROUP BY 1"))
-register("agg_done_total", lambda s: state.batches(s, 10).select("batch", F.greatest(F.lit(100), F.col("done")).cast("long").alias("total")), o.with_views("SELECT CAST(floor((n - 1) / 10) AS BIGINT) AS batch, greatest(100, max(n)) AS total FROM (SELECT row_number() OVER (ORDER BY id) AS n FROM attachments) GROUP BY 1"))
+register("agg_progress", lambda s: state.batches(s, 10).crossJoin(F.broadcast(s.attachments.agg(F.count("*").alias("total")))).select("batch", state.percent(F.col("done"), F.col("total")).alias("percent")), o.with_views("SELECT CAST(floor((n - 1) / 10) AS BIGINT) AS batch, CAST(least(100, floor(100 * max(n) / any_value(total) + 0.5)) AS BIGINT) AS percent FROM (SELECT row_number() OVER (ORDER BY id) AS n, count(*) OVER () AS total FROM attachments) GROUP BY 1"))
+register("agg_done_total", lambda s: state.batches(s, 10).select("batch", state.goal_shown(F.col("done"), F.lit(100)).alias("total")), o.with_views("SELECT CAST(floor((n - 1) / 10) AS BIGINT) AS batch, greatest(100, max(n)) AS total FROM (SELECT row_number() OVER (ORDER BY id) AS n FROM attachments) GROUP BY 1"))
 register("st_batch", lambda s: state.batches(s, 10).select("batch", "cursor", F.col("done").cast("long")), o.with_views("SELECT CAST(floor((n - 1) / 10) AS BIGINT) AS batch, max(id) AS cursor, max(n) AS done FROM (SELECT id, row_number() OVER (ORDER BY id) AS n FROM attachments) GROUP BY 1"))
 
 # Paging and lists
@@ -170,7 +170,10 @@ register("topk_keyset", lambda s: listing.ids_after(s.attachments, 100, 10), o.w
 register("topk_unused", lambda s: listing.unused_ids(s, 5), o.with_views(f"SELECT attachment_id FROM ({o.UNUSED}) WHERE post_status <> 'trash' ORDER BY attachment_id LIMIT 5", "results"))
 PAGED = f"SELECT attachment_id, scanned_at FROM ({o.UNUSED}) WHERE post_status IN ('inherit', 'private') ORDER BY attachment_id LIMIT 50 OFFSET 50"
 register("page_unused", lambda s: listing.unused_page(s, 2), o.with_views(PAGED, "results"))
-register("qry_unused_table", lambda s: listing.unused_table(s, 2), o.with_views(f"SELECT p.attachment_id, coalesce(nullif(title, ''), regexp_extract(attached_file, '[^/]*$')) AS title, regexp_extract(attached_file, '[^/]*$') AS file, mime, coalesce(size, filesize, 0) AS bytes, scanned_at FROM ({PAGED}) p JOIN attachments a ON a.id = p.attachment_id LEFT JOIN files f ON f.attachment_id = p.attachment_id", "results", "files"))
+SHOWN_AT = NOW + 200_000
+BASE = "regexp_extract(attached_file, '[^/]*$')"
+SEEN = f"CASE WHEN scanned_at > 0 THEN {o.difference('scanned_at', str(SHOWN_AT))} || ' ago' ELSE '—' END"
+register("qry_unused_table", lambda s: listing.unused_table(s, 2, SHOWN_AT), o.with_views(f"SELECT attachment_id, title, file, mime, date, CASE WHEN b > 0 THEN {o.in_units('b')} ELSE '—' END AS size, {SEEN} AS scanned FROM (SELECT p.attachment_id, coalesce(nullif(title, ''), {BASE}) AS title, {BASE} AS file, mime, coalesce(strftime(created, '%B %-d, %Y'), '—') AS date, coalesce(size, filesize, 0) AS b, scanned_at FROM ({PAGED}) p JOIN attachments a ON a.id = p.attachment_id LEFT JOIN files f ON f.attachment_id = p.attachment_id)", "results", "files"))
 register("qry_list_filter", lambda s: listing.filtered(s, "unused").withColumn("filter", F.lit("unused")).union(listing.filtered(s, "anything").withColumn("filter", F.lit("any"))), o.with_views("SELECT attachment_id, 'unused' AS filter FROM results WHERE status = 'unused' UNION ALL SELECT id, 'any' FROM attachments", "results"))
 STATUS = "CASE WHEN status IN ('used', 'unused') THEN status END"
 COUNTED = "CASE WHEN status = 'used' THEN ref_count ELSE 0 END"
@@ -180,14 +183,61 @@ register("qry_usage_column", listing.usage_column, USAGE)
 register("fn_badge", lambda s: s.results.select("attachment_id", labels.badge(F.col("status"), F.col("ref_count")).alias("badge")), o.with_views(f"SELECT attachment_id, {BADGE} AS badge FROM results", "results"))
 register("fn_match_label", lambda s: references(s).groupBy(labels.match_label(F.col("match")).alias("label")).agg(F.count("*").alias("n")), o.over_refs(f"SELECT {o.LABEL} AS label, count(*) AS n FROM refs GROUP BY 1"))
 register("fn_title", lambda s: s.attachments.select("id", labels.title_of(F.col("title"), context.basename(F.col("attached_file")), F.col("id")).alias("title")), o.with_views("SELECT id, coalesce(nullif(title, ''), regexp_extract(attached_file, '[^/]*$')) AS title FROM attachments"))
-register("fn_size", lambda s: listing.file_sizes(s).select("attachment_id", labels.size_text(F.col("bytes")).alias("size")), o.with_views("SELECT a.id AS attachment_id, CASE WHEN b = 0 THEN '0 B' WHEN b < 1024 THEN b || ' B' ELSE CAST(round_even(b / 1024, 0) AS BIGINT) || ' KB' END AS size FROM (SELECT a.id, coalesce(f.size, a.filesize, 0) AS b FROM attachments a LEFT JOIN files f ON f.attachment_id = a.id) a", "files"))
+register("fn_size", lambda s: listing.file_sizes(s).select("attachment_id", labels.size_text(F.col("bytes")).alias("size")), o.with_views(f"SELECT id AS attachment_id, {o.in_units('b')} AS size FROM (SELECT a.id, coalesce(f.size, a.filesize, 0) AS b FROM attachments a LEFT JOIN files f ON f.attachment_id = a.id)", "files"))
+SPREAD = "scanned_at + attachment_id * attachment_id * 700"
+register("fn_time", lambda s: s.results.select("attachment_id", labels.time_difference(F.expr(SPREAD), F.lit(NOW)).alias("difference"), labels.ago(F.when(F.col("attachment_id") % 5 != 0, F.col("scanned_at")).otherwise(0), F.lit(SHOWN_AT)).alias("ago")), o.with_views(f"SELECT attachment_id, {o.difference(SPREAD, str(NOW))} AS difference, CASE WHEN attachment_id % 5 <> 0 THEN {o.difference('scanned_at', str(SHOWN_AT))} || ' ago' ELSE '—' END AS ago FROM results", "results"))
 
 # State, deletion and single checks
 CHANGED = "SELECT CAST(epoch(date_trunc('second', max(ts))) AS BIGINT) AS changed_at FROM changes WHERE post_type NOT IN ('revision', 'attachment')"
 register("st_stale", lambda s: last_change(s.changes), o.with_views(CHANGED, "changes"))
 register("st_is_stale", lambda s: s.results.select("attachment_id", is_stale(F.lit(NOW + 30_000), F.col("scanned_at")).alias("stale")), o.with_views(f"SELECT attachment_id, {NOW + 30_000} > scanned_at AS stale FROM results", "results"))
-register("qry_scan_card", lambda s: listing.scan_card(s, NOW, last_change(s.changes)), o.with_views(f"SELECT CAST(used AS BIGINT) AS used, CAST(unused AS BIGINT) AS unused, CAST(unscanned AS BIGINT) AS unscanned, total, CAST({NOW} AS BIGINT) AS finished_at, coalesce(changed_at > {NOW}, false) AS stale FROM ({COUNTS}) CROSS JOIN ({CHANGED})", "results", "changes"))
-register("qry_check", lambda s: scanned(s, NOW, ids=s.attachments.where("id = 5").select(F.col("id").alias("attachment_id"))).select(*VERDICT_COLUMNS, labels.badge(F.col("status"), F.col("ref_count")).alias("badge")), o.over_refs(f"SELECT *, {BADGE} AS badge FROM ({o.VERDICTS}) WHERE attachment_id = 5"))
+RUNNING = "SELECT cursor, done, total, started_at FROM scan_log WHERE kind = 'running' AND seq = (SELECT max(seq) FROM scan_log)"
+LAST = "SELECT finished_at, scanned, unused FROM scan_log WHERE kind = 'finished' ORDER BY seq DESC LIMIT 1"
+NOTE_SQL = f"'Last full scan finished ' || {o.difference('finished_at', str(SHOWN_AT))} || ' ago (' || {o.thousands('scanned')} || ' files).' || CASE WHEN changed_at > finished_at THEN ' Content has changed since — results may be stale.' ELSE '' END"
+BUTTON = f"CASE WHEN r.done IS NULL THEN 'Start full scan' ELSE 'Resume scan (' || {o.thousands('r.done')} || ' / ' || {o.thousands('r.total')} || ')' END"
+register("qry_scan_card", lambda s: listing.scan_card(s, state.current_of(s.scan_log), state.last_of(s.scan_log), last_change(s.changes), SHOWN_AT), o.with_views(f"SELECT CAST(used AS BIGINT) AS used, CAST(c.unused AS BIGINT) AS unused, CAST(unscanned AS BIGINT) AS unscanned, c.total, {NOTE_SQL} AS note, {BUTTON} AS button FROM ({COUNTS}) c LEFT JOIN ({RUNNING}) r ON true LEFT JOIN ({LAST}) l ON true LEFT JOIN ({CHANGED}) h ON true", "results", "changes", "scan_log"))
+register("st_current", lambda s: state.current_of(s.scan_log), o.with_views(RUNNING, "scan_log"))
+register("st_last", lambda s: state.last_of(s.scan_log), o.with_views(LAST, "scan_log"))
+LATER = "SELECT CAST(seq AS BIGINT) AS seq, kind, CAST(cursor AS BIGINT) AS cursor, CAST(done AS BIGINT) AS done, CAST(total AS BIGINT) AS total, CAST(started_at AS BIGINT) AS started_at, CAST(finished_at AS BIGINT) AS finished_at, CAST(scanned AS BIGINT) AS scanned, CAST(unused AS BIGINT) AS unused FROM ({} FROM (SELECT max(seq) + 1 AS n, arg_max(cursor, seq) AS c, arg_max(done, seq) AS d, arg_max(total, seq) AS t, arg_max(started_at, seq) AS a FROM scan_log))"
+
+
+def next_row(kind: str, step: Callable[[Site, state.State | None], tuple[state.State | None, state.LastScan | None]]) -> Query:
+    """The log's new last row after a step from the current state."""
+
+    def query(s: Site) -> DataFrame:
+        row = state.current_of(s.scan_log).first()  # one row at most
+        log = state.with_row(s.scan_log, kind, *step(s, state.State(*row) if row else None))
+        end = F.broadcast(log.agg(F.max("seq").alias("seq")))  # one row
+        return log.join(end, "seq")
+
+    return query
+
+
+def advanced(s: Site, current: state.State | None) -> tuple[state.State, None]:
+    ids = [r[0] for r in state.next_batch(s, current or state.State(), 10).collect()]
+    return state.advanced(current, ids[-1] if ids else 0, len(ids), NOW), None
+
+
+register("st_start", next_row("running", lambda s, current: (state.started(s.attachments.count(), NOW), None)), o.with_views(LATER.format(f"SELECT n AS seq, 'running' AS kind, 0 AS cursor, 0 AS done, (SELECT count(*) FROM attachments) AS total, {NOW} AS started_at, NULL AS finished_at, NULL AS scanned, NULL AS unused"), "scan_log"))
+AFTER = "(SELECT * FROM attachments WHERE id > (SELECT arg_max(cursor, seq) FROM scan_log) ORDER BY id LIMIT 10)"
+register("st_advance", next_row("running", advanced), o.with_views(LATER.format(f"SELECT n AS seq, 'running' AS kind, coalesce((SELECT max(id) FROM {AFTER}), 0) AS cursor, d + (SELECT count(*) FROM {AFTER}) AS done, t AS total, a AS started_at, NULL AS finished_at, NULL AS scanned, NULL AS unused"), "scan_log"))
+register("st_finish", next_row("finished", lambda s, current: (None, state.finished(current, results.status_counts(s.attachments, s.results).first()["unused"], NOW)[1])), o.with_views(LATER.format(f"SELECT n AS seq, 'finished' AS kind, NULL AS cursor, NULL AS done, NULL AS total, NULL AS started_at, {NOW} AS finished_at, d AS scanned, (SELECT unused FROM ({COUNTS})) AS unused"), "results", "scan_log"))
+register("st_reset", lambda s: state.current_of(state.with_row(s.scan_log, "reset")).agg(F.count("*").alias("running")).crossJoin(F.broadcast(state.last_of(state.with_row(s.scan_log, "reset")))), o.with_views(f"SELECT CAST(0 AS BIGINT) AS running, finished_at, scanned, unused FROM ({LAST})", "scan_log"))
+LINE = f"{o.LABEL} || ' — ' || {WHERE} || {SHOWN} || {NOTE}"
+LINES = f"SELECT attachment_id, string_agg({LINE}, chr(10) ORDER BY place) AS lines FROM ({KEPT_SQL}) r LEFT JOIN (SELECT id, title FROM posts UNION ALL SELECT id, title FROM attachments) p ON object_type = 'post' AND object_id = p.id LEFT JOIN terms t ON object_type = 'term' AND object_id = t.term_id LEFT JOIN users u ON object_type = 'user' AND object_id = u.user_id GROUP BY attachment_id"
+
+
+def checked(s: Site) -> DataFrame:
+    ids = s.attachments.sparkSession.createDataFrame([(4,), (5,), (0,), (99_999_999,)], "attachment_id long")
+    return listing.checked(s, ids, scanned(s, NOW, ids=ids))
+
+
+register("qry_check", checked, o.over_refs(f"SELECT x.id AS attachment_id, CASE WHEN status IS NULL THEN 'refused' ELSE 'checked' END AS outcome, status, CASE WHEN status IS NOT NULL THEN {BADGE} END AS badge, CASE WHEN status IS NOT NULL THEN coalesce(lines, 'No references found anywhere.') END AS evidence FROM (VALUES (CAST(4 AS BIGINT)), (5), (0), (99999999)) x(id) LEFT JOIN ({o.VERDICTS}) v ON v.attachment_id = x.id LEFT JOIN ({LINES}) e ON e.attachment_id = x.id", "terms", "users"))
+register("udf_detectors", lambda s: scanned(s, NOW, detectors={"attached": detectors.attached, "termmeta": lambda site, known: detectors.termmeta(site, known).withColumn("detector", F.lit("own"))}).select("attachment_id", "status", "ref_count"), o.over_refs("SELECT c.attachment_id, CASE WHEN coalesce(bool_or(confidence <> 'info'), false) THEN 'used' ELSE 'unused' END AS status, count(r.attachment_id) AS ref_count FROM ctx c LEFT JOIN (SELECT * FROM refs WHERE detector IN ('attached', 'termmeta')) r ON c.attachment_id = r.attachment_id GROUP BY c.attachment_id"))
+register("udf_is_used", lambda s: scanned(s, NOW, is_used=lambda used, rows: used & (F.coalesce("ref_count", F.lit(0)) > 2)).select("attachment_id", "status"), o.over_refs(f"SELECT attachment_id, CASE WHEN status = 'used' AND ref_count > 2 THEN 'used' ELSE 'unused' END AS status FROM ({o.VERDICTS})"))
+register("udf_batch_size", lambda s: state.batches(s, -3).select("batch", "cursor", F.col("done").cast("long")), o.with_views("SELECT row_number() OVER (ORDER BY id) - 1 AS batch, id AS cursor, row_number() OVER (ORDER BY id) AS done FROM attachments"))
+register("src_request", lambda s: s.postmeta.select("meta_id", deletion.requested_keys(F.col("meta_key")).alias("key")), o.with_views("SELECT meta_id, regexp_replace(lower(coalesce(meta_key, '')), '[^a-z0-9_-]', '', 'g') AS key FROM postmeta", "postmeta"))
+register("snk_latest", lambda s: results.latest(s.results.withColumn("batch", F.lit(1)).unionByName(s.results.withColumn("batch", F.lit(2)).withColumn("scanned_at", F.col("scanned_at") + F.when(F.col("attachment_id") % 2 == 0, 60).otherwise(-60)).withColumn("ref_count", F.lit(7).cast("long")))).select(*VERDICT_COLUMNS), o.with_views("SELECT attachment_id, status, CASE WHEN attachment_id % 2 = 0 THEN 7 ELSE ref_count END AS ref_count, CASE WHEN attachment_id % 2 = 0 THEN scanned_at + 60 ELSE scanned_at END AS scanned_at FROM results", "results"))
 
 
 def deletion_plan(s: Site) -> DataFrame:

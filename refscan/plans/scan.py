@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.context import contexts
 from ..operators.detectors import Detector, all_references
-from ..operators.results import verdicts
-from ..sources.site import Site
+from ..operators.results import latest, saved, status_counts, verdicts
+from ..operators.state import BATCH, LastScan, State, Store, next_batch
+from ..sources.site import COLUMNS, Site
 
 
 def references(site: Site, ids: DataFrame | None = None, detectors: dict[str, Detector] | None = None) -> DataFrame:
@@ -25,3 +27,27 @@ def chosen(site: Site, ids: DataFrame | None) -> DataFrame:
 def scanned(site: Site, now: int, ids: DataFrame | None = None, detectors: dict[str, Detector] | None = None, is_used: Callable[[Column, DataFrame], Column] | None = None) -> DataFrame:
     """Verdicts: attachment_id, status, ref_count, refs_json, scanned_at."""
     return verdicts(chosen(site, ids), references(site, ids, detectors), now, is_used)
+
+
+def scan_batch(site: Site, store: Store, results: str, now: int, size: int = BATCH) -> State | LastScan:
+    """Scans the next batch of a stored scan (a new one, if none is running) into its folder of ``results``, and stores how far it came.
+
+    A batch that is cut off before its state is stored is scanned again and overwritten. When no id is left
+    the scan is finished, with the counts of ``merged`` results."""
+    state = store.current()
+    if state is None:
+        state = store.start(site.attachments.count(), now)
+        site.results.limit(0).write.mode("overwrite").parquet(f"{results}/batch=-1")  # so that there are results, if none of attachments
+    ids = next_batch(site, state, size)
+    end = ids.agg(F.max("attachment_id").alias("cursor"), F.count("*").alias("n")).first()
+    if not end["n"]:
+        unused = status_counts(site.attachments, merged(site, results)).first()["unused"]
+        return store.finish(unused, now)
+    scanned(site, now, ids=ids).write.mode("overwrite").parquet(f"{results}/batch={state.done}")
+    return store.advance(end["cursor"], end["n"], now)
+
+
+def merged(site: Site, results: str) -> DataFrame:
+    """The site's stored results with those of a folder of batches put in: of an attachment in several, the last."""
+    stored = site.results.sparkSession.read.schema(f"{COLUMNS['results']}, batch long").parquet(results)
+    return saved(site.results, latest(stored).select(*site.results.columns))

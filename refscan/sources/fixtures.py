@@ -1,6 +1,7 @@
 """A site derived by fixed arithmetic from the star-schema test tables, in SQL that Spark and DuckDB both read.
 
-The test tables hold no media references. Each view is (source table, {column: expression}, filter).
+The test tables hold no media references. Each view is (source table, {column: expression}, filter). ``@IDS@`` and
+``@DOCS@`` stand for numbers that grow with the tables: half as many again as attachments, and posts.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ def case(of: str, *values: str) -> str:
 
 PART, DOC, ORDER, SUPP = "p_partkey", "doc_id", "o_orderkey", "s_suppkey"
 STEM = f"replace(p_name, ' ', '-') || '-' || {text('p_partkey + 1')}"
-POST_T = text("(doc_id * 7) % 300 + 1")
-META_T = text("o_custkey % 300 + 1")
-OPTION_V = text("p_partkey % 300 + 1")
+POST_T = text("(doc_id * 7) % @IDS@ + 1")
+META_T = text("o_custkey % @IDS@ + 1")
+OPTION_V = text("p_partkey % @IDS@ + 1")
 
 VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
     "attachments": ("part", {
@@ -34,6 +35,7 @@ VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
         "post_status": "CASE WHEN p_partkey % 17 = 0 THEN 'trash' WHEN p_partkey % 5 = 0 THEN 'private' ELSE 'inherit' END",
         "post_parent": "CAST(CASE WHEN p_partkey % 3 = 0 THEN 1000000 + p_partkey ELSE 0 END AS BIGINT)",
         "title": "CASE WHEN p_partkey % 4 = 3 THEN '' ELSE p_name END",
+        "created": "CASE WHEN p_partkey % 11 <> 0 THEN DATE '2024-01-01' + CAST(p_partkey % 700 AS INT) END",
         "mime": "CASE WHEN p_partkey % 7 = 0 THEN 'image/png' ELSE 'image/jpeg' END",
         "stem": STEM,
         "attached_file": f"'2024/' || lpad({text('p_partkey % 12 + 1')}, 2, '0') || '/' || {STEM} || CASE p_partkey % 4 WHEN 0 THEN '-scaled' WHEN 1 THEN '-300x200' ELSE '' END || '.jpg'",
@@ -46,21 +48,21 @@ VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
         "post_type": case("CASE WHEN doc_id % 13 > 5 THEN 6 ELSE doc_id % 13 END", "'revision'", "'nav_menu_item'", "'page'", "'page'", "'page'", "'page'", "'post'"),
         "post_status": case("CASE WHEN doc_id % 11 > 1 THEN 2 ELSE doc_id % 11 END", "'trash'", "'auto-draft'", "'publish'"),
         "title": f"CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'Post ' || {text('doc_id')} END",
-        "post_content": "substr(text, 1, 200) || ' ' || " + case(
+        "post_content": "coalesce(text, '') || ' ' || " + case(
             "doc_id % 9",
             f"'<img class=\"wp-image-' || {POST_T} || '\">'", f"'<!-- wp:image {{\"id\":' || {POST_T} || '}} -->'", f"'<!-- wp:gallery {{\"ids\":[4,' || {POST_T} || ',9]}} -->'",
-            f"'[gallery ids=\"4,' || {POST_T} || ',9\"]'", f"'[gallery ids=''' || {POST_T} || ',9'']'", f"'<a href=\"/u/' || {text('(doc_id * 7) % 300 + 1')} || '.jpg\">'",
+            f"'[gallery ids=\"4,' || {POST_T} || ',9\"]'", f"'[gallery ids=''' || {POST_T} || ',9'']'", f"'<a href=\"/u/' || {text('(doc_id * 7) % @IDS@ + 1')} || '.jpg\">'",
             f"'{{\"id\": ' || {POST_T} || '}}'", f"'\"ids\":[4, ' || {POST_T} || ']'", "''"),
     }, "true"),
     "postmeta": ("orders", {
         "meta_id": "CAST(o_orderkey AS BIGINT)",
-        "post_id": "CAST(CASE WHEN o_orderkey % 14 = 13 THEN o_custkey % 300 + 1 ELSE 1000000 + floor(o_orderkey / 14) % 1000 END AS BIGINT)",
+        "post_id": "CAST(CASE WHEN o_orderkey % 14 = 13 THEN o_custkey % @IDS@ + 1 ELSE 1000000 + floor(o_orderkey / 14) % @DOCS@ END AS BIGINT)",
         "meta_key": case("o_orderkey % 14", "'_thumbnail_id'", "'_product_image_gallery'", "'_elementor_data'", "'hero_image'", "'_hero_image'", "'gallery'", "'_edit_lock'", "'url_field'", "'packed'", "'json_field'", "'related_id'", "'id_list'", "CASE WHEN o_orderkey % 28 = 12 THEN CAST(NULL AS STRING) ELSE '_refscan_status' END", "'related_id'"),
         "meta_value": case(
             "o_orderkey % 14",
             META_T, f"'4,' || {META_T} || ',9'", f"'[{{\"id\":' || {META_T} || '}}]'", META_T, "'field_abc'", f"'a:1:{{i:0;s:' || {text(f'length({META_T})')} || ':\"' || {META_T} || '\";}}'", META_T,
-            f"'/u/' || {META_T} || '-150x150.jpg'", f"'a:1:{{i:0;i:' || {META_T} || ';}}'", f"CASE WHEN o_orderkey % 28 = 9 THEN '{{\"id\": ' || {META_T} || '}}' ELSE '{{\"id\":' || {META_T} || '}}' END",
-            META_T, f"'4,' || {META_T} || ', 9'", META_T, f"CASE WHEN o_orderkey % 3 = 0 THEN {text('o_custkey % 300 + 2')} ELSE {META_T} END"),
+            f"'/u/' || {META_T} || '-150x150.jpg'", f"'a:1:{{i:0;i:' || {META_T} || ';}}'", f"CASE WHEN o_orderkey % 28 = 9 THEN '{{\"id\": ' || {META_T} || '}}' WHEN o_orderkey % 3 = 0 THEN '{{\"id\":\"' || {META_T} || '\"}}' ELSE '{{\"id\":' || {META_T} || '}}' END",
+            META_T, f"'4,' || {META_T} || ', 9'", META_T, f"CASE WHEN o_orderkey % 3 = 0 THEN {text('o_custkey % @IDS@ + 2')} ELSE {META_T} END"),
     }, "true"),
     "options": ("part", {
         "option_id": "CAST(p_partkey AS BIGINT)",
@@ -70,8 +72,8 @@ VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
     "termmeta": ("nation", {"meta_id": "CAST(n_nationkey AS BIGINT)", "term_id": "CAST(n_regionkey + 1 AS BIGINT)", "meta_key": case("n_nationkey % 3", "'image'", "'_image'", "'thumbnail_id'"), "meta_value": case("n_nationkey % 3", text("n_nationkey + 1"), "'field_t'", text("n_nationkey + 1"))}, "true"),
     "usermeta": ("customer", {"meta_id": "CAST(c_custkey AS BIGINT)", "user_id": "CAST(c_custkey % 150 + 1 AS BIGINT)", "meta_key": case("c_custkey % 5", "'avatar'", "'wp_capabilities'", "'session_tokens'", "'wp_user-settings-time'", "'ids'"), "meta_value": case("CASE WHEN c_custkey % 5 = 4 THEN 1 ELSE 0 END", text("c_nationkey + 1"), f"{text('c_nationkey + 1')} || ',7'")}, "true"),
     "terms": ("region", {"term_id": "CAST(r_regionkey + 1 AS BIGINT)", "name": "r_name"}, "r_regionkey < 4"),
-    "users": ("customer", {"user_id": "CAST(c_custkey AS BIGINT)", "display_name": "c_name"}, "c_custkey < 100"),
-    "files": ("part", {"attachment_id": "CAST(p_partkey + 1 AS BIGINT)", "size": "CAST(p_size * 1000 AS BIGINT)"}, "p_partkey % 2 = 0"),
+    "users": ("customer", {"user_id": "CAST(c_custkey AS BIGINT)", "display_name": "c_name"}, "c_custkey % 4 <> 3"),
+    "files": ("part", {"attachment_id": "CAST(p_partkey + 1 AS BIGINT)", "size": "CASE WHEN p_partkey % 8 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(p_size AS BIGINT) * 1000 * CASE WHEN p_partkey % 3 = 0 THEN 1 WHEN p_partkey % 3 = 1 THEN 77 ELSE 1000001 END END"}, "p_partkey % 2 = 0"),
     "results": ("part", {
         "attachment_id": "CAST(p_partkey + 1 AS BIGINT)",
         "status": case("CASE WHEN p_partkey % 6 < 3 THEN p_partkey % 6 ELSE 3 END", "'used'", "'garbage'", "'used'", "'unused'"),
@@ -79,6 +81,17 @@ VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
         "refs_json": case("p_partkey % 4", "'[{\"d\":\"content\",\"t\":\"post\",\"i\":' || " + text("p_partkey") + " || ',\"k\":\"gallery\",\"m\":\"gallery\",\"c\":\"confirmed\"}]'", "'[{\"d\":\"options\"}]'", "'not json'", "'[]'"),
         "scanned_at": f"CAST({NOW} + p_partkey * 60 AS BIGINT)",
     }, "p_partkey % 10 <> 9"),
+    "scan_log": ("nation", {
+        "seq": "CAST(n_nationkey AS BIGINT)",
+        "kind": case("n_nationkey % 6", "'running'", "'running'", "'finished'", "'running'", "'reset'", "'running'"),
+        "cursor": "CAST(CASE WHEN n_nationkey % 6 IN (2, 4) THEN NULL ELSE n_nationkey * 10 END AS BIGINT)",
+        "done": "CAST(CASE WHEN n_nationkey % 6 IN (2, 4) THEN NULL ELSE n_nationkey * 500 END AS BIGINT)",
+        "total": "CAST(CASE WHEN n_nationkey % 6 IN (2, 4) THEN NULL ELSE 20000 END AS BIGINT)",
+        "started_at": f"CAST(CASE WHEN n_nationkey % 6 IN (2, 4) THEN NULL ELSE {NOW} END AS BIGINT)",
+        "finished_at": f"CAST(CASE WHEN n_nationkey % 6 = 2 THEN {NOW} - n_nationkey * 4000 END AS BIGINT)",
+        "scanned": "CAST(CASE WHEN n_nationkey % 6 = 2 THEN n_nationkey * 900 END AS BIGINT)",
+        "unused": "CAST(CASE WHEN n_nationkey % 6 = 2 THEN n_nationkey END AS BIGINT)",
+    }, "true"),
     "changes": ("events", {"post_id": "CAST(user_id AS BIGINT)", "post_type": "CASE event_type WHEN 'view' THEN 'revision' WHEN 'error' THEN 'attachment' ELSE 'post' END", "ts": "ts"}, "true"),
 }
 
@@ -86,29 +99,46 @@ VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
 LINKED = {"posts": ("post_content", "/u/"), "postmeta": ("meta_value", "/u/"), "options": ("option_value", "/u/")}
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def sizes(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Of the numbers that grow with the tables."""
+    n = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
+    return {"@IDS@": str(n("part") * 3 // 2), "@DOCS@": str(n("documents"))}
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, numbers: dict[str, str]) -> DataFrame:
     source, columns, keep = VIEWS[name]
-    return spark.read.parquet(f"{sf_dir}/{source}.parquet").where(keep).selectExpr(*(f"{e} AS `{c}`" for c, e in columns.items()))
+    return spark.read.parquet(f"{sf_dir}/{source}.parquet").where(keep).selectExpr(*(f"{with_numbers(e, numbers)} AS `{c}`" for c, e in columns.items()))
+
+
+def with_numbers(expression: str, numbers: dict[str, str]) -> str:
+    for mark, number in numbers.items():
+        expression = expression.replace(mark, number)
+    return expression
 
 
 def site(spark: SparkSession, sf_dir: str) -> Site:
-    views = {name: view(spark, sf_dir, name) for name in VIEWS}
+    numbers = sizes(spark, sf_dir)
+    views = {name: view(spark, sf_dir, name, numbers) for name in VIEWS}
     stems = views["attachments"].select(F.concat(F.lit("/u/"), F.col("id").cast("string")).alias("number"), "stem")
     for name, (column, mark) in LINKED.items():
         table = views[name].withColumn("number", F.regexp_extract(column, f"{mark}[0-9]+", 0))
         linked = table.join(stems, "number", "left")
         views[name] = linked.withColumn(column, F.when(F.col("stem").isNotNull(), F.expr(f"replace({column}, number, '/u/' || stem)")).otherwise(F.col(column))).select(*views[name].columns)
-    sizes = F.create_map(F.lit("thumbnail"), F.struct(F.col("size_thumb").alias("file")))
-    views["attachments"] = views["attachments"].withColumn("sizes", sizes).drop("stem", "size_thumb")
+    sizes_of = F.create_map(F.lit("thumbnail"), F.struct(F.col("size_thumb").alias("file")))
+    views["attachments"] = views["attachments"].withColumn("sizes", sizes_of).drop("stem", "size_thumb")
     return Site(**views)
 
 
+#: The same numbers as DuckDB counts them.
+COUNTED = {"@IDS@": "(SELECT count(*) * 3 // 2 FROM part)", "@DOCS@": "(SELECT count(*) FROM documents)"}
+
+
 def prelude(*names: str) -> str:
     """The views as a WITH list for DuckDB; ``names``: those wanted (attachments always)."""
     out = []
     for name in ("attachments", *(n for n in names if n != "attachments")):
         source, columns, keep = VIEWS[name]
-        select = f"SELECT {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM {source} WHERE {keep}".replace(" AS STRING)", " AS VARCHAR)")
+        select = f"SELECT {', '.join(f'{with_numbers(e, COUNTED)} AS {c}' for c, e in columns.items())} FROM {source} WHERE {keep}".replace(" AS STRING)", " AS VARCHAR)")
         if name in LINKED:
             column, mark = LINKED[name]
             number = f"regexp_extract({column}, '{mark}[0-9]+')"

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLUMNS = {
-    "attachments": "id long, post_status string, post_parent long, title string, mime string, attached_file string, original_image string, sizes map<string,struct<file:string>>, filesize long",
+    "attachments": "id long, post_status string, post_parent long, title string, mime string, attached_file string, original_image string, sizes map<string,struct<file:string>>, filesize long, created date",
     "posts": "id long, post_type string, post_status string, title string, post_content string",
     "postmeta": "meta_id long, post_id long, meta_key string, meta_value string",
     "options": "option_id long, option_name string, option_value string",
@@ -24,6 +24,7 @@ COLUMNS = {
     "files": "attachment_id long, size long",
     "results": "attachment_id long, status string, ref_count long, refs_json string, scanned_at long",
     "changes": "post_id long, post_type string, ts timestamp",
+    "scan_log": "seq long, kind string, cursor long, done long, total long, started_at long, finished_at long, scanned long, unused long",
 }
 
 
@@ -40,6 +41,7 @@ class Site:
     files: DataFrame
     results: DataFrame
     changes: DataFrame
+    scan_log: DataFrame
 
     @cached_property
     def owners(self) -> DataFrame:

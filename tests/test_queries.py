@@ -17,6 +17,12 @@ def test_query(spark, con, name):
     compared(registered.queries()[name](spark, f"{DATA}/sf0.001"), registered.SQL[name], con)
 
 
+@pytest.mark.parametrize("name", ["fn_size", "fn_time", "fn_evidence", "qry_unused_table", "qry_scan_card", "qry_check", "det_postmeta", "det_content", "cand_json_str", "cand_basename", "st_advance"])
+def test_larger_tables(spark, name):
+    rows = compared(registered.queries()[name](spark, f"{DATA}/sf0.01"), registered.SQL[name], connection(f"{DATA}/sf0.01"))
+    assert rows > 0
+
+
 def test_entry(spark):
     import __spark_entry__
 

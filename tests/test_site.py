@@ -1,6 +1,7 @@
 """A small hand-made site: contexts, every case of the detectors, verdicts, deletion, state and streams."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 from refscan.operators import deletion, detectors, listing, results, state
 from refscan.operators.candidates import name_pairs
 from refscan.operators.context import contexts
-from refscan.plans.scan import references, scanned
+from refscan.functions import labels
+from refscan.plans.scan import merged, references, scan_batch, scanned
 from refscan.sources.site import COLUMNS, Site, read
 from refscan.streaming import batches, staleness
 
@@ -33,15 +35,31 @@ OPTIONS = [
 @pytest.fixture(scope="module")
 def site(spark):
     rows = {
-        "attachments": ATTACHMENTS, "posts": POSTS, "postmeta": META, "options": OPTIONS,
+        "attachments": [(*a, None) for a in ATTACHMENTS], "posts": POSTS, "postmeta": META, "options": OPTIONS,
         "termmeta": [(1, 1, "image", "123"), (2, 1, "_image", "field_x"), (3, 2, None, "123"), (4, 3, "u", "hero.jpg")], "usermeta": [(1, 1, "a", "123"), (2, 1, "wp_capabilities", "123"), (3, 1, None, "123"), (4, 1, "session_tokens", "123"), (5, 2, "ids", "123,7")],
-        "terms": [(1, "Term")], "users": [(2, "Ann")], "files": [(123, 99)], "results": [(4, "unused", 0, "[]", 5), (123, "garbage", 3, "x", 6), (99, "used", 1, "[]", 7)], "changes": [],
+        "terms": [(1, "Term")], "users": [(2, "Ann")], "files": [(123, 99)], "scan_log": [], "results": [(4, "unused", 0, "[]", 5), (123, "garbage", 3, "x", 6), (99, "used", 1, "[]", 7)], "changes": [],
     }
     frames = {name: spark.createDataFrame(rows[name], schema.replace("map<string,struct<file:string>>", "array<struct<key:string,value:struct<file:string>>>")) for name, schema in COLUMNS.items()}
     # Sizes are pairs first: a Python dict would lose its order on the way.
     return Site(**frames | {"attachments": frames["attachments"].withColumn("sizes", F.map_from_entries("sizes"))})
 
 
+def metrics(plan):
+    """Output rows of all nodes of a plan that has run."""
+    final = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    out, todo = [], [final]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if node.metrics().contains("numOutputRows"):
+            out.append(f"number of output rows: {node.metrics().apply('numOutputRows').value()}")
+        if kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.length())]
+    return "\n".join(out)
+
+
 def refs(site, name, attachment=123):
     found = detectors.DETECTORS[name](site, contexts(site.attachments)).where(F.col("attachment_id") == attachment).collect()
     return sorted((r.object_type, r.object_id, r.detail, r.match, r.confidence) for r in found)
@@ -129,6 +147,55 @@ def test_state():
     assert [state.progress(*x) for x in ((0, 0), (1, 8), (1, 200), (5, 4))] == [0, 13, 1, 100]
 
 
+def test_stored_state(site, tmp_path):
+    """Start, advance, stop, resume, finish, reset: what another session reads is what was written last."""
+    spark = site.posts.sparkSession
+    store = state.Store(spark, f"{tmp_path}/log")
+    assert store.current() is None and store.last_scan() is None
+    store.reset()
+    assert store.start(10, 5) == state.State(0, 0, 10, 5) and store.advance(40, 7, 6) == state.State(40, 7, 10, 5)
+    again = state.Store(spark, f"{tmp_path}/log")
+    assert again.current() == state.State(40, 7, 10, 5) and again.advance(90, 7, 7).done == 14
+    assert store.finish(2, 8) == state.LastScan(8, 14, 2) and again.current() is None and again.last_scan() == state.LastScan(8, 14, 2)
+    store.advance(3, 1, 9)
+    assert again.current() == state.State(3, 1, 0, 9)  # a missing state is started first
+    store.reset()
+    assert again.current() is None and again.last_scan() == state.LastScan(8, 14, 2)
+
+
+def test_scan_in_stored_batches(site, tmp_path):
+    spark, results_at = site.posts.sparkSession, f"{tmp_path}/results"
+    store = state.Store(spark, f"{tmp_path}/log")
+    first = scan_batch(site, store, results_at, 50, size=3)
+    assert (first.cursor, first.done, first.total) == (6, 3, 4)
+    shown = listing.scan_card(site, state.current_of(store.log()), state.last_of(store.log()), spark.createDataFrame([(9,)], "changed_at long"), 100).first()
+    assert shown.button == "Resume scan (3 / 4)" and shown.note is None
+    assert scan_batch(site, state.Store(spark, f"{tmp_path}/log"), results_at, 60, size=3).done == 4
+    assert scan_batch(site, store, results_at, 70, size=3) == state.LastScan(70, 4, 1)
+    got = {r.attachment_id: (r.status, r.scanned_at) for r in merged(site, results_at).collect()}
+    assert got == {4: ("used", 50), 5: ("unused", 50), 6: ("unused", 50), 123: ("used", 60), 99: ("used", 7)}
+    shown = listing.scan_card(site, state.current_of(store.log()), state.last_of(store.log()), spark.createDataFrame([(99,)], "changed_at long"), 70 + 7200).first()
+    assert (shown.button, shown.note) == ("Start full scan", "Last full scan finished 2 hours ago (4 files). Content has changed since — results may be stale.")
+
+
+def test_checks(site):
+    ids = site.posts.sparkSession.createDataFrame([(0,), (4,), (6,), (7,)], "attachment_id long")
+    got = {r.attachment_id: r for r in listing.checked(site, ids, scanned(site, 60, ids=ids)).collect()}
+    assert [got[i].outcome for i in (0, 4, 6, 7)] == ["refused", "checked", "checked", "refused"] and got[0].evidence is None
+    assert (got[6].status, got[6].badge, got[6].evidence) == ("unused", "Unused", "No references found anywhere.")
+    assert got[4].badge.startswith("Used (") and "Gallery — #23" in got[4].evidence.split("\n")
+
+
+def test_shown_sizes_and_times(spark):
+    sizes = {0: "0 B", 1: "1 B", 1000: "1,000 B", 1024: "1 KB", 2560: "3 KB", 1536: "2 KB", 1023 * 1024: "1,023 KB", 1 << 20: "1 MB", 5 << 30: "5 GB", 3 << 40: "3 TB"}
+    got = {r[0]: r[1] for r in spark.createDataFrame([(n,) for n in sizes], "n long").select("n", labels.size_text(F.col("n"))).collect()}
+    assert got == sizes
+    times = {0: "1 second", 59: "59 seconds", 60: "1 minute", 89: "1 minute", 90: "2 minutes", 3_600: "1 hour", 5_400: "2 hours", 86_400: "1 day", 604_800: "1 week", 2_592_000: "1 month", 31_536_000: "1 year", 63_072_000: "2 years"}
+    got = {r[0]: r[1] for r in spark.createDataFrame([(n,) for n in times], "n long").select("n", labels.time_difference(F.lit(5), F.col("n") + 5)).collect()}
+    assert got == times
+    assert spark.range(1).select(labels.ago(F.lit(0), F.lit(9))).first()[0] == "—"
+
+
 def test_batches_match_a_loop(site):
     got = sorted(tuple(r) for r in state.batches(site, 3).collect())
     assert got == [(0, 6, 3), (1, 123, 4)]
@@ -165,6 +232,24 @@ def test_names_of_all_kinds(spark):
     assert got == {(k, i) for k, t in enumerate(texts) for i, n in enumerate(names) if n in t}
 
 
+@pytest.mark.parametrize("marker", ["-150x150", "-scaled", ""])
+def test_thumbnails_of_many_attachments(spark, marker):
+    """Names that share their last characters: what is joined by name is what matches, not texts times attachments."""
+    n = 400
+    ctx = spark.createDataFrame([(i, str(i), 0, [f"photo-of-item-{i}{marker}.jpg", f"{i}-product.png"]) for i in range(n)], "attachment_id long, id_text string, parent_id long, basenames array<string>")
+    texts = [(i, f"see /u/photo-of-item-{i}{marker}.jpg and other-{i}{marker}.jpg, x{i}-product.png.jpg") for i in range(n)]
+    rows = spark.createDataFrame(texts, "k long, v string")
+    found = name_pairs(rows, "k", "v", ctx)
+    got = {(r.k, r.attachment_id) for r in found.collect()}
+    names = [(i, x) for i in range(n) for x in (f"photo-of-item-{i}{marker}.jpg", f"{i}-product.png")]
+    assert got == {(k, i) for k, t in texts for i, x in names if x in t}
+    # Rows between the two joins: dots of a text times lengths that names have, however many names there are.
+    plan = found._jdf.queryExecution().executedPlan()
+    found.collect()
+    most = max(int(m.replace(",", "")) for m in re.findall(r"number of output rows: ([\d,]+)", metrics(plan)))
+    assert most <= 40 * n
+
+
 def test_read(spark, site, tmp_path):
     for name in COLUMNS:
         getattr(site, name).write.parquet(f"{tmp_path}/{name}.parquet")
