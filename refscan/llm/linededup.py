@@ -9,20 +9,23 @@ wrapped: it is a window of its own. Windows are compared byte by byte with the f
 then position, and all but that one are removed. What is removed thus stays somewhere: each removed line also stands
 in an earlier window.
 
-A window may occur in a third of all documents. Occurrences are therefore dealt to parts by a hash of their
-document: minima and comparisons are made within parts and then between the parts' results.
+A window may occur in a third of all documents. Occurrences of such windows (HOT of all at the most, so they can be
+broadcast) are dealt to parts by a hash of their document: minima and comparisons are made within parts, and minima then
+between the parts' results.
 
 Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, salts, temporary, written
 
 KEY = ["id", "none", "digest"]
+#: Windows that occur in over one in HOT of all places (and LEAST times) are dealt to parts: there are fewer than HOT of them.
+HOT, LEAST = 10_000, 1_000
 #: Words that make a single line a passage.
 LONG_WORDS = 50
 
@@ -54,19 +57,24 @@ def repeats(docs: DataFrame, long_words: int) -> DataFrame:
 
     Windows are found by hash, without their text; then those of one hash and its first occurrence are compared."""
     spark = docs.sparkSession
+    parts = salts(spark)
     place = F.struct((~F.col("none")).alias("some"), "id", "digest", "first")  # null ids first
-    part = F.pmod(F.xxhash64("id", "digest"), F.lit(salts(spark))).alias("part")
+    every_part = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))).alias("part")
     with temporary(spark):
-        every = written(docs.select(*KEY, F.explode(windows(lines_of(F.col("text")), long_words)).alias("x")).select(*KEY, "x.*", part), "windows")
-        parts = every.groupBy("hash", "part").agg(F.count("*").alias("n"), F.min(place).alias("stays"))
-        firsts = parts.groupBy("hash").agg(F.sum("n").alias("n"), F.min("stays").alias("stays")).where("n > 1")
-        known = written(parts.select("hash", "part").join(firsts.drop("n"), "hash"), "first-windows")  # as many rows for a hash as it has parts
-        marked = every.join(known, ["hash", "part"]).select(*KEY, "first", "last", "hash", "part", (place == F.col("stays")).alias("stays"))
+        every = written(docs.select(*KEY, F.explode(windows(lines_of(F.col("text")), long_words)).alias("x")).select(*KEY, "x.*"), "windows")
+        counts = every.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+        again = written(counts.select("hash", (F.col("n") > max(LEAST, every.count() // HOT)).alias("hot")), "repeated-hashes")
+        hot = F.broadcast(again.where("hot"))  # fewer than HOT rows
+        dealt = every.join(hot, "hash", "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("id", "digest"), F.lit(parts))).otherwise(0).cast("int")).drop("hot")
+        first_of_part = F.min(place).over(Window.partitionBy("hash", "part"))
+        met = written(dealt.join(again.select("hash", "hot", every_part), ["hash", "part"]).withColumn("stays", first_of_part), "repeated-windows")
+        hot_first = F.broadcast(met.where("hot").groupBy("hash").agg(F.min("stays").alias("first_of_all")))  # fewer than HOT rows
+        marked = met.join(hot_first, "hash", "left").select(*KEY, "first", "last", "hash", "hot", "part", (place == F.coalesce("first_of_all", "stays")).alias("stays"))
         # of one text: no more than it has windows
-        places = written(marked.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last", "hash", "part", "stays")).alias("places")), "places")
+        places = written(marked.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last", "hash", "hot", "part", "stays")).alias("places")), "places")
         lines = docs.join(places, KEY).select(*KEY, lines_of(F.col("text")).alias("lines"), "places").select(*KEY, "lines", F.explode("places").alias("x"))
         found = written(lines.select(*KEY, "x.*", window_text(F.col("lines"), F.col("x.first"), F.col("x.last")).alias("window")), "repeated")
-        first_text = found.where("stays").select("hash", F.col("window").alias("first_window")).dropDuplicates(["hash"]).join(known.select("hash", "part"), "hash")
+        first_text = found.where("stays").dropDuplicates(["hash"]).select("hash", F.col("window").alias("first_window"), every_part)
         same = found.where("NOT stays").join(first_text, ["hash", "part"]).where(F.col("window") == F.col("first_window"))
         gone = same.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
         numbers = F.array_distinct(F.flatten(F.transform("ranges", lambda x: F.sequence(x["first"], x["last"]))))
