@@ -67,15 +67,16 @@ def repeats(docs: DataFrame, long_words: int) -> DataFrame:
         hot = F.broadcast(again.where("hot"))  # fewer than HOT rows
         dealt = every.join(hot, "hash", "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("id", "digest"), F.lit(parts))).otherwise(0).cast("int")).drop("hot")
         first_of_part = F.min(place).over(Window.partitionBy("hash", "part"))
-        met = written(dealt.join(again.select("hash", "hot", every_part), ["hash", "part"]).withColumn("stays", first_of_part), "repeated-windows")
+        met = written(dealt.join(again.select("hash", "hot", every_part).hint("merge"), ["hash", "part"]).withColumn("stays", first_of_part), "repeated-windows")
         hot_first = F.broadcast(met.where("hot").groupBy("hash").agg(F.min("stays").alias("first_of_all")))  # fewer than HOT rows
+        # The joins of texts are merge joins at every size: what they join grows with the texts.
         marked = met.join(hot_first, "hash", "left").select(*KEY, "first", "last", "hash", "hot", "part", (place == F.coalesce("first_of_all", "stays")).alias("stays"))
         # of one text: no more than it has windows
         places = written(marked.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last", "hash", "hot", "part", "stays")).alias("places")), "places")
-        lines = docs.join(places, KEY).select(*KEY, lines_of(F.col("text")).alias("lines"), "places").select(*KEY, "lines", F.explode("places").alias("x"))
+        lines = docs.join(places.hint("merge"), KEY).select(*KEY, lines_of(F.col("text")).alias("lines"), "places").select(*KEY, "lines", F.explode("places").alias("x"))
         found = written(lines.select(*KEY, "x.*", window_text(F.col("lines"), F.col("x.first"), F.col("x.last")).alias("window")), "repeated")
         first_text = found.where("stays").dropDuplicates(["hash"]).select("hash", F.col("window").alias("first_window"), every_part)
-        same = found.where("NOT stays").join(first_text, ["hash", "part"]).where(F.col("window") == F.col("first_window"))
+        same = found.where("NOT stays").join(first_text.hint("merge"), ["hash", "part"]).where(F.col("window") == F.col("first_window"))
         gone = same.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
         numbers = F.array_distinct(F.flatten(F.transform("ranges", lambda x: F.sequence(x["first"], x["last"]))))
         return written(gone.select(*KEY, numbers.alias("gone")), "gone-lines", outside=True)
@@ -97,7 +98,7 @@ def line_dedup(docs: DataFrame, long_words: int = LONG_WORDS, report: str = "lin
     gone = repeats(docs.select(*(c.alias(n) for c, n in zip(key, KEY, strict=True)), "text"), long_words)
     *own, numbers, lines, rest = fresh(docs, *KEY, "gone", "lines", "rest")
     named = gone.select(*(F.col(a).alias(b) for a, b in zip([*KEY, "gone"], [*own, numbers], strict=True)))
-    joined = docs.withColumns(dict(zip(own, key, strict=True))).join(named, own, "left").withColumn(lines, F.split("text", "\n"))
+    joined = docs.withColumns(dict(zip(own, key, strict=True))).join(named.hint("merge"), own, "left").withColumn(lines, F.split("text", "\n"))
     left = F.array_except(F.sequence(F.lit(1), F.size(lines)), numbers)  # line numbers differ, so none is lost
     cut = joined.withColumn(rest, F.when(F.col(numbers).isNotNull(), F.transform(left, lambda i: F.element_at(lines, i))))
     changed, n, kept = F.col(rest).isNotNull(), F.size(lines).cast("long"), F.size(rest).cast("long")
