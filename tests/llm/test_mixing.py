@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from refscan.llm import mixing
 from tests.conftest import DATA
@@ -55,3 +56,9 @@ def test_anchored_targets_are_limits(spark):
     goal = np.array([0.9, 0.08, 0.02]) * before[0] / 0.9
     assert goal[1] > before[1] >= after[1] and goal[2] < before[2]
     assert np.abs((after - goal)[[0, 2]]).max() < 0.01 * t.sum() and rates.max() < 1.2
+
+
+def test_targets_out_of_reach_are_said(spark):
+    found = spark.createDataFrame([(i, 10, [0.9, 0.05, 0.05]) for i in range(5)], "doc_id long, tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="targets are not met after 25 steps"):
+        assert mixing.fitted_rates(found, {"clean": 0.2, "low": 0.4, "toxic": 0.4}).count() == 5

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import numpy as np
+
 from refscan.llm import pii
 from tests.conftest import DATA
 
@@ -64,3 +66,47 @@ def test_odd_texts(spark):
     assert pii.redactions(docs.limit(0)).count() == 0
     out = {r.doc_id: r.text for r in pii.redacted(docs.where("doc_id IN (0, 7, 18)")).collect()}
     assert out[7].startswith("é😀 [CARD] and") and out[18] == "a\n[IP]\n[IP] " and out[0] == ""
+
+
+def planted(n=400):
+    """Texts with base spans, wrong numbers and addresses, tokens after telling, other and no names; and spans that a reader would add."""
+    rng, rows, secrets, unknown, wrong = np.random.default_rng(1), [], [], [], []
+    hexes = lambda k: "".join(rng.choice(list("0123456789abcdef"), k)) + "0a"
+    for i in range(n):
+        area, line = rng.integers(100, 999), rng.integers(1000, 9999)
+        parts = [
+            f"mail to user{i}@host{i % 7}.example.com or call +1 ({area}) 555-{line} now", f"version number {rng.integers(10**15, 10**16)} and host 10.{i % 250}.3.4", f"ping me at user{i}@localhost today, build {i % 9}00.1.2.{i}",
+            f'key = "{hexes(40)}"', f"commit {hexes(40)} was fine", f"plain words number {i} and more of them",
+        ]
+        extra = {0: f'sesame = "{hexes(40)}"', 1: f"write user{i} (at) host{i % 7} (dot) com soon", 2: f"my number ({area}) 555-{line} at home"}.get(i % 5)
+        text = " . ".join(rng.permutation([*parts, *([extra] if extra else [])]))
+        rows.append((i, text))
+        at = text.index('key = "') + 7
+        secrets.append((i, f"secret:{at}:{at + 42}"))
+        at = text.index("commit ") + 7
+        wrong.append((i, f"secret:{at}:{at + 42}"))
+        if extra:
+            inner = re.search(r'"(.*)"|user.*com|\(.*\d', extra)
+            inner = inner[1] or inner[0]
+            at = text.index(extra) + extra.index(inner)
+            unknown.append((i, {0: "secret", 1: "email", 2: "phone"}[i % 5] + f":{at}:{at + len(inner)}"))
+    return rows, secrets, unknown, wrong
+
+
+def test_planted_data_is_found(spark):
+    rows, secrets, unknown, wrong = planted()
+    found = {r.doc_id: set(r.spans.split(",")) for r in compared(spark.createDataFrame(rows, "doc_id long, text string")).values()}
+    share = lambda spans: np.mean([s in found[i] for i, s in spans])
+    assert share(secrets) > 0.95 and share(wrong) == 0
+    assert share(unknown) > 0.6  # of kinds whose truth the trees never saw
+    text = dict(rows)
+    right = {(i, s) for i, s in (*secrets, *unknown)} | {(i, s) for i, t in rows for s in base(t)}
+    added = [(i, s) for i, spans in found.items() for s in spans]
+    assert np.mean([x in right for x in added]) > 0.9, [text[i][int(s.split(":")[1]) : int(s.split(":")[2])] for i, s in added if (i, s) not in right][:5]
+
+
+def test_many_spans_of_one_text(spark):
+    """Places of thousands of spans, with their order and sums."""
+    text = " ".join(f"u{i}@h.example.com 10.0.{i % 256}.1 é" for i in range(3_000))
+    rows = compared(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert (rows[1].n_email, rows[1].n_ip, rows[1].n_spans) == (3_000, 3_000, 6_000)

@@ -50,3 +50,12 @@ def test_passages_cover_whole_texts():
     assert [w for p in quality.passages(text) for w in p] == text.split()
     x, counts = quality.encoded([text, b"", b"a b"])
     assert counts.tolist() == [16, 1, 1] and x.shape == (18, quality.FEATURES)
+
+
+def test_training_is_bounded_by_bytes(spark):
+    """Longer texts, fewer of them: what comes to the driver stays within the bound in expectation."""
+    rows = [(i, f"w{i} " * 2_000) for i in range(300)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    every = quality.training_bags(docs, labels, 300, 10**9)
+    few = quality.training_bags(docs, labels, 300, 400_000)
+    assert len(every) > 200 and 10 < len(few) < 90
