@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from weakref import WeakKeyDictionary
 
 import numpy as np
@@ -15,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _own_dir: list[str] = []
 _scopes: list[list[str]] = []
 _places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
@@ -40,7 +43,12 @@ def written(df: DataFrame, name: str, outside: bool = False) -> DataFrame:
     Within ``temporary`` it is deleted at the end, or with ``outside`` at the end of the next scope outside, if any."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/refscan/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(int(before), 1_000) if int(before) > 0 else 1_000))  # texts are long: smaller batches to Python workers
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     scopes = _scopes[:-1] if outside else _scopes
     if scopes:
         scopes[-1].append(path)
@@ -84,17 +92,26 @@ def cuts(texts: pa.Array, rows: int, size: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 1 << 23, column: int = 1) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 1 << 21, column: int = 1) -> Iterator[pa.RecordBatch]:
     """The batches in parts of bounded rows and bytes of text, so that a worker holds few texts as Python objects at a time."""
     for batch in batches:
         for at, end in cuts(batch.column(column), rows, size):
             yield batch.slice(at, end - at)
+    freed()
+
+
+def freed() -> None:
+    """Gives unused memory back to the system: a worker lives on for the tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not on every system
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def texts_of(column: pa.Array, rows: int = 500, size: int = 1 << 20) -> Iterator[list[bytes]]:
     """The texts of a column in parts, as ``slices`` gives them."""
     for at, end in cuts(column, rows, size):
         yield column.slice(at, end - at).cast(pa.binary()).to_pylist()
+    freed()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

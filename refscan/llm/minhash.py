@@ -45,7 +45,7 @@ class WordHashes(dict):
     """Hash of each word; emptied when it gets large, so memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 60_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value

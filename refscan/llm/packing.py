@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices, written
+from .common import freed, id_and_text, slices, written
 
 
 def tokenizer_path() -> str:
@@ -35,13 +35,14 @@ class WordIds(dict):
     word-ending token, others with the end-of-text token between them."""
 
     SEPARATOR, SEPARATOR_ID, WORD_END = "<|endoftext|>", 49407, "</w>"
-    MOST = 400_000  # parts kept
+    MOST = 120_000  # parts kept, and as many of before
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         self.encode_batch = tokenizer.encode_batch_fast
+        self.before: dict[str, bytes] = {}
         vocabulary = tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith(self.WORD_END)]] = True
@@ -50,15 +51,19 @@ class WordIds(dict):
         return np.array(self.encode_batch([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def __missing__(self, part: str) -> bytes:
-        return self.ids(part)
+        old = self.before.get(part)
+        return self.ids(part) if old is None else old
 
     def learn(self, parts: set[str], latin: bool) -> None:
-        """Keeps the ids of unknown parts."""
+        """Keeps the ids of unknown parts. When there are many, those of before the last such time go, but for what was used since."""
         if len(self) > self.MOST:
+            self.before = dict(self)
             self.clear()
         words, others = [], []
         for p in parts:
-            if len(p) < 64 and "<|" not in p:
+            if (old := self.before.get(p)) is not None:
+                self[p] = old
+            elif len(p) < 64 and "<|" not in p:
                 (words if latin and p.isalpha() else others).append(p)
         for at in range(0, len(words), 1_000):
             some = words[at : at + 1_000]
@@ -100,7 +105,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048) -> Da
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(path)  # parts are remembered for one task
+        ids, known, some = WordIds(path), [], []  # parts are remembered for one task
         for batch in slices(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -117,6 +122,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048) -> Da
                             column.append(value)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        del ids, known, some
+        freed()
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
