@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprint, licenses, linededup, minhash, mixing, packing, pii, quality, runs, toxicity
+from . import ann, fingerprint, licenses, linededup, merkle, minhash, mixing, packing, pii, quality, runs, toxicity
 from .common import table
 
 
@@ -34,7 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": on_documents(linededup.query),
     "op9_best_fit_packing": on_documents(packing.best_fit),
     "op10_mixing": with_labels(lambda docs, labels: mixing.mixed(docs, mixing.label_domains(labels))),
+    "op12_merkle_manifest": on_documents(merkle.query),
     "op13_periodic_runs": on_documents(runs.query),
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": linededup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": linededup.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
