@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprint, licenses, linededup, merkle, minhash, mixing, packing, pii, quality, runs, toxicity
+from . import ann, fingerprint, licenses, linededup, merkle, minhash, mixing, packing, pii, quality, runs, selection, toxicity
 from .common import table
 
 
@@ -23,6 +23,10 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": on_documents(lambda docs: minhash.near_duplicates(docs, width=4)),
     "op2_toxicity": with_labels(toxicity.scored),
@@ -34,8 +38,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": on_documents(linededup.query),
     "op9_best_fit_packing": on_documents(packing.best_fit),
     "op10_mixing": with_labels(lambda docs, labels: mixing.mixed(docs, mixing.label_domains(labels))),
+    "op11_exact_top_k": top,
     "op12_merkle_manifest": on_documents(merkle.query),
     "op13_periodic_runs": on_documents(runs.query),
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": linededup.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": linededup.ORACLE, "op11_exact_top_k": selection.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
