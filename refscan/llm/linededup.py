@@ -73,8 +73,10 @@ def repeats(docs: DataFrame, long_words: int) -> DataFrame:
         marked = met.join(hot_first, "hash", "left").select(*KEY, "first", "last", "hash", "hot", "part", (place == F.coalesce("first_of_all", "stays")).alias("stays"))
         # of one text: no more than it has windows
         places = written(marked.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last", "hash", "hot", "part", "stays")).alias("places")), "places")
-        lines = docs.join(places.hint("merge"), KEY).select(*KEY, lines_of(F.col("text")).alias("lines"), "places").select(*KEY, "lines", F.explode("places").alias("x"))
-        found = written(lines.select(*KEY, "x.*", window_text(F.col("lines"), F.col("x.first"), F.col("x.last")).alias("window")), "repeated")
+        # Each window is cut out of its text's lines before it becomes a row: a row holds one window, not all lines. The lines are split once.
+        cut = lambda lines: F.transform("places", lambda p: p.withField("window", window_text(lines, p["first"], p["last"])))
+        cut_out = docs.join(places.hint("merge"), KEY).select(*KEY, F.transform(F.array(lines_of(F.col("text"))), cut)[0].alias("places"))
+        found = written(cut_out.select(*KEY, F.explode("places").alias("x")).select(*KEY, "x.*"), "repeated")
         first_text = found.where("stays").dropDuplicates(["hash"]).select("hash", F.col("window").alias("first_window"), every_part)
         same = found.where("NOT stays").join(first_text.hint("merge"), ["hash", "part"]).where(F.col("window") == F.col("first_window"))
         gone = same.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("ranges"))

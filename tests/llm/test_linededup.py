@@ -4,6 +4,7 @@ from itertools import pairwise
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from refscan.llm import linededup
 from tests.conftest import DATA
@@ -100,3 +101,11 @@ def test_line_of_words(spark, words):
     line = " ".join(["abcdefghij"] * words)
     rows = [(i, f"t{i}\n{line}\nu{i}") for i in range(4)]
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == want(rows)
+
+
+def test_copies_of_a_long_text(spark):
+    """What a row holds follows the text: two copies of 200,000 lines."""
+    n = 200_000
+    text = "\n".join(f"line {i} of a long text that stands twice in the table" for i in range(n))
+    rows = linededup.line_dedup(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).select("doc_id", F.length("text").alias("chars"), "line_dedup.*").orderBy("doc_id").collect()
+    assert [tuple(r) for r in rows] == [(1, len(text), n, 0, False), (2, 0, n, n, True)]
