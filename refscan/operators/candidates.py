@@ -1,43 +1,204 @@
-"""Which attachments can a text mention: equi-joins in place of a pass over all texts for each attachment.
+"""What texts mention which attachments: an index of occurrences, made in one pass over each text, and equi-joins.
 
-By id: every accepted form has the id as a maximal run of digits, so a text's distinct digit runs are joined
-with the ids. By name: a name that ends in an extension ends at a dot of the text. The few characters before that dot, the
-anchor, are joined with the distinct anchors of all names, which know the lengths that their names have; the
-text's endings of those lengths are joined with the whole names. So no join meets more than a text's dots times
-lengths, however many names share an anchor, and what joins is a match. Names without an extension are joined with
-the text's windows of their length.
+A text gives entries. Each run of digits gives its number with the forms it stands in: what is right before and after it, whether it is a
+member of a comma list, of a gallery's list, or a leaf of a serialized value. All forms are decided there, so the text itself is
+never joined with anything. Each dot before a known extension gives the text up to there, to be compared with names that have the
+same last characters (an anchor). Names without an extension are found by their rarest gram, which comes with the text around it.
+Equal entries of a text are one.
 
-Ids and anchors of a row are emitted together: one scan, one shuffle.
+Entries leave the scan only if a bitmap of all ids and anchors has them. They are joined with ids, anchors and grams; what an anchor met
+is joined with whole names of the lengths that the anchor's names have. So no join grows with texts times attachments,
+however many names share an ending such as ``-150x150.jpg``. What is left are pairs of row and attachment, each with its forms.
+What has to be known of all names to read a text (extensions, lengths) is a subquery of one row: nothing runs while a plan is made.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.predicates import trimmed
+
 #: Characters before the extension that are joined on; shorter names have shorter anchors.
 ANCHOR = 8
 EXTENSION = r"\.[A-Za-z0-9]{1,5}$"
+#: Characters of a gram.
+GRAM = 6
+#: Bits of the bitmap of ids and anchors, and of that of grams, which each row carries.
+WIDE, NARROW = 1 << 23, 1 << 16
+#: Digits of an id, at the most.
+DIGITS = 19
 
 
-def digit_runs(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1)))
+@dataclass(frozen=True)
+class Around:
+    """A run of digits in a text: the text up to the run before it, and up to the one after it; whether there is none; and the run before it, with the text before that."""
 
+    run: Column
+    before: Column
+    after: Column
+    first: Column
+    last: Column
+    previous: Column
+    earlier: Column
 
-def id_pairs(rows: DataFrame, key: str, text: str, contexts: DataFrame) -> DataFrame:
-    """key, attachment_id: the id is a digit run of the text."""
-    runs = rows.select(key, F.explode(digit_runs(F.col(text))).alias("id_text"))
-    return runs.join(contexts.select("attachment_id", "id_text"), "id_text").select(key, "attachment_id")
+    def between(self, before: str, after: str) -> Column:
+        return F.endswith(self.before, F.lit(before)) & F.startswith(self.after, F.lit(after))
+
+
+def comma_member(o: Around) -> Column:
+    """Nothing but blanks around it, up to a comma or an end of the text."""
+    left = (trimmed(F.substring_index(o.before, ",", -1)) == "") & (o.first | F.contains(o.before, F.lit(",")))
+    return left & (trimmed(F.substring_index(o.after, ",", 1)) == "") & (o.last | F.contains(o.after, F.lit(",")))
+
+
+def anywhere(o: Around) -> Column:
+    """Any of the forms by which content is looked up."""
+    ends = lambda *x: reduce(lambda a, b: a | b, (F.endswith(o.before, F.lit(y)) for y in x))
+    starts = lambda *x: reduce(lambda a, b: a | b, (F.startswith(o.after, F.lit(y)) for y in x))
+    return ends(*OPEN["content"]) | ends(",") & starts(",", '"', "]") | ends("[") & starts(",", "]")
+
+
+#: Forms that are looked up (as in ``predicates.CANDIDATES``, and ``content``) and forms that are accepted, each by what is around a run.
+FORMS: dict[str, Callable[[Around], Column]] = {
+    "find_exact": lambda o: o.first & o.last & (o.before == "") & (o.after == ""),
+    "find_csv_start": lambda o: o.first & (o.before == "") & F.startswith(o.after, F.lit(",")),
+    "find_csv_end": lambda o: o.last & (o.after == "") & F.endswith(o.before, F.lit(",")),
+    "find_csv_mid": lambda o: o.between(",", ","),
+    "find_json_int": lambda o: o.between('"id":', ""),
+    "find_json_str": lambda o: o.between('"id":"', '"'),
+    "find_content": anywhere,
+    "exact": lambda o: o.first & o.last & (trimmed(o.before) == "") & (trimmed(o.after) == ""),
+    "csv": comma_member,
+    "ser_int": lambda o: o.between("i:", ";"),
+    "ser_str": lambda o: (o.before == ':"') & F.startswith(o.after, F.lit('"')) & (o.previous == F.length(o.run).cast("string")) & F.endswith(o.earlier, F.lit("s:")),
+    "json_id": lambda o: F.rlike(o.before, F.lit(r'"id":\s*"?\z')),
+    "wp_image": lambda o: o.between("wp-image-", ""),
+}
+#: What stands before a run that is looked up by any of its first digits.
+OPEN = {"json_int": ('"id":',), "content": ("wp-image-", '"id":', 'ids="')}
+#: Lists of ids that are accepted whatever is around a member: a text that must be there, and how a list is found.
+LISTS = {"gallery_block": ('"ids":', r'"ids":\s*\[([^\]]*)\]'), "gallery_sc": ("[gallery", r"""(?:\[gallery|(?!^)\G)[^\]]*?ids=(?=["']([^"']*)["'])""")}
+#: A name in the text; an id or a name that is a leaf of the value, or in one.
+OTHERS = ("name", "leaf", "leaf_name")
+BIT = {form: 1 << n for n, form in enumerate((*FORMS, *LISTS, *OTHERS))}
+META = ("find_exact", "find_csv_start", "find_csv_end", "find_csv_mid", "find_json_int", "find_json_str", "ser_int", "ser_str", "exact", "csv", "json_id")
+CONTENT = ("find_content", "wp_image", "json_id", "gallery_block", "gallery_sc")
+FOUND_META = META[:8]
+
+
+def has(bits: Column, *forms: str) -> Column:
+    """Whether any of the forms is among those of a pair."""
+    return bits.bitwiseAND(F.lit(sum(BIT[f] for f in forms))) != 0
+
+
+def runs_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("([0-9]+)"), F.lit(1))
+
+
+def entry(kind: str, bits: Column | int, *rest: Column) -> Column:
+    return F.concat(F.lit(kind), F.lit(bits).cast("string") if isinstance(bits, int) else bits.cast("string"), F.lit(":"), *rest)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def numbers(text: Column, forms: Sequence[str], every_prefix: bool = False) -> Column:
+    """Entries i<forms>:<run> of a text's runs of digits.
+
+    A run that is looked up by its first digits also finds the ids that these are: those that are runs of the
+    text themselves, as others have no accepted form, or with ``every_prefix`` all."""
+    around = [f for f in forms if f in FORMS]
+    opening = next((f for f in forms if f.removeprefix("find_") in OPEN), None)
+
+    def of(parts: Column) -> Column:
+        runs, gaps = parts["runs"], parts["gaps"]
+
+        def at(run: Column, i: Column) -> Around:
+            return Around(run, F.get(gaps, i), F.get(gaps, i + 1), i == 0, i == F.size(runs) - 1, F.get(runs, i - 1), F.get(gaps, i - 1))
+
+        def stands(run: Column, i: Column) -> Column:
+            o = at(run, i)
+            return entry("i", reduce(lambda a, b: a + b, (F.when(FORMS[f](o), BIT[f]).otherwise(0) for f in around)), run)
+
+        found = F.transform(runs, stands)
+        if opening is None:
+            return found
+        opened = lambda run, i: reduce(lambda a, b: a | b, (F.endswith(F.get(gaps, i), F.lit(x)) for x in OPEN[opening.removeprefix("find_")]))
+        longer = F.filter(runs, lambda run, i: opened(run, i) & (F.length(run) > 1))
+        first = F.array_distinct(F.flatten(F.transform(longer, lambda run: F.transform(F.sequence(F.lit(1), F.least(F.length(run) - 1, F.lit(DIGITS))), lambda n: F.left(run, n)))))
+        return F.concat(found, F.transform(first if every_prefix else F.array_intersect(first, runs), lambda run: entry("i", BIT[opening], run)))
+
+    found = [once(F.struct(runs_of(text).alias("runs"), F.split(text, "[0-9]+").alias("gaps")), of)] if around else []
+    found += [members(text, f) for f in forms if f in LISTS]
+    return F.concat(*found)
+
+
+def none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def members(text: Column, form: str) -> Column:
+    """Entries of the members of lists that are accepted."""
+    mark, pattern = LISTS[form]
+    runs = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), runs_of))
+    return F.when(F.contains(text, F.lit(mark)), F.transform(runs, lambda run: entry("i", BIT[form], run))).otherwise(none())
+
+
+def endings(text: Column, s: Column, form: str) -> Column:
+    """Entries n<form>:<length of the anchor>:<ending>: for each dot of the text, each extension after it and each size of an anchor, the text before the extension's end, as far as names reach."""
+    # What is before a dot is read forwards in the reversed text, as a look-behind would count half characters.
+    after = F.regexp_extract_all(text, F.lit(r"\.(?=([A-Za-z0-9]{1,5}))"), F.lit(1))
+    window = F.concat(F.lit(r"(?s)(?<=[A-Za-z0-9])\.(?=(.{0,"), s["longest"].cast("string"), F.lit("}))"))
+    before = F.transform(F.reverse(F.regexp_extract_all(F.reverse(text), window, F.lit(1))), F.reverse)
+
+    def at_dot(b: Column, a: Column) -> Column:
+        found = F.filter(s["extensions"], lambda e: F.startswith(F.concat(F.lit("."), a), e))
+        return F.flatten(F.transform(found, lambda e: F.transform(s["sizes"], lambda n: entry("n", BIT[form], (n + F.length(e)).cast("string"), F.lit(":"), b, e))))
+
+    return F.when(F.exists(s["extensions"], lambda e: F.contains(text, e)), F.flatten(F.zip_with(before, after, at_dot))).otherwise(none())
+
+
+def slot(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits))
+
+
+def in_bitmap(bitmap: Column, key: Column, bits: int) -> Column:
+    at = slot(key, bits)
+    return F.getbit(F.get(bitmap, F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
 
 
-def id_prefix_pairs(rows: DataFrame, key: str, text: str, contexts: DataFrame, before: str) -> DataFrame:
-    """key, attachment_id: the id stands after ``before``, whatever follows it."""
-    runs = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"{before}([0-9]+)"), F.lit(1)))
-    prefixes = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.least(F.length(r), F.lit(19))), lambda n: F.substring(r, F.lit(1), n))))
-    each = rows.select(key, F.explode(F.array_distinct(prefixes)).alias("id_text"))
-    return each.join(contexts.select("attachment_id", "id_text"), "id_text").select(key, "attachment_id")
+def bitmap(keys: DataFrame, bits: int) -> DataFrame:
+    """One row: ``bitmap``, an array of longs, with a bit set for each of the keys (column k). Parts of it are merged by their or."""
+    at = slot(F.col("k"), bits)
+    words = keys.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(pmod(xxhash64(k), {bits}), 64) AS INT))").alias("own"))
+    every = keys.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("own"))
+    merged = words.unionByName(every).groupBy("word").agg(F.bit_or("own").alias("own"))
+    return merged.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "own"))), lambda x: x["own"]).alias("bitmap"))  # of a fixed size
+
+
+def grams(text: Column, s: Column, form: str) -> Column:
+    """Entries w<form>:<window> and g<form>:<gram><text around it> of windows of a text that names without an extension may have."""
+    pattern = lambda n: F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))"))
+    known = lambda w: in_bitmap(s["grams"], w, NARROW)
+    short = F.flatten(F.transform(s["short"], lambda n: F.filter(F.array_distinct(F.regexp_extract_all(text, pattern(n), F.lit(1))), known)))
+
+    def around(all_: Column) -> Column:
+        n, end = F.size(all_), F.get(all_, F.size(all_) - 1)
+        piece = lambda j: F.when(j < n, F.get(all_, j)).when(j < n + GRAM - 1, F.right(end, GRAM - 1 + n - j)).otherwise("")
+        reach = s["plain"]
+        near = lambda i: F.array_join(F.transform(F.sequence(F.greatest(F.lit(0), i - reach), i + reach, F.lit(GRAM)), piece), "")
+        hits = F.filter(F.transform(all_, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: known(x["w"]))
+        return F.transform(hits, lambda x: entry("g", BIT[form], x["w"], near(x["i"])))
+
+    long = once(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)), around)
+    return F.when(s["plain"] > 0, F.concat(F.transform(short, lambda w: entry("w", BIT[form], w)), F.when(s["plain"] >= GRAM, long).otherwise(none()))).otherwise(none())
 
 
 def names(contexts: DataFrame) -> DataFrame:
@@ -48,67 +209,103 @@ def names(contexts: DataFrame) -> DataFrame:
     return found.withColumn("anchor", F.right("name", F.least(F.lit(ANCHOR), F.col("size")) + F.length("ext")))
 
 
-def windows(text: Column, length: int) -> Column:
-    """All windows of the length of a text, overlapping ones too."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1)))
+def rarest(plain: DataFrame) -> DataFrame:
+    """Of names (attachment_id, name) of GRAM characters and more: the gram that the fewest names have."""
+    each = plain.select("attachment_id", "name", F.explode(F.array_distinct(F.regexp_extract_all("name", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))).alias("gram"))
+    counts = each.groupBy("gram").agg(F.count("*").alias("n"))
+    return each.join(counts, "gram").groupBy("attachment_id", "name").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
 
 
-def endings(text: Column, exts: list[str], sizes: list[int], longest: int) -> Column:
-    """Array of (anchor, ending): for each dot of the text, each extension after it and each size of an anchor, the anchor and the text before the extension's end, as far as names reach."""
-    # What is before a dot is read forwards in the reversed text, as a look-behind would count half characters.
-    after = F.regexp_extract_all(text, F.lit(r"\.(?=([A-Za-z0-9]{1,5}))"), F.lit(1))
-    before = F.transform(F.reverse(F.regexp_extract_all(F.reverse(text), F.lit(r"(?s)(?<=[A-Za-z0-9])\.(?=(.{0,%d}))" % longest), F.lit(1))), F.reverse)
-    known = F.array(*map(F.lit, exts))
-    keys = lambda b, e: F.transform(F.array(*map(F.lit, sizes)), lambda n: F.struct(F.concat(F.right(b, n), e).alias("anchor"), F.concat(b, e).alias("ending")))
+@dataclass(frozen=True)
+class Known:
+    """What texts are compared with: keys (kind, k, attachment_id, lengths, name), whole names, and what has to be known to read a text."""
 
-    def at_dot(b: Column, a: Column) -> Column:
-        found = F.filter(known, lambda e: F.startswith(F.concat(F.lit("."), a), e))
-        return F.flatten(F.transform(found, lambda e: keys(b, e)))
-
-    found = F.array_distinct(F.flatten(F.zip_with(before, after, at_dot)))
-    none = F.array().cast("array<struct<anchor:string,ending:string>>")
-    return F.when(reduce(lambda x, y: x | y, (F.contains(text, F.lit(e)) for e in exts)), found).otherwise(none)
-
-
-def pairs(rows: DataFrame, key: str, text: str, contexts: DataFrame, ids: bool = True) -> DataFrame:
-    """Distinct (key, attachment_id): the text holds the id as a digit run (unless not ``ids``) or a name of the attachment."""
-    named = names(contexts)
-    # What is collected: extensions, anchors' lengths and names' lengths, a few numbers however many names there are.
-    groups = named.groupBy("ext").agg(F.collect_set(F.least(F.lit(ANCHOR), F.col("size"))).alias("sizes"), F.collect_set("size").alias("lengths")).collect()
-    ended = {g["ext"]: g for g in groups if g["ext"]}
-    plain = sorted(n for g in groups if not g["ext"] for n in g["lengths"])
-    sizes, longest = sorted({n for g in ended.values() for n in g["sizes"]}), max((n for g in ended.values() for n in g["lengths"]), default=0)
-
-    tagged = lambda kind, k, e: F.struct(F.lit(kind).alias("kind"), k.alias("k"), e.alias("ending"))
-    nothing = F.lit(None).cast("string")
-    emitted, met = [], []
+    keys: DataFrame
+    whole: DataFrame
+    reading: Column | None  # a subquery of one row; without names none is needed
+    wanted: Column  # a subquery: the bitmap of ids and anchors
+
+
+def known(contexts: DataFrame, ids: bool = True, named: bool = True) -> Known:
+    each = names(contexts)
+    nothing = {"attachment_id": F.lit(None).cast("long"), "lengths": F.lit(None).cast("array<int>"), "name": F.lit(None).cast("string")}
+    keys = lambda df, kind, k, **own: df.select(F.lit(kind).alias("kind"), F.col(k).alias("k"), *(own.get(c, default).alias(c) for c, default in nothing.items()))
+    found, reading = [], None
     if ids:
-        emitted.append(F.transform(digit_runs(F.col(text)), lambda r: tagged("id", r, nothing)))
-        met.append(contexts.select(F.lit("id").alias("kind"), F.col("id_text").alias("k"), "attachment_id", F.lit(None).cast("array<int>").alias("lengths")))
-    if ended:
-        emitted.append(F.transform(endings(F.col(text), sorted(ended), sizes, longest), lambda x: tagged("name", x["anchor"], x["ending"])))
-        lengths = F.collect_set(F.length("name")).alias("lengths")  # of an anchor: no more than a name is long
-        met.append(named.where("ext <> ''").groupBy("anchor").agg(lengths).select(F.lit("name").alias("kind"), F.col("anchor").alias("k"), F.lit(None).cast("long").alias("attachment_id"), "lengths"))
-    for n in plain:
-        emitted.append(F.transform(windows(F.col(text), n), lambda w: tagged("whole", w, nothing)))
-    if plain:
-        met.append(named.where("ext = ''").select(F.lit("whole").alias("kind"), F.col("name").alias("k"), "attachment_id", F.lit(None).cast("array<int>").alias("lengths")))
-    if not emitted:
-        return rows.select(key, F.lit(None).cast("long").alias("attachment_id")).limit(0)
-    keys = rows.select(F.col(key).alias("row"), F.explode(F.concat(*emitted) if len(emitted) > 1 else emitted[0]).alias("x")).select("row", "x.*")
-    hits = keys.join(reduce(DataFrame.unionByName, met), ["kind", "k"]).select("row", "ending", F.coalesce("lengths", F.array(F.lit(0))).alias("lengths"), "attachment_id")
-    # One row for each ending that a name may be. What is found already gets a name that there is not, another one in each row.
-    each = hits.select("row", F.col("attachment_id").alias("found"), "ending", F.explode("lengths").alias("n"))
-    each = each.select("row", "found", F.when(F.col("found").isNull(), F.right("ending", F.col("n"))).otherwise(F.concat(F.lit("\0"), F.col("row").cast("string"))).alias("name"))
-    found = each.join(named.where("ext <> ''").select("name", "attachment_id"), "name", "left").select("row", F.coalesce("found", "attachment_id").alias("attachment_id")) if ended else each.select("row", F.col("found").alias("attachment_id"))
-    return found.where("attachment_id IS NOT NULL").distinct().withColumnRenamed("row", key)
+        found.append(keys(contexts, "i", "id_text", attachment_id=F.col("attachment_id")))
+    if named:
+        ended, plain = each.where("ext <> ''"), each.where("ext = ''")
+        short, long = plain.where(F.length("name") < GRAM), rarest(plain.where(F.length("name") >= GRAM))
+        found.append(keys(ended.groupBy("anchor").agg(F.collect_set(F.length("name")).alias("own")), "n", "anchor", lengths=F.col("own")))  # no more than a name is long
+        found.append(keys(short, "w", "name", attachment_id=F.col("attachment_id")))
+        found.append(keys(long, "g", "gram", attachment_id=F.col("attachment_id"), name=F.col("name")))
+        # A few numbers, extensions and a bitmap of a fixed size, however many names there are.
+        no_ext = F.col("ext") == ""
+        said = each.agg(
+            F.array_sort(F.collect_set(F.when(~no_ext, F.col("ext")))).alias("extensions"),
+            F.array_sort(F.collect_set(F.when(~no_ext, F.least(F.lit(ANCHOR), F.col("size"))))).alias("sizes"),
+            F.coalesce(F.max(F.when(~no_ext, F.length("name"))), F.lit(0)).alias("longest"),
+            F.coalesce(F.max(F.when(no_ext, F.length("name"))), F.lit(0)).alias("plain"),
+            F.array_sort(F.collect_set(F.when(no_ext & (F.length("name") < GRAM), F.length("name")))).alias("short"),
+        )
+        small = bitmap(short.select(F.col("name").alias("k")).union(long.select(F.col("gram").alias("k"))), NARROW)
+        reading = said.crossJoin(F.broadcast(small)).select(F.struct("extensions", "sizes", "longest", "plain", "short", F.col("bitmap").alias("grams")).alias("reading")).scalar()  # of one row each
+    every = reduce(DataFrame.unionByName, found)
+    wanted = bitmap(every.where(F.col("kind").isin("i", "n")).select(F.concat("kind", "k").alias("k")), WIDE).scalar()
+    return Known(every, each.where("ext <> ''").select("name", "attachment_id"), reading, wanted)
 
 
-def name_pairs(rows: DataFrame, key: str, text: str, contexts: DataFrame) -> DataFrame:
-    """Distinct (key, attachment_id): the text holds a name of the attachment."""
-    return pairs(rows, key, text, contexts, ids=False)
+def texted(text: Column, form: str = "name") -> Callable[[Column], Column]:
+    """Entries for names in a text, given what has to be known to read it."""
+    return lambda s: F.concat(endings(text, s, form), grams(text, s, form))
+
+
+def entries(rows: DataFrame, columns: Sequence[str], ids: Column | None, named: Sequence[Callable[[Column], Column]], about: Known) -> DataFrame:
+    """The columns, kind, k, rest, bits: a row for each different entry of a row of a table that may match.
+
+    ids: an array of entries of ids; named: what gives entries of names."""
+    source, found = rows, [ids] if ids is not None else []
+    if named:
+        source = rows.withColumn("_reading", about.reading)
+        found += [f(F.col("_reading")) for f in named]
+    each = source.select(*columns, F.explode(F.array_distinct(F.concat(*found))).alias("x"))
+    kind, forms = F.left("x", F.lit(1)), F.substring_index(F.substring("x", 2, 12), ":", 1)
+    rest = F.expr(f"substring(x, length(substring_index(substring(x, 2, 12), ':', 1)) + 3)")
+    each = each.select(*columns, kind.alias("kind"), forms.cast("int").alias("bits"), rest.alias("rest"))
+    size = F.substring_index("rest", ":", 1)
+    is_name = F.col("kind") == "n"
+    ending = F.when(is_name, F.expr("substring(rest, length(substring_index(rest, ':', 1)) + 2)")).otherwise(F.col("rest"))
+    each = each.select(*columns, "kind", "bits", ending.alias("rest"), F.when(is_name, size.try_cast("int")).alias("size"))
+    k = F.when(F.col("kind") == "n", F.right("rest", F.col("size"))).when(F.col("kind") == "g", F.left("rest", F.lit(GRAM))).otherwise(F.col("rest"))
+    each = each.select(*columns, "kind", k.alias("k"), F.when(F.col("kind").isin("n", "g"), F.col("rest")).alias("rest"), "bits")
+    return each.where(F.col("kind").isin("w", "g") | in_bitmap(about.wanted, F.concat("kind", "k"), WIDE))
+
+
+def matched(found: DataFrame, columns: Sequence[str], about: Known, named: bool = True) -> DataFrame:
+    """The columns, attachment_id, bits: each pair of a row and an attachment that it mentions, with all its forms."""
+    hits = found.join(about.keys, ["kind", "k"]).where((F.col("kind") != "g") | F.contains("rest", F.col("name")))
+    hits = hits.select(*columns, "bits", "rest", "attachment_id", "lengths")
+    if named:
+        # One row for each ending that a name may be. What is found already gets a name that there is not, another one in each row.
+        each = hits.select(*columns, "bits", "rest", F.col("attachment_id").alias("found"), F.explode(F.coalesce("lengths", F.array(F.lit(0)))).alias("n"))
+        name = F.when(F.col("found").isNull(), F.right("rest", F.col("n"))).otherwise(F.concat(F.lit("\0"), F.xxhash64(*columns).cast("string")))
+        hits = each.withColumn("name", name).drop("rest", "n").join(about.whole, "name", "left").withColumn("attachment_id", F.coalesce("found", "attachment_id")).where("attachment_id IS NOT NULL")
+    return hits.groupBy(*columns, "attachment_id").agg(F.bit_or("bits").alias("bits"))
 
 
-def paired(rows: DataFrame, key: str, text: str, contexts: DataFrame) -> DataFrame:
-    """The rows with each attachment they can mention: all of the row's columns, attachment_id, id_text, basenames."""
-    return pairs(rows, key, text, contexts).join(rows, key).join(contexts.select("attachment_id", "id_text", "basenames"), "attachment_id")
+def mentions(rows: DataFrame, key: str, text: str, contexts: DataFrame, forms: Sequence[str] = (), named: bool = False, every_prefix: bool = False) -> DataFrame:
+    """key, attachment_id, bits of a table's texts: by id in any of the forms, and by name if ``named``."""
+    about = known(contexts, bool(forms), named)
+    own = rows.select(F.col(key).alias("row"), F.col(text).alias("text"))
+    ids = numbers(F.col("text"), forms, every_prefix) if forms else None
+    return matched(entries(own, ["row"], ids, [texted(F.col("text"))] if named else [], about), ["row"], about, named).withColumnRenamed("row", key)
+
+
+def id_pairs(rows: DataFrame, key: str, text: str, contexts: DataFrame) -> DataFrame:
+    """Distinct (key, attachment_id): the id is a run of digits of the text."""
+    return mentions(rows, key, text, contexts, ["exact"]).select(key, "attachment_id")
+
+
+def name_pairs(rows: DataFrame, key: str, text: str, contexts: DataFrame) -> DataFrame:
+    """Distinct (key, attachment_id): the text holds a name of the attachment."""
+    return mentions(rows, key, text, contexts, named=True).select(key, "attachment_id")

@@ -1,25 +1,29 @@
 """Detectors: from a site and attachment contexts to references.
 
-Each detector joins its table's rows with the attachments they can mention (see ``candidates``), keeps pairs
-that pass the broad candidate predicate, and grades them by an ordered list of cases. A reference is
+A detector of texts says which rows it reads and how a row's forms of an attachment (see ``candidates``) are graded, by an
+ordered list of cases; a match needs a form that is looked up and one that is accepted. Any number of them run as one: their
+rows' entries are one table, joined once with what is known of all attachments. A reference is
 (attachment_id, detector, object_type, object_id, detail, match, confidence)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.phpser import php_leaves
-from ..functions.predicates import VERIFIERS, content_candidate, has_basename, id_candidate, in_structure
 from ..sources import site as tables
 from ..sources.site import Site
-from .candidates import paired
+from . import candidates
+from .candidates import BIT, CONTENT, FOUND_META, META, has
 
 Detector = Callable[[Site, DataFrame], DataFrame]
 REFS = ["attachment_id", "detector", "object_type", "object_id", "detail", "match", "confidence"]
+#: Of a row of a text table: the detector's place, the row's id, the object it belongs to, its key, and what grading has to know besides.
+ROW = ["ord", "row", "object_id", "detail", "state"]
 
 
 def cases(*found: tuple[Column, str | None]) -> Column:
@@ -31,99 +35,162 @@ def cases(*found: tuple[Column, str | None]) -> Column:
     return out
 
 
-def references(rows: DataFrame, detector: str, object_type: Column | str, object_id: Column, detail: Column, match: Column, confidence: Column) -> DataFrame:
-    kind = F.lit(object_type) if isinstance(object_type, str) else object_type
-    return rows.select("attachment_id", F.lit(detector).alias("detector"), kind.alias("object_type"), object_id.cast("long").alias("object_id"), detail.alias("detail"), match.alias("match"), confidence.alias("confidence"))
+@dataclass(frozen=True)
+class TextDetector:
+    """rows: of a site, as row, object_id, detail, state and text (and others that ``more`` reads); forms: of ids that are told apart;
+    graded: match, or none, and confidence, by the columns of ROW, ``bits`` and ``field``; own: whether an object can mention itself;
+    meta: the table, and the column of its objects, in which another key says that a key is a custom field; by_match: a reference's detail is how
+    it matches, not its row's; more: entries besides those of the text."""
 
+    name: str
+    object_type: str
+    rows: Callable[[Site], DataFrame]
+    forms: Sequence[str]
+    graded: Callable[[], tuple[Column, Column]]
+    own: bool = True
+    meta: tuple[str, str] | None = None
+    by_match: bool = False
+    more: Callable[[], tuple[Column, Callable[[Column], Column]]] | None = None
 
-def content_match(v: Column, i: Column, names: Column) -> Column:
-    ver = {k: f(v, i) for k, f in VERIFIERS.items()}
-    return cases((has_basename(v, names), "url"), (ver["wp_image"], "wp-image-class"), (ver["json_id"], "block-id"), (ver["gallery_block"] | ver["gallery_sc"], "gallery"))
+    def __call__(self, site: Site, contexts: DataFrame) -> DataFrame:
+        return found_together(site, contexts, {0: self}).select(*REFS)
 
 
-def post_content(site: Site, contexts: DataFrame) -> DataFrame:
-    v, i, names = F.col("post_content"), F.col("id_text"), F.col("basenames")
-    rows = paired(tables.content_rows(site), "id", "post_content", contexts).where(F.col("id") != F.col("attachment_id"))
-    found = rows.where(content_candidate(v, i) | has_basename(v, names)).withColumn("match", content_match(v, i, names)).where("match IS NOT NULL")
-    return references(found, "content", "post", F.col("id"), F.col("match"), F.col("match"), F.when(F.col("post_status") == "trash", "possible").otherwise("confirmed"))
+def found_together(site: Site, contexts: DataFrame, chosen: dict[int, TextDetector]) -> DataFrame:
+    """References of several detectors, with each one's place ``ord``: one pass over their tables, one join with ids and names."""
+    about = candidates.known(contexts)
 
+    def read(ord_: int, d: TextDetector) -> DataFrame:
+        ids, named = candidates.numbers(F.col("text"), d.forms), [candidates.texted(F.col("text"))]
+        if d.more:
+            leaves, inside = d.more()
+            ids, named = F.concat(ids, leaves), [*named, inside]
+        return candidates.entries(d.rows(site).withColumn("ord", F.lit(ord_)), ROW, ids, named, about)
+
+    met = candidates.matched(reduce(DataFrame.unionByName, (read(n, d) for n, d in chosen.items())), ROW, about)
+    alone = [n for n, d in chosen.items() if not d.own]
+    met = met.where(~(F.col("ord").isin(alone) & F.col("object_id").eqNullSafe(F.col("attachment_id")))) if alone else met
+    with_fields = {n: d.meta for n, d in chosen.items() if d.meta}
+    met = with_field(met, site, with_fields) if with_fields else met.withColumn("field", F.lit(False))
+    own = lambda of: reduce(lambda out, x: (F if out is None else out).when(F.col("ord") == x[0], of(x[1])), chosen.items(), None)
+    graded = met.withColumn("match", F.nullif(own(lambda d: d.graded()[0]), F.lit(""))).where("match IS NOT NULL").withColumn("confidence", own(lambda d: d.graded()[1]))
+    kind = F.when(F.col("match") == "theme-mod", "theme_mod").otherwise(own(lambda d: d.object_type))
+    detail = own(lambda d: F.col("match") if d.by_match else F.coalesce("detail", F.lit("")))
+    return graded.select("attachment_id", own(lambda d: d.name).alias("detector"), kind.alias("object_type"), F.coalesce("object_id", F.lit(0)).alias("object_id"), detail.alias("detail"), "match", "confidence", "ord")
 
-def plain_match(v: Column, i: Column) -> Column:
-    """How a value holds a bare id, if it does."""
-    ver = {k: f(v, i) for k, f in VERIFIERS.items()}
-    return cases((ver["exact"], "exact"), (ver["csv"], "comma-list"), (ver["ser_str"] | ver["ser_int"], "serialized"), (ver["json_id"], "block-id"))
+
+def fields(meta: DataFrame, owner: str) -> DataFrame:
+    """_owner, _key, _field: for each object's key that begins with an underscore, whether its first value names a custom field."""
+    return meta.where(F.col("meta_key").startswith("_")).groupBy(F.col(owner).alias("_owner"), F.col("meta_key").alias("_key")).agg(F.min_by(F.coalesce(F.col("meta_value").startswith("field_"), F.lit(False)), "meta_id").alias("_field"))
 
 
 def with_sibling(rows: DataFrame, meta: DataFrame, owner: str) -> DataFrame:
     """Adds ``field``: whether the first value of the same owner's _key names a custom field."""
-    first = meta.where(F.col("meta_key").startswith("_")).groupBy(F.col(owner).alias("_owner"), F.col("meta_key").alias("_key")).agg(F.min_by(F.coalesce(F.col("meta_value").startswith("field_"), F.lit(False)), "meta_id").alias("_field"))
-    joined = rows.join(first, (F.col(owner) == F.col("_owner")) & (F.concat(F.lit("_"), F.col("meta_key")) == F.col("_key")), "left")
+    joined = rows.join(fields(meta, owner), (F.col(owner) == F.col("_owner")) & (F.concat(F.lit("_"), F.col("meta_key")) == F.col("_key")), "left")
     field = ~F.col("meta_key").startswith("_") & F.col("_field")
     return joined.withColumn("field", F.coalesce(field, F.lit(False))).drop("_owner", "_key", "_field")
 
 
-def meta_refs(rows: DataFrame, meta: DataFrame, owner: str, detector: str, kind: str) -> DataFrame:
-    """Term and user meta: names are confirmed, bare ids possible unless the key is a custom field."""
-    v, i, names = F.col("meta_value"), F.col("id_text"), F.col("basenames")
-    found = with_sibling(rows.where(id_candidate(v, i) | has_basename(v, names)), meta, owner)
-    url, plain = has_basename(v, names), plain_match(v, i)
-    match = F.when(url, "url").when(plain.isNotNull() & F.col("field"), "acf").otherwise(plain)
-    graded = found.withColumn("match", match).where("match IS NOT NULL")
-    return references(graded, detector, kind, F.col(owner), F.coalesce("meta_key", F.lit("")), F.col("match"), F.when(F.col("match").isin("url", "acf"), "confirmed").otherwise("possible"))
+def with_field(met: DataFrame, site: Site, tables_of: dict[int, tuple[str, str]]) -> DataFrame:
+    """Adds ``field`` to pairs of several tables."""
+    every = reduce(DataFrame.unionByName, (fields(getattr(site, table), owner).where("_field").withColumn("_ord", F.lit(n)) for n, (table, owner) in tables_of.items()))
+    joined = met.join(every, (F.col("ord") == F.col("_ord")) & (F.col("object_id") == F.col("_owner")) & (F.concat(F.lit("_"), F.col("detail")) == F.col("_key")), "left")
+    return joined.withColumn("field", F.coalesce(~F.col("detail").startswith("_") & F.col("_field"), F.lit(False))).drop("_ord", "_owner", "_key", "_field")
 
 
-def termmeta(site: Site, contexts: DataFrame) -> DataFrame:
-    return meta_refs(paired(tables.termmeta_rows(site), "meta_id", "meta_value", contexts), site.termmeta, "term_id", "termmeta", "term")
+def is_(*forms: str) -> Column:
+    return has(F.col("bits"), *forms)
+
+
+def plain_match() -> Column:
+    """How a value holds a bare id, if it does."""
+    return cases((is_("exact"), "exact"), (is_("csv"), "comma-list"), (is_("ser_str", "ser_int"), "serialized"), (is_("json_id"), "block-id"))
 
 
-def usermeta(site: Site, contexts: DataFrame) -> DataFrame:
-    return meta_refs(paired(tables.usermeta_rows(site), "meta_id", "meta_value", contexts), site.usermeta, "user_id", "usermeta", "user")
+def looked_up(match: Column, *forms: str) -> Column:
+    return F.when(is_(*forms, "name"), match)
 
 
-def postmeta(site: Site, contexts: DataFrame) -> DataFrame:
-    v, i, names, key = F.col("meta_value"), F.col("id_text"), F.col("basenames"), F.col("meta_key")
-    rows = paired(tables.postmeta_rows(site), "meta_id", "meta_value", contexts).where(F.col("post_id") != F.col("attachment_id"))
-    found = with_sibling(rows.where(id_candidate(v, i) | has_basename(v, names)), site.postmeta, "post_id")
-    url, plain = has_basename(v, names), plain_match(v, i)
+def graded_content() -> tuple[Column, Column]:
+    match = cases((is_("name"), "url"), (is_("wp_image"), "wp-image-class"), (is_("json_id"), "block-id"), (is_("gallery_block", "gallery_sc"), "gallery"))
+    return looked_up(match, "find_content"), F.when(F.col("state") == "trash", "possible").otherwise("confirmed")
+
+
+def graded_meta() -> tuple[Column, Column]:
+    """Term and user meta: names are confirmed, bare ids possible unless the key is a custom field."""
+    plain = plain_match()
+    match = F.when(is_("name"), "url").when(plain.isNotNull() & F.col("field"), "acf").otherwise(plain)
+    return looked_up(match, *FOUND_META), F.when(F.col("match").isin("url", "acf"), "confirmed").otherwise("possible")
+
+
+def graded_postmeta() -> tuple[Column, Column]:
+    key, url, plain = F.col("detail"), is_("name"), plain_match()
     special = cases(
-        ((key == "_thumbnail_id") & VERIFIERS["exact"](v, i), "thumbnail"),
-        ((key == "_product_image_gallery") & VERIFIERS["csv"](v, i), "woo-gallery"),
-        ((key == "_elementor_data") & (VERIFIERS["json_id"](v, i) | url), "elementor"),
+        ((key == "_thumbnail_id") & is_("exact"), "thumbnail"),
+        ((key == "_product_image_gallery") & is_("csv"), "woo-gallery"),
+        ((key == "_elementor_data") & (is_("json_id") | url), "elementor"),
         (key == "_elementor_data", ""),  # closed: nothing else is tried
         (url, "url"),
     )
-    match = F.nullif(F.coalesce(special, F.when(plain.isNotNull() & F.col("field"), "acf").otherwise(plain)), F.lit(""))
-    graded = found.withColumn("match", match).where("match IS NOT NULL")
-    sure = F.col("match").isin("thumbnail", "woo-gallery", "elementor", "url", "acf") & (F.col("post_status") != "trash")
-    return references(graded, "postmeta", "post", F.col("post_id"), key, F.col("match"), F.when(sure, "confirmed").otherwise("possible"))
+    match = F.coalesce(special, F.when(plain.isNotNull() & F.col("field"), "acf").otherwise(plain))
+    sure = F.col("match").isin("thumbnail", "woo-gallery", "elementor", "url", "acf") & (F.col("state") != "trash")
+    return looked_up(match, *FOUND_META), F.when(sure, "confirmed").otherwise("possible")
 
 
-def options(site: Site, contexts: DataFrame) -> DataFrame:
-    v, i, names, name = F.col("option_value"), F.col("id_text"), F.col("basenames"), F.col("option_name")
-    parsed = tables.option_rows(site).withColumn("php", php_leaves(F.col("option_value")))
-    found = paired(parsed, "option_id", "option_value", contexts).where(id_candidate(v, i) | has_basename(v, names))
-    inside, serial = in_structure(F.col("php.leaves"), i, names), VERIFIERS["ser_int"](v, i)
-    kind = cases(
-        (name.isin("site_icon", "site_logo") & VERIFIERS["exact"](v, i), "site-option confirmed"),
-        (name.startswith("theme_mods_") & inside, "theme-mod confirmed"),
+def graded_options() -> tuple[Column, Column]:
+    name, inside = F.col("detail"), is_("leaf", "leaf_name")
+    match = cases(
+        (name.isin("site_icon", "site_logo") & is_("exact"), "site-option"),
+        (name.startswith("theme_mods_") & inside, "theme-mod"),
         (name.startswith("theme_mods_"), ""),
-        (name.startswith("widget_") & inside, "widget confirmed"),
-        (name.startswith("widget_") & serial, "widget possible"),
+        (name.startswith("widget_") & (inside | is_("ser_int")), "widget"),
         (name.startswith("widget_"), ""),
-        (has_basename(v, names), "url confirmed"),
-        (F.col("php.container") & inside, "serialized possible"),
-        (F.col("php.container"), ""),
-        (VERIFIERS["exact"](v, i) | VERIFIERS["json_id"](v, i), "exact possible"),
+        (is_("name"), "url"),
+        ((F.col("state") == "container") & inside, "serialized"),
+        (F.col("state") == "container", ""),
+        (is_("exact", "json_id"), "exact"),
     )
-    graded = found.withColumn("kind", F.nullif(kind, F.lit(""))).where("kind IS NOT NULL").withColumn("kind", F.split("kind", " "))
-    match = F.col("kind")[0]
-    return references(graded, "options", F.when(match == "theme-mod", "theme_mod").otherwise("option"), F.lit(0), name, match, F.col("kind")[1])
+    sure = F.col("match").isin("site-option", "theme-mod", "url") | (F.col("match") == "widget") & inside
+    return looked_up(match, *FOUND_META), F.when(sure, "confirmed").otherwise("possible")
+
+
+def option_texts(site: Site) -> DataFrame:
+    """Options with the leaves of their values; state: container, if the value is an array or object."""
+    parsed = tables.option_rows(site).withColumn("php", php_leaves(F.col("option_value")))
+    return parsed.select(F.col("option_id").alias("row"), F.lit(None).cast("long").alias("object_id"), F.col("option_name").alias("detail"), F.when(F.col("php.container"), "container").alias("state"), F.col("option_value").alias("text"), F.col("php.leaves").alias("leaves"))
+
+
+def option_leaves() -> tuple[Column, Callable[[Column], Column]]:
+    """A leaf that is an id, and names in leaves that are strings."""
+    digits = F.filter("leaves", lambda x: F.rlike(x["value"], F.lit(r"\A[0-9]+\z")))
+    texts = F.array_join(F.transform(F.filter("leaves", lambda x: x["kind"] == "string"), lambda x: x["value"]), "\0")  # which no name has
+    return F.transform(digits, lambda x: candidates.entry("i", BIT["leaf"], x["value"])), candidates.texted(texts, "leaf_name")
+
+
+def meta_texts(rows: Callable[[Site], DataFrame], owner: str) -> Callable[[Site], DataFrame]:
+    return lambda site: rows(site).select(F.col("meta_id").alias("row"), F.col(owner).alias("object_id"), F.col("meta_key").alias("detail"), F.lit(None).cast("string").alias("state"), F.col("meta_value").alias("text"))
+
+
+def postmeta_texts(site: Site) -> DataFrame:
+    return tables.postmeta_rows(site).select(F.col("meta_id").alias("row"), F.col("post_id").alias("object_id"), F.col("meta_key").alias("detail"), F.col("post_status").alias("state"), F.col("meta_value").alias("text"))
+
+
+def content_texts(site: Site) -> DataFrame:
+    return tables.content_rows(site).select(F.col("id").alias("row"), F.col("id").alias("object_id"), F.lit(None).cast("string").alias("detail"), F.col("post_status").alias("state"), F.col("post_content").alias("text"))
+
+
+postmeta = TextDetector("postmeta", "post", postmeta_texts, META, graded_postmeta, own=False, meta=("postmeta", "post_id"))
+post_content = TextDetector("content", "post", content_texts, CONTENT, graded_content, own=False, by_match=True)
+options = TextDetector("options", "option", option_texts, META, graded_options, more=option_leaves)
+termmeta = TextDetector("termmeta", "term", meta_texts(tables.termmeta_rows, "term_id"), META, graded_meta, meta=("termmeta", "term_id"))
+usermeta = TextDetector("usermeta", "user", meta_texts(tables.usermeta_rows, "user_id"), META, graded_meta, meta=("usermeta", "user_id"))
 
 
 def attached(site: Site, contexts: DataFrame) -> DataFrame:
     parents = site.owners.where("post_type <> 'revision'").select(F.col("id").alias("parent_id"))
     rows = contexts.where("parent_id > 0").join(parents, "parent_id")
-    return references(rows, "attached", "post", F.col("parent_id"), F.lit("post_parent"), F.lit("attached"), F.lit("info"))
+    said = {"detector": "attached", "object_type": "post", "detail": "post_parent", "match": "attached", "confidence": "info"}
+    return rows.withColumn("object_id", F.col("parent_id")).withColumns({k: F.lit(v) for k, v in said.items()}).select(*REFS)
 
 
 #: In the order in which references are kept.
@@ -132,5 +199,7 @@ DETECTORS: dict[str, Detector] = {"postmeta": postmeta, "content": post_content,
 
 def all_references(site: Site, contexts: DataFrame, detectors: dict[str, Detector] | None = None) -> DataFrame:
     """References of all detectors (own ones may be added, replaced or left out), duplicates kept, with the detector's place ``ord``."""
-    chosen = DETECTORS if detectors is None else detectors
-    return reduce(DataFrame.unionByName, (find(site, contexts).select(*REFS).withColumn("ord", F.lit(n)) for n, find in enumerate(chosen.values())))
+    chosen = dict(enumerate((DETECTORS if detectors is None else detectors).values()))
+    texts = {n: find for n, find in chosen.items() if isinstance(find, TextDetector)}
+    found = [find(site, contexts).select(*REFS).withColumn("ord", F.lit(n)) for n, find in chosen.items() if n not in texts]
+    return reduce(DataFrame.unionByName, [*([found_together(site, contexts, texts)] if texts else []), *found])

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..functions.phpser import php_leaves
-from ..functions.predicates import CANDIDATES, VERIFIERS, content_candidate, has_basename, in_structure
+from ..functions.predicates import CANDIDATES
 from ..operators import candidates, context, deletion, detectors, listing, results, state
 from ..sources import fixtures, site as tables
 from ..sources.fixtures import NOW
@@ -59,36 +58,21 @@ register("set_distinct_names", lambda s: ctx(s).select("attachment_id", F.posexp
 
 
 # Candidates and verifiers, over all pairs of a table's rows and attachments
-def by_id(rows: Callable[[Site], DataFrame], key: str, text: str, predicate: Callable[[Column, Column], Column], before: str | None = None) -> Query:
-    def query(s: Site) -> DataFrame:
-        table, known = rows(s), ctx(s)
-        met = candidates.id_pairs(table, key, text, known) if before is None else candidates.id_prefix_pairs(table, key, text, known, before)
-        met = met.distinct().join(table.select(key, F.col(text).alias("_v")), key)
-        return met.where(predicate(F.col("_v"), F.col("attachment_id").cast("string"))).select(F.col(key).alias("row_id"), "attachment_id")
-
-    return query
+def by_form(rows: Callable[[Site], DataFrame], key: str, text: str, form: str, every_prefix: bool = False) -> Query:
+    """Pairs of which an occurrence has the form."""
+    return lambda s: candidates.mentions(rows(s), key, text, ctx(s), [form], every_prefix=every_prefix).where(candidates.has(F.col("bits"), form)).select(F.col(key).alias("row_id"), "attachment_id")
 
 
 meta = (tables.postmeta_rows, "meta_id", "meta_value")
 posts = (tables.content_rows, "id", "post_content")
 META_PAIRS = "SELECT meta_id AS row_id, attachment_id FROM (SELECT meta_id, meta_value AS v FROM pm) t JOIN ctx ON "
 POST_PAIRS = "SELECT id AS row_id, attachment_id FROM (SELECT id, post_content AS v FROM content) t JOIN ctx ON "
-for name, predicate in CANDIDATES.items():
-    register(f"cand_{name}", by_id(*meta, predicate, '"id":' if name == "json_int" else None), o.with_views(META_PAIRS + o.CAND[name], sources=("pm",), context=True, owners=True))
+for name in CANDIDATES:
+    register(f"cand_{name}", by_form(*meta, name if name in candidates.FORMS else f"find_{name}", every_prefix=True), o.with_views(META_PAIRS + o.CAND[name], sources=("pm",), context=True, owners=True))
 for name in ("exact", "csv", "ser_int", "ser_str", "json_id"):
-    register(f"ver_{name}", by_id(*meta, VERIFIERS[name]), o.with_views(META_PAIRS + o.VER[name], sources=("pm",), context=True, owners=True))
+    register(f"ver_{name}", by_form(*meta, name), o.with_views(META_PAIRS + o.VER[name], sources=("pm",), context=True, owners=True))
 for name in ("wp_image", "gallery_block", "gallery_sc"):
-    register(f"ver_{name}", by_id(*posts, VERIFIERS[name]), o.with_views(POST_PAIRS + o.VER[name], sources=("content",), context=True))
-
-
-def content_candidates(s: Site) -> DataFrame:
-    """Open-ended forms are joined by the prefixes of the digits after them, the others by whole runs."""
-    table, known = tables.content_rows(s), ctx(s)
-    met = candidates.id_pairs(table, "id", "post_content", known)
-    for before in ("wp-image-", '"id":', 'ids="'):
-        met = met.union(candidates.id_prefix_pairs(table, "id", "post_content", known, before))
-    met = met.distinct().join(table.select("id", F.col("post_content").alias("_v")), "id")
-    return met.where(content_candidate(F.col("_v"), F.col("attachment_id").cast("string"))).select(F.col("id").alias("row_id"), "attachment_id")
+    register(f"ver_{name}", by_form(*posts, name), o.with_views(POST_PAIRS + o.VER[name], sources=("content",), context=True))
 
 
 def named(s: Site) -> DataFrame:
@@ -96,22 +80,21 @@ def named(s: Site) -> DataFrame:
 
 
 def verified_names(s: Site) -> DataFrame:
-    table = tables.postmeta_rows(s)
-    rows = candidates.paired(table, "meta_id", "meta_value", ctx(s))
-    return rows.where(has_basename(F.col("meta_value"), F.col("basenames"))).select(F.col("meta_id").alias("row_id"), "attachment_id")
+    return candidates.name_pairs(tables.postmeta_rows(s), "meta_id", "meta_value", ctx(s)).select(F.col("meta_id").alias("row_id"), "attachment_id")
 
 
 def structures(s: Site) -> DataFrame:
-    parsed = tables.option_rows(s).withColumn("php", php_leaves(F.col("option_value")))
-    rows = candidates.paired(parsed, "option_id", "option_value", ctx(s))
-    return rows.where(in_structure(F.col("php.leaves"), F.col("id_text"), F.col("basenames"))).select(F.col("option_id").alias("row_id"), "attachment_id")
+    leaves, inside = detectors.option_leaves()
+    about = candidates.known(ctx(s))
+    met = candidates.matched(candidates.entries(detectors.option_texts(s), ["row"], leaves, [inside], about), ["row"], about)
+    return met.select(F.col("row").alias("row_id"), "attachment_id")
 
 
-register("cand_content", content_candidates, o.with_views(POST_PAIRS + o.CONTENT, sources=("content",), context=True))
+register("cand_content", by_form(*posts, "find_content", every_prefix=True), o.with_views(POST_PAIRS + o.CONTENT, sources=("content",), context=True))
 register("cand_basename", named, o.with_views(POST_PAIRS + o.NAMED, sources=("content",), context=True))
 register("ver_basename", verified_names, o.with_views(META_PAIRS + o.NAMED, sources=("pm",), context=True, owners=True))
 register("ver_structure", structures, o.with_views(f"SELECT option_id AS row_id, attachment_id FROM (SELECT option_id, option_value AS v FROM op) t JOIN ctx ON {o.INSIDE}", sources=("op",), context=True))
-register("join_theta_id", lambda s: candidates.id_pairs(tables.option_rows(s), "option_id", "option_value", ctx(s)).distinct(), o.with_views("SELECT DISTINCT option_id, attachment_id FROM (SELECT option_id, unnest(regexp_extract_all(option_value, '[0-9]+')) AS i FROM op) t JOIN ctx USING (i)", sources=("op",), context=True))
+register("join_theta_id", lambda s: candidates.id_pairs(tables.option_rows(s), "option_id", "option_value", ctx(s)), o.with_views("SELECT DISTINCT option_id, attachment_id FROM (SELECT option_id, unnest(regexp_extract_all(option_value, '[0-9]+')) AS i FROM op) t JOIN ctx USING (i)", sources=("op",), context=True))
 register("join_theta_name", lambda s: candidates.name_pairs(tables.option_rows(s), "option_id", "option_value", ctx(s)), o.with_views(f"SELECT option_id, attachment_id FROM (SELECT option_id, option_value AS v FROM op) t JOIN ctx ON {o.NAMED}", sources=("op",), context=True))
 
 # Detectors
