@@ -151,8 +151,8 @@ def members(text: Column, form: str) -> Column:
     return F.when(F.contains(text, F.lit(mark)), F.transform(runs, lambda run: entry("i", BIT[form], run))).otherwise(none())
 
 
-def endings(text: Column, s: Column, form: str) -> Column:
-    """Entries n<form>:<length of the anchor>:<ending>: for each dot of the text, each extension after it and each size of an anchor, the text before the extension's end, as far as names reach."""
+def endings(text: Column, s: Column, bits: Column) -> Column:
+    """Entries n<forms>:<length of the anchor>:<ending>: for each dot of the text, each extension after it and each size of an anchor, the text before the extension's end, as far as names reach."""
     # What is before a dot is read forwards in the reversed text, as a look-behind would count half characters.
     after = F.regexp_extract_all(text, F.lit(r"\.(?=([A-Za-z0-9]{1,5}))"), F.lit(1))
     window = F.concat(F.lit(r"(?s)(?<=[A-Za-z0-9])\.(?=(.{0,"), s["longest"].cast("string"), F.lit("}))"))
@@ -160,7 +160,7 @@ def endings(text: Column, s: Column, form: str) -> Column:
 
     def at_dot(b: Column, a: Column) -> Column:
         found = F.filter(s["extensions"], lambda e: F.startswith(F.concat(F.lit("."), a), e))
-        return F.flatten(F.transform(found, lambda e: F.transform(s["sizes"], lambda n: entry("n", BIT[form], (n + F.length(e)).cast("string"), F.lit(":"), b, e))))
+        return F.flatten(F.transform(found, lambda e: F.transform(s["sizes"], lambda n: entry("n", bits, (n + F.length(e)).cast("string"), F.lit(":"), b, e))))
 
     return F.when(F.exists(s["extensions"], lambda e: F.contains(text, e)), F.flatten(F.zip_with(before, after, at_dot))).otherwise(none())
 
@@ -183,8 +183,8 @@ def bitmap(keys: DataFrame, bits: int) -> DataFrame:
     return merged.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "own"))), lambda x: x["own"]).alias("bitmap"))  # of a fixed size
 
 
-def grams(text: Column, s: Column, form: str) -> Column:
-    """Entries w<form>:<window> and g<form>:<gram><text around it> of windows of a text that names without an extension may have."""
+def grams(text: Column, s: Column, bits: Column) -> Column:
+    """Entries w<forms>:<window> and g<forms>:<gram><text around it> of windows of a text that names without an extension may have."""
     pattern = lambda n: F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))"))
     known = lambda w: in_bitmap(s["grams"], w, NARROW)
     short = F.flatten(F.transform(s["short"], lambda n: F.filter(F.array_distinct(F.regexp_extract_all(text, pattern(n), F.lit(1))), known)))
@@ -195,10 +195,10 @@ def grams(text: Column, s: Column, form: str) -> Column:
         reach = s["plain"]
         near = lambda i: F.array_join(F.transform(F.sequence(F.greatest(F.lit(0), i - reach), i + reach, F.lit(GRAM)), piece), "")
         hits = F.filter(F.transform(all_, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: known(x["w"]))
-        return F.transform(hits, lambda x: entry("g", BIT[form], x["w"], near(x["i"])))
+        return F.transform(hits, lambda x: entry("g", bits, x["w"], near(x["i"])))
 
     long = once(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)), around)
-    return F.when(s["plain"] > 0, F.concat(F.transform(short, lambda w: entry("w", BIT[form], w)), F.when(s["plain"] >= GRAM, long).otherwise(none()))).otherwise(none())
+    return F.when(s["plain"] > 0, F.concat(F.transform(short, lambda w: entry("w", bits, w)), F.when(s["plain"] >= GRAM, long).otherwise(none()))).otherwise(none())
 
 
 def names(contexts: DataFrame) -> DataFrame:
@@ -226,14 +226,14 @@ class Known:
     wanted: Column  # a subquery: the bitmap of ids and anchors
 
 
-def known(contexts: DataFrame, ids: bool = True, named: bool = True) -> Known:
+def known(contexts: DataFrame, ids: bool = True, by_name: bool = True) -> Known:
     each = names(contexts)
     nothing = {"attachment_id": F.lit(None).cast("long"), "lengths": F.lit(None).cast("array<int>"), "name": F.lit(None).cast("string")}
     keys = lambda df, kind, k, **own: df.select(F.lit(kind).alias("kind"), F.col(k).alias("k"), *(own.get(c, default).alias(c) for c, default in nothing.items()))
     found, reading = [], None
     if ids:
         found.append(keys(contexts, "i", "id_text", attachment_id=F.col("attachment_id")))
-    if named:
+    if by_name:
         ended, plain = each.where("ext <> ''"), each.where("ext = ''")
         short, long = plain.where(F.length("name") < GRAM), rarest(plain.where(F.length("name") >= GRAM))
         found.append(keys(ended.groupBy("anchor").agg(F.collect_set(F.length("name")).alias("own")), "n", "anchor", lengths=F.col("own")))  # no more than a name is long
@@ -255,22 +255,26 @@ def known(contexts: DataFrame, ids: bool = True, named: bool = True) -> Known:
     return Known(every, each.where("ext <> ''").select("name", "attachment_id"), reading, wanted)
 
 
-def texted(text: Column, form: str = "name") -> Callable[[Column], Column]:
-    """Entries for names in a text, given what has to be known to read it."""
-    return lambda s: F.concat(endings(text, s, form), grams(text, s, form))
+def named(texts: Column, s: Column) -> Column:
+    """Entries of names of several texts (bits, text), given what has to be known to read them."""
+    return F.flatten(F.transform(texts, lambda t: F.concat(endings(t["text"], s, t["bits"]), grams(t["text"], s, t["bits"]))))
 
 
-def entries(rows: DataFrame, columns: Sequence[str], ids: Column | None, named: Sequence[Callable[[Column], Column]], about: Known) -> DataFrame:
+def a_text(text: Column, form: str) -> Column:
+    return F.struct(F.lit(BIT[form]).alias("bits"), text.alias("text"))
+
+
+def entries(rows: DataFrame, columns: Sequence[str], ids: Column | None, texts: Column | None, about: Known) -> DataFrame:
     """The columns, kind, k, rest, bits: a row for each different entry of a row of a table that may match.
 
-    ids: an array of entries of ids; named: what gives entries of names."""
+    ids: an array of entries of ids; texts: an array of the texts that may hold names (``a_text``)."""
     source, found = rows, [ids] if ids is not None else []
-    if named:
+    if texts is not None:
         source = rows.withColumn("_reading", about.reading)
-        found += [f(F.col("_reading")) for f in named]
+        found.append(named(texts, F.col("_reading")))
     each = source.select(*columns, F.explode(F.array_distinct(F.concat(*found))).alias("x"))
     kind, forms = F.left("x", F.lit(1)), F.substring_index(F.substring("x", 2, 12), ":", 1)
-    rest = F.expr(f"substring(x, length(substring_index(substring(x, 2, 12), ':', 1)) + 3)")
+    rest = F.expr("substring(x, length(substring_index(substring(x, 2, 12), ':', 1)) + 3)")
     each = each.select(*columns, kind.alias("kind"), forms.cast("int").alias("bits"), rest.alias("rest"))
     size = F.substring_index("rest", ":", 1)
     is_name = F.col("kind") == "n"
@@ -281,11 +285,11 @@ def entries(rows: DataFrame, columns: Sequence[str], ids: Column | None, named:
     return each.where(F.col("kind").isin("w", "g") | in_bitmap(about.wanted, F.concat("kind", "k"), WIDE))
 
 
-def matched(found: DataFrame, columns: Sequence[str], about: Known, named: bool = True) -> DataFrame:
+def matched(found: DataFrame, columns: Sequence[str], about: Known, by_name: bool = True) -> DataFrame:
     """The columns, attachment_id, bits: each pair of a row and an attachment that it mentions, with all its forms."""
     hits = found.join(about.keys, ["kind", "k"]).where((F.col("kind") != "g") | F.contains("rest", F.col("name")))
     hits = hits.select(*columns, "bits", "rest", "attachment_id", "lengths")
-    if named:
+    if by_name:
         # One row for each ending that a name may be. What is found already gets a name that there is not, another one in each row.
         each = hits.select(*columns, "bits", "rest", F.col("attachment_id").alias("found"), F.explode(F.coalesce("lengths", F.array(F.lit(0)))).alias("n"))
         name = F.when(F.col("found").isNull(), F.right("rest", F.col("n"))).otherwise(F.concat(F.lit("\0"), F.xxhash64(*columns).cast("string")))
@@ -293,12 +297,13 @@ def matched(found: DataFrame, columns: Sequence[str], about: Known, named: bool
     return hits.groupBy(*columns, "attachment_id").agg(F.bit_or("bits").alias("bits"))
 
 
-def mentions(rows: DataFrame, key: str, text: str, contexts: DataFrame, forms: Sequence[str] = (), named: bool = False, every_prefix: bool = False) -> DataFrame:
-    """key, attachment_id, bits of a table's texts: by id in any of the forms, and by name if ``named``."""
-    about = known(contexts, bool(forms), named)
+def mentions(rows: DataFrame, key: str, text: str, contexts: DataFrame, forms: Sequence[str] = (), by_name: bool = False, every_prefix: bool = False) -> DataFrame:
+    """key, attachment_id, bits of a table's texts: by id in any of the forms, and by name if ``by_name``."""
+    about = known(contexts, bool(forms), by_name)
     own = rows.select(F.col(key).alias("row"), F.col(text).alias("text"))
     ids = numbers(F.col("text"), forms, every_prefix) if forms else None
-    return matched(entries(own, ["row"], ids, [texted(F.col("text"))] if named else [], about), ["row"], about, named).withColumnRenamed("row", key)
+    texts = F.array(a_text(F.col("text"), "name")) if by_name else None
+    return matched(entries(own, ["row"], ids, texts, about), ["row"], about, by_name).withColumnRenamed("row", key)
 
 
 def id_pairs(rows: DataFrame, key: str, text: str, contexts: DataFrame) -> DataFrame:
@@ -308,4 +313,4 @@ def id_pairs(rows: DataFrame, key: str, text: str, contexts: DataFrame) -> DataF
 
 def name_pairs(rows: DataFrame, key: str, text: str, contexts: DataFrame) -> DataFrame:
     """Distinct (key, attachment_id): the text holds a name of the attachment."""
-    return mentions(rows, key, text, contexts, named=True).select(key, "attachment_id")
+    return mentions(rows, key, text, contexts, by_name=True).select(key, "attachment_id")

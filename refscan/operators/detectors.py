@@ -37,10 +37,10 @@ def cases(*found: tuple[Column, str | None]) -> Column:
 
 @dataclass(frozen=True)
 class TextDetector:
-    """rows: of a site, as row, object_id, detail, state and text (and others that ``more`` reads); forms: of ids that are told apart;
+    """rows: of a site, as row, object_id, detail, state, text, and leaves if it has any; forms: of ids that are told apart;
     graded: match, or none, and confidence, by the columns of ROW, ``bits`` and ``field``; own: whether an object can mention itself;
     meta: the table, and the column of its objects, in which another key says that a key is a custom field; by_match: a reference's detail is how
-    it matches, not its row's; more: entries besides those of the text."""
+    it matches, not its row's."""
 
     name: str
     object_type: str
@@ -50,7 +50,6 @@ class TextDetector:
     own: bool = True
     meta: tuple[str, str] | None = None
     by_match: bool = False
-    more: Callable[[], tuple[Column, Callable[[Column], Column]]] | None = None
 
     def __call__(self, site: Site, contexts: DataFrame) -> DataFrame:
         return found_together(site, contexts, {0: self}).select(*REFS)
@@ -59,15 +58,17 @@ class TextDetector:
 def found_together(site: Site, contexts: DataFrame, chosen: dict[int, TextDetector]) -> DataFrame:
     """References of several detectors, with each one's place ``ord``: one pass over their tables, one join with ids and names."""
     about = candidates.known(contexts)
-
-    def read(ord_: int, d: TextDetector) -> DataFrame:
-        ids, named = candidates.numbers(F.col("text"), d.forms), [candidates.texted(F.col("text"))]
-        if d.more:
-            leaves, inside = d.more()
-            ids, named = F.concat(ids, leaves), [*named, inside]
-        return candidates.entries(d.rows(site).withColumn("ord", F.lit(ord_)), ROW, ids, named, about)
-
-    met = candidates.matched(reduce(DataFrame.unionByName, (read(n, d) for n, d in chosen.items())), ROW, about)
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (d.rows(site).withColumn("ord", F.lit(n)) for n, d in chosen.items()))
+    by_forms: dict[Sequence[str], list[int]] = {}
+    for n, d in chosen.items():
+        by_forms.setdefault(d.forms, []).append(n)
+    ids = reduce(lambda out, x: (F if out is None else out).when(F.col("ord").isin(x[1]), candidates.numbers(F.col("text"), x[0])), by_forms.items(), None)
+    texts = F.array(candidates.a_text(F.col("text"), "name"))
+    if "leaves" in rows.columns:
+        some = F.col("leaves").isNotNull()
+        ids = F.concat(ids, F.when(some, leaf_ids()).otherwise(candidates.none()))
+        texts = F.when(some, F.array_append(texts, leaf_text())).otherwise(texts)
+    met = candidates.matched(candidates.entries(rows, ROW, ids, texts, about), ROW, about)
     alone = [n for n, d in chosen.items() if not d.own]
     met = met.where(~(F.col("ord").isin(alone) & F.col("object_id").eqNullSafe(F.col("attachment_id")))) if alone else met
     with_fields = {n: d.meta for n, d in chosen.items() if d.meta}
@@ -160,11 +161,15 @@ def option_texts(site: Site) -> DataFrame:
     return parsed.select(F.col("option_id").alias("row"), F.lit(None).cast("long").alias("object_id"), F.col("option_name").alias("detail"), F.when(F.col("php.container"), "container").alias("state"), F.col("option_value").alias("text"), F.col("php.leaves").alias("leaves"))
 
 
-def option_leaves() -> tuple[Column, Callable[[Column], Column]]:
-    """A leaf that is an id, and names in leaves that are strings."""
+def leaf_ids() -> Column:
+    """Entries of leaves that are ids."""
     digits = F.filter("leaves", lambda x: F.rlike(x["value"], F.lit(r"\A[0-9]+\z")))
-    texts = F.array_join(F.transform(F.filter("leaves", lambda x: x["kind"] == "string"), lambda x: x["value"]), "\0")  # which no name has
-    return F.transform(digits, lambda x: candidates.entry("i", BIT["leaf"], x["value"])), candidates.texted(texts, "leaf_name")
+    return F.transform(digits, lambda x: candidates.entry("i", BIT["leaf"], x["value"]))
+
+
+def leaf_text() -> Column:
+    """The leaves that are strings, with what no name has between them."""
+    return candidates.a_text(F.array_join(F.transform(F.filter("leaves", lambda x: x["kind"] == "string"), lambda x: x["value"]), "\0"), "leaf_name")
 
 
 def meta_texts(rows: Callable[[Site], DataFrame], owner: str) -> Callable[[Site], DataFrame]:
@@ -181,7 +186,7 @@ def content_texts(site: Site) -> DataFrame:
 
 postmeta = TextDetector("postmeta", "post", postmeta_texts, META, graded_postmeta, own=False, meta=("postmeta", "post_id"))
 post_content = TextDetector("content", "post", content_texts, CONTENT, graded_content, own=False, by_match=True)
-options = TextDetector("options", "option", option_texts, META, graded_options, more=option_leaves)
+options = TextDetector("options", "option", option_texts, META, graded_options)
 termmeta = TextDetector("termmeta", "term", meta_texts(tables.termmeta_rows, "term_id"), META, graded_meta, meta=("termmeta", "term_id"))
 usermeta = TextDetector("usermeta", "user", meta_texts(tables.usermeta_rows, "user_id"), META, graded_meta, meta=("usermeta", "user_id"))
 

@@ -84,10 +84,9 @@ def verified_names(s: Site) -> DataFrame:
 
 
 def structures(s: Site) -> DataFrame:
-    leaves, inside = detectors.option_leaves()
     about = candidates.known(ctx(s))
-    met = candidates.matched(candidates.entries(detectors.option_texts(s), ["row"], leaves, [inside], about), ["row"], about)
-    return met.select(F.col("row").alias("row_id"), "attachment_id")
+    found = candidates.entries(detectors.option_texts(s), ["row"], detectors.leaf_ids(), F.array(detectors.leaf_text()), about)
+    return candidates.matched(found, ["row"], about).select(F.col("row").alias("row_id"), "attachment_id")
 
 
 register("cand_content", by_form(*posts, "find_content", every_prefix=True), o.with_views(POST_PAIRS + o.CONTENT, sources=("content",), context=True))

@@ -99,8 +99,18 @@ VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
 LINKED = {"posts": ("post_content", "/u/"), "postmeta": ("meta_value", "/u/"), "options": ("option_value", "/u/")}
 
 
+_sizes: dict[tuple[str, str], dict[str, str]] = {}
+
+
 def sizes(spark: SparkSession, sf_dir: str) -> dict[str, str]:
-    """Of the numbers that grow with the tables."""
+    """Of the numbers that grow with the tables; counted once for a folder in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _sizes:
+        _sizes[key] = counted(spark, sf_dir)
+    return _sizes[key]
+
+
+def counted(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     n = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
     return {"@IDS@": str(n("part") * 3 // 2), "@DOCS@": str(n("documents"))}
 
