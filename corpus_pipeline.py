@@ -1,10 +1,9 @@
 """Training-text pipeline: each stage takes (spark, docs, sf_dir) and gives the next one's documents.
 
 1. quality: documents that the quality classifier rejects go.
-2. line_dedup: of each group of near-duplicates one document stays, as a near-copy cut line by line would leave
-   its edited lines behind. From what stays, all multi-line chunks that occur elsewhere are removed but for
-   the first occurrence, whatever their share of a text; documents of which nothing is left go.
-3. near_dedup: the same groups (five-word shingles, similarity 0.8) among the texts that are left.
+2. line_dedup: all multi-line chunks that occur elsewhere are removed but for the first occurrence, whatever
+   their share of a text; documents of which nothing is left go. Of a near-copy its own lines stay.
+3. near_dedup: of each group of near-duplicates (five-word shingles, similarity 0.8) one document stays.
 4. mixing: documents are left out or repeated by the rates that bring toxic and low-quality tokens
    down to their target weights, where they have more; clean tokens keep their total.
 5. packing: token sequences of at most 2048, as few as possible.
@@ -33,8 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Null texts stay null and empty ones empty; a null id comes first; n_chars, if there is one, follows a changed text."""
     (report,) = fresh(docs, "report")
-    whole = written(minhash.without_near_duplicates(docs), "whole")  # before chunks are counted: a chunk's first occurrence is in a text that stays
-    found = linededup.line_dedup(whole, report=report).where(~F.col(f"{report}.emptied"))
+    found = linededup.line_dedup(docs, report=report).where(~F.col(f"{report}.emptied"))
     if "n_chars" in docs.columns:
         text_size = F.when(F.col(f"{report}.removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars"))
         found = found.withColumn("n_chars", text_size.cast(docs.schema["n_chars"].dataType))
