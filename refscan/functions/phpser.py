@@ -157,3 +157,98 @@ def parsed(batch: pa.Array) -> pa.Array:
 def php_leaves(text: Column) -> Column:
     """``leaves_of`` a text column, in Arrow batches, as TYPE."""
     return F.arrow_udf(parsed, TYPE)(text)
+
+
+FILE = "struct<original_image:string,sizes:map<string,struct<file:string>>,filesize:long>"
+#: What a container or a scalar is read as.
+Value = dict | str | int | float | bool | None
+
+
+def value_of(text: str) -> Value:
+    """A serialized value as Python values; arrays and objects are dicts by key, in their order. Unreadable: raises ``Unreadable``."""
+    reader = Reader(text.strip(" \t\n\r\0\x0b").encode())
+    open_: list[tuple[dict, int, str | int | None]] = []  # container, entries left, key of the next value
+    while True:
+        kind = reader.data[reader.at : reader.at + 1]
+        if kind == b"N":
+            reader.expect(b"N;")
+            value: Value = None
+        elif kind in (b"a", b"O"):
+            reader.at += 1
+            reader.expect(b":")
+            if kind == b"O":
+                reader.counted()
+                reader.expect(b":")
+            n = reader.number(b":")
+            reader.expect(b"{")
+            value = {}
+            if n > 0:
+                open_.append((value, n, key_of(reader)))
+                continue
+            reader.expect(b"}")
+        elif kind in (b"s", b"i", b"b", b"d"):
+            value = scalar_of(reader, kind)
+        else:
+            raise Unreadable
+        while open_:
+            container, left, key = open_.pop()
+            container[key] = value
+            if left > 1:
+                open_.append((container, left - 1, key_of(reader)))
+                break
+            reader.expect(b"}")
+            value = container
+        if not open_:
+            break
+    if reader.at != len(reader.data):
+        raise Unreadable
+    return value
+
+
+def scalar_of(reader: Reader, kind: bytes) -> Value:
+    reader.at += 1
+    reader.expect(b":")
+    if kind == b"s":
+        text = reader.counted().decode("utf-8", "replace")
+        reader.expect(b";")
+        return text
+    if kind == b"d":
+        try:
+            return float(reader.upto(b";").decode("ascii", "replace").replace("INF", "inf").replace("NAN", "nan"))
+        except ValueError:
+            raise Unreadable from None
+    number = reader.number(b";")
+    return bool(number) if kind == b"b" else number
+
+
+def key_of(reader: Reader) -> str | int:
+    kind = reader.data[reader.at : reader.at + 1]
+    if kind not in (b"i", b"s"):
+        raise Unreadable
+    return scalar_of(reader, kind)
+
+
+def file_of(text: str | None) -> dict | None:
+    """original_image, sizes and filesize of an attachment's metadata; none if it can't be read or is no array."""
+    try:
+        meta = value_of(text or "")
+    except Unreadable:
+        return None
+    if not isinstance(meta, dict):
+        return None
+    said = lambda x: x if isinstance(x, str) and x not in ("", "0") else None
+    sizes = meta.get("sizes")
+    files = {str(k): v.get("file") for k, v in sizes.items() if isinstance(v, dict)} if isinstance(sizes, dict) else {}
+    size = meta.get("filesize")
+    size = int(size) if isinstance(size, (int, float)) and size == size and abs(size) < 1 << 63 else int(size) if isinstance(size, str) and size.isascii() and size.isdigit() and len(size) < 19 else None
+    return {"original_image": said(meta.get("original_image")), "sizes": [(k, {"file": said(f)}) for k, f in files.items() if said(f)], "filesize": size}
+
+
+def filed(batch: pa.Array) -> pa.Array:
+    kind = pa.struct([("original_image", pa.string()), ("sizes", pa.map_(pa.string(), pa.struct([("file", pa.string())]))), ("filesize", pa.int64())])
+    return pa.array([file_of(x) for x in batch.to_pylist()], kind)
+
+
+def php_file(text: Column) -> Column:
+    """``file_of`` a text column, in Arrow batches, as FILE."""
+    return F.arrow_udf(filed, FILE)(text)

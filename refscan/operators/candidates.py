@@ -185,7 +185,7 @@ def bitmap(keys: DataFrame, bits: int) -> DataFrame:
 
 def grams(text: Column, s: Column, bits: Column) -> Column:
     """Entries w<forms>:<window> and g<forms>:<gram><text around it> of windows of a text that names without an extension may have."""
-    pattern = lambda n: F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))"))
+    pattern = lambda n: F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))."))
     known = lambda w: in_bitmap(s["grams"], w, NARROW)
     short = F.flatten(F.transform(s["short"], lambda n: F.filter(F.array_distinct(F.regexp_extract_all(text, pattern(n), F.lit(1))), known)))
 
@@ -195,9 +195,9 @@ def grams(text: Column, s: Column, bits: Column) -> Column:
         reach = s["plain"]
         near = lambda i: F.array_join(F.transform(F.sequence(F.greatest(F.lit(0), i - reach), i + reach, F.lit(GRAM)), piece), "")
         hits = F.filter(F.transform(all_, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: known(x["w"]))
-        return F.transform(hits, lambda x: entry("g", bits, x["w"], near(x["i"])))
+        return F.transform(hits, lambda x: entry("g", bits, x["w"], F.lit("\0"), near(x["i"])))  # no name has that mark
 
-    long = once(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)), around)
+    long = once(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))."), F.lit(1)), around)
     return F.when(s["plain"] > 0, F.concat(F.transform(short, lambda w: entry("w", bits, w)), F.when(s["plain"] >= GRAM, long).otherwise(none()))).otherwise(none())
 
 
@@ -211,7 +211,7 @@ def names(contexts: DataFrame) -> DataFrame:
 
 def rarest(plain: DataFrame) -> DataFrame:
     """Of names (attachment_id, name) of GRAM characters and more: the gram that the fewest names have."""
-    each = plain.select("attachment_id", "name", F.explode(F.array_distinct(F.regexp_extract_all("name", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))).alias("gram"))
+    each = plain.select("attachment_id", "name", F.explode(F.array_distinct(F.regexp_extract_all("name", F.lit(f"(?s)(?=(.{{{GRAM}}}))."), F.lit(1)))).alias("gram"))
     counts = each.groupBy("gram").agg(F.count("*").alias("n"))
     return each.join(counts, "gram").groupBy("attachment_id", "name").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..functions.predicates import CANDIDATES
 from ..operators import candidates, context, deletion, detectors, listing, results, state
-from ..sources import fixtures, site as tables
+from ..sources import fixtures, raw, site as tables
 from ..sources.fixtures import NOW
 from ..sources.site import Site
 from ..streaming.staleness import is_stale, last_change
@@ -57,6 +57,17 @@ register("ctx_build", lambda s: ctx(s).select("attachment_id", "id_text", "paren
 register("set_distinct_names", lambda s: ctx(s).select("attachment_id", F.posexplode("basenames").alias("place", "name")).select("attachment_id", F.col("place").cast("long"), "name"), o.with_views("SELECT attachment_id, generate_subscripts(basenames, 1) - 1 AS place, unnest(basenames) AS name FROM ctx", context=True))
 
 
+# The same site from raw tables, with serialized metadata
+def from_raw(s: Site) -> Site:
+    return raw.shaped(fixtures.raw(s), s.files)
+
+
+ATTACHMENT = ("id", "post_status", "post_parent", "title", "mime", "attached_file", "original_image", "filesize", "created")
+register("src_raw", lambda s: from_raw(s).attachments.select(*ATTACHMENT, F.element_at("sizes", F.lit("thumbnail"))["file"].alias("size_thumb")), o.with_views(f"SELECT {', '.join(ATTACHMENT)}, size_thumb FROM attachments"))
+register("src_raw_results", lambda s: from_raw(s).results, o.with_views("SELECT attachment_id, status, ref_count, CASE WHEN starts_with(refs_json, '[') THEN refs_json ELSE '[]' END AS refs_json, scanned_at FROM results", "results"))
+register("ctx_raw", lambda s: ctx(from_raw(s)).select("attachment_id", "id_text", "parent_id", F.size("basenames").cast("long").alias("n"), F.array_join("basenames", "|").alias("names")), SQL["ctx_build"])
+
+
 # Candidates and verifiers, over all pairs of a table's rows and attachments
 def by_form(rows: Callable[[Site], DataFrame], key: str, text: str, form: str, every_prefix: bool = False) -> Query:
     """Pairs of which an occurrence has the form."""
@@ -127,6 +138,7 @@ register("join_display", lambda s: listing.evidence(s, detectors.termmeta(s, ctx
 register("set_union_refs", lambda s: references(s).groupBy("ord", "detector", "match", "confidence").agg(F.count("*").alias("n")).select(F.col("ord").cast("long"), "detector", "match", "confidence", "n"), o.over_refs("SELECT CAST(ord AS BIGINT) AS ord, detector, match, confidence, count(*) AS n FROM refs GROUP BY ALL"))
 VERDICT_COLUMNS = ("attachment_id", "status", "ref_count", "scanned_at")
 register("agg_is_used", lambda s: scanned(s, NOW).select("attachment_id", "status"), o.over_refs(f"SELECT attachment_id, status FROM ({o.VERDICTS})"))
+register("agg_is_used_raw", lambda s: scanned(from_raw(s), NOW).select("attachment_id", "status"), SQL["agg_is_used"])
 register("agg_ref_count", lambda s: scanned(s, NOW).select("attachment_id", "ref_count"), o.over_refs(f"SELECT attachment_id, ref_count FROM ({o.VERDICTS})"))
 KEPT_SQL = "SELECT attachment_id, CAST(place AS BIGINT) AS place, detector, object_type, object_id, detail, match, confidence FROM (SELECT *, row_number() OVER (PARTITION BY attachment_id ORDER BY ord, object_id, detail, match) - 1 AS place FROM refs) WHERE place < 20"
 register("topk_refs", lambda s: results.decoded(scanned(s, NOW)).withColumn("place", F.col("place").cast("long")), o.over_refs(KEPT_SQL))

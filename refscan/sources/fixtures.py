@@ -139,6 +139,28 @@ def site(spark: SparkSession, sf_dir: str) -> Site:
     return Site(**views)
 
 
+def raw(site: Site) -> dict[str, DataFrame]:
+    """The site as raw tables: attachments are posts, their files and results are serialized in meta rows."""
+    text = lambda c: F.concat(F.lit("s:"), F.octet_length(c).cast("string"), F.lit(':"'), c, F.lit('";'))
+    entry = lambda key, value: F.concat(text(F.lit(key)), value)
+    array = lambda n, *parts: F.concat(F.lit(f"a:{n}:{{") if isinstance(n, int) else F.concat(F.lit("a:"), n, F.lit(":{")), *parts, F.lit("}"))
+    file, original = F.coalesce("attached_file", F.lit("")), F.col("original_image")
+    size = F.concat(entry("width", F.lit("i:150;")), entry("file", text(F.element_at("sizes", F.lit("thumbnail"))["file"])), entry("scale", F.lit("d:1.5;")))
+    parts = [entry("file", text(file)), entry("sizes", array(1, entry("thumbnail", array(3, size)))), F.when(original.isNotNull(), entry("original_image", text(original))).otherwise(""), entry("filesize", F.concat(F.lit("i:"), F.col("filesize").cast("string"), F.lit(";"))), entry("image_meta", array(1, entry("aperture", F.lit("b:0;"))))]
+    metadata = array(F.when(original.isNotNull(), "5").otherwise("4"), *parts)
+    row = lambda n, key, value: F.struct((F.lit(10**9 + n) + F.col("id") * 10).alias("meta_id"), F.lit(key).alias("meta_key"), value.alias("meta_value"))
+    # A second row of a key never counts.
+    own = F.explode(F.array(row(2, "_wp_attached_file", F.lit("other.jpg")), row(1, "_wp_attached_file", file), row(3, "_wp_attachment_metadata", metadata)))
+    meta = site.attachments.select(F.col("id").alias("post_id"), own.alias("x")).select("x.meta_id", "post_id", "x.meta_key", "x.meta_value")
+    stored = F.concat(F.lit('{"count":'), F.col("ref_count").cast("string"), F.lit(',"refs":'), F.when(F.startswith("refs_json", F.lit("[")), F.col("refs_json")).otherwise("null"), F.lit("}"))
+    said = lambda n, key, value: F.struct((F.lit(2 * 10**9 + n) + F.col("attachment_id") * 10).alias("meta_id"), F.lit(key).alias("meta_key"), value.alias("meta_value"))
+    results = site.results.select(F.col("attachment_id").alias("post_id"), F.explode(F.array(said(1, "_refscan_status", F.col("status")), said(2, "_refscan_refs", stored), said(3, "_refscan_scanned_at", F.col("scanned_at").cast("string")))).alias("x")).select("x.meta_id", "post_id", "x.meta_key", "x.meta_value")
+    posts = site.posts.select(F.col("id").alias("ID"), "post_type", "post_status", F.lit(0).cast("long").alias("post_parent"), F.col("title").alias("post_title"), F.lit("").alias("post_mime_type"), F.lit(None).cast("timestamp").alias("post_date"), "post_content")
+    files = site.attachments.select(F.col("id").alias("ID"), F.lit("attachment").alias("post_type"), "post_status", "post_parent", F.col("title").alias("post_title"), F.col("mime").alias("post_mime_type"), F.col("created").cast("timestamp").alias("post_date"), F.lit("").alias("post_content"))
+    kept = site.postmeta.where("meta_key IS NULL OR meta_key <> '_refscan_status'")
+    return {"posts": posts.unionByName(files), "postmeta": kept.unionByName(meta).unionByName(results), "options": site.options, "termmeta": site.termmeta, "usermeta": site.usermeta.withColumnRenamed("meta_id", "umeta_id"), "terms": site.terms, "users": site.users.withColumnRenamed("user_id", "ID")}
+
+
 #: The same numbers as DuckDB counts them.
 COUNTED = {"@IDS@": "(SELECT count(*) * 3 // 2 FROM part)", "@DOCS@": "(SELECT count(*) FROM documents)"}
 
