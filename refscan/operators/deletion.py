@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.site import Site
-from .listing import unused_ids
-from .results import cleared
+from .lineage import cut
+from .listing import ranked, unused_ids
+from .results import cleared, verdicts
+
+LARGEST = (1 << 63) - 1
+
+
+#: A number that a text begins with.
+NUMBER = re.compile(r"[ \t\n\r\v\f]*[+-]?([0-9]+(?:\.[0-9]*)?|\.[0-9]+)((?:[eE][+-]?[0-9]+)?)")
 
 
 def requested(ids: Iterable[int | str | None]) -> list[int]:
-    """Ids as given by a form: absolute values of leading numbers, without zeros, repeats kept."""
+    """Ids as given by a form: absolute values of the numbers that texts begin with (1e3 is 1000), without fractions and zeros, repeats kept.
+
+    A number beyond a long is one that no attachment has."""
     out = []
     for x in ids:
-        text = str(x or "").strip()
-        digits = ""
-        for c in text.removeprefix("-").removeprefix("+"):
-            if not c.isdigit():
-                break
-            digits += c
-        out.append(int(digits or 0))
+        found = NUMBER.match(str(x or ""))
+        number, power = found.groups() if found else ("0", "")
+        if not power and "." not in number:
+            value = int(number)
+        else:
+            value = float(number + power)
+            value = int(value) if value < LARGEST else LARGEST
+        out.append(min(value, LARGEST))
     return [x for x in out if x]
 
 
@@ -36,15 +48,59 @@ def requested_keys(texts: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(texts, F.lit(""))), "[^a-z0-9_-]", "")
 
 
-def plan(site: Site, ids: DataFrame, fresh: DataFrame, deletable: DataFrame) -> DataFrame:
-    """attachment_id, outcome for each row of ``ids``: failed (no attachment, or not in ``deletable``), skipped (used after all), deleted.
-
-    ``fresh``: verdicts from a new scan of these ids on one snapshot. A deletion can only take references
-    away, so what a snapshot finds unused would also be unused after earlier deletions."""
-    known = site.attachments.select(F.col("id").alias("attachment_id"), F.lit(True).alias("known"))
-    rows = ids.join(known, "attachment_id", "left").join(deletable.select("attachment_id", F.lit(True).alias("may")).distinct(), "attachment_id", "left").join(fresh.select("attachment_id", "status"), "attachment_id", "left")
-    outcome = F.when(F.col("known").isNull() | F.col("may").isNull(), "failed").when(F.col("status") == "used", "skipped").otherwise("deleted")
-    return rows.select("attachment_id", outcome.alias("outcome"))
+def numbered(ids: DataFrame) -> DataFrame:
+    """n, attachment_id: requests in ascending order of ids."""
+    return ranked(ids.select("attachment_id"), "attachment_id").select(F.col("rank").cast("long").alias("n"), "attachment_id")
+
+
+def plan(site: Site, requests: DataFrame, refs: DataFrame, deletable: DataFrame, fails: DataFrame | None = None) -> DataFrame:
+    """n, attachment_id, outcome for each row of ``requests`` (n, attachment_id), which are carried out by n.
+
+    failed: no attachment (any more), not in ``deletable``, or one of ``fails``, whose deletion goes wrong; skipped: used at its turn;
+    deleted. ``refs``: references of these attachments on the site as it is before. A deletion takes the references in its
+    attachment's own meta rows with it: what only those mention is unused at a later turn, so it can go, too; what they
+    mention at an earlier turn is still used. This is settled in rounds: an attachment's turn comes when all that mention it are gone."""
+    known = site.attachments.select(F.col("id").alias("attachment_id"))
+    may = known.join(deletable.select("attachment_id").distinct(), "attachment_id", "left_semi").withColumn("may", F.lit(True))
+    asked = requests.select("n", "attachment_id").join(may, "attachment_id", "left")
+    if fails is not None:
+        asked = asked.join(fails.select("attachment_id", F.lit(True).alias("fails")).distinct(), "attachment_id", "left")
+    else:
+        asked = asked.withColumn("fails", F.lit(None).cast("boolean"))
+    asked = cut(asked)
+    turns = asked.where("may").select("attachment_id", "n")
+    leaves = asked.where("may AND fails IS NULL").select(F.col("attachment_id").alias("holder"), F.lit(True).alias("leaves")).distinct()
+    counting = refs.where("confidence <> 'info'").select("attachment_id", held_by().alias("holder")).distinct().join(turns, "attachment_id", "left_semi")
+    held = cut(counting.join(leaves, "holder", "left"))
+    kept = held.where("leaves IS NULL").select("attachment_id").distinct()  # mentioned by what stays
+    edges = held.join(kept, "attachment_id", "left_anti").select("attachment_id", "holder")
+    needs = edges.groupBy("attachment_id").agg(F.count("*").alias("needed"))
+    unused = cut(turns.join(held.select("attachment_id").distinct(), "attachment_id", "left_anti").groupBy("attachment_id").agg(F.min("n").alias("turn")))
+    while True:
+        gone = unused.join(leaves.withColumnRenamed("holder", "attachment_id"), "attachment_id").select(F.col("attachment_id").alias("holder"), "turn")
+        free = edges.join(gone, "holder").groupBy("attachment_id").agg(F.count("*").alias("n_gone"), F.max("turn").alias("after")).join(needs, "attachment_id").where("n_gone = needed")
+        next_ = free.join(turns, "attachment_id").where("n > after").groupBy("attachment_id").agg(F.min("n").alias("turn")).join(unused.select("attachment_id"), "attachment_id", "left_anti")
+        if (next_ := cut(next_)).isEmpty():
+            break
+        unused = cut(unused.unionByName(next_))
+    outcome = F.when(F.col("may").isNull(), "failed").when(F.col("turn").isNull() | (F.col("n") < F.col("turn")), "skipped").when(F.col("fails") | (F.col("n") > F.col("turn")), "failed").otherwise("deleted")
+    return asked.join(unused, "attachment_id", "left").select("n", "attachment_id", outcome.alias("outcome"))
+
+
+def held_by() -> Column:
+    """The post or attachment that holds a reference; the others never go."""
+    return F.when(F.col("object_type") == "post", F.col("object_id"))
+
+
+def tried(site: Site, contexts: DataFrame, requests: DataFrame, refs: DataFrame, deletable: DataFrame, now: int, fails: DataFrame | None = None) -> DataFrame:
+    """The ``plan`` with the verdict that each skipped request stored: status, ref_count, refs_json, scanned_at, on what was left at its turn."""
+    outcomes = cut(plan(site, requests, refs, deletable, fails))
+    gone = outcomes.where("outcome = 'deleted'").select(F.col("attachment_id").alias("holder"), F.col("n").alias("turn"))
+    skipped = outcomes.where("outcome = 'skipped'")
+    # A request is an attachment of its own here: an id may be asked for several times.
+    left = refs.withColumn("holder", held_by()).join(gone, "holder", "left").join(skipped.select("n", "attachment_id"), "attachment_id").where("turn IS NULL OR turn > n")
+    seen = verdicts(skipped.select(F.col("n").alias("attachment_id")), left.drop("attachment_id").withColumnRenamed("n", "attachment_id"), now)
+    return outcomes.join(seen.withColumnRenamed("attachment_id", "n"), "n", "left")
 
 
 def tally(outcomes: DataFrame) -> DataFrame:
@@ -57,12 +113,15 @@ def next_batch(site: Site, n: int = 5) -> DataFrame:
     return unused_ids(site, n)
 
 
-def applied(site: Site, outcomes: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Attachments and results after the plan: deleted ones go, results of failed ones are cleared, of skipped ones renewed."""
-    gone = outcomes.where("outcome = 'deleted'").select(F.col("attachment_id").alias("id")).distinct()
-    attachments = site.attachments.join(gone, "id", "left_anti").select(*site.attachments.columns)
-    renewed = fresh.join(outcomes.where("outcome = 'skipped'").select("attachment_id").distinct(), "attachment_id", "left_semi")
-    return attachments, cleared(site.results, outcomes).unionByName(renewed)
+def applied(site: Site, done: DataFrame) -> Site:
+    """The site after requests that were ``tried``: deleted attachments go with their meta rows and results, results of failed ones are cleared, of skipped ones renewed.
+
+    A row of ``done`` that comes later (by n) counts more."""
+    last = done.groupBy("attachment_id").agg(F.max_by(F.struct("outcome", "status", "ref_count", "refs_json", "scanned_at"), "n").alias("r"), F.bool_or(F.col("outcome") == "deleted").alias("gone")).select("attachment_id", "gone", "r.*")
+    gone = last.where("gone").select("attachment_id")
+    without = lambda df, column: df.join(gone.withColumnRenamed("attachment_id", column), column, "left_anti").select(*df.columns)
+    renewed = last.where("NOT gone AND outcome = 'skipped'").select(*site.results.columns)
+    return replace(site, attachments=without(site.attachments, "id"), postmeta=without(site.postmeta, "post_id"), results=cleared(site.results, last).unionByName(renewed))
 
 
 def uninstalled(site: Site) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
@@ -18,6 +18,14 @@ def ids_after(attachments: DataFrame, cursor: int, n: int) -> DataFrame:
     return attachments.where(F.col("id") > cursor).select(F.col("id").alias("attachment_id")).orderBy("attachment_id").limit(max(1, n))
 
 
+def ranked(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with ``rank``, from 1, by a column: ranks within ranges of it, so no task sees all rows."""
+    ranges = rows.repartitionByRange(column).withColumn("part", F.spark_partition_id())
+    within = ranges.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(column)))
+    before = within.groupBy("part").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
+    return within.join(before.select("part", "base"), "part").withColumn("rank", F.col("rank") + F.col("base")).select(*rows.columns, "rank")
+
+
 def unused(site: Site) -> DataFrame:
     """Attachments marked unused: attachment_id, post_status and the stored result."""
     marked = site.results.where("status = 'unused'")

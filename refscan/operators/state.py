@@ -6,11 +6,11 @@ from __future__ import annotations
 
 from dataclasses import astuple, dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.site import Site
-from .listing import ids_after
+from .listing import ids_after, ranked
 
 LOG = "seq long, kind string, cursor long, done long, total long, started_at long, finished_at long, scanned long, unused long"
 BATCH = 10
@@ -128,15 +128,9 @@ class Store:
 
 
 def batches(site: Site, size: int = BATCH) -> DataFrame:
-    """batch, cursor, done: what a scan in batches goes through; each row is a written state.
-
-    Batch numbers come from ranks within ranges of ids, so no task sees all ids."""
-    ranges = site.attachments.select("id").repartitionByRange("id").withColumn("part", F.spark_partition_id())
+    """batch, cursor, done: what a scan in batches goes through; each row is a written state."""
     size = max(1, size)
-    within = ranges.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("id")))
-    before = within.groupBy("part").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
-    ranked = within.join(before, "part").withColumn("rank", F.col("rank") + F.col("base"))
-    return ranked.groupBy(F.floor((F.col("rank") - 1) / size).alias("batch")).agg(F.max("id").alias("cursor"), F.max("rank").alias("done"))
+    return ranked(site.attachments.select("id"), "id").groupBy(F.floor((F.col("rank") - 1) / size).alias("batch")).agg(F.max("id").alias("cursor"), F.max("rank").alias("done"))
 
 
 def next_batch(site: Site, state: State, size: int = BATCH) -> DataFrame:

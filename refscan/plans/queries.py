@@ -15,7 +15,7 @@ from ..sources.fixtures import NOW
 from ..sources.site import Site
 from ..streaming.staleness import is_stale, last_change
 from . import oracles as o
-from .scan import references, scanned
+from .scan import chosen, references, scanned
 
 Query = Callable[[Site], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -234,24 +234,61 @@ register("src_request", lambda s: s.postmeta.select("meta_id", deletion.requeste
 register("snk_latest", lambda s: results.latest(s.results.withColumn("batch", F.lit(1)).unionByName(s.results.withColumn("batch", F.lit(2)).withColumn("scanned_at", F.col("scanned_at") + F.when(F.col("attachment_id") % 2 == 0, 60).otherwise(-60)).withColumn("ref_count", F.lit(7).cast("long")))).select(*VERDICT_COLUMNS), o.with_views("SELECT attachment_id, status, CASE WHEN attachment_id % 2 = 0 THEN 7 ELSE ref_count END AS ref_count, CASE WHEN attachment_id % 2 = 0 THEN scanned_at + 60 ELSE scanned_at END AS scanned_at FROM results", "results"))
 
 
-def deletion_plan(s: Site) -> DataFrame:
-    ids = s.results.where("status = 'unused'").select("attachment_id")
-    deletable = s.attachments.where("id % 7 <> 0").select(F.col("id").alias("attachment_id"))
-    return deletion.plan(s, ids, scanned(s, NOW, ids=ids), deletable)
+def tried(s: Site, requests: DataFrame, deletable: DataFrame) -> DataFrame:
+    ids = requests.select("attachment_id").distinct()
+    return deletion.tried(s, chosen(s, ids), requests, references(s, ids), deletable, NOW)
 
 
-PLAN = f"SELECT r.attachment_id, CASE WHEN r.attachment_id % 7 = 0 THEN 'failed' WHEN v.status = 'used' THEN 'skipped' ELSE 'deleted' END AS outcome FROM results r JOIN ({o.VERDICTS}) v ON r.attachment_id = v.attachment_id WHERE r.status = 'unused'"
-register("mut_delete", deletion_plan, o.over_refs(PLAN, "results"))
-register("agg_delete_tally", lambda s: deletion.tally(deletion_plan(s)), o.over_refs(f"SELECT {', '.join(f'CAST(count_if(outcome = {chr(39)}{x}{chr(39)}) AS BIGINT) AS {x}' for x in ('deleted', 'skipped', 'failed'))} FROM ({PLAN})", "results"))
-register("mut_delete_batch", lambda s: deletion.plan(s, deletion.next_batch(s), scanned(s, NOW, ids=deletion.next_batch(s)), s.attachments.select(F.col("id").alias("attachment_id"))), o.over_refs(f"SELECT u.attachment_id, CASE WHEN v.status = 'used' THEN 'skipped' ELSE 'deleted' END AS outcome FROM (SELECT attachment_id FROM ({o.UNUSED}) WHERE post_status <> 'trash' ORDER BY attachment_id LIMIT 5) u JOIN ({o.VERDICTS}) v USING (attachment_id)", "results"))
+def deletable_ids(s: Site) -> DataFrame:
+    return s.attachments.where("id % 7 <> 0").select(F.col("id").alias("attachment_id"))
 
 
-def selected_plan(s: Site) -> DataFrame:
-    ids = s.attachments.sparkSession.createDataFrame([(i,) for i in deletion.requested(["7", "-12", "abc", 0, "7", "99999999", "31x"])], "attachment_id long")
-    return deletion.plan(s, ids, scanned(s, NOW, ids=ids), s.attachments.select(F.col("id").alias("attachment_id")))
+def every_unused(s: Site) -> DataFrame:
+    return tried(s, deletion.numbered(s.results.where("status = 'unused'").select("attachment_id")), deletable_ids(s))
 
 
-register("mut_delete_selected", selected_plan, o.over_refs(f"SELECT x.id AS attachment_id, CASE WHEN v.status IS NULL THEN 'failed' WHEN v.status = 'used' THEN 'skipped' ELSE 'deleted' END AS outcome FROM (VALUES (CAST(7 AS BIGINT)), (12), (7), (99999999), (31)) x(id) LEFT JOIN ({o.VERDICTS}) v ON x.id = v.attachment_id"))
+def in_turn(asked: str, select: str, may: str = "true") -> str:
+    """A loop over requests (n, id): what is gone by then, and what comes of each."""
+    loop = f"""asked AS ({asked}), holders AS MATERIALIZED (
+  SELECT attachment_id AS id, list(DISTINCT CASE WHEN object_type = 'post' THEN object_id ELSE -1 END) AS held FROM refs WHERE confidence <> 'info' GROUP BY 1
+), asks AS MATERIALIZED (SELECT q.n, q.id, a.id IS NOT NULL AND {may} AS may, coalesce(held, []) AS held FROM asked q LEFT JOIN attachments a ON a.id = q.id LEFT JOIN holders h ON h.id = q.id
+), turn AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS outcome, CAST([] AS BIGINT[]) AS before, CAST([] AS BIGINT[]) AS gone
+  UNION ALL
+  SELECT n, id, outcome, gone, CASE WHEN outcome = 'deleted' THEN list_append(gone, id) ELSE gone END FROM (
+    SELECT a.n, a.id, t.gone, CASE WHEN NOT a.may OR list_contains(t.gone, a.id) THEN 'failed' WHEN len(list_filter(a.held, lambda x: NOT list_contains(t.gone, x))) > 0 THEN 'skipped' ELSE 'deleted' END AS outcome
+    FROM turn t JOIN asks a ON a.n = t.n + 1)
+), done AS MATERIALIZED (SELECT n, id AS attachment_id, outcome, before FROM turn WHERE n > 0)"""
+    return o.over_refs(f"SELECT * FROM asks", "results").replace("SELECT * FROM asks", "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + f",\n{loop}\n{select}"
+
+
+UNUSED_ASKED = "SELECT row_number() OVER (ORDER BY attachment_id) AS n, attachment_id AS id FROM results WHERE status = 'unused'"
+BY_TURN = "SELECT n, attachment_id, outcome FROM done"
+OUTCOME = ("n", "attachment_id", "outcome")
+register("mut_delete", lambda s: every_unused(s).select(*OUTCOME), in_turn(UNUSED_ASKED, BY_TURN, "q.id % 7 <> 0"))
+register("agg_delete_tally", lambda s: deletion.tally(every_unused(s)), in_turn(UNUSED_ASKED, f"SELECT {', '.join(f'CAST(count_if(outcome = {chr(39)}{x}{chr(39)}) AS BIGINT) AS {x}' for x in ('deleted', 'skipped', 'failed'))} FROM done", "q.id % 7 <> 0"))
+AFTER = """SELECT a.id AS attachment_id, coalesce(f.status, r.status) AS status, coalesce(f.ref_count, r.ref_count) AS ref_count
+FROM attachments a LEFT JOIN (SELECT * FROM results WHERE attachment_id NOT IN (SELECT attachment_id FROM done)) r ON a.id = r.attachment_id LEFT JOIN (
+  SELECT d.attachment_id, any_value('used') AS status, count(*) AS ref_count FROM done d JOIN refs x ON x.attachment_id = d.attachment_id AND NOT (object_type = 'post' AND list_contains(d.before, object_id)) WHERE outcome = 'skipped' GROUP BY 1
+) f ON a.id = f.attachment_id WHERE a.id NOT IN (SELECT attachment_id FROM done WHERE outcome = 'deleted')"""
+
+
+def after_deletion(s: Site) -> DataFrame:
+    left = deletion.applied(s, every_unused(s))
+    return left.attachments.select(F.col("id").alias("attachment_id")).join(left.results.select("attachment_id", "status", "ref_count"), "attachment_id", "left")
+
+
+register("mut_applied", after_deletion, in_turn(UNUSED_ASKED, AFTER, "q.id % 7 <> 0"))
+register("mut_delete_batch", lambda s: tried(s, deletion.numbered(deletion.next_batch(s)), s.attachments.select(F.col("id").alias("attachment_id"))).select(*OUTCOME), in_turn(f"SELECT row_number() OVER (ORDER BY attachment_id) AS n, attachment_id AS id FROM (SELECT attachment_id FROM ({o.UNUSED}) WHERE post_status <> 'trash' ORDER BY attachment_id LIMIT 5)", BY_TURN))
+
+
+def selected(s: Site) -> DataFrame:
+    ids = deletion.requested(["7", "-12", "abc", 0, "7", "99999999", "31x", "1.2e1", "\u00b2", "5", "5"])
+    requests = s.attachments.sparkSession.createDataFrame(list(enumerate(ids, 1)), "n long, attachment_id long")
+    return tried(s, requests, s.attachments.select(F.col("id").alias("attachment_id"))).select(*OUTCOME)
+
+
+register("mut_delete_selected", selected, in_turn("SELECT CAST(n AS BIGINT) AS n, CAST(id AS BIGINT) AS id FROM (VALUES (1, 7), (2, 12), (3, 7), (4, 99999999), (5, 31), (6, 12), (7, 5), (8, 5)) x(n, id)", BY_TURN))
 register("mut_uninstall", lambda s: deletion.uninstalled(s)[1].groupBy("meta_key").agg(F.count("*").alias("n")), o.with_views("SELECT meta_key, count(*) AS n FROM postmeta WHERE coalesce(meta_key NOT IN ('_refscan_status', '_refscan_refs', '_refscan_scanned_at'), true) GROUP BY meta_key", "postmeta"))
 
 

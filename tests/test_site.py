@@ -10,7 +10,8 @@ from refscan.operators import deletion, detectors, listing, results, state
 from refscan.operators.candidates import name_pairs
 from refscan.operators.context import contexts
 from refscan.functions import labels
-from refscan.plans.scan import merged, references, scan_batch, scanned
+from refscan.plans import cleanup
+from refscan.plans.scan import chosen, merged, references, scan_batch, scanned
 from refscan.sources.site import COLUMNS, Site, read
 from refscan.streaming import batches, staleness
 
@@ -122,19 +123,79 @@ def test_lists_and_store(site):
     assert [tuple(r) for r in results.decoded(stored).collect()] == [(1, 0, "x", "post", 0, "", "exact", "possible")]
 
 
-def test_deletion(site):
+def deleted(site, ids, deletable, fails=None):
+    """Outcomes by n, and the site afterwards."""
     spark = site.posts.sparkSession
+    requests = spark.createDataFrame(list(enumerate(ids, 1)), "n long, attachment_id long")
+    own = requests.select("attachment_id").distinct()
+    frame = lambda x: spark.createDataFrame([(i,) for i in x], "attachment_id long")
+    done = deletion.tried(site, chosen(site, own), requests, references(site, own), frame(deletable), 60, frame(fails) if fails else None).cache()
+    return [r.outcome for r in done.orderBy("n").collect()], done, deletion.applied(site, done)
+
+
+def test_requests():
     assert deletion.requested(["12x", -3, None, "0", "", "12x"]) == [12, 3, 12]
-    ids = spark.createDataFrame([(123,), (4,), (5,), (6,), (6,), (1000,)], "attachment_id long")
-    fresh = scanned(site, 60, ids=ids)
-    outcomes = deletion.plan(site, ids, fresh, spark.createDataFrame([(123,), (5,), (6,), (1000,)], "attachment_id long")).cache()
-    assert sorted(tuple(r) for r in outcomes.collect()) == [(4, "failed"), (5, "deleted"), (6, "deleted"), (6, "deleted"), (123, "skipped"), (1000, "failed")]
-    assert deletion.tally(outcomes).first() == (3, 1, 2)
-    attachments, kept = deletion.applied(site, outcomes, fresh)
-    assert sorted(r.id for r in attachments.collect()) == [4, 123]
-    assert sorted((r.attachment_id, r.status) for r in kept.collect()) == [(99, "used"), (123, "used")]
-    left = deletion.uninstalled(site)
-    assert left[0].count() == len(OPTIONS) and left[1].count() == len(META)
+    assert deletion.requested(["1e3", " 7.9", "+5", ".5e1", "²", "1e", "1e999", "9" * 30, "--4", "0x1A", 12.0]) == [1000, 7, 5, 5, 1, 2**63 - 1, 2**63 - 1, 12]
+
+
+def test_deletion(site):
+    outcomes, done, left = deleted(site, [123, 4, 5, 6, 6, 1000], [123, 5, 6, 1000])
+    assert outcomes == ["skipped", "failed", "deleted", "deleted", "failed", "failed"]  # the second 6 is no attachment any more
+    assert deletion.tally(done).first() == (2, 1, 3)
+    assert sorted(r.id for r in left.attachments.collect()) == [4, 123]
+    assert sorted((r.attachment_id, r.status) for r in left.results.collect()) == [(99, "used"), (123, "used")]
+    bare = deletion.uninstalled(site)
+    assert bare[0].count() == len(OPTIONS) and bare[1].count() == len(META)
+
+
+def chain(site, meta, ids=(1, 2, 3, 4)):
+    """Attachments that only meta rows of other attachments mention."""
+    spark = site.posts.sparkSession
+    empty = {k: getattr(site, k).limit(0) for k in ("posts", "options", "termmeta", "usermeta", "results")}
+    attachments = [(i, "inherit", 0, "", "", f"f{i}.png", None, None, None, None) for i in ids]
+    rows = [(n, *m) for n, m in enumerate(meta)]
+    return Site(**{k: getattr(site, k) for k in COLUMNS} | empty | {"attachments": spark.createDataFrame(attachments, COLUMNS["attachments"]), "postmeta": spark.createDataFrame(rows, COLUMNS["postmeta"])})
+
+
+def test_deletion_has_an_order(site):
+    """What only a deleted attachment mentioned can go after it, not before it."""
+    # 2 is mentioned by 1, 3 by 2, 4 by 3 and by itself.
+    one = chain(site, [(1, "x", "2"), (2, "x", "see f3.png"), (3, "x", "4"), (4, "x", "4")])
+    every = [1, 2, 3, 4]
+    assert deleted(one, [1, 2, 3, 4], every)[0] == ["deleted"] * 4
+    assert deleted(one, [4, 3, 2, 1], every)[0] == ["skipped", "skipped", "skipped", "deleted"]
+    outcomes, done, left = deleted(one, [2, 1, 2, 3, 4, 2], every)
+    assert outcomes == ["skipped", "deleted", "deleted", "deleted", "deleted", "failed"]
+    assert left.attachments.count() == 0 and left.postmeta.count() == 0 and left.results.count() == 0
+    assert deleted(one, [1, 2, 3], [1, 3])[0] == ["deleted", "failed", "skipped"]  # 2 stays, and what it mentions
+    outcomes, done, left = deleted(one, [1, 2, 2, 3, 4], every, fails=[2])
+    assert outcomes == ["deleted", "failed", "failed", "skipped", "skipped"]
+    assert {(r.attachment_id, r.status, r.ref_count) for r in left.results.collect()} == {(3, "used", 1), (4, "used", 1)}
+    # Two that mention each other stay; references that are left are counted at each turn.
+    two = chain(site, [(1, "x", "2"), (2, "x", "1"), (3, "x", "2"), (3, "y", "1")])
+    outcomes, done, left = deleted(two, [1, 3, 1, 2], every)
+    assert outcomes == ["skipped", "deleted", "skipped", "skipped"] and [r.ref_count for r in done.orderBy("n").collect()] == [2, None, 1, 1]
+    assert {(r.attachment_id, r.ref_count) for r in left.results.collect()} == {(1, 1), (2, 1)}
+
+
+@pytest.mark.parametrize("size", [2, 100])
+def test_rounds_of_deletion(site, tmp_path, size):
+    """Any size of rounds comes to the same end, also if a round is cut off."""
+    one = chain(site, [(1, "x", "2"), (2, "x", "3"), (9, "x", "5"), (7, "x", "6")], ids=range(1, 10))
+    spark = site.posts.sparkSession
+    results = spark.createDataFrame([(i, "unused", 0, "[]", 5) for i in (1, 2, 3, 5, 6, 7)] + [(9, "used", 1, "[]", 5)], COLUMNS["results"])
+    one = Site(**{k: getattr(one, k) for k in COLUMNS} | {"results": results})
+    may = one.attachments.select(F.col("id").alias("attachment_id"))
+    rounds, folder = cleanup.delete_unused(one, str(tmp_path), may, 60, size), str(tmp_path)
+    first = next(rounds)
+    assert sum(first.values()) == min(size, 6)
+    spark.createDataFrame([], cleanup.OUTCOMES).write.mode("overwrite").parquet(f"{folder}/round=1")  # begun and cut off
+    tallies = [first, *cleanup.delete_unused(one, folder, may, 60, size)]
+    assert {k: sum(t[k] for t in tallies) for k in first} == {"deleted": 4, "skipped": 2, "failed": 0}
+    left = cleanup.after(one, folder)
+    assert sorted(r.id for r in left.attachments.collect()) == [4, 5, 6, 8, 9]
+    assert sorted((r.attachment_id, r.status) for r in left.results.collect()) == [(5, "used"), (6, "used"), (9, "used")]
+    assert cleanup.delete_round(one, folder, may, 60, size) is None
 
 
 def test_state():
