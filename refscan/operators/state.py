@@ -1,19 +1,23 @@
 """A scan that can be stopped and resumed: its state is a row of a log, read and written between batches.
 
-The log only grows: the last row counts, so a write that is cut off leaves the state before it."""
+The last row of the log counts, so a write that is cut off leaves the state before it."""
 
 from __future__ import annotations
 
-from dataclasses import astuple, dataclass, replace
+import json
+from dataclasses import asdict, astuple, dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.site import Site
+from .commits import Commits
 from .listing import ids_after, ranked
 
 LOG = "seq long, kind string, cursor long, done long, total long, started_at long, finished_at long, scanned long, unused long"
 BATCH = 10
+#: Rows of a stored log that are kept besides the last finished scan.
+KEPT_ROWS = 16
 
 
 @dataclass(frozen=True)
@@ -87,39 +91,55 @@ def with_row(log: DataFrame, kind: str, state: State | None = None, last: LastSc
 
 
 class Store:
-    """The log in a folder that all can reach."""
+    """The log in a folder that all can reach: each row is a numbered file, which one writer makes.
+
+    A writer that has not read what another one has written since gets a ``commits.Conflict`` and changes nothing. Of rows before
+    the last ones only the last finished scan is kept, so the log stays short."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        spark.createDataFrame([], LOG).write.mode("append").parquet(folder)
+        self.spark, self.commits = spark, Commits(spark, folder)
+
+    def rows(self) -> list[tuple[int, dict]]:
+        return [(n, json.loads(t)) for n in self.commits.numbers() if (t := self.commits.text(n)) is not None]
 
     def log(self) -> DataFrame:
-        return self.spark.read.schema(LOG).parquet(self.folder)
+        names = [c.split()[0] for c in LOG.split(", ")]
+        return self.spark.createDataFrame([tuple({"seq": n, **row}.get(c) for c in names) for n, row in self.rows()], LOG)
+
+    def seq(self) -> int:
+        """The number of the last row: what a later write may be made to follow."""
+        return max(self.commits.numbers(), default=0)
 
-    def append(self, kind: str, state: State | None = None, last: LastScan | None = None) -> None:
-        log = self.log()
-        seq = log.agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).first()[0]
-        with_row(log, kind, state, last).where(F.col("seq") == seq).coalesce(1).write.mode("append").parquet(self.folder)
+    def append(self, kind: str, state: State | None = None, last: LastScan | None = None, after: int | None = None) -> None:
+        rows = self.rows()
+        seq = self.seq() if after is None else after
+        self.commits.add(seq + 1, json.dumps({"kind": kind} | (asdict(state) if state else {}) | (asdict(last) if last else {})))
+        finished = [n for n, row in rows if row["kind"] == "finished"]
+        self.commits.drop([n for n, _ in rows[:-KEPT_ROWS] if n not in finished[-1:]])
 
     def current(self) -> State | None:
-        row = current_of(self.log()).first()
-        return State(*row) if row else None
+        rows = self.rows()
+        if not rows or rows[-1][1]["kind"] != "running":
+            return None
+        return State(*(rows[-1][1][f.name] for f in fields(State)))
 
     def last_scan(self) -> LastScan | None:
-        row = last_of(self.log()).first()
-        return LastScan(*row) if row else None
+        done = [row for _, row in self.rows() if row["kind"] == "finished"]
+        return LastScan(*(done[-1][f.name] for f in fields(LastScan))) if done else None
 
-    def start(self, total: int, now: int) -> State:
-        self.append("running", state := started(total, now))
+    def start(self, total: int, now: int, after: int | None = None) -> State:
+        self.append("running", state := started(total, now), after=after)
         return state
 
-    def advance(self, cursor: int, n: int, now: int) -> State:
-        self.append("running", state := advanced(self.current(), cursor, n, now))
+    def advance(self, cursor: int, n: int, now: int, after: int | None = None) -> State:
+        after = self.seq() if after is None else after
+        self.append("running", state := advanced(self.current(), cursor, n, now), after=after)
         return state
 
-    def finish(self, unused: int, now: int) -> LastScan:
+    def finish(self, unused: int, now: int, after: int | None = None) -> LastScan:
+        after = self.seq() if after is None else after
         _, last = finished(self.current(), unused, now)
-        self.append("finished", last=last)
+        self.append("finished", last=last, after=after)
         return last
 
     def reset(self) -> None:

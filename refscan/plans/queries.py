@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,13 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..functions.predicates import CANDIDATES
 from ..operators import candidates, context, deletion, detectors, listing, results, state
+from ..operators.lineage import shared_dir
+from ..operators.stored import Results
 from ..sources import fixtures, raw, site as tables
 from ..sources.fixtures import NOW
 from ..sources.site import Site
 from ..streaming.staleness import is_stale, last_change
+from . import cleanup
 from . import oracles as o
 from .scan import chosen, references, scanned
 
@@ -144,6 +148,19 @@ KEPT_SQL = "SELECT attachment_id, CAST(place AS BIGINT) AS place, detector, obje
 register("topk_refs", lambda s: results.decoded(scanned(s, NOW)).withColumn("place", F.col("place").cast("long")), o.over_refs(KEPT_SQL))
 register("more_count", lambda s: scanned(s, NOW).select("attachment_id", F.greatest(F.lit(0), F.col("ref_count") - results.KEPT).alias("more")).where("more > 0"), o.over_refs(f"SELECT attachment_id, ref_count - 20 AS more FROM ({o.VERDICTS}) WHERE ref_count > 20"))
 register("snk_save", lambda s: results.saved(s.results, scanned(s, NOW, ids=s.attachments.where("id % 3 = 0").select(F.col("id").alias("attachment_id")))).select(*VERDICT_COLUMNS), o.over_refs(f"SELECT attachment_id, status, ref_count, scanned_at FROM results WHERE attachment_id % 3 <> 0 UNION ALL SELECT attachment_id, status, ref_count, scanned_at FROM ({o.VERDICTS}) WHERE attachment_id % 3 = 0", "results"))
+
+
+def stored(s: Site) -> DataFrame:
+    """The results after a first save of all, a save of a third, and a clearing, in a stored table."""
+    spark = s.results.sparkSession
+    table = Results(spark, f"{shared_dir(spark)}/results-{uuid.uuid4().hex}", width=500)
+    table.save(s.results)
+    table.save(scanned(s, NOW + 10**9, ids=s.attachments.where("id % 3 = 0").select(F.col("id").alias("attachment_id"))))
+    table.clear(s.attachments.where("post_status = 'trash'").select(F.col("id").alias("attachment_id")))
+    return table.read().select(*VERDICT_COLUMNS)
+
+
+register("snk_stored", stored, o.over_refs(f"SELECT * FROM (SELECT attachment_id, status, ref_count, scanned_at FROM results WHERE attachment_id % 3 <> 0 UNION ALL SELECT attachment_id, status, ref_count, CAST({NOW + 10**9} AS BIGINT) FROM ({o.VERDICTS}) WHERE attachment_id % 3 = 0) WHERE attachment_id NOT IN (SELECT id FROM attachments WHERE post_status = 'trash')", "results"))
 register("snk_clear", lambda s: results.cleared(s.results, s.attachments.where("post_status = 'trash'").select(F.col("id").alias("attachment_id"))).select(*VERDICT_COLUMNS), o.with_views("SELECT attachment_id, status, ref_count, scanned_at FROM results WHERE attachment_id NOT IN (SELECT id FROM attachments WHERE post_status = 'trash')", "results"))
 DECODED = "SELECT attachment_id, CAST(0 AS BIGINT) AS place, json_extract_string(refs_json, '$[0].d') AS detector, coalesce(json_extract_string(refs_json, '$[0].t'), 'post') AS object_type, coalesce(CAST(json_extract_string(refs_json, '$[0].i') AS BIGINT), 0) AS object_id, coalesce(json_extract_string(refs_json, '$[0].k'), '') AS detail, coalesce(json_extract_string(refs_json, '$[0].m'), 'exact') AS match, coalesce(json_extract_string(refs_json, '$[0].c'), 'possible') AS confidence FROM (SELECT * FROM results WHERE refs_json LIKE '[{%')"
 register("snk_read_refs", lambda s: results.decoded(s.results).withColumn("place", F.col("place").cast("long")), o.with_views(DECODED, "results"))
@@ -279,6 +296,20 @@ def after_deletion(s: Site) -> DataFrame:
 
 
 register("mut_applied", after_deletion, in_turn(UNUSED_ASKED, AFTER, "q.id % 7 <> 0"))
+
+
+def after_rounds(s: Site) -> DataFrame:
+    """The site after rounds until nothing unused is left; any size of rounds gives the same."""
+    spark = s.results.sparkSession
+    folder = f"{shared_dir(spark)}/deletion-{uuid.uuid4().hex}"
+    for _ in cleanup.delete_unused(s, folder, deletable_ids(s), NOW, size=10_000):
+        pass
+    left = cleanup.after(s, folder)
+    return left.attachments.select(F.col("id").alias("attachment_id")).join(left.results.select("attachment_id", "status", "ref_count"), "attachment_id", "left")
+
+
+POOL = f"SELECT row_number() OVER (ORDER BY attachment_id) AS n, attachment_id AS id FROM ({o.UNUSED}) WHERE post_status <> 'trash'"
+register("mut_delete_rounds", after_rounds, in_turn(POOL, AFTER, "q.id % 7 <> 0"))
 register("mut_delete_batch", lambda s: tried(s, deletion.numbered(deletion.next_batch(s)), s.attachments.select(F.col("id").alias("attachment_id"))).select(*OUTCOME), in_turn(f"SELECT row_number() OVER (ORDER BY attachment_id) AS n, attachment_id AS id FROM (SELECT attachment_id FROM ({o.UNUSED}) WHERE post_status <> 'trash' ORDER BY attachment_id LIMIT 5)", BY_TURN))
 
 

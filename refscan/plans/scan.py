@@ -11,6 +11,7 @@ from ..operators.context import contexts
 from ..operators.detectors import Detector, all_references
 from ..operators.results import latest, saved, status_counts, verdicts
 from ..operators.state import BATCH, LastScan, State, Store, next_batch
+from ..operators.stored import Results
 from ..sources.site import COLUMNS, Site
 
 
@@ -33,18 +34,34 @@ def scan_batch(site: Site, store: Store, results: str, now: int, size: int = BAT
     """Scans the next batch of a stored scan (a new one, if none is running) into its folder of ``results``, and stores how far it came.
 
     A batch that is cut off before its state is stored is scanned again and overwritten. When no id is left
-    the scan is finished, with the counts of ``merged`` results."""
-    state = store.current()
+    the scan is finished, with the counts of ``merged`` results. If another driver has written the state meanwhile, this one
+    gets a ``commits.Conflict``: what it scanned is the other's next batch, or older."""
+    seq, state = store.seq(), store.current()
     if state is None:
-        state = store.start(site.attachments.count(), now)
+        state = store.start(site.attachments.count(), now, after=seq)
+        seq = store.seq()
         site.results.limit(0).write.mode("overwrite").parquet(f"{results}/batch=-1")  # so that there are results, if none of attachments
     ids = next_batch(site, state, size)
     end = ids.agg(F.max("attachment_id").alias("cursor"), F.count("*").alias("n")).first()
     if not end["n"]:
         unused = status_counts(site.attachments, merged(site, results)).first()["unused"]
-        return store.finish(unused, now)
+        return store.finish(unused, now, after=seq)
     scanned(site, now, ids=ids).write.mode("overwrite").parquet(f"{results}/batch={state.done}")
-    return store.advance(end["cursor"], end["n"], now)
+    return store.advance(end["cursor"], end["n"], now, after=seq)
+
+
+def scan_into(site: Site, store: Store, results: Results, now: int, size: int = BATCH) -> State | LastScan:
+    """``scan_batch`` with results that are put into a stored table, batch by batch: whoever reads it has each verdict as soon as its batch is saved."""
+    seq, state = store.seq(), store.current()
+    if state is None:
+        state = store.start(site.attachments.count(), now, after=seq)
+        seq = store.seq()
+    ids = next_batch(site, state, size)
+    end = ids.agg(F.max("attachment_id").alias("cursor"), F.count("*").alias("n")).first()
+    if not end["n"]:
+        return store.finish(status_counts(site.attachments, results.read()).first()["unused"], now, after=seq)
+    results.save(scanned(site, now, ids=ids))
+    return store.advance(end["cursor"], end["n"], now, after=seq)
 
 
 def merged(site: Site, results: str) -> DataFrame:
