@@ -14,14 +14,14 @@ What has to be known of all names to read a text (extensions, lengths) is a subq
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import trimmed
+from ..functions.predicates import BLANKS
 
 #: Characters before the extension that are joined on; shorter names have shorter anchors.
 ANCHOR = 8
@@ -34,50 +34,25 @@ WIDE, NARROW = 1 << 23, 1 << 16
 DIGITS = 19
 
 
-@dataclass(frozen=True)
-class Around:
-    """A run of digits in a text: the text up to the run before it, and up to the one after it; whether there is none; and the run before it, with the text before that."""
-
-    run: Column
-    before: Column
-    after: Column
-    first: Column
-    last: Column
-    previous: Column
-    earlier: Column
-
-    def between(self, before: str, after: str) -> Column:
-        return F.endswith(self.before, F.lit(before)) & F.startswith(self.after, F.lit(after))
-
-
-def comma_member(o: Around) -> Column:
-    """Nothing but blanks around it, up to a comma or an end of the text."""
-    left = (trimmed(F.substring_index(o.before, ",", -1)) == "") & (o.first | F.contains(o.before, F.lit(",")))
-    return left & (trimmed(F.substring_index(o.after, ",", 1)) == "") & (o.last | F.contains(o.after, F.lit(",")))
-
-
-def anywhere(o: Around) -> Column:
-    """Any of the forms by which content is looked up."""
-    ends = lambda *x: reduce(lambda a, b: a | b, (F.endswith(o.before, F.lit(y)) for y in x))
-    starts = lambda *x: reduce(lambda a, b: a | b, (F.startswith(o.after, F.lit(y)) for y in x))
-    return ends(*OPEN["content"]) | ends(",") & starts(",", '"', "]") | ends("[") & starts(",", "]")
-
-
+# What is around a run of digits {r}, in SQL: {b} the text up to the run before it, {a} up to the one after it; {first}, {last}: there is none; {p} the
+# run before it, {e} the text before that. Expressions are texts here, as each is used for several tables: one call makes one of them.
+BEFORE_MEMBER = "(btrim(substring_index({b}, ',', -1), '{blanks}') = '' AND ({first} OR contains({b}, ',')))"
+AFTER_MEMBER = "(btrim(substring_index({a}, ',', 1), '{blanks}') = '' AND ({last} OR contains({a}, ',')))"
 #: Forms that are looked up (as in ``predicates.CANDIDATES``, and ``content``) and forms that are accepted, each by what is around a run.
-FORMS: dict[str, Callable[[Around], Column]] = {
-    "find_exact": lambda o: o.first & o.last & (o.before == "") & (o.after == ""),
-    "find_csv_start": lambda o: o.first & (o.before == "") & F.startswith(o.after, F.lit(",")),
-    "find_csv_end": lambda o: o.last & (o.after == "") & F.endswith(o.before, F.lit(",")),
-    "find_csv_mid": lambda o: o.between(",", ","),
-    "find_json_int": lambda o: o.between('"id":', ""),
-    "find_json_str": lambda o: o.between('"id":"', '"'),
-    "find_content": anywhere,
-    "exact": lambda o: o.first & o.last & (trimmed(o.before) == "") & (trimmed(o.after) == ""),
-    "csv": comma_member,
-    "ser_int": lambda o: o.between("i:", ";"),
-    "ser_str": lambda o: (o.before == ':"') & F.startswith(o.after, F.lit('"')) & (o.previous == F.length(o.run).cast("string")) & F.endswith(o.earlier, F.lit("s:")),
-    "json_id": lambda o: F.rlike(o.before, F.lit(r'"id":\s*"?\z')),
-    "wp_image": lambda o: o.between("wp-image-", ""),
+FORMS = {
+    "find_exact": "{first} AND {last} AND {b} = '' AND {a} = ''",
+    "find_csv_start": "{first} AND {b} = '' AND startswith({a}, ',')",
+    "find_csv_end": "{last} AND {a} = '' AND endswith({b}, ',')",
+    "find_csv_mid": "endswith({b}, ',') AND startswith({a}, ',')",
+    "find_json_int": "endswith({b}, '\"id\":')",
+    "find_json_str": "endswith({b}, '\"id\":\"') AND startswith({a}, '\"')",
+    "find_content": "{open} OR endswith({b}, ',') AND (startswith({a}, ',') OR startswith({a}, '\"') OR startswith({a}, ']')) OR endswith({b}, '[') AND (startswith({a}, ',') OR startswith({a}, ']'))",
+    "exact": "{first} AND {last} AND btrim({b}, '{blanks}') = '' AND btrim({a}, '{blanks}') = ''",
+    "csv": f"{BEFORE_MEMBER} AND {AFTER_MEMBER}",
+    "ser_int": "endswith({b}, 'i:') AND startswith({a}, ';')",
+    "ser_str": "{b} = ':\"' AND startswith({a}, '\"') AND {p} = CAST(length({r}) AS STRING) AND endswith({e}, 's:')",
+    "json_id": "{b} RLIKE r'\"id\":\\s*\"?\\z'",
+    "wp_image": "endswith({b}, 'wp-image-')",
 }
 #: What stands before a run that is looked up by any of its first digits.
 OPEN = {"json_int": ('"id":',), "content": ("wp-image-", '"id":', 'ids="')}
@@ -96,73 +71,73 @@ def has(bits: Column, *forms: str) -> Column:
     return bits.bitwiseAND(F.lit(sum(BIT[f] for f in forms))) != 0
 
 
-def runs_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit("([0-9]+)"), F.lit(1))
+def around(form: str, i: str = "i", r: str = "r") -> str:
+    """A form's condition on the i-th run r of a text's runs and gaps (t)."""
+    ends = lambda names: "(" + " OR ".join(f"endswith({{b}}, '{x}')" for x in names) + ")"
+    blanks = BLANKS.replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t").replace("\u000b", "\\u000B").replace("\0", "\\u0000")
+    parts = {"b": f"get(t.gaps, {i})", "a": f"get(t.gaps, {i} + 1)", "first": f"({i} = 0)", "last": f"({i} = size(t.runs) - 1)", "p": f"get(t.runs, {i} - 1)", "e": f"get(t.gaps, {i} - 1)", "r": r, "blanks": blanks}
+    text = FORMS[form].replace("{open}", ends(OPEN["content"])) if form in FORMS else ends(OPEN[form])
+    return "(" + text.format(**parts) + ")"
 
 
-def entry(kind: str, bits: Column | int, *rest: Column) -> Column:
-    return F.concat(F.lit(kind), F.lit(bits).cast("string") if isinstance(bits, int) else bits.cast("string"), F.lit(":"), *rest)
+def once(value: str, name: str, use: str) -> str:
+    """``use`` of a value, by a name, that is computed once, however often it is used."""
+    return f"transform(array({value}), {name} -> {use})[0]"
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
+RUNS = "regexp_extract_all({0}, '([0-9]+)', 1)"
+NONE = "CAST(array() AS ARRAY<STRING>)"
 
 
-def numbers(text: Column, forms: Sequence[str], every_prefix: bool = False) -> Column:
-    """Entries i<forms>:<run> of a text's runs of digits.
+def numbers(text: str, forms: Sequence[str], every_prefix: bool = False) -> str:
+    """Entries i<forms>:<run> of a text's runs of digits, in SQL.
 
     A run that is looked up by its first digits also finds the ids that these are: those that are runs of the
     text themselves, as others have no accepted form, or with ``every_prefix`` all."""
-    around = [f for f in forms if f in FORMS]
+    own = [f for f in forms if f in FORMS]
     opening = next((f for f in forms if f.removeprefix("find_") in OPEN), None)
-
-    def of(parts: Column) -> Column:
-        runs, gaps = parts["runs"], parts["gaps"]
-
-        def at(run: Column, i: Column) -> Around:
-            return Around(run, F.get(gaps, i), F.get(gaps, i + 1), i == 0, i == F.size(runs) - 1, F.get(runs, i - 1), F.get(gaps, i - 1))
-
-        def stands(run: Column, i: Column) -> Column:
-            o = at(run, i)
-            return entry("i", reduce(lambda a, b: a + b, (F.when(FORMS[f](o), BIT[f]).otherwise(0) for f in around)), run)
-
-        found = F.transform(runs, stands)
-        if opening is None:
-            return found
-        opened = lambda run, i: reduce(lambda a, b: a | b, (F.endswith(F.get(gaps, i), F.lit(x)) for x in OPEN[opening.removeprefix("find_")]))
-        longer = F.filter(runs, lambda run, i: opened(run, i) & (F.length(run) > 1))
-        first = F.array_distinct(F.flatten(F.transform(longer, lambda run: F.transform(F.sequence(F.lit(1), F.least(F.length(run) - 1, F.lit(DIGITS))), lambda n: F.left(run, n)))))
-        return F.concat(found, F.transform(first if every_prefix else F.array_intersect(first, runs), lambda run: entry("i", BIT[opening], run)))
-
-    found = [once(F.struct(runs_of(text).alias("runs"), F.split(text, "[0-9]+").alias("gaps")), of)] if around else []
-    found += [members(text, f) for f in forms if f in LISTS]
-    return F.concat(*found)
-
-
-def none() -> Column:
-    return F.array().cast("array<string>")
-
-
-def members(text: Column, form: str) -> Column:
-    """Entries of the members of lists that are accepted."""
-    mark, pattern = LISTS[form]
-    runs = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), runs_of))
-    return F.when(F.contains(text, F.lit(mark)), F.transform(runs, lambda run: entry("i", BIT[form], run))).otherwise(none())
-
-
-def endings(text: Column, s: Column, bits: Column) -> Column:
-    """Entries n<forms>:<length of the anchor>:<ending>: for each dot of the text, each extension after it and each size of an anchor, the text before the extension's end, as far as names reach."""
-    # What is before a dot is read forwards in the reversed text, as a look-behind would count half characters.
-    after = F.regexp_extract_all(text, F.lit(r"\.(?=([A-Za-z0-9]{1,5}))"), F.lit(1))
-    window = F.concat(F.lit(r"(?s)(?<=[A-Za-z0-9])\.(?=(.{0,"), s["longest"].cast("string"), F.lit("}))"))
-    before = F.transform(F.reverse(F.regexp_extract_all(F.reverse(text), window, F.lit(1))), F.reverse)
-
-    def at_dot(b: Column, a: Column) -> Column:
-        found = F.filter(s["extensions"], lambda e: F.startswith(F.concat(F.lit("."), a), e))
-        return F.flatten(F.transform(found, lambda e: F.transform(s["sizes"], lambda n: entry("n", bits, (n + F.length(e)).cast("string"), F.lit(":"), b, e))))
-
-    return F.when(F.exists(s["extensions"], lambda e: F.contains(text, e)), F.flatten(F.zip_with(before, after, at_dot))).otherwise(none())
+    found = []
+    if own:
+        bits = " + ".join(f"IF({around(f)}, {BIT[f]}, 0)" for f in own)
+        every = f"transform(t.runs, (r, i) -> concat('i', {bits}, ':', r))"
+        if opening:
+            longer = f"filter(t.runs, (r, i) -> length(r) > 1 AND {around(opening.removeprefix('find_'))})"
+            first = f"array_distinct(flatten(transform({longer}, r -> transform(sequence(1, least(length(r) - 1, {DIGITS})), n -> left(r, n)))))"
+            every = f"concat({every}, transform({first if every_prefix else f'array_intersect({first}, t.runs)'}, r -> concat('i{BIT[opening]}:', r)))"
+        found.append(once(f"named_struct('runs', {RUNS.format(text)}, 'gaps', split({text}, '[0-9]+'))", "t", every))
+    for form in (f for f in forms if f in LISTS):
+        mark, pattern = LISTS[form]
+        quoted = pattern.replace("'", "\\x27")
+        lists = f"regexp_extract_all({text}, r'{quoted}', 1)"
+        found.append(f"IF(contains({text}, '{mark}'), transform(flatten(transform({lists}, x -> {RUNS.format('x')})), r -> concat('i{BIT[form]}:', r)), {NONE})")
+    return f"concat({', '.join(found)})"
+
+
+# Entries n<forms>:<length of the anchor>:<ending> of a text x.text: for each dot of the text, each extension after it and each size of an anchor, the text
+# before the extension's end, as far as names reach. What is before a dot is read forwards in the reversed text, as a look-behind would count half characters.
+ENDINGS = r"""IF(exists(_reading.extensions, e -> contains(x.text, e)), flatten(zip_with(
+  transform(reverse(regexp_extract_all(reverse(x.text), concat(r'(?s)(?<=[A-Za-z0-9])\.(?=(.{0,', _reading.longest, '}))'), 1)), y -> reverse(y)),
+  regexp_extract_all(x.text, r'\.(?=([A-Za-z0-9]{1,5}))', 1),
+  (b, a) -> flatten(transform(filter(_reading.extensions, e -> startswith(concat('.', a), e)), e -> transform(_reading.sizes, n -> concat('n', x.bits, ':', n + length(e), ':', b, e)))))), NONE)"""
+# Entries w<forms>:<window> and g<forms>:<gram>\0<text around it> of windows that names without an extension may have. Windows go on by whole characters;
+# the text around one is put together from windows. No name has a zero character.
+GRAMS = r"""IF(_reading.plain > 0, concat(
+  transform(flatten(transform(_reading.short, n -> filter(array_distinct(regexp_extract_all(x.text, concat('(?s)(?=(.{', n, '})).'), 1)), w -> KNOWN))), w -> concat('w', x.bits, ':', w)),
+  IF(_reading.plain >= GRAM, transform(array(regexp_extract_all(x.text, '(?s)(?=(.{GRAM})).', 1)), all -> transform(
+    filter(transform(all, (w, i) -> named_struct('w', w, 'i', i)), h -> transform(array(h.w), w -> KNOWN)[0]),
+    h -> concat('g', x.bits, ':', h.w, '\0', array_join(transform(sequence(greatest(0, h.i - _reading.plain), h.i + _reading.plain, GRAM),
+      j -> CASE WHEN j < size(all) THEN get(all, j) WHEN j < size(all) + GRAM - 1 THEN right(get(all, size(all) - 1), GRAM - 1 + size(all) - j) ELSE '' END), ''))))[0], NONE)), NONE)"""
+
+
+def named(texts: str) -> str:
+    """Entries of names of several texts (array of bits, text), in SQL; ``_reading`` is what has to be known to read them."""
+    known_ = f"getbit(get(_reading.grams, CAST(shiftright(pmod(xxhash64(w), {NARROW}), 6) AS INT)), CAST(pmod(pmod(xxhash64(w), {NARROW}), 64) AS INT)) = 1"
+    both = f"concat({ENDINGS}, {GRAMS})".replace("KNOWN", known_).replace("GRAM", str(GRAM)).replace("NONE", NONE)
+    return f"flatten(transform({texts}, x -> {both}))"
+
+
+def a_text(text: str, form: str) -> str:
+    return f"named_struct('bits', {BIT[form]}, 'text', {text})"
 
 
 def slot(key: Column, bits: int) -> Column:
@@ -210,8 +185,10 @@ def names(contexts: DataFrame) -> DataFrame:
 
 
 def rarest(plain: DataFrame) -> DataFrame:
-    """Of names (attachment_id, name) of GRAM characters and more: the gram that the fewest names have."""
-    each = plain.select("attachment_id", "name", F.explode(F.array_distinct(F.regexp_extract_all("name", F.lit(f"(?s)(?=(.{{{GRAM}}}))."), F.lit(1)))).alias("gram"))
+    """Of names (attachment_id, name): the gram that the fewest names have; shorter names are their own."""
+    short = F.length("name") < GRAM
+    windows = F.array_distinct(F.regexp_extract_all("name", F.lit(f"(?s)(?=(.{{{GRAM}}}))."), F.lit(1)))
+    each = plain.select("attachment_id", "name", F.explode(F.when(short, F.array("name")).otherwise(windows)).alias("gram"))
     counts = each.groupBy("gram").agg(F.count("*").alias("n"))
     return each.join(counts, "gram").groupBy("attachment_id", "name").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
 
@@ -235,10 +212,9 @@ def known(contexts: DataFrame, ids: bool = True, by_name: bool = True) -> Known:
         found.append(keys(contexts, "i", "id_text", attachment_id=F.col("attachment_id")))
     if by_name:
         ended, plain = each.where("ext <> ''"), each.where("ext = ''")
-        short, long = plain.where(F.length("name") < GRAM), rarest(plain.where(F.length("name") >= GRAM))
+        plain = rarest(plain).withColumn("kind", F.when(F.length("name") < GRAM, "w").otherwise("g"))
         found.append(keys(ended.groupBy("anchor").agg(F.collect_set(F.length("name")).alias("own")), "n", "anchor", lengths=F.col("own")))  # no more than a name is long
-        found.append(keys(short, "w", "name", attachment_id=F.col("attachment_id")))
-        found.append(keys(long, "g", "gram", attachment_id=F.col("attachment_id"), name=F.col("name")))
+        found.append(plain.select("kind", F.col("gram").alias("k"), "attachment_id", F.lit(None).cast("array<int>").alias("lengths"), "name"))
         # A few numbers, extensions and a bitmap of a fixed size, however many names there are.
         no_ext = F.col("ext") == ""
         said = each.agg(
@@ -248,40 +224,25 @@ def known(contexts: DataFrame, ids: bool = True, by_name: bool = True) -> Known:
             F.coalesce(F.max(F.when(no_ext, F.length("name"))), F.lit(0)).alias("plain"),
             F.array_sort(F.collect_set(F.when(no_ext & (F.length("name") < GRAM), F.length("name")))).alias("short"),
         )
-        small = bitmap(short.select(F.col("name").alias("k")).union(long.select(F.col("gram").alias("k"))), NARROW)
+        small = bitmap(plain.select(F.col("gram").alias("k")), NARROW)
         reading = said.crossJoin(F.broadcast(small)).select(F.struct("extensions", "sizes", "longest", "plain", "short", F.col("bitmap").alias("grams")).alias("reading")).scalar()  # of one row each
     every = reduce(DataFrame.unionByName, found)
     wanted = bitmap(every.where(F.col("kind").isin("i", "n")).select(F.concat("kind", "k").alias("k")), WIDE).scalar()
     return Known(every, each.where("ext <> ''").select("name", "attachment_id"), reading, wanted)
 
 
-def named(texts: Column, s: Column) -> Column:
-    """Entries of names of several texts (bits, text), given what has to be known to read them."""
-    return F.flatten(F.transform(texts, lambda t: F.concat(endings(t["text"], s, t["bits"]), grams(t["text"], s, t["bits"]))))
-
-
-def a_text(text: Column, form: str) -> Column:
-    return F.struct(F.lit(BIT[form]).alias("bits"), text.alias("text"))
-
-
-def entries(rows: DataFrame, columns: Sequence[str], ids: Column | None, texts: Column | None, about: Known) -> DataFrame:
+def entries(rows: DataFrame, columns: Sequence[str], ids: str | None, texts: str | None, about: Known) -> DataFrame:
     """The columns, kind, k, rest, bits: a row for each different entry of a row of a table that may match.
 
-    ids: an array of entries of ids; texts: an array of the texts that may hold names (``a_text``)."""
-    source, found = rows, [ids] if ids is not None else []
-    if texts is not None:
-        source = rows.withColumn("_reading", about.reading)
-        found.append(named(texts, F.col("_reading")))
-    each = source.select(*columns, F.explode(F.array_distinct(F.concat(*found))).alias("x"))
-    kind, forms = F.left("x", F.lit(1)), F.substring_index(F.substring("x", 2, 12), ":", 1)
-    rest = F.expr("substring(x, length(substring_index(substring(x, 2, 12), ':', 1)) + 3)")
-    each = each.select(*columns, kind.alias("kind"), forms.cast("int").alias("bits"), rest.alias("rest"))
-    size = F.substring_index("rest", ":", 1)
-    is_name = F.col("kind") == "n"
-    ending = F.when(is_name, F.expr("substring(rest, length(substring_index(rest, ':', 1)) + 2)")).otherwise(F.col("rest"))
-    each = each.select(*columns, "kind", "bits", ending.alias("rest"), F.when(is_name, size.try_cast("int")).alias("size"))
-    k = F.when(F.col("kind") == "n", F.right("rest", F.col("size"))).when(F.col("kind") == "g", F.left("rest", F.lit(GRAM))).otherwise(F.col("rest"))
-    each = each.select(*columns, "kind", k.alias("k"), F.when(F.col("kind").isin("n", "g"), F.col("rest")).alias("rest"), "bits")
+    ids: an array of entries of ids; texts: an array of the texts that may hold names (``a_text``); both in SQL."""
+    source = rows if texts is None else rows.withColumn("_reading", about.reading)
+    found = [*([ids] if ids else []), *([named(texts)] if texts else [])]
+    each = source.select(*columns, F.expr(f"explode(array_distinct(concat({', '.join(found)})))").alias("x"))
+    each = each.selectExpr(*columns, "left(x, 1) AS kind", "substring_index(substring(x, 2, 12), ':', 1) AS forms", "x")
+    each = each.selectExpr(*columns, "kind", "CAST(forms AS INT) AS bits", "substring(x, length(forms) + 3) AS rest")
+    each = each.selectExpr(*columns, "kind", "bits", "IF(kind = 'n', substring_index(rest, ':', 1), '') AS size", "rest")
+    each = each.selectExpr(*columns, "kind", "bits", "try_cast(size AS INT) AS size", "IF(kind = 'n', substring(rest, length(size) + 2), rest) AS rest")
+    each = each.selectExpr(*columns, "kind", f"CASE kind WHEN 'n' THEN right(rest, size) WHEN 'g' THEN left(rest, {GRAM}) ELSE rest END AS k", "IF(kind IN ('n', 'g'), rest, NULL) AS rest", "bits")
     return each.where(F.col("kind").isin("w", "g") | in_bitmap(about.wanted, F.concat("kind", "k"), WIDE))
 
 
@@ -301,8 +262,8 @@ def mentions(rows: DataFrame, key: str, text: str, contexts: DataFrame, forms: S
     """key, attachment_id, bits of a table's texts: by id in any of the forms, and by name if ``by_name``."""
     about = known(contexts, bool(forms), by_name)
     own = rows.select(F.col(key).alias("row"), F.col(text).alias("text"))
-    ids = numbers(F.col("text"), forms, every_prefix) if forms else None
-    texts = F.array(a_text(F.col("text"), "name")) if by_name else None
+    ids = numbers("text", forms, every_prefix) if forms else None
+    texts = f"array({a_text('text', 'name')})" if by_name else None
     return matched(entries(own, ["row"], ids, texts, about), ["row"], about, by_name).withColumnRenamed("row", key)
 
 

@@ -62,12 +62,11 @@ def found_together(site: Site, contexts: DataFrame, chosen: dict[int, TextDetect
     by_forms: dict[Sequence[str], list[int]] = {}
     for n, d in chosen.items():
         by_forms.setdefault(d.forms, []).append(n)
-    ids = reduce(lambda out, x: (F if out is None else out).when(F.col("ord").isin(x[1]), candidates.numbers(F.col("text"), x[0])), by_forms.items(), None)
-    texts = F.array(candidates.a_text(F.col("text"), "name"))
+    ids = "CASE " + " ".join(f"WHEN ord IN ({', '.join(map(str, ords))}) THEN {candidates.numbers('text', forms)}" for forms, ords in by_forms.items()) + " END"
+    texts = f"array({candidates.a_text('text', 'name')})"
     if "leaves" in rows.columns:
-        some = F.col("leaves").isNotNull()
-        ids = F.concat(ids, F.when(some, leaf_ids()).otherwise(candidates.none()))
-        texts = F.when(some, F.array_append(texts, leaf_text())).otherwise(texts)
+        ids = f"concat({ids}, IF(leaves IS NOT NULL, {LEAF_IDS}, {candidates.NONE}))"
+        texts = f"IF(leaves IS NOT NULL, array_append({texts}, {LEAF_TEXT}), {texts})"
     met = candidates.matched(candidates.entries(rows, ROW, ids, texts, about), ROW, about)
     alone = [n for n, d in chosen.items() if not d.own]
     met = met.where(~(F.col("ord").isin(alone) & F.col("object_id").eqNullSafe(F.col("attachment_id")))) if alone else met
@@ -161,15 +160,9 @@ def option_texts(site: Site) -> DataFrame:
     return parsed.select(F.col("option_id").alias("row"), F.lit(None).cast("long").alias("object_id"), F.col("option_name").alias("detail"), F.when(F.col("php.container"), "container").alias("state"), F.col("option_value").alias("text"), F.col("php.leaves").alias("leaves"))
 
 
-def leaf_ids() -> Column:
-    """Entries of leaves that are ids."""
-    digits = F.filter("leaves", lambda x: F.rlike(x["value"], F.lit(r"\A[0-9]+\z")))
-    return F.transform(digits, lambda x: candidates.entry("i", BIT["leaf"], x["value"]))
-
-
-def leaf_text() -> Column:
-    """The leaves that are strings, with what no name has between them."""
-    return candidates.a_text(F.array_join(F.transform(F.filter("leaves", lambda x: x["kind"] == "string"), lambda x: x["value"]), "\0"), "leaf_name")
+#: Entries of leaves that are ids; the leaves that are strings, with what no name has between them.
+LEAF_IDS = rf"transform(filter(leaves, x -> x.value RLIKE r'\A[0-9]+\z'), x -> concat('i{BIT['leaf']}:', x.value))"
+LEAF_TEXT = candidates.a_text(r"array_join(transform(filter(leaves, x -> x.kind = 'string'), x -> x.value), '\0')", "leaf_name")
 
 
 def meta_texts(rows: Callable[[Site], DataFrame], owner: str) -> Callable[[Site], DataFrame]:

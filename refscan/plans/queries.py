@@ -100,7 +100,7 @@ def verified_names(s: Site) -> DataFrame:
 
 def structures(s: Site) -> DataFrame:
     about = candidates.known(ctx(s))
-    found = candidates.entries(detectors.option_texts(s), ["row"], detectors.leaf_ids(), F.array(detectors.leaf_text()), about)
+    found = candidates.entries(detectors.option_texts(s), ["row"], detectors.LEAF_IDS, f"array({detectors.LEAF_TEXT})", about)
     return candidates.matched(found, ["row"], about).select(F.col("row").alias("row_id"), "attachment_id")
 
 

@@ -52,7 +52,7 @@ def test_names_without_extension(spark, kind):
     got = {(r.k, r.attachment_id) for r in candidates.name_pairs(rows, "k", "v", ctx).collect()}
     assert got == {(k, i) for k, t in enumerate(texts) for i, n in enumerate(names) if n in t}
     about = candidates.known(ctx, ids=False)
-    emitted = candidates.entries(rows.select(F.col("k").alias("row"), F.col("v").alias("text")), ["row"], None, F.array(candidates.a_text(F.col("text"), "name")), about)
+    emitted = candidates.entries(rows.select(F.col("k").alias("row"), F.col("v").alias("text")), ["row"], None, f"array({candidates.a_text('text', 'name')})", about)
     assert all(r["count"] <= 2 * len(texts[r["row"]]) for r in emitted.groupBy("row").count().collect())
 
 
@@ -92,7 +92,7 @@ def test_what_leaves_the_scan(spark):
     site = fixtures.site(spark, f"{DATA}/sf0.1")
     about = candidates.known(contexts(site.attachments))
     rows = detectors.postmeta_texts(site).withColumn("ord", F.lit(0)).unionByName(detectors.content_texts(site).withColumn("ord", F.lit(1)))
-    found = candidates.entries(rows, detectors.ROW, candidates.numbers(F.col("text"), candidates.META), F.array(candidates.a_text(F.col("text"), "name")), about)
+    found = candidates.entries(rows, detectors.ROW, candidates.numbers("text", candidates.META), f"array({candidates.a_text('text', 'name')})", about)
     sent = found.count()
     matching = found.join(about.keys.select("kind", "k").distinct(), ["kind", "k"], "left_semi").count()
     assert 0 < sent <= 1.2 * matching
