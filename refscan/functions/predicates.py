@@ -1,7 +1,8 @@
 """Candidate and verifying predicates: each takes the text and the attachment's id as text, and gives a boolean column.
 
 Candidates are the broad pass, verifiers the precise one; neither implies the other, so a match needs both.
-All are case-sensitive."""
+All are case-sensitive. They take whole texts: the scan decides the same forms for each occurrence (``operators.candidates``),
+and is tested against these."""
 
 from __future__ import annotations
 
@@ -32,6 +33,7 @@ def sized_string(v: Column, i: Column) -> Column:
     return F.contains(v, F.concat(F.lit("s:"), F.length(i).cast("string"), F.lit(':"'), i, F.lit('"')))
 
 
+# The forms by which an id is looked up.
 CANDIDATES: dict[str, Predicate] = {
     "exact": lambda v, i: v == i,
     "csv_start": lambda v, i: F.startswith(v, F.concat(i, F.lit(","))),
@@ -55,6 +57,7 @@ def matching(before: str, after: str) -> Predicate:
     return lambda v, i: F.rlike(v, F.concat(F.lit(before), i, F.lit(after)))
 
 
+# The forms that are accepted, as patterns in two halves around the id.
 VERIFIERS: dict[str, Predicate] = {
     "exact": lambda v, i: trimmed(v) == i,
     "csv": lambda v, i: F.exists(F.split(v, ","), lambda x: trimmed(x) == i),

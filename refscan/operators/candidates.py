@@ -28,7 +28,7 @@ ANCHOR = 8
 EXTENSION = r"\.[A-Za-z0-9]{1,5}$"
 #: Characters of a gram.
 GRAM = 6
-#: Bits of the bitmap of ids and anchors, and of that of grams, which each row carries.
+#: Bits of the bitmap of ids and anchors, and of that of grams, which each row carries if there are names without an extension.
 WIDE, NARROW = 1 << 23, 1 << 16
 #: Digits of an id, at the most.
 DIGITS = 19
@@ -38,7 +38,7 @@ DIGITS = 19
 # run before it, {e} the text before that. Expressions are texts here, as each is used for several tables: one call makes one of them.
 BEFORE_MEMBER = "(btrim(substring_index({b}, ',', -1), '{blanks}') = '' AND ({first} OR contains({b}, ',')))"
 AFTER_MEMBER = "(btrim(substring_index({a}, ',', 1), '{blanks}') = '' AND ({last} OR contains({a}, ',')))"
-#: Forms that are looked up (as in ``predicates.CANDIDATES``, and ``content``) and forms that are accepted, each by what is around a run.
+# Forms that are looked up (as in ``predicates.CANDIDATES``, and ``content``) and forms that are accepted, each by what is around a run.
 FORMS = {
     "find_exact": "{first} AND {last} AND {b} = '' AND {a} = ''",
     "find_csv_start": "{first} AND {b} = '' AND startswith({a}, ',')",
@@ -54,9 +54,9 @@ FORMS = {
     "json_id": "{b} RLIKE r'\"id\":\\s*\"?\\z'",
     "wp_image": "endswith({b}, 'wp-image-')",
 }
-#: What stands before a run that is looked up by any of its first digits.
+# What stands before a run that is looked up by any of its first digits.
 OPEN = {"json_int": ('"id":',), "content": ("wp-image-", '"id":', 'ids="')}
-#: Lists of ids that are accepted whatever is around a member: a text that must be there, and how a list is found.
+# Lists of ids that are accepted whatever is around a member: a text that must be there, and how a list is found.
 LISTS = {"gallery_block": ('"ids":', r'"ids":\s*\[([^\]]*)\]'), "gallery_sc": ("[gallery", r"""(?:\[gallery|(?!^)\G)[^\]]*?ids=(?=["']([^"']*)["'])""")}
 #: A name in the text; an id or a name that is a leaf of the value, or in one.
 OTHERS = ("name", "leaf", "leaf_name")
@@ -225,7 +225,7 @@ def known(contexts: DataFrame, ids: bool = True, by_name: bool = True) -> Known:
             F.array_sort(F.collect_set(F.when(no_ext & (F.length("name") < GRAM), F.length("name")))).alias("short"),
         )
         small = bitmap(plain.select(F.col("gram").alias("k")), NARROW)
-        reading = said.crossJoin(F.broadcast(small)).select(F.struct("extensions", "sizes", "longest", "plain", "short", F.col("bitmap").alias("grams")).alias("reading")).scalar()  # of one row each
+        reading = said.crossJoin(F.broadcast(small)).select(F.struct("extensions", "sizes", "longest", "plain", "short", F.when(F.col("plain") > 0, F.col("bitmap")).otherwise(F.array().cast("array<long>")).alias("grams")).alias("reading")).scalar()  # of one row each
     every = reduce(DataFrame.unionByName, found)
     wanted = bitmap(every.where(F.col("kind").isin("i", "n")).select(F.concat("kind", "k").alias("k")), WIDE).scalar()
     return Known(every, each.where("ext <> ''").select("name", "attachment_id"), reading, wanted)
@@ -238,11 +238,11 @@ def entries(rows: DataFrame, columns: Sequence[str], ids: str | None, texts: str
     source = rows if texts is None else rows.withColumn("_reading", about.reading)
     found = [*([ids] if ids else []), *([named(texts)] if texts else [])]
     each = source.select(*columns, F.expr(f"explode(array_distinct(concat({', '.join(found)})))").alias("x"))
-    each = each.selectExpr(*columns, "left(x, 1) AS kind", "substring_index(substring(x, 2, 12), ':', 1) AS forms", "x")
-    each = each.selectExpr(*columns, "kind", "CAST(forms AS INT) AS bits", "substring(x, length(forms) + 3) AS rest")
-    each = each.selectExpr(*columns, "kind", "bits", "IF(kind = 'n', substring_index(rest, ':', 1), '') AS size", "rest")
-    each = each.selectExpr(*columns, "kind", "bits", "try_cast(size AS INT) AS size", "IF(kind = 'n', substring(rest, length(size) + 2), rest) AS rest")
-    each = each.selectExpr(*columns, "kind", f"CASE kind WHEN 'n' THEN right(rest, size) WHEN 'g' THEN left(rest, {GRAM}) ELSE rest END AS k", "IF(kind IN ('n', 'g'), rest, NULL) AS rest", "bits")
+    each = each.selectExpr(
+        *columns, "left(x, 1) AS kind", "substring_index(substring(x, 2, 12), ':', 1) AS _forms", "substring(x, length(_forms) + 3) AS _tail",
+        "IF(kind = 'n', substring_index(_tail, ':', 1), '') AS _size", "IF(kind = 'n', substring(_tail, length(_size) + 2), _tail) AS _body",
+        f"CASE kind WHEN 'n' THEN right(_body, try_cast(_size AS INT)) WHEN 'g' THEN left(_body, {GRAM}) ELSE _body END AS k", "IF(kind IN ('n', 'g'), _body, NULL) AS rest", "CAST(_forms AS INT) AS bits",
+    ).select(*columns, "kind", "k", "rest", "bits")
     return each.where(F.col("kind").isin("w", "g") | in_bitmap(about.wanted, F.concat("kind", "k"), WIDE))
 
 

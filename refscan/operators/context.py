@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What is stripped off a name to get its stem's name: one marker of a derived file before the extension.
+# Fixed value: what is stripped off a name to get its stem's name: one marker of a derived file before the extension.
 DERIVED = r"(?i)-(?:scaled|rotated|\d+x\d+)(\.[a-z0-9]+)$"
 
 

@@ -106,6 +106,7 @@ def scan_card(site: Site, state: DataFrame, last: DataFrame, changed_at: DataFra
 
     ``state`` (cursor, done, total, started_at) and ``last`` (finished_at, scanned, unused): one row or none;
     ``changed_at``: one row (changed_at, epoch seconds)."""
+    # The sentences that are shown.
     number = lambda c: F.format_number(c, 0)
     note = F.concat(F.lit("Last full scan finished "), labels.time_difference(F.col("finished_at"), F.lit(now)), F.lit(" ago ("), number("scanned"), F.lit(" files)."), F.when(F.col("changed_at") > F.col("finished_at"), " Content has changed since — results may be stale.").otherwise(""))
     button = F.when(F.col("done").isNull(), "Start full scan").otherwise(F.concat(F.lit("Resume scan ("), number("done"), F.lit(" / "), number("goal"), F.lit(")")))
