@@ -55,10 +55,14 @@ class TextDetector:
         return found_together(site, contexts, {0: self}).select(*REFS)
 
 
-def found_together(site: Site, contexts: DataFrame, chosen: dict[int, TextDetector]) -> DataFrame:
-    """References of several detectors, with each one's place ``ord``: one pass over their tables, one join with ids and names."""
+def found_together(site: Site, contexts: DataFrame, chosen: dict[int, TextDetector], needles: Sequence[str] | None = None) -> DataFrame:
+    """References of several detectors, with each one's place ``ord``: one pass over their tables, one join with ids and names.
+
+    needles: if given, only texts that hold one of them are looked at; they must be all ids and names of the contexts."""
     about = candidates.known(contexts)
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (d.rows(site).withColumn("ord", F.lit(n)) for n, d in chosen.items()))
+    if needles is not None:
+        rows = rows.where(reduce(lambda a, b: a | b, (F.contains("text", F.lit(x)) for x in needles), F.lit(False)))
     by_forms: dict[Sequence[str], list[int]] = {}
     for n, d in chosen.items():
         by_forms.setdefault(d.forms, []).append(n)
@@ -195,9 +199,11 @@ def attached(site: Site, contexts: DataFrame) -> DataFrame:
 DETECTORS: dict[str, Detector] = {"postmeta": postmeta, "content": post_content, "options": options, "termmeta": termmeta, "usermeta": usermeta, "attached": attached}
 
 
-def all_references(site: Site, contexts: DataFrame, detectors: dict[str, Detector] | None = None) -> DataFrame:
-    """References of all detectors (own ones may be added, replaced or left out), duplicates kept, with the detector's place ``ord``."""
+def all_references(site: Site, contexts: DataFrame, detectors: dict[str, Detector] | None = None, needles: Sequence[str] | None = None) -> DataFrame:
+    """References of all detectors (own ones may be added, replaced or left out), duplicates kept, with the detector's place ``ord``.
+
+    needles: see ``found_together``; own detectors don't get them."""
     chosen = dict(enumerate((DETECTORS if detectors is None else detectors).values()))
     texts = {n: find for n, find in chosen.items() if isinstance(find, TextDetector)}
     found = [find(site, contexts).select(*REFS).withColumn("ord", F.lit(n)) for n, find in chosen.items() if n not in texts]
-    return reduce(DataFrame.unionByName, [*([found_together(site, contexts, texts)] if texts else []), *found])
+    return reduce(DataFrame.unionByName, [*([found_together(site, contexts, texts, needles)] if texts else []), *found])

@@ -19,7 +19,7 @@ from ..sources.site import Site
 from ..streaming.staleness import is_stale, last_change
 from . import cleanup
 from . import oracles as o
-from .scan import chosen, references, scanned
+from .scan import chosen, references, scanned, scanned_few
 
 Query = Callable[[Site], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -240,7 +240,7 @@ LINES = f"SELECT attachment_id, string_agg({LINE}, chr(10) ORDER BY place) AS li
 
 def checked(s: Site) -> DataFrame:
     ids = s.attachments.sparkSession.createDataFrame([(4,), (5,), (0,), (99_999_999,)], "attachment_id long")
-    return listing.checked(s, ids, scanned(s, NOW, ids=ids))
+    return listing.checked(s, ids, scanned_few(s, ids, NOW))
 
 
 register("qry_check", checked, o.over_refs(f"SELECT x.id AS attachment_id, CASE WHEN status IS NULL THEN 'refused' ELSE 'checked' END AS outcome, status, CASE WHEN status IS NOT NULL THEN {BADGE} END AS badge, CASE WHEN status IS NOT NULL THEN coalesce(lines, 'No references found anywhere.') END AS evidence FROM (VALUES (CAST(4 AS BIGINT)), (5), (0), (99999999)) x(id) LEFT JOIN ({o.VERDICTS}) v ON v.attachment_id = x.id LEFT JOIN ({LINES}) e ON e.attachment_id = x.id", "terms", "users"))

@@ -14,6 +14,9 @@ from ..operators.state import BATCH, LastScan, State, Store, next_batch
 from ..operators.stored import Results
 from ..sources.site import COLUMNS, Site
 
+#: Attachments that are looked up by literal filters, at the most.
+FEW = 50
+
 
 def references(site: Site, ids: DataFrame | None = None, detectors: dict[str, Detector] | None = None) -> DataFrame:
     """References of all attachments, or of those in ``ids`` (attachment_id)."""
@@ -25,6 +28,18 @@ def chosen(site: Site, ids: DataFrame | None) -> DataFrame:
     return found if ids is None else found.join(ids.select("attachment_id").distinct(), "attachment_id", "left_semi")
 
 
+def needles_of(contexts: DataFrame, most: int = FEW) -> list[str] | None:
+    """All ids and names of a few attachments, or none if there are more than ``most``: then every text is looked at, with the same result."""
+    found = contexts.select("id_text", "basenames").limit(most + 1).collect()
+    return None if len(found) > most else sorted({x for r in found for x in (r["id_text"], *r["basenames"])})
+
+
+def scanned_few(site: Site, ids: DataFrame, now: int) -> DataFrame:
+    """``scanned`` for a few ids: the scan of each text table keeps the rows that hold an id or a name of them, as literals in its filter."""
+    few = chosen(site, ids)
+    return verdicts(few, all_references(site, few, needles=needles_of(few)), now)
+
+
 def scanned(site: Site, now: int, ids: DataFrame | None = None, detectors: dict[str, Detector] | None = None, is_used: Callable[[Column, DataFrame], Column] | None = None) -> DataFrame:
     """Verdicts: attachment_id, status, ref_count, refs_json, scanned_at."""
     return verdicts(chosen(site, ids), references(site, ids, detectors), now, is_used)

@@ -11,7 +11,7 @@ from refscan.operators.candidates import name_pairs
 from refscan.operators.context import contexts
 from refscan.functions import labels
 from refscan.plans import cleanup
-from refscan.plans.scan import chosen, merged, references, scan_batch, scanned
+from refscan.plans.scan import chosen, merged, needles_of, references, scan_batch, scanned, scanned_few
 from refscan.sources.site import COLUMNS, Site, read
 from refscan.streaming import batches, staleness
 
@@ -247,6 +247,15 @@ def test_checks(site):
     assert got[4].badge.startswith("Used (") and "Gallery — #23" in got[4].evidence.split("\n")
 
 
+def test_a_few_ids(site):
+    """The plan of a few ids gives what the whole scan gives; beyond the limit there are no literals."""
+    spark = site.posts.sparkSession
+    for ids in ([123], [4, 5, 6, 123], [7], []):
+        few = spark.createDataFrame([(i,) for i in ids], "attachment_id long")
+        assert sorted(map(tuple, scanned_few(site, few, 50).collect())) == sorted(map(tuple, scanned(site, 50, ids=few).collect()))
+    assert needles_of(contexts(site.attachments), 3) is None and "hero.jpg" in needles_of(contexts(site.attachments), 4)
+
+
 def test_shown_sizes_and_times(spark):
     sizes = {0: "0 B", 1: "1 B", 1000: "1,000 B", 1024: "1 KB", 2560: "3 KB", 1536: "2 KB", 1023 * 1024: "1,023 KB", 1 << 20: "1 MB", 5 << 30: "5 GB", 3 << 40: "3 TB"}
     got = {r[0]: r[1] for r in spark.createDataFrame([(n,) for n in sizes], "n long").select("n", labels.size_text(F.col("n"))).collect()}
