@@ -54,6 +54,8 @@ FORMS = {
     "json_id": "{b} RLIKE r'\"id\":\\s*\"?\\z'",
     "wp_image": "endswith({b}, 'wp-image-')",
 }
+#: The same where blanks at the end of a text that is looked up don't count.
+PADDED = {"find_exact": "{first} AND {last} AND {b} = '' AND rtrim({a}) = ''"}
 # What stands before a run that is looked up by any of its first digits.
 OPEN = {"json_int": ('"id":',), "content": ("wp-image-", '"id":', 'ids="')}
 # Lists of ids that are accepted whatever is around a member: a text that must be there, and how a list is found.
@@ -71,12 +73,13 @@ def has(bits: Column, *forms: str) -> Column:
     return bits.bitwiseAND(F.lit(sum(BIT[f] for f in forms))) != 0
 
 
-def around(form: str, i: str = "i", r: str = "r") -> str:
+def around(form: str, i: str = "i", r: str = "r", padded: bool = False) -> str:
     """A form's condition on the i-th run r of a text's runs and gaps (t)."""
     ends = lambda names: "(" + " OR ".join(f"endswith({{b}}, '{x}')" for x in names) + ")"
     blanks = BLANKS.replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t").replace("\u000b", "\\u000B").replace("\0", "\\u0000")
     parts = {"b": f"get(t.gaps, {i})", "a": f"get(t.gaps, {i} + 1)", "first": f"({i} = 0)", "last": f"({i} = size(t.runs) - 1)", "p": f"get(t.runs, {i} - 1)", "e": f"get(t.gaps, {i} - 1)", "r": r, "blanks": blanks}
-    text = FORMS[form].replace("{open}", ends(OPEN["content"])) if form in FORMS else ends(OPEN[form])
+    known = FORMS | PADDED if padded else FORMS
+    text = known[form].replace("{open}", ends(OPEN["content"])) if form in known else ends(OPEN[form])
     return "(" + text.format(**parts) + ")"
 
 
@@ -89,16 +92,16 @@ RUNS = "regexp_extract_all({0}, '([0-9]+)', 1)"
 NONE = "CAST(array() AS ARRAY<STRING>)"
 
 
-def numbers(text: str, forms: Sequence[str], every_prefix: bool = False) -> str:
+def numbers(text: str, forms: Sequence[str], every_prefix: bool = False, padded: bool = False) -> str:
     """Entries i<forms>:<run> of a text's runs of digits, in SQL.
 
     A run that is looked up by its first digits also finds the ids that these are: those that are runs of the
-    text themselves, as others have no accepted form, or with ``every_prefix`` all."""
+    text themselves, as others have no accepted form, or with ``every_prefix`` all. padded: blanks at the end don't count."""
     own = [f for f in forms if f in FORMS]
     opening = next((f for f in forms if f.removeprefix("find_") in OPEN), None)
     found = []
     if own:
-        bits = " + ".join(f"IF({around(f)}, {BIT[f]}, 0)" for f in own)
+        bits = " + ".join(f"IF({around(f, padded=padded)}, {BIT[f]}, 0)" for f in own)
         every = f"transform(t.runs, (r, i) -> concat('i', {bits}, ':', r))"
         if opening:
             longer = f"filter(t.runs, (r, i) -> length(r) > 1 AND {around(opening.removeprefix('find_'))})"
@@ -258,11 +261,11 @@ def matched(found: DataFrame, columns: Sequence[str], about: Known, by_name: boo
     return hits.groupBy(*columns, "attachment_id").agg(F.bit_or("bits").alias("bits"))
 
 
-def mentions(rows: DataFrame, key: str, text: str, contexts: DataFrame, forms: Sequence[str] = (), by_name: bool = False, every_prefix: bool = False) -> DataFrame:
+def mentions(rows: DataFrame, key: str, text: str, contexts: DataFrame, forms: Sequence[str] = (), by_name: bool = False, every_prefix: bool = False, padded: bool = False) -> DataFrame:
     """key, attachment_id, bits of a table's texts: by id in any of the forms, and by name if ``by_name``."""
     about = known(contexts, bool(forms), by_name)
     own = rows.select(F.col(key).alias("row"), F.col(text).alias("text"))
-    ids = numbers("text", forms, every_prefix) if forms else None
+    ids = numbers("text", forms, every_prefix, padded) if forms else None
     texts = f"array({a_text('text', 'name')})" if by_name else None
     return matched(entries(own, ["row"], ids, texts, about), ["row"], about, by_name).withColumnRenamed("row", key)
 

@@ -66,7 +66,7 @@ def found_together(site: Site, contexts: DataFrame, chosen: dict[int, TextDetect
     by_forms: dict[Sequence[str], list[int]] = {}
     for n, d in chosen.items():
         by_forms.setdefault(d.forms, []).append(n)
-    ids = "CASE " + " ".join(f"WHEN ord IN ({', '.join(map(str, ords))}) THEN {candidates.numbers('text', forms)}" for forms, ords in by_forms.items()) + " END"
+    ids = "CASE " + " ".join(f"WHEN ord IN ({', '.join(map(str, ords))}) THEN {candidates.numbers('text', forms, padded=site.collation.pad_space)}" for forms, ords in by_forms.items()) + " END"
     texts = f"array({candidates.a_text('text', 'name')})"
     if "leaves" in rows.columns:
         ids = f"concat({ids}, IF(leaves IS NOT NULL, {LEAF_IDS}, {candidates.NONE}))"

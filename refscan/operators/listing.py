@@ -28,17 +28,17 @@ def ranked(rows: DataFrame, column: str) -> DataFrame:
 
 def unused(site: Site) -> DataFrame:
     """Attachments marked unused: attachment_id, post_status and the stored result."""
-    marked = site.results.where("status = 'unused'")
+    marked = site.results.where(site.collation.among(F.col("status"), "unused"))
     return site.attachments.select(F.col("id").alias("attachment_id"), "post_status").join(marked, "attachment_id")
 
 
 def unused_ids(site: Site, n: int) -> DataFrame:
     """The first n unused attachments that aren't trashed."""
-    return unused(site).where("post_status <> 'trash'").select("attachment_id").orderBy("attachment_id").limit(n)
+    return unused(site).where(~site.collation.among(F.col("post_status"), "trash")).select("attachment_id").orderBy("attachment_id").limit(n)
 
 
 def listed(site: Site) -> DataFrame:
-    return unused(site).where(F.col("post_status").isin("inherit", "private"))
+    return unused(site).where(site.collation.among(F.col("post_status"), "inherit", "private"))
 
 
 def unused_page(site: Site, page: int, size: int = PAGE) -> DataFrame:
@@ -110,7 +110,7 @@ def scan_card(site: Site, state: DataFrame, last: DataFrame, changed_at: DataFra
     number = lambda c: F.format_number(c, 0)
     note = F.concat(F.lit("Last full scan finished "), labels.time_difference(F.col("finished_at"), F.lit(now)), F.lit(" ago ("), number("scanned"), F.lit(" files)."), F.when(F.col("changed_at") > F.col("finished_at"), " Content has changed since — results may be stale.").otherwise(""))
     button = F.when(F.col("done").isNull(), "Start full scan").otherwise(F.concat(F.lit("Resume scan ("), number("done"), F.lit(" / "), number("goal"), F.lit(")")))
-    one = status_counts(site.attachments, site.results).withColumn("one", F.lit(1))
+    one = status_counts(site.attachments, site.results, site.collation).withColumn("one", F.lit(1))
     for more in (state.select("done", F.col("total").alias("goal")), last.select("finished_at", "scanned"), changed_at):  # tables of one row at most
         one = one.join(F.broadcast(more.withColumn("one", F.lit(1))), "one", "left")
     return one.select("used", "unused", "unscanned", "total", note.alias("note"), button.alias("button"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.site import BINARY, Collation
+
 #: References kept for each attachment.
 KEPT = 20
 #: Parts that an attachment's references are dealt to.
@@ -46,10 +48,10 @@ def decoded(results: DataFrame) -> DataFrame:
     return found.select("attachment_id", "place", *(F.coalesce(f"r.{k}", F.lit(v)).alias(name) for k, (name, v) in defaults.items()))
 
 
-def status_counts(attachments: DataFrame, results: DataFrame) -> DataFrame:
+def status_counts(attachments: DataFrame, results: DataFrame, collation: Collation = BINARY) -> DataFrame:
     """used, unused, unscanned, total over attachments that aren't trashed, in one pass."""
-    alive = attachments.where("post_status <> 'trash'").select(F.col("id").alias("attachment_id")).join(results.select("attachment_id", "status"), "attachment_id", "left")
-    counts = alive.agg(F.count_if(F.col("status") == "used").alias("used"), F.count_if(F.col("status") == "unused").alias("unused"), F.count("*").alias("total"))
+    alive = attachments.where(~collation.among(F.col("post_status"), "trash")).select(F.col("id").alias("attachment_id")).join(results.select("attachment_id", "status"), "attachment_id", "left")
+    counts = alive.agg(F.count_if(collation.among(F.col("status"), "used")).alias("used"), F.count_if(collation.among(F.col("status"), "unused")).alias("unused"), F.count("*").alias("total"))
     return counts.select("used", "unused", F.greatest(F.lit(0), F.col("total") - F.col("used") - F.col("unused")).alias("unscanned"), "total")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from ..sources.fixtures import NOW, prelude
 
 BLANKS = "' ' || chr(10) || chr(13) || chr(9) || chr(11)"
@@ -27,6 +29,7 @@ VER = {
     "gallery_sc": "(contains(v, '[gallery') AND contains(v, i) AND regexp_matches(v, '\\[gallery[^\\]]*ids=[\"'']([^\"'']*[^0-9\"''])?' || i || '([^0-9\"''][^\"'']*)?[\"'']'))",
 }
 ANY_ID = "(" + " OR ".join(CAND.values()) + ")"
+ANY_ID_PADDED = "(" + " OR ".join({**CAND, "exact": "rtrim(v, ' ') = i"}.values()) + ")"
 NAMED = "(contains(v, stem) AND len(list_filter(basenames, lambda b: contains(v, b))) > 0)"
 
 CTX = """ctx AS (
@@ -36,12 +39,20 @@ CTX = """ctx AS (
         SELECT *, regexp_extract(attached_file, '[^/]*$') AS base FROM attachments))))"""
 OWNERS = "owners AS (SELECT id, post_type, post_status FROM posts UNION ALL SELECT id, 'attachment', post_status FROM attachments)"
 
-SOURCES = {
-    "content": "content AS (SELECT id, post_status, post_content FROM posts WHERE post_type NOT IN ('attachment', 'revision', 'nav_menu_item') AND post_status <> 'auto-draft')",
-    "pm": f"pm AS (SELECT meta_id, post_id, meta_key, meta_value, o.post_status FROM postmeta m JOIN owners o ON m.post_id = o.id WHERE o.post_type <> 'revision' AND NOT starts_with(meta_key, '_refscan_') AND meta_key NOT IN ('_wp_attached_file', '_wp_attachment_metadata', '_wp_attachment_image_alt', '_wp_old_slug', '_wp_old_date', '_edit_lock', '_edit_last'))",
-    "op": f"op AS (SELECT option_id, option_name, option_value FROM options WHERE NOT starts_with(option_name, '_transient_') AND NOT starts_with(option_name, '_site_transient_') AND option_name NOT IN ('cron', 'refscan_scan_state', 'refscan_last_scan', 'refscan_changed_at', 'rewrite_rules', 'wp_user_roles', 'active_plugins', 'recently_edited', 'uninstall_plugins'))",
-    "um": "um AS (SELECT meta_id, user_id, meta_key, meta_value FROM usermeta WHERE meta_key <> 'session_tokens' AND NOT ends_with(meta_key, 'capabilities') AND NOT ends_with(meta_key, 'user_level') AND NOT contains(meta_key, 'user-settings'))",
-}
+
+def source_views(equal: Callable[[str], str] = str, like: Callable[[str], str] = str) -> dict[str, str]:
+    """What is read of the text tables; equal, like: how texts are compared with words and searched for parts."""
+    return {
+        "content": f"content AS (SELECT id, post_status, post_content FROM posts WHERE {equal('post_type')} NOT IN ('attachment', 'revision', 'nav_menu_item') AND {equal('post_status')} <> 'auto-draft')",
+        "pm": f"pm AS (SELECT meta_id, post_id, meta_key, meta_value, o.post_status FROM postmeta m JOIN owners o ON m.post_id = o.id WHERE {equal('o.post_type')} <> 'revision' AND NOT starts_with({like('meta_key')}, '_refscan_') AND {equal('meta_key')} NOT IN ('_wp_attached_file', '_wp_attachment_metadata', '_wp_attachment_image_alt', '_wp_old_slug', '_wp_old_date', '_edit_lock', '_edit_last'))",
+        "op": f"op AS (SELECT option_id, option_name, option_value FROM options WHERE NOT starts_with({like('option_name')}, '_transient_') AND NOT starts_with({like('option_name')}, '_site_transient_') AND {equal('option_name')} NOT IN ('cron', 'refscan_scan_state', 'refscan_last_scan', 'refscan_changed_at', 'rewrite_rules', 'wp_user_roles', 'active_plugins', 'recently_edited', 'uninstall_plugins'))",
+        "um": f"um AS (SELECT meta_id, user_id, meta_key, meta_value FROM usermeta WHERE {equal('meta_key')} <> 'session_tokens' AND NOT ends_with({like('meta_key')}, 'capabilities') AND NOT ends_with({like('meta_key')}, 'user_level') AND NOT contains({like('meta_key')}, 'user-settings'))",
+    }
+
+
+SOURCES = source_views()
+#: How texts are compared with words, and searched for parts, by collation.
+COLLATED = {"bytes": (str, str), "case": ("lower({})".format, "lower({})".format), "pad": ("rtrim({}, ' ')".format, str), "both": ("lower(rtrim({}, ' '))".format, "lower({})".format)}
 NEEDS = {"content": ("posts",), "pm": ("posts", "postmeta"), "op": ("options",), "um": ("usermeta",)}
 
 PLAIN = f"CASE WHEN {VER['exact']} THEN 'exact' WHEN {VER['csv']} THEN 'comma-list' WHEN {VER['ser_str']} OR {VER['ser_int']} THEN 'serialized' WHEN {VER['json_id']} THEN 'block-id' END"
@@ -82,9 +93,11 @@ USES = {"content": ("content",), "postmeta": ("pm",), "options": ("op",), "termm
 ORDER = ("postmeta", "content", "options", "termmeta", "usermeta", "attached")
 
 
-def with_views(select: str, *views: str, sources: tuple[str, ...] = (), context: bool = False, owners: bool = False) -> str:
+def with_views(select: str, *views: str, sources: tuple[str, ...] = (), context: bool = False, owners: bool = False, collation: str | None = None) -> str:
+    """The views that a query needs; collation: those of the uneven site, read under it."""
     needed = [*dict.fromkeys((*views, *(v for s in sources for v in NEEDS[s]), *(("posts",) if owners else ())))]
-    parts = [prelude(*needed), *([OWNERS] if owners or "pm" in sources else []), *([CTX] if context else []), *(SOURCES[s] for s in sources)]
+    own = SOURCES if collation is None else source_views(*COLLATED[collation])
+    parts = [prelude(*needed, even=collation is None), *([OWNERS] if owners or "pm" in sources else []), *([CTX] if context else []), *(own[s] for s in sources)]
     return ",\n".join(parts) + "\n" + select
 
 

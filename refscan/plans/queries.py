@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from ..operators.lineage import shared_dir
 from ..operators.stored import Results
 from ..sources import fixtures, raw, site as tables
 from ..sources.fixtures import NOW
-from ..sources.site import Site
+from ..sources.site import Collation, Site
 from ..streaming.staleness import is_stale, last_change
 from . import cleanup
 from . import oracles as o
@@ -50,6 +51,22 @@ register("fil_content", lambda s: s.posts.join(tables.content_rows(s).select("id
 register("fil_options", lambda s: tables.option_rows(s).select(F.regexp_extract("option_name", "^[a-z_]+", 0).alias("stem")).groupBy("stem").agg(F.count("*").alias("n")), o.with_views("SELECT regexp_extract(option_name, '^[a-z_]+') AS stem, count(*) AS n FROM op GROUP BY 1", sources=("op",)))
 register("fil_usermeta", lambda s: tables.usermeta_rows(s).groupBy("meta_key").agg(F.count("*").alias("n")), o.with_views("SELECT meta_key, count(*) AS n FROM um GROUP BY meta_key", sources=("um",)))
 
+# The same under other collations, on a site whose texts differ by case and blanks at the end
+COLLATIONS = {"bytes": tables.BINARY, "case": Collation(ignore_case=True), "pad": Collation(pad_space=True), "both": Collation(True, True)}
+
+
+def by_collation(query: Query) -> Query:
+    """A query's rows under each collation."""
+    return lambda s: reduce(DataFrame.unionByName, (query(fixtures.unevened(s, c)).withColumn("collation", F.lit(name)) for name, c in COLLATIONS.items()))
+
+
+def by_collation_sql(select: str, *views: str, **needs) -> str:
+    return "\nUNION ALL\n".join(f"(SELECT *, '{c}' AS collation FROM ({o.with_views(select, *views, collation=c, **needs)}))" for c in COLLATIONS)
+
+
+for name, rows, key, source in (("postmeta", tables.postmeta_rows, "meta_key", "pm"), ("options", tables.option_rows, "option_name", "op"), ("usermeta", tables.usermeta_rows, "meta_key", "um"), ("content", tables.content_rows, "post_status", "content")):
+    register(f"fil_{name}_collated", by_collation(lambda s, rows=rows, key=key: rows(s).groupBy(key).agg(F.count("*").alias("n"))), by_collation_sql(f"SELECT {key}, count(*) AS n FROM {source} GROUP BY 1", sources=(source,), owners=source == "pm"))
+
 # Contexts
 register("ctx_basename", lambda s: s.attachments.select("id", context.basename(F.col("attached_file")).alias("base")), o.with_views("SELECT id, regexp_extract(attached_file, '[^/]*$') AS base FROM attachments"))
 register("ctx_original", lambda s: s.attachments.select("id", context.basename(F.col("original_image")).alias("base")).where("base <> ''"), o.with_views("SELECT id, original_image AS base FROM attachments WHERE original_image <> ''"))
@@ -116,6 +133,12 @@ for name, find in detectors.DETECTORS.items():
     views = {"termmeta": ("termmeta",), "usermeta": ("usermeta",)}.get(name, ())
     register(f"det_{name}", lambda s, find=find: find(s, ctx(s)), o.with_views(f"SELECT attachment_id, detector, object_type, object_id, detail, match, confidence FROM ({o.DETECT[name]})", *views, sources=o.USES[name], context=True, owners=name in ("postmeta", "attached")))
 
+register(
+    "det_postmeta_collated",
+    lambda s: detectors.postmeta(u := fixtures.unevened(s, COLLATIONS["both"]), ctx(u)),
+    o.with_views(f"SELECT attachment_id, detector, object_type, object_id, detail, match, confidence FROM ({o.DETECT['postmeta'].replace(o.ANY_ID, o.ANY_ID_PADDED)})", sources=("pm",), context=True, owners=True, collation="both"),
+)
+
 # Joins
 register("join_pm_posts", lambda s: s.postmeta.join(s.owners.withColumnRenamed("id", "post_id"), "post_id").groupBy("post_type", "post_status").agg(F.count("*").alias("n")), o.with_views("SELECT post_type, o.post_status, count(*) AS n FROM postmeta m JOIN owners o ON m.post_id = o.id GROUP BY ALL", "postmeta", owners=True))
 register("join_status", lambda s: listing.unused(s).groupBy("post_status").agg(F.count("*").alias("n")), o.with_views(f"SELECT post_status, count(*) AS n FROM ({o.UNUSED}) GROUP BY post_status", "results"))
@@ -167,6 +190,9 @@ register("snk_read_refs", lambda s: results.decoded(s.results).withColumn("place
 ALIVE = "attachments a LEFT JOIN results r ON a.id = r.attachment_id WHERE a.post_status <> 'trash'"
 COUNTS = f"SELECT count_if(status = 'used') AS used, count_if(status = 'unused') AS unused, greatest(0, count(*) - count_if(status = 'used') - count_if(status = 'unused')) AS unscanned, count(*) AS total FROM {ALIVE}"
 register("agg_counts", lambda s: results.status_counts(s.attachments, s.results), o.with_views(f"SELECT CAST(used AS BIGINT) AS used, CAST(unused AS BIGINT) AS unused, CAST(unscanned AS BIGINT) AS unscanned, total FROM ({COUNTS})", "results"))
+SAID = lambda c: f"count_if({o.COLLATED[c][0]('status')} = 'used') AS used, count_if({o.COLLATED[c][0]('status')} = 'unused') AS unused, count(*) AS total FROM attachments a LEFT JOIN results r ON a.id = r.attachment_id WHERE {o.COLLATED[c][0]('a.post_status')} <> 'trash'"
+register("agg_counts_collated", by_collation(lambda s: results.status_counts(s.attachments, s.results, s.collation)), "\nUNION ALL\n".join("(" + o.with_views(f"SELECT CAST(used AS BIGINT) AS used, CAST(unused AS BIGINT) AS unused, CAST(total - used - unused AS BIGINT) AS unscanned, total, '{c}' AS collation FROM (SELECT {SAID(c)})", "results", collation=c) + ")" for c in COLLATIONS))
+register("topk_unused_collated", by_collation(lambda s: listing.unused_ids(s, 40)), "\nUNION ALL\n".join("(" + o.with_views(f"SELECT a.id AS attachment_id, '{c}' AS collation FROM attachments a JOIN results r ON a.id = r.attachment_id WHERE {o.COLLATED[c][0]('r.status')} = 'unused' AND {o.COLLATED[c][0]('a.post_status')} <> 'trash' ORDER BY a.id LIMIT 40", "results", collation=c) + ")" for c in COLLATIONS))
 for name in ("used", "unused", "unscanned", "total"):
     register(f"agg_{name}", lambda s, name=name: results.status_counts(s.attachments, s.results).select(F.col(name).alias("n")), o.with_views(f"SELECT CAST({name} AS BIGINT) AS n FROM ({COUNTS})", "results"))
 register("agg_scan_total", lambda s: s.attachments.agg(F.count("*").alias("n")), o.with_views("SELECT count(*) AS n FROM attachments"))

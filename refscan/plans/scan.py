@@ -59,7 +59,7 @@ def scan_batch(site: Site, store: Store, results: str, now: int, size: int = BAT
     ids = next_batch(site, state, size)
     end = ids.agg(F.max("attachment_id").alias("cursor"), F.count("*").alias("n")).first()
     if not end["n"]:
-        unused = status_counts(site.attachments, merged(site, results)).first()["unused"]
+        unused = status_counts(site.attachments, merged(site, results), site.collation).first()["unused"]
         return store.finish(unused, now, after=seq)
     scanned(site, now, ids=ids).write.mode("overwrite").parquet(f"{results}/batch={state.done}")
     return store.advance(end["cursor"], end["n"], now, after=seq)
@@ -74,7 +74,7 @@ def scan_into(site: Site, store: Store, results: Results, now: int, size: int =
     ids = next_batch(site, state, size)
     end = ids.agg(F.max("attachment_id").alias("cursor"), F.count("*").alias("n")).first()
     if not end["n"]:
-        return store.finish(status_counts(site.attachments, results.read()).first()["unused"], now, after=seq)
+        return store.finish(status_counts(site.attachments, results.read(), site.collation).first()["unused"], now, after=seq)
     results.save(scanned(site, now, ids=ids))
     return store.advance(end["cursor"], end["n"], now, after=seq)
 

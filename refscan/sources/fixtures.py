@@ -6,10 +6,12 @@ The test tables hold no media references. Each view is (source table, {column: e
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .site import Site
+from .site import Collation, Site
 
 NOW = 1_700_000_000
 
@@ -27,6 +29,9 @@ PART, DOC, ORDER, SUPP = "p_partkey", "doc_id", "o_orderkey", "s_suppkey"
 STEM = f"replace(p_name, ' ', '-') || '-' || {text('p_partkey + 1')}"
 POST_T = text("(doc_id * 7) % @IDS@ + 1")
 META_T = text("o_custkey % @IDS@ + 1")
+USER_V = text("c_custkey % @IDS@ + 1")
+# A user's roles as they are stored; a role may be there and not be given.
+ROLES = ("'a:1:{s:13:\"administrator\";b:1;}'", "'a:1:{s:6:\"editor\";b:1;}'", "'a:2:{s:6:\"editor\";b:0;s:6:\"author\";b:1;}'", "'a:2:{s:10:\"subscriber\";b:1;s:12:\"upload_files\";b:1;}'", "'none'")
 OPTION_V = text("p_partkey % @IDS@ + 1")
 
 VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
@@ -70,7 +75,12 @@ VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
         "option_value": case("p_partkey % 9", OPTION_V, f"'a:1:{{s:11:\"custom_logo\";i:' || {OPTION_V} || ';}}'", f"'a:1:{{i:' || {OPTION_V} || ';s:1:\"x\";}}'", OPTION_V, f"'a:1:{{i:0;i:' || {OPTION_V} || ';}}'", f"'{{\"id\":' || {OPTION_V} || '}}'", OPTION_V, f"'a:1:{{s:2:\"id\";i:' || {OPTION_V} || ';}}'", f"'/u/' || {OPTION_V} || '-150x150.jpg'"),
     }, "true"),
     "termmeta": ("nation", {"meta_id": "CAST(n_nationkey AS BIGINT)", "term_id": "CAST(n_regionkey + 1 AS BIGINT)", "meta_key": case("n_nationkey % 3", "'image'", "'_image'", "'thumbnail_id'"), "meta_value": case("n_nationkey % 3", text("n_nationkey + 1"), "'field_t'", text("n_nationkey + 1"))}, "true"),
-    "usermeta": ("customer", {"meta_id": "CAST(c_custkey AS BIGINT)", "user_id": "CAST(c_custkey % 150 + 1 AS BIGINT)", "meta_key": case("c_custkey % 5", "'avatar'", "'wp_capabilities'", "'session_tokens'", "'wp_user-settings-time'", "'ids'"), "meta_value": case("CASE WHEN c_custkey % 5 = 4 THEN 1 ELSE 0 END", text("c_nationkey + 1"), f"{text('c_nationkey + 1')} || ',7'")}, "true"),
+    "usermeta": ("customer", {
+        "meta_id": "CAST(c_custkey AS BIGINT)",
+        "user_id": "CAST(floor(c_custkey / 6) + 1 AS BIGINT)",
+        "meta_key": case("c_custkey % 6", "'avatar'", "'_avatar'", "'wp_capabilities'", "'session_tokens'", "'wp_user-settings-time'", "'ids'"),
+        "meta_value": case("c_custkey % 6", USER_V, "CASE WHEN c_custkey % 4 = 1 THEN 'field_u' ELSE 'x' END", case("c_custkey % 5", *ROLES), USER_V, USER_V, f"{USER_V} || ',7'"),
+    }, "true"),
     "terms": ("region", {"term_id": "CAST(r_regionkey + 1 AS BIGINT)", "name": "r_name"}, "r_regionkey < 4"),
     "users": ("customer", {"user_id": "CAST(c_custkey AS BIGINT)", "display_name": "c_name"}, "c_custkey % 4 <> 3"),
     "files": ("part", {"attachment_id": "CAST(p_partkey + 1 AS BIGINT)", "size": "CASE WHEN p_partkey % 8 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(p_size AS BIGINT) * 1000 * CASE WHEN p_partkey % 3 = 0 THEN 1 WHEN p_partkey % 3 = 1 THEN 77 ELSE 1000001 END END"}, "p_partkey % 2 = 0"),
@@ -139,6 +149,27 @@ def site(spark: SparkSession, sf_dir: str) -> Site:
     return Site(**views)
 
 
+def uneven(of: str, key: str) -> str:
+    """A text with other cases or blanks at its end in three of four rows."""
+    return f"CASE {key} % 4 WHEN 0 THEN {of} WHEN 1 THEN upper({of}) WHEN 2 THEN {of} || '  ' ELSE upper({of}) || ' ' END"
+
+
+#: Columns of tables whose texts differ from the words that are compared with them by case or blanks at the end.
+UNEVEN = {
+    "attachments": {"post_status": uneven("post_status", "id")},
+    "posts": {"post_type": uneven("post_type", "id"), "post_status": uneven("post_status", "id")},
+    "postmeta": {"meta_key": uneven("meta_key", "meta_id"), "meta_value": "CASE WHEN meta_id % 3 = 0 THEN meta_value || '  ' ELSE meta_value END"},
+    "options": {"option_name": uneven("option_name", "option_id")},
+    "usermeta": {"meta_key": uneven("meta_key", "meta_id")},
+    "results": {"status": uneven("status", "attachment_id")},
+}
+
+
+def unevened(site: Site, collation: Collation) -> Site:
+    changed = {name: getattr(site, name).withColumns({c: F.expr(e) for c, e in columns.items()}) for name, columns in UNEVEN.items()}
+    return replace(site, collation=collation, **changed)
+
+
 def raw(site: Site) -> dict[str, DataFrame]:
     """The site as raw tables: attachments are posts, their files and results are serialized in meta rows."""
     text = lambda c: F.concat(F.lit("s:"), F.octet_length(c).cast("string"), F.lit(':"'), c, F.lit('";'))
@@ -165,7 +196,7 @@ def raw(site: Site) -> dict[str, DataFrame]:
 COUNTED = {"@IDS@": "(SELECT count(*) * 3 // 2 FROM part)", "@DOCS@": "(SELECT count(*) FROM documents)"}
 
 
-def prelude(*names: str) -> str:
+def prelude(*names: str, even: bool = True) -> str:
     """The views as a WITH list for DuckDB; ``names``: those wanted (attachments always)."""
     out = []
     for name in ("attachments", *(n for n in names if n != "attachments")):
@@ -176,5 +207,7 @@ def prelude(*names: str) -> str:
             number = f"regexp_extract({column}, '{mark}[0-9]+')"
             rest = ", ".join(f"CASE WHEN a.stem IS NOT NULL THEN replace(v.{c}, v.number, '/u/' || a.stem) ELSE v.{c} END AS {c}" if c == column else f"v.{c}" for c in columns)
             select = f"SELECT {rest} FROM (SELECT *, {number} AS number FROM ({select})) v LEFT JOIN attachments a ON v.number = '/u/' || CAST(a.id AS VARCHAR)"
+        if not even and name in UNEVEN:
+            select = f"SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in UNEVEN[name].items())}) FROM ({select})"
         out.append(f"{name} AS ({select})")
     return "WITH " + ",\n".join(out)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLUMNS = {
@@ -28,6 +28,30 @@ COLUMNS = {
 }
 
 
+@dataclass(frozen=True)
+class Collation:
+    """How the site's database compares texts: whether letters of both cases are equal, and whether blanks at the end count.
+
+    It decides what the database itself compares: which rows are read, and by which values they are looked up. How a value
+    that was read is graded is decided by its bytes under any collation."""
+
+    ignore_case: bool = False
+    pad_space: bool = False
+
+    def among(self, text: Column, *values: str) -> Column:
+        """Whether a text equals one of the values."""
+        name = ("UTF8_LCASE" if self.ignore_case else "UTF8_BINARY") + ("_RTRIM" if self.pad_space else "")
+        return (text if name == "UTF8_BINARY" else F.collate(text, name)).isin(*values)
+
+    def like(self, text: Column) -> Column:
+        """A text to look for parts in: blanks at its end count under any collation."""
+        return F.collate(text, "UTF8_LCASE") if self.ignore_case else text
+
+
+#: By bytes.
+BINARY = Collation()
+
+
 @dataclass(frozen=True)
 class Site:
     attachments: DataFrame
@@ -42,6 +66,7 @@ class Site:
     results: DataFrame
     changes: DataFrame
     scan_log: DataFrame
+    collation: Collation = BINARY
 
     @cached_property
     def owners(self) -> DataFrame:
@@ -63,7 +88,8 @@ def of_jdbc(spark: SparkSession, url: str, prefix: str, partition: tuple[str, in
 
 def content_rows(site: Site) -> DataFrame:
     """id, post_status, post_content of posts that content can be found in."""
-    kept = ~F.col("post_type").isin("attachment", "revision", "nav_menu_item") & (F.col("post_status") != "auto-draft")
+    among = site.collation.among
+    kept = ~among(F.col("post_type"), "attachment", "revision", "nav_menu_item") & ~among(F.col("post_status"), "auto-draft")
     return site.posts.where(kept).select("id", "post_status", F.coalesce("post_content", F.lit("")).alias("post_content"))
 
 
@@ -75,14 +101,15 @@ OWN_PREFIX = "_refscan_"
 
 def postmeta_rows(site: Site) -> DataFrame:
     """Meta rows with their owner's status; rows without an owner, of revisions, of own or skipped keys (or none) go."""
-    kept = ~F.col("meta_key").startswith(OWN_PREFIX) & ~F.col("meta_key").isin(*SKIPPED_KEYS)
-    owner = site.owners.where(F.col("post_type") != "revision").select(F.col("id").alias("post_id"), "post_status")
+    key = F.col("meta_key")
+    kept = ~site.collation.like(key).startswith(OWN_PREFIX) & ~site.collation.among(key, *SKIPPED_KEYS)
+    owner = site.owners.where(~site.collation.among(F.col("post_type"), "revision")).select(F.col("id").alias("post_id"), "post_status")
     return site.postmeta.where(kept).join(owner, "post_id").select("meta_id", "post_id", "meta_key", F.coalesce("meta_value", F.lit("")).alias("meta_value"), "post_status")
 
 
 def option_rows(site: Site) -> DataFrame:
-    name = F.col("option_name")
-    kept = ~name.startswith("_transient_") & ~name.startswith("_site_transient_") & ~name.isin(*SKIPPED_OPTIONS)
+    name = site.collation.like(F.col("option_name"))
+    kept = ~name.startswith("_transient_") & ~name.startswith("_site_transient_") & ~site.collation.among(F.col("option_name"), *SKIPPED_OPTIONS)
     return site.options.where(kept).select("option_id", "option_name", F.coalesce("option_value", F.lit("")).alias("option_value"))
 
 
@@ -91,6 +118,6 @@ def termmeta_rows(site: Site) -> DataFrame:
 
 
 def usermeta_rows(site: Site) -> DataFrame:
-    key = F.col("meta_key")
-    kept = (key != "session_tokens") & ~key.endswith("capabilities") & ~key.endswith("user_level") & ~key.contains("user-settings")
+    key = site.collation.like(F.col("meta_key"))
+    kept = ~site.collation.among(F.col("meta_key"), "session_tokens") & ~key.endswith("capabilities") & ~key.endswith("user_level") & ~key.contains("user-settings")
     return site.usermeta.where(kept).select("meta_id", "user_id", "meta_key", F.coalesce("meta_value", F.lit("")).alias("meta_value"))
