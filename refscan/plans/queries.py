@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.predicates import CANDIDATES
-from ..operators import candidates, context, deletion, detectors, listing, results, state
+from ..operators import candidates, context, deletion, detectors, listing, results, rights, state
 from ..operators.lineage import shared_dir
 from ..operators.stored import Results
 from ..sources import fixtures, raw, site as tables
 from ..sources.fixtures import NOW
 from ..sources.site import Collation, Site
-from ..streaming.staleness import is_stale, last_change
+from ..streaming.staleness import Marker, follow, is_stale, last_change
 from . import cleanup
 from . import oracles as o
 from .scan import chosen, references, scanned, scanned_few
@@ -227,6 +227,23 @@ register("fn_time", lambda s: s.results.select("attachment_id", labels.time_diff
 # State, deletion and single checks
 CHANGED = "SELECT CAST(epoch(date_trunc('second', max(ts))) AS BIGINT) AS changed_at FROM changes WHERE post_type NOT IN ('revision', 'attachment')"
 register("st_stale", lambda s: last_change(s.changes), o.with_views(CHANGED, "changes"))
+
+
+def stored_change(s: Site) -> DataFrame:
+    """The changes as a stream of files, in two runs from one checkpoint and one from the start again, into a stored marker."""
+    spark = s.changes.sparkSession
+    folder = f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}"
+    marker = Marker(spark, f"{folder}/marker")
+    late = F.xxhash64("post_id") % 2 == 0
+    for half, checkpoint in ((s.changes.where(late), "one"), (s.changes.where(~late | F.col("post_id").isNull()), "one"), (None, "two")):
+        if half is not None:
+            half.write.mode("append").parquet(f"{folder}/log")
+        stream = spark.readStream.schema(s.changes.schema).parquet(f"{folder}/log")
+        follow(stream, marker, f"{folder}/{checkpoint}").awaitTermination()
+    return marker.read()
+
+
+register("st_stale_stored", stored_change, o.with_views(CHANGED, "changes"))
 register("st_is_stale", lambda s: s.results.select("attachment_id", is_stale(F.lit(NOW + 30_000), F.col("scanned_at")).alias("stale")), o.with_views(f"SELECT attachment_id, {NOW + 30_000} > scanned_at AS stale FROM results", "results"))
 RUNNING = "SELECT cursor, done, total, started_at FROM scan_log WHERE kind = 'running' AND seq = (SELECT max(seq) FROM scan_log)"
 LAST = "SELECT finished_at, scanned, unused FROM scan_log WHERE kind = 'finished' ORDER BY seq DESC LIMIT 1"
@@ -349,6 +366,31 @@ register("mut_delete_selected", selected, in_turn("SELECT CAST(n AS BIGINT) AS n
 register("mut_uninstall", lambda s: deletion.uninstalled(s)[1].groupBy("meta_key").agg(F.count("*").alias("n")), o.with_views("SELECT meta_key, count(*) AS n FROM postmeta WHERE coalesce(meta_key NOT IN ('_refscan_status', '_refscan_refs', '_refscan_scanned_at'), true) GROUP BY meta_key", "postmeta"))
 
 
+# Rights
+def asked(s: Site) -> DataFrame:
+    action = F.expr("CASE meta_id % 4 WHEN 0 THEN 'check' WHEN 1 THEN 'scan' WHEN 2 THEN 'delete' ELSE 'other' END")
+    return s.postmeta.select(F.col("meta_id").alias("n"), F.expr("meta_id % 300").alias("user_id"), action.alias("action"), F.expr("CAST(floor(meta_id / 300) % 50 AS BIGINT)").alias("attachment_id"))
+
+
+def authors(s: Site) -> DataFrame:
+    return s.attachments.select(F.col("id").alias("attachment_id"), F.expr("CASE WHEN id % 3 > 0 THEN id % 9 END").alias("author"))
+
+
+GIVEN = lambda *names: "(" + " OR ".join(f"contains(v, '\"{x}\";b:1;')" for x in names) + ")"
+RIGHTS = f"""rights AS (SELECT user_id, {GIVEN('administrator', 'editor', 'author', 'upload_files')} AND NOT contains(v, '"upload_files";b:0;') AS upload, {GIVEN('administrator', 'manage_options')} AS manage, {GIVEN('administrator', 'editor')} AS others, {GIVEN('administrator', 'editor', 'author')} AS own
+  FROM (SELECT user_id, min_by(meta_value, meta_id) AS v FROM usermeta WHERE meta_key = 'wp_capabilities' GROUP BY user_id))"""
+AUTHORS = "authors AS (SELECT id AS attachment_id, CASE WHEN id % 3 > 0 THEN id % 9 END AS author FROM attachments)"
+MAY = "coalesce(CASE action WHEN 'check' THEN upload WHEN 'scan' THEN manage WHEN 'delete' THEN manage AND (others OR own AND coalesce(author = q.user_id, false)) END, false)"
+
+
+def with_rights(select: str) -> str:
+    return o.with_views("", "usermeta", "postmeta").rstrip() + f",\n{RIGHTS},\n{AUTHORS}\n{select}"
+
+
+register("auth", lambda s: rights.allowed(asked(s), rights.granted(s), authors(s)), with_rights(f"SELECT n, q.user_id, action, q.attachment_id, {MAY} AS allowed FROM (SELECT meta_id AS n, meta_id % 300 AS user_id, CASE meta_id % 4 WHEN 0 THEN 'check' WHEN 1 THEN 'scan' WHEN 2 THEN 'delete' ELSE 'other' END AS action, CAST(floor(meta_id / 300) % 50 AS BIGINT) AS attachment_id FROM postmeta) q LEFT JOIN rights r ON r.user_id = q.user_id LEFT JOIN authors a ON a.attachment_id = q.attachment_id"))
+register("auth_deletable", lambda s: reduce(DataFrame.unionByName, (rights.deletable(s, rights.granted(s), user, authors(s)).withColumn("user_id", F.lit(user).cast("long")) for user in (3, 5, 7, 8, 99_999))), with_rights(f"SELECT q.attachment_id, q.user_id FROM (SELECT a.id AS attachment_id, u.user_id, 'delete' AS action FROM attachments a, (VALUES (CAST(3 AS BIGINT)), (5), (7), (8), (99999)) u(user_id)) q LEFT JOIN rights r ON r.user_id = q.user_id LEFT JOIN authors a ON a.attachment_id = q.attachment_id WHERE {MAY}"))
+
+
 def of_folder(query: Query) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: query(fixtures.site(spark, sf_dir))
 

@@ -31,7 +31,10 @@ POST_T = text("(doc_id * 7) % @IDS@ + 1")
 META_T = text("o_custkey % @IDS@ + 1")
 USER_V = text("c_custkey % @IDS@ + 1")
 # A user's roles as they are stored; a role may be there and not be given.
-ROLES = ("'a:1:{s:13:\"administrator\";b:1;}'", "'a:1:{s:6:\"editor\";b:1;}'", "'a:2:{s:6:\"editor\";b:0;s:6:\"author\";b:1;}'", "'a:2:{s:10:\"subscriber\";b:1;s:12:\"upload_files\";b:1;}'", "'none'")
+ROLES = (
+    "'a:1:{s:13:\"administrator\";b:1;}'", "'a:1:{s:6:\"editor\";b:1;}'", "'a:2:{s:6:\"editor\";b:0;s:6:\"author\";b:1;}'", "'a:2:{s:10:\"subscriber\";b:1;s:12:\"upload_files\";b:1;}'",
+    "'none'", "'a:2:{s:6:\"author\";b:1;s:14:\"manage_options\";b:1;}'", "'a:2:{s:6:\"editor\";b:1;s:12:\"upload_files\";b:0;}'",
+)
 OPTION_V = text("p_partkey % @IDS@ + 1")
 
 VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
@@ -79,7 +82,7 @@ VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
         "meta_id": "CAST(c_custkey AS BIGINT)",
         "user_id": "CAST(floor(c_custkey / 6) + 1 AS BIGINT)",
         "meta_key": case("c_custkey % 6", "'avatar'", "'_avatar'", "'wp_capabilities'", "'session_tokens'", "'wp_user-settings-time'", "'ids'"),
-        "meta_value": case("c_custkey % 6", USER_V, "CASE WHEN c_custkey % 4 = 1 THEN 'field_u' ELSE 'x' END", case("c_custkey % 5", *ROLES), USER_V, USER_V, f"{USER_V} || ',7'"),
+        "meta_value": case("c_custkey % 6", USER_V, "CASE WHEN c_custkey % 4 = 1 THEN 'field_u' ELSE 'x' END", case("c_custkey % 7", *ROLES), USER_V, USER_V, f"{USER_V} || ',7'"),
     }, "true"),
     "terms": ("region", {"term_id": "CAST(r_regionkey + 1 AS BIGINT)", "name": "r_name"}, "r_regionkey < 4"),
     "users": ("customer", {"user_id": "CAST(c_custkey AS BIGINT)", "display_name": "c_name"}, "c_custkey % 4 <> 3"),

@@ -282,8 +282,10 @@ def test_streams(site, tmp_path):
     changes = spark.createDataFrame(rows, "post_id long, post_type string, s long").select("post_id", "post_type", F.timestamp_seconds("s").alias("ts"))
     changes.write.parquet(f"{tmp_path}/changes")
     stream = spark.readStream.schema(changes.schema).parquet(f"{tmp_path}/changes")
-    staleness.follow(stream, "last_change", f"{tmp_path}/c1").awaitTermination(120)
-    assert spark.table("last_change").first() == staleness.last_change(changes).first() == (300,)
+    marker = staleness.Marker(spark, f"{tmp_path}/marker")
+    assert marker.read().first() == (None,)
+    staleness.follow(stream, marker, f"{tmp_path}/c1").awaitTermination(120)
+    assert marker.read().first() == staleness.last_change(changes).first() == (300,)
     for n, ids in enumerate(([123, 4], [5])):
         spark.createDataFrame([(i,) for i in ids], "attachment_id long").write.parquet(f"{tmp_path}/ids/{n}")
         arriving = spark.readStream.schema("attachment_id long").option("recursiveFileLookup", True).parquet(f"{tmp_path}/ids")

@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from refscan.operators import state
@@ -11,6 +12,7 @@ from refscan.operators.stored import Results
 from refscan.plans.scan import scan_into, scanned
 from refscan.sources import fixtures
 from refscan.sources.site import COLUMNS
+from refscan.streaming.staleness import Marker, follow, last_change
 from tests.conftest import DATA
 
 
@@ -110,3 +112,55 @@ def test_a_scan_into_stored_results(spark, tmp_path):
     assert sorted(map(tuple, results.read().collect())) == sorted(map(tuple, whole.collect()))
     alive = site.attachments.where("post_status <> 'trash'").select(F.col("id").alias("attachment_id"))
     assert end == state.LastScan(60, 200, whole.join(alive, "attachment_id").where("status = 'unused'").count())
+
+
+def test_marker_of_changes(spark, tmp_path, monkeypatch):
+    """It rises only, whoever writes, however often: runs that are cut off, started again, late and repeated files."""
+    one, two = Marker(spark, f"{tmp_path}/m"), Marker(spark, f"{tmp_path}/m")
+    assert one.value() is None and one.read().first() == (None,)
+    one.raise_to(None)
+    assert one.value() is None
+    for value, want in ((50, 50), (40, 50), (50, 50), (70, 70)):
+        one.raise_to(value)
+        assert two.value() == two.read().first()[0] == want
+    add = Commits.add
+
+    def behind(self, number, text):
+        """Another writer is first, with a higher value."""
+        monkeypatch.setattr(Commits, "add", add)
+        two.raise_to(95)
+        add(self, number, text)
+
+    monkeypatch.setattr(Commits, "add", behind)
+    one.raise_to(90)
+    assert one.value() == 95
+    for value in range(100, 130):
+        one.raise_to(value)
+    assert one.value() == 129 and len(one.commits.numbers()) <= 9
+
+    schema = "post_id long, post_type string, ts timestamp"
+    change = lambda n, rows: spark.createDataFrame(rows, "post_id long, post_type string, s long").select("post_id", "post_type", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/log/{n}")
+    marker = Marker(spark, f"{tmp_path}/n")
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log")
+        follow(stream, marker, f"{tmp_path}/{checkpoint}").awaitTermination()
+
+    change(0, [(1, "revision", 900), (2, "attachment", 800)])
+    run("c")
+    assert marker.value() is None
+    change(1, [(1, "post", 300), (2, None, 950), (3, "page", None)])
+    monkeypatch.setattr(Commits, "add", lambda self, number, text: (_ for _ in ()).throw(RuntimeError("gone")))
+    with pytest.raises(StreamingQueryException):
+        run("c")
+    monkeypatch.setattr(Commits, "add", add)
+    assert marker.value() is None
+    run("c")
+    assert marker.value() == 300
+    change(2, [(5, "post", 200)])
+    change(3, [(6, "post", 310), (6, "post", 310)])
+    run("c")
+    run("c")
+    run("again")  # everything once more
+    whole = last_change(spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/log")).first()
+    assert marker.read().first() == whole == (310,)
