@@ -24,7 +24,7 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return selection.top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, as_given=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,8 +1,12 @@
+from fractions import Fraction
+from math import floor, isfinite
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from refscan.llm import selection
+from refscan.llm.queries import QUERIES
 from tests.conftest import DATA
 from tests.oracle import compared, connection
 
@@ -60,3 +64,71 @@ def test_odd_rows(spark):
     assert selection.top(df.limit(0), F.expr(IS_QUERY)).count() == 0 and selection.top(df.where("vec_id = 3"), F.expr(IS_QUERY)).count() == 0
     assert selection.top(df.where("vec_id = 0"), F.expr(IS_QUERY)).count() == 0
     assert found(df.where("vec_id < 5")) == brute({i: v for i, v in vectors.items() if i < 5})
+
+
+def by_contract(rows, k=20):
+    """Each row by itself, in whole numbers of any length; vectors of another length have no inner product."""
+    fine = [(i, [floor(64 * Fraction(x)) for x in v]) for i, v in rows if v is not None and all(x is not None and isfinite(x) for x in v)]
+    out = []
+    for at, (q, x) in enumerate(fine):
+        if q % 20 == 0:
+            others = [(i, y) for other, (i, y) in enumerate(fine) if other != at and len(y) == len(x)]
+            scores = sorted((-min((1 << 63) - 1, max(-(1 << 63), sum(a * b for a, b in zip(x, y, strict=True)))), i) for i, y in others)[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    return sorted(out)
+
+
+def queried(spark, rows, path):
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int")
+    df.write.parquet(f"{path}/embeddings.parquet")
+    return sorted(map(tuple, QUERIES["op11_exact_top_k"](spark, str(path)).select("query_id", "rank", "vec_id", "score").collect()))
+
+
+def floats(values):
+    return [float(x) for x in np.asarray(values, np.float32)]
+
+
+@pytest.mark.parametrize("size", [3e6, 1e9, 1e14, 1e30])
+def test_query_counts_large_vectors(spark, tmp_path, monkeypatch, size):
+    """Vectors of any finite size take part, as queries and as candidates, alone and among small ones."""
+    monkeypatch.setattr(selection, "VECTORS", 16)
+    rng = np.random.default_rng(7)
+    rows = [(i, floats(rng.normal(size=8))) for i in range(61)] + [(100 + i, floats(rng.normal(size=8) * size)) for i in range(21)]
+    rows += [(200 + i, floats([size * (i % 5)] + [0] * 7)) for i in range(21)] + [(230, floats([0] * 8))]
+    assert queried(spark, rows, tmp_path) == by_contract(rows)
+
+
+def test_query_counts_every_row(spark, tmp_path):
+    """Rows that share an id count by themselves; vectors of a rarer length, and empty ones, meet each other."""
+    rng = np.random.default_rng(8)
+    rows = [(i, floats(rng.normal(size=8))) for i in range(61)]
+    rows += [rows[7], rows[7], (7, floats(rng.normal(size=8))), rows[20], (40, floats(rng.normal(size=8)))]
+    rows += [(100 + i, floats(rng.normal(size=3))) for i in range(25)] + [(140 + i, []) for i in range(25)] + [(180, None), (181, [float("nan")] * 8), (182, [None] * 8)]
+    assert queried(spark, rows, tmp_path) == by_contract(rows)
+
+
+@pytest.mark.parametrize("bits", [20, 31, 40, 52, 58, 62, 100, 500, 1020])
+def test_wide_products(bits):
+    """Exact within a long, the nearest long beyond it; sums that cancel are neither lost nor rounded."""
+    rng = np.random.default_rng(bits)
+    x, y = np.rint(np.ldexp(rng.normal(size=(6, 8)), rng.integers(0, bits, (6, 8)))), np.rint(np.ldexp(rng.normal(size=(8, 40)), rng.integers(0, bits, (8, 40))))
+    x[1], y[:, 1] = [2.0**bits, 2.0**bits, 3, 0, 0, 0, 0, 1], [2.0**bits, -(2.0**bits), 5, 0, 0, 0, 0, -1]
+    want = [[min((1 << 63) - 1, max(-(1 << 63), sum(int(a) * int(b) for a, b in zip(p, q, strict=True)))) for q in y.T] for p in x]
+    got = selection.wide(x, y)
+    assert got.dtype == np.int64 and got.tolist() == want and got[1, 1] == 14
+
+
+def test_blocks_meet_in_many_partitions(spark, monkeypatch):
+    """Every block of queries meets every block of vectors if they are spread over partitions, as large tables are."""
+    monkeypatch.setattr(selection, "VECTORS", 32)
+    monkeypatch.setattr(selection, "QUERIES", 4)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    rng = np.random.default_rng(9)
+    vectors = {i: rng.normal(size=3).tolist() for i in range(300)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    spark.conf.set(name, "false")
+    try:
+        assert found(df) == brute(vectors)
+    finally:
+        spark.conf.set(name, before)
