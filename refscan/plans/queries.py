@@ -91,8 +91,8 @@ register("ctx_raw", lambda s: ctx(from_raw(s)).select("attachment_id", "id_text"
 
 # Candidates and verifiers, over all pairs of a table's rows and attachments
 def by_form(rows: Callable[[Site], DataFrame], key: str, text: str, form: str, every_prefix: bool = False) -> Query:
-    """Pairs of which an occurrence has the form."""
-    return lambda s: candidates.mentions(rows(s), key, text, ctx(s), [form], every_prefix=every_prefix).where(candidates.has(F.col("bits"), form)).select(F.col(key).alias("row_id"), "attachment_id")
+    """Pairs of which an occurrence has the form, one for each row."""
+    return lambda s: candidates.repeated(candidates.mentions(rows(s), key, text, ctx(s), [form], every_prefix=every_prefix).where(candidates.has(F.col("bits"), form))).select(F.col(key).alias("row_id"), "attachment_id")
 
 
 meta = (tables.postmeta_rows, "meta_id", "meta_value")
@@ -118,7 +118,7 @@ def verified_names(s: Site) -> DataFrame:
 def structures(s: Site) -> DataFrame:
     about = candidates.known(ctx(s))
     found = candidates.entries(detectors.option_texts(s), ["row"], detectors.LEAF_IDS, f"array({detectors.LEAF_TEXT})", about)
-    return candidates.matched(found, ["row"], about).select(F.col("row").alias("row_id"), "attachment_id")
+    return candidates.repeated(candidates.matched(found, ["row"], about)).select(F.col("row").alias("row_id"), "attachment_id")
 
 
 register("cand_content", by_form(*posts, "find_content", every_prefix=True), o.with_views(POST_PAIRS + o.CONTENT, sources=("content",), context=True))
