@@ -34,7 +34,7 @@ def same(spark, folder, con, name):
     assert compared(registered.queries()[name](spark, folder), registered.SQL[name], con) > 0
 
 
-@pytest.mark.parametrize("name", ["cand_exact", "cand_csv_mid", "cand_json_int", "ver_basename", "det_postmeta", "agg_ref_count"])
+@pytest.mark.parametrize("name", ["cand_exact", "ver_exact", "ver_csv", "ver_json_id", "cand_csv_mid", "cand_json_int", "ver_basename", "det_postmeta", "agg_ref_count"])
 def test_rows_that_are_looked_up(spark, folder, con, name):
     same(spark, folder, con, name)
 
